@@ -6,11 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, pii, simhash
+from . import embed_dedup, exact_dedup, langid, packing, pii, quality, sepscan, simhash, sp_codec, warc
 from .common import table
 
 #: Parameter: the tokenizers file that the token queries use.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Parameter: the id that ends a document in flat token files; no ordinary text has it.
+END_ID = 50256
+#: Parameter: the SentencePiece model file.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal label at cosine 0.98."""
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, link.b FROM r JOIN link ON r.b = link.a) SELECT a, min(b) AS b FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, reach.b AS component_id, e.vec_id = reach.b AS kept
+FROM embeddings e JOIN reach ON reach.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +41,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels outside the held-out fold."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal-data spans of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -27,6 +55,22 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *counts, F.sha2(pii.listed(pii.by_kind(F.col("base"))), 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, last FROM p)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM h
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with equal normalised texts."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -54,9 +98,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as flat token files, and their tokens counted by the separator scan."""
+    return sepscan.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by the SentencePiece model."""
+    return sp_codec.round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op4_pii, op6_exact_dedup, op7_language, op8_simhash)}
+    found = (op1_embedding_dedup, op2_packing, op3_quality, op4_pii, op5_warc, op6_exact_dedup, op7_language, op8_simhash, op9_token_counts, op10_sentencepiece)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL}
