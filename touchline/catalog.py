@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import testbed
 from .normalise import typed
-from .operators import results
+from .operators import leagues, results
+from .operators.leagues_sql import SQL as LEAGUES_SQL
 from .operators.results_sql import SQL as RESULTS_SQL
 
 
@@ -20,12 +21,13 @@ def _on_matches(f: Callable, **options) -> Callable[[SparkSession, str], DataFra
     return lambda spark, sf_dir: f(matches(spark, sf_dir), **options)
 
 
-OPTIONS = {"ou_probability": {"least": 1, "most": 5}}
+OPTIONS = {"ou_probability": {"least": 1, "most": 5}, "field_profile": {"fields": [c for c in testbed.match_columns("spark") if c != "status"]}}
+FAMILIES = [(results, RESULTS_SQL), (leagues, LEAGUES_SQL)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_matches(getattr(results, name), **OPTIONS.get(name, {})) for name in RESULTS_SQL}
+    return {name: _on_matches(getattr(module, name), **OPTIONS.get(name, {})) for module, sql in FAMILIES for name in sql}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(RESULTS_SQL)
+    return {name: text for _, sql in FAMILIES for name, text in sql.items()}
