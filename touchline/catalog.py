@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import testbed
 from .normalise import typed
-from .operators import leagues, results
+from .operators import leagues, results, teams
 from .operators.leagues_sql import SQL as LEAGUES_SQL
 from .operators.results_sql import SQL as RESULTS_SQL
+from .operators.teams_sql import SQL as TEAMS_SQL
+from .plans import predict
+from .plans.predict_sql import SQL as PREDICT_SQL
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +25,24 @@ def _on_matches(f: Callable, **options) -> Callable[[SparkSession, str], DataFra
 
 
 OPTIONS = {"ou_probability": {"least": 1, "most": 5}, "field_profile": {"fields": [c for c in testbed.match_columns("spark") if c != "status"]}}
-FAMILIES = [(results, RESULTS_SQL), (leagues, LEAGUES_SQL)]
+OPTIONS |= {k: {"features": testbed.FEATURES} for k in ("predict_by_patterns", "pattern_recommendations")}
+FAMILIES = [(results, RESULTS_SQL), (leagues, LEAGUES_SQL), (teams, TEAMS_SQL), (predict, PREDICT_SQL)]
+
+
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict.review_predictions(matches(spark, sf_dir), testbed.read(spark, sf_dir, "predictions"))
+
+
+#: Queries of other tables than the matches alone.
+OTHERS = {
+    "review_predictions": _reviews,
+    "review_summary": lambda spark, sf_dir: predict.review_summary(_reviews(spark, sf_dir)),
+    "high_confidence_count": lambda spark, sf_dir: predict.high_confidence_count(testbed.read(spark, sf_dir, "predictions")),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_matches(getattr(module, name), **OPTIONS.get(name, {})) for module, sql in FAMILIES for name in sql}
+    return {name: OTHERS[name] if name in OTHERS else _on_matches(getattr(module, name), **OPTIONS.get(name, {})) for module, sql in FAMILIES for name in sql}
 
 
 def oracle_sql() -> dict[str, str]:

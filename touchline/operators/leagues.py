@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import index_result, lower_plate, mean_or_zero, nonzero, pct, safe_int
 from .results import count_of, decided, finished
@@ -143,8 +144,6 @@ def odds_filter_stats(m: DataFrame, mode: str = "finished") -> DataFrame:
 
 def odds_filter_leagues(m: DataFrame, mode: str = "finished", top: int = 15) -> DataFrame:
     """For each type the leagues of three rows or more by the share of lost index results."""
-    from pyspark.sql.window import Window
-
     i = F.col("index_result")
     g = odds_filter(m, mode).groupBy("filter_type", "league").agg(F.count("*").alias("n"), count_of(i.isNotNull()).alias("index_n"), count_of(i == "让负").alias("index_lose"))
     g = g.where("n >= 3 AND index_n > 0").withColumn("lose_pct", pct(F.col("index_lose"), F.col("index_n")))
@@ -157,8 +156,7 @@ def match_stats(m: DataFrame) -> DataFrame:
     lg = F.nullif(F.col("league"), F.lit(""))
     base = m.select(lg.alias("lg"), "status")
     name = F.create_map(*[F.lit(x) for p in {0: "未开始", 1: "进行中", 2: "完场", 6: "改期"}.items() for x in p])
-    base.createOrReplaceTempView("touchline_match_stats")
-    g = m.sparkSession.sql("SELECT lg, status, grouping_id() AS gid, count(*) AS n, count(DISTINCT lg) AS leagues FROM touchline_match_stats GROUP BY GROUPING SETS ((lg), (status), ())")
+    g = m.sparkSession.sql("SELECT lg, status, grouping_id() AS gid, count(*) AS n, count(DISTINCT lg) AS leagues FROM {base} GROUP BY GROUPING SETS ((lg), (status), ())", base=base)
     kind = F.when(F.col("gid") == 1, "league").when(F.col("gid") == 2, "status").otherwise("total")
     value = F.when(F.col("gid") == 1, F.col("lg")).when(F.col("gid") == 2, F.coalesce(F.try_element_at(name, F.col("status")), F.col("status").cast("string")))
     rows = g.select(kind.alias("kind"), value.alias("value"), "n", "leagues").where("kind = 'total' OR value IS NOT NULL")

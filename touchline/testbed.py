@@ -14,6 +14,11 @@ LINES = ["平手", "平/半", "平手/半球", "半球", "半/一", "一球", "
 TOTALS = ["2", "2.25", "2.5", "2.75", "3", "3.5", "1.75", "", "3.25"]
 INDEX = ["-2", "-1", "+1", "1", "0", "2", "", "-1"]
 OPTIONS = ["win", "draw", "lose", "h_win", "h_draw", "h_lose", "other"]
+#: The feature lists of the predictors, for the leagues of these tables.
+FEATURES = {
+    "level_draw": ["BRAZIL", "FRANCE", "INDIA"], "level_away": ["CHINA", "KENYA"], "water_down": ["GERMANY", "JAPAN", "PERU"],
+    "trap": ["RUSSIA", "FRANCE", "EGYPT"], "high_goals": ["GERMANY", "CANADA"], "low_goals": ["CHINA", "IRAN"],
+}
 COLUMNS = {
     "euro": [("win", 120, 380, 37, 13), ("draw", 280, 150, 11, 17), ("lose", 120, 500, 53, 29)],
     "asian": [("home_odds", 70, 60, 29, 19), ("away_odds", 70, 60, 43, 31)],
