@@ -138,8 +138,9 @@ def exact_groups(docs: DataFrame, huge: int = 8 << 20, primes=PRIMES, bases=BASE
     gives an empty result.
     """
     fps = written(fingerprints(docs, huge, primes, bases), "fingerprints")
-    groups = fps.groupBy("fp", "n_bytes").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    met = fps.join(groups.where("group_size > 1").select("fp", "n_bytes"), ["fp", "n_bytes"])
+    groups = fps.groupBy("fp", "n_bytes").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = small_side(written(groups, "groups"))
+    met = fps.join(groups.select("fp", "n_bytes"), ["fp", "n_bytes"])
     met = small_side(written(met.select(F.col("doc_id").alias("id"), "fp", "n_bytes").distinct(), "met"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc"), normalised(docs).cast("binary").alias("n"))
     members = d.join(met, F.col("doc").eqNullSafe(F.col("id"))).where(F.octet_length("n") == F.col("n_bytes")).select("id", "fp", "n_bytes", "n")
@@ -148,7 +149,7 @@ def exact_groups(docs: DataFrame, huge: int = 8 << 20, primes=PRIMES, bases=BASE
     same = cut.groupBy("fp", "n_bytes", "at").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     clash = same.where("low <> high").select("fp", "n_bytes").distinct()
     clash = written(clash, "clashes")
-    out = fps.join(groups, ["fp", "n_bytes"])
+    out = fps.join(groups, ["fp", "n_bytes"], "left").withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     if clash.limit(1).count():
         apart = members.join(clash, ["fp", "n_bytes"]).select("id", "n")
         own = apart.groupBy("n").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
