@@ -116,4 +116,7 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, b
     """
     files, order = write_tokens(docs, tokenizer, folder or scratch(docs.sparkSession, "tokens"), end_id, width)
     counts = count_tokens(files, end_id, width, block)
-    return order.join(counts, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides have a row for each document, however small their files are: never a broadcast
+    file = F.xxhash64("path").alias("file")
+    order, counts = order.select(file, "ordinal", "doc_id"), counts.select(file, "ordinal", "n_tokens")
+    return order.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
