@@ -35,7 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
     """Marks a written table of a few narrow columns for broadcast if it has at most ``rows`` rows; a larger one is shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
