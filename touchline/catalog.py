@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import testbed
 from .normalise import typed
-from .operators import leagues, results, teams
+from .operators import leagues, lists, results, teams
 from .operators.leagues_sql import SQL as LEAGUES_SQL
+from .operators.lists_sql import SQL as LISTS_SQL
 from .operators.results_sql import SQL as RESULTS_SQL
 from .operators.teams_sql import SQL as TEAMS_SQL
-from .plans import predict
+from .plans import bets, parlay, predict
+from .plans.bets_sql import SQL as BETS_SQL
 from .plans.predict_sql import SQL as PREDICT_SQL
+from .sources import feeds, merge
+from .streaming import jobs
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,17 +31,67 @@ def _on_matches(f: Callable, **options) -> Callable[[SparkSession, str], DataFra
 
 OPTIONS = {"ou_probability": {"least": 1, "most": 5}, "field_profile": {"fields": [c for c in testbed.match_columns("spark") if c != "status"]}}
 OPTIONS |= {k: {"features": testbed.FEATURES} for k in ("predict_by_patterns", "pattern_recommendations")}
-FAMILIES = [(results, RESULTS_SQL), (leagues, LEAGUES_SQL), (teams, TEAMS_SQL), (predict, PREDICT_SQL)]
+FAMILIES = [(results, RESULTS_SQL), (leagues, LEAGUES_SQL), (teams, TEAMS_SQL), (predict, PREDICT_SQL), (bets, BETS_SQL), (lists, LISTS_SQL)]
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.review_predictions(matches(spark, sf_dir), testbed.read(spark, sf_dir, "predictions"))
 
 
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bets.settle_bets(testbed.read(spark, sf_dir, "legs"), matches(spark, sf_dir))
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches written as feed documents, one for each day, and parsed again."""
+    m = testbed.read(spark, sf_dir, "matches")
+    code = {0: "0", 1: "2", 2: "4", 6: "6"}
+    status = F.try_element_at(F.create_map(*[F.lit(x) for p in code.items() for x in p]), "status")
+    names = {v: k for k, v in feeds.FIELDS.items()}
+    item = F.struct(*[F.col(c).alias(names[c]) for c in ("match_id", "match_number", "league", "match_time", "home_team", "away_team", "home_score", "away_score")], status.alias("status"), F.replace("owner_date", F.lit("-"), F.lit("")).alias("ownerdate"))
+    raw = m.groupBy("owner_date").agg(F.collect_list(item).alias("matches")).select(F.to_json(F.struct(F.struct("matches").alias("data"))).alias("value"))
+    return feeds.parse_match_feed(raw).select("match_id", "match_number", "round_id", "league", "match_time", "status", "home_team", "away_team", "score", "owner_date")
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of updates: one sets home scores, the next clears some away scores and is without names for others."""
+    old = testbed.read(spark, sf_dir, "matches").select("match_id", "home_team", "away_team", "home_score", "away_score")
+    k = F.col("match_id").cast("long")
+    first = old.where(k % 3 == 0).withColumns({"home_score": F.lit("9"), "away_score": F.lit("x"), "seq": F.lit(1), "present": F.array(F.lit("home_score"))})
+    second = old.where(k % 6 == 0).withColumns({"home_score": F.lit("x"), "away_score": F.lit(""), "seq": F.lit(2), "present": F.array(F.lit("away_score"))})
+    nameless = old.where(k % 5 == 0).withColumns({"home_team": F.lit(""), "seq": F.lit(3), "present": F.array(F.lit("home_team"), F.lit("home_score"))})
+    return merge.upsert_matches(old, first.unionByName(second).unionByName(nameless))
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 #: Queries of other tables than the matches alone.
 OTHERS = {
     "review_predictions": _reviews,
     "review_summary": lambda spark, sf_dir: predict.review_summary(_reviews(spark, sf_dir)),
+    "settle_bets": lambda spark, sf_dir: _settled(spark, sf_dir),
+    "bet_stats": lambda spark, sf_dir: bets.bet_stats(_settled(spark, sf_dir)),
+    "daily_bet_stats": lambda spark, sf_dir: bets.daily_bet_stats(_settled(spark, sf_dir)),
+    "bet_groups": lambda spark, sf_dir: bets.bet_groups(_settled(spark, sf_dir)),
+    "enrich_legs": lambda spark, sf_dir: bets.enrich_legs(testbed.read(spark, sf_dir, "legs"), matches(spark, sf_dir)),
+    "normalise_picks": lambda spark, sf_dir: bets.normalise_picks(testbed.read(spark, sf_dir, "picks")),
+    "my_picks": lambda spark, sf_dir: bets.my_picks(testbed.read(spark, sf_dir, "picks"), matches(spark, sf_dir)),
+    "high_odds_candidates": _on_matches(parlay.high_odds_candidates),
+    "high_odds_pair": lambda spark, sf_dir: parlay.best_pair(parlay.high_odds_candidates(matches(spark, sf_dir)), 3.0, 2.8, 3.5),
+    "nearest_pairs": lambda spark, sf_dir: parlay.best_pair(parlay.high_odds_candidates(matches(spark, sf_dir)), 3.0, top=3),
+    "profile_candidates": _on_matches(parlay.profile_candidates),
+    "profile_pair": lambda spark, sf_dir: parlay.best_pair(parlay.profile_candidates(matches(spark, sf_dir)), 3.0),
+    "list_matches": lambda spark, sf_dir: lists.list_matches(matches(spark, sf_dir)).select("match_id", "owner_date", "league", "status"),
+    "list_matches_range": lambda spark, sf_dir: lists.list_matches(matches(spark, sf_dir), start="1996-01-01", end="1996-03-31").select("match_id", "owner_date", "league", "status"),
+    "page": lambda spark, sf_dir: lists.page(lists.list_matches(matches(spark, sf_dir)), 2),
+    "get_matches": lambda spark, sf_dir: lists.get_matches(matches(spark, sf_dir), status=2),
+    "live_alerts": _on_matches(jobs.live_alerts),
+    "parse_match_feed": _feed,
+    "upsert_matches": _upserted,
+    "odds_trend": lambda spark, sf_dir: jobs.odds_trend(_ticks(spark, sf_dir)),
+    "odds_trend_by_hour": lambda spark, sf_dir: jobs.odds_trend_by_hour(_ticks(spark, sf_dir)),
     "high_confidence_count": lambda spark, sf_dir: predict.high_confidence_count(testbed.read(spark, sf_dir, "predictions")),
 }
 

@@ -233,7 +233,7 @@ def review_predictions(m: DataFrame, predictions: DataFrame) -> DataFrame:
 def review_summary(reviews: DataFrame) -> DataFrame:
     """Accuracies over all rows and for each league, by grouping sets; a missing league is 未知."""
     r = reviews.withColumn("lg", F.coalesce("league", F.lit("未知")))
-    g = r.rollup("lg").agg(F.grouping("lg").alias("whole"), F.count("*").alias("n"), *[count_of(F.col(f"{k}_correct")).alias(k) for k in ("win", "asian", "ou", "score")], F.avg("accuracy").alias("mean_accuracy"))
+    g = r.rollup("lg").agg(F.grouping("lg").alias("whole"), F.count("*").alias("n"), *[count_of(F.col(f"{k}_correct")).alias(k) for k in ("win", "asian", "ou", "score")], F.round(F.avg("accuracy"), 6).alias("mean_accuracy"))
     mark = F.when(F.col("mean_accuracy") >= 75, 2).when(F.col("mean_accuracy") >= 50, 1).otherwise(0)
     return g.select(F.when(F.col("whole") == 0, F.col("lg")).alias("league"), "n", *[pct(F.col(k), F.col("n")).alias(f"{k}_pct") for k in ("win", "asian", "ou", "score")], "mean_accuracy", mark.alias("mark"))
 

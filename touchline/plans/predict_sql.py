@@ -112,7 +112,7 @@ SQL = {
       CASE WHEN {_rd(_DG)} > 0.1::DOUBLE AND {_rd(_e('hw'))} < 0 THEN '升盘降水' WHEN {_rd(_DG)} < -0.1::DOUBLE AND {_rd(_e('aw'))} < 0 THEN '降盘降水' WHEN {_rd(_DG)} > 0.1::DOUBLE AND {_rd(_e('hw'))} > 0 THEN '升盘升水' WHEN {_rd(_DG)} < -0.1::DOUBLE AND {_rd(_e('aw'))} > 0 THEN '降盘升水' END AS asian_rule FROM m"""),
     "review_predictions": sql(f"WITH {_REVIEWS} SELECT * FROM rv", "predictions"),
     "review_summary": sql(f"""WITH {_REVIEWS} SELECT league, n, win_pct, asian_pct, ou_pct, score_pct, mean_accuracy, CASE WHEN mean_accuracy >= 75 THEN 2 WHEN mean_accuracy >= 50 THEN 1 ELSE 0 END AS mark FROM (
-      SELECT lg AS league, count(*) AS n, {', '.join(f"100.0::DOUBLE * count(*) FILTER ({k}_correct) / count(*) AS {k}_pct" for k in ('win', 'asian', 'ou', 'score'))}, avg(accuracy) AS mean_accuracy FROM (SELECT *, coalesce(league, '未知') AS lg FROM rv) GROUP BY ROLLUP (lg))""", "predictions"),
+      SELECT lg AS league, count(*) AS n, {', '.join(f"100.0::DOUBLE * count(*) FILTER ({k}_correct) / count(*) AS {k}_pct" for k in ('win', 'asian', 'ou', 'score'))}, round(avg(accuracy), 6) AS mean_accuracy FROM (SELECT *, coalesce(league, '未知') AS lg FROM rv) GROUP BY ROLLUP (lg))""", "predictions"),
     "high_confidence_count": sql("SELECT count(*) FILTER (win_confidence >= 80 OR asian_confidence >= 80 OR ou_confidence >= 80) AS n FROM predictions", "predictions"),
     "ou_recommendations": sql("""WITH s AS (SELECT league, total AS line_value, count(*) AS sample_size, 100.0::DOUBLE * count(*) FILTER (ou = 'over') / count(*) AS over_pct, 100.0::DOUBLE * count(*) FILTER (ou = 'under') / count(*) AS under_pct FROM f WHERE result IS NOT NULL AND total IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5)
       SELECT *, CASE recommendation WHEN '大球' THEN over_pct ELSE under_pct END AS confidence FROM (SELECT m.match_id, s.*, CASE WHEN over_pct >= 60 THEN '大球' WHEN under_pct >= 60 THEN '小球' END AS recommendation FROM m JOIN s ON s.league = m.league AND s.line_value = m.total WHERE status = 0 AND nullif(m.league, '') IS NOT NULL) WHERE recommendation IS NOT NULL"""),

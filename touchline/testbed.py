@@ -16,8 +16,8 @@ INDEX = ["-2", "-1", "+1", "1", "0", "2", "", "-1"]
 OPTIONS = ["win", "draw", "lose", "h_win", "h_draw", "h_lose", "other"]
 #: The feature lists of the predictors, for the leagues of these tables.
 FEATURES = {
-    "level_draw": ["BRAZIL", "FRANCE", "INDIA"], "level_away": ["CHINA", "KENYA"], "water_down": ["GERMANY", "JAPAN", "PERU"],
-    "trap": ["RUSSIA", "FRANCE", "EGYPT"], "high_goals": ["GERMANY", "CANADA"], "low_goals": ["CHINA", "IRAN"],
+    "level_draw": ["NATION_1", "NATION_7", "NATION_12"], "level_away": ["NATION_3", "NATION_9"], "water_down": ["NATION_2", "NATION_5", "NATION_14"],
+    "trap": ["NATION_4", "NATION_7", "NATION_20"], "high_goals": ["NATION_2", "NATION_11"], "low_goals": ["NATION_3", "NATION_16"],
 }
 COLUMNS = {
     "euro": [("win", 120, 380, 37, 13), ("draw", 280, 150, 11, 17), ("lose", 120, 500, 53, 29)],
