@@ -144,9 +144,10 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = 20_000) -> Da
     entries = entries.select("fp", "c", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def run(batches):
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        t = pa.Table.from_batches(batches)
         cols = {c: t.column(c).to_numpy() for c in ("fp", "c", "key", "i", "j")}
         order = np.lexsort((cols["fp"], cols["j"], cols["i"], cols["key"], cols["c"]))
         cols = {c: v[order] for c, v in cols.items()}

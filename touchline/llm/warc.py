@@ -21,7 +21,7 @@ from .common import scratch, written
 from .files import opened, own_name
 
 GZIP = b"\x1f\x8b\x08"
-VERSION = re.compile(rb"(?:^|(?<=\n))WARC/[0-9]+\.[0-9]+\r?\n")
+VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")  # what precedes it may be cut off, so it need not begin a line
 DATE = "1970-01-01T00:00:00Z"  # records carry no time of their own; a fixed one keeps archives reproducible
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ROLL = 64 << 20
