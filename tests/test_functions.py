@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from touchline import functions as X
 from touchline.operators.leagues import league_profile
-from touchline.plans import parlay, predict
+from touchline.plans import bets, parlay, predict
 from touchline.sources import feeds, files, merge
 from touchline.streaming import jobs
 
@@ -137,3 +137,55 @@ def test_profile_minimum(spark, sf_dir):
     from touchline.catalog import matches
 
     assert league_profile(matches(spark, sf_dir), least=10**9).count() == 0
+
+
+@pytest.mark.parametrize("n,target,matches", [(2, 3.0, 12), (3, 5.0, 7), (4, 8.0, 5), (5, 9.0, 6), (3, 5.0, 2)])
+def test_n_fold_is_brute_force(spark, n, target, matches):
+    import itertools
+    import math
+
+    c = sorted((round(1.5 + (i * 17 % 9) / 20, 2), f"m{i % matches}", i // matches) for i in range(2 * matches))
+    got = [tuple(r) for r in parlay.n_fold(spark.createDataFrame(c, "odds double, match_id string, k int"), n, target).collect()]
+    cents = [(round(o * 100), m, k) for o, m, k in c]
+    fits = [x for x in itertools.combinations(cents, n) if len({m for _, m, _ in x}) == n]
+    off = lambda x: abs(math.prod(v for v, _, _ in x) - round(target * 100) * 100 ** (n - 1))
+    best = min(fits, key=lambda x: (off(x), [v for v, _, _ in x], [m for _, m, _ in x]), default=None)
+    if best is None:
+        assert got == []
+    else:
+        assert got[0][: 2 * n] == tuple(y for _, m, k in best for y in (m, k))
+        assert got[0][-1] == pytest.approx(off(best) / 100**n, abs=1e-12)
+
+
+def test_banker_pair(spark):
+    c = spark.createDataFrame([("a", 1, 1.3), ("a", 3, 1.85), ("b", 3, 1.85)], "match_id string, k int, odds double")
+    assert [tuple(r)[:5] for r in parlay.banker_pair(c).collect()] == [("a", 1, 1.3, "a", 3)]
+    assert [tuple(r)[:5] for r in parlay.banker_pair(c, apart=True).collect()] == [("a", 1, 1.3, "b", 3)]
+    assert parlay.banker_pair(c.limit(1)).count() == parlay.banker_pair(c.where("match_id = 'a'"), apart=True).count() == 0
+
+
+def test_place_bets(spark):
+    t = [("s1", "d", [(["x", "y"], "two", 3.0, 4.0, 1), (["x"], "one", 2.0, 2.0, 1)]), ("s2", "", [(["x"], "", 1.0, 1.0, 1)]), ("s3", "d", None)]
+    df = spark.createDataFrame(t, "submission_id string, device_id string, tickets array<struct<combo: array<string>, desc: string, odds: double, stake: double, multiple: int>>")
+    got = bets.place_bets(df.selectExpr("*", "timestamp'2024-01-01' AS created_at")).collect()
+    assert [(r["bet_id"], r["group_id"], r["type"], r["status"]) for r in got] == [("s1-0", "s1", "parlay", "pending"), ("s1-1", "s1", "single", "pending")]
+
+
+def test_settle_on_result(spark, sf_dir, tmp_path):
+    """After all results have come in, in two files, the bets stand as a batch run over the final matches has them."""
+    from touchline import testbed
+    from touchline.normalise import typed
+
+    final, legs = testbed.read(spark, sf_dir, "matches"), testbed.read(spark, sf_dir, "legs").where("old_status = 'pending'")
+    k = F.col("match_id").cast("long")
+    before = final.withColumn("status", F.when(k % 4 == 0, 0).otherwise(F.col("status")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in final.schema)
+    args = (spark, str(tmp_path / "in"), schema, legs, before, str(tmp_path / "t"), str(tmp_path / "cp"))
+    for rest in (0, 4):
+        final.where(k % 8 == rest).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        jobs.settle_on_result(*args).awaitTermination()
+    want = bets.settle_bets(legs, typed(final)).where("status <> 'pending'")
+    touched = legs.where(F.col("mid").cast("long") % 4 == 0).join(final, F.col("mid") == F.col("match_id"), "left_semi").select("bet_id").distinct()
+    got = jobs.settled(spark, str(tmp_path / "t"))
+    assert got.count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.join(touched, "bet_id", "left_semi").select(*got.columns).collect()))

@@ -63,6 +63,24 @@ def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.upsert_matches(old, first.unionByName(second).unionByName(nameless))
 
 
+def _candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six index lines a match, the one it has and five fixed ones, with its Asian line as the hint."""
+    lines = F.array("hi_handicap_value", *[F.lit(x) for x in ("-1", "+1", "0", "x", "2")])
+    return matches(spark, sf_dir).select("match_id", F.col("line").alias("hint"), F.posexplode(lines).alias("pos", "line_text"))
+
+
+def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bets left after every seventh is deleted by its group or its own id."""
+    all_bets = _settled(spark, sf_dir).select("bet_id", "group_id", "device_id")
+    k = F.col("bet_id").cast("long")
+    return bets.delete_bet_group(all_bets, all_bets.where(k % 7 == 0).select("device_id", F.when(k % 2 == 0, F.col("group_id")).otherwise(F.col("bet_id")).alias("id")))
+
+
+def _predicted_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = testbed.read(spark, sf_dir, "predictions").select("match_id", "win_prediction", "is_reviewed")
+    return predict.upsert_predictions(old, old.where(F.col("match_id").cast("long") % 3 == 0).withColumn("win_prediction", F.lit("draw")))
+
+
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -83,6 +101,18 @@ OTHERS = {
     "nearest_pairs": lambda spark, sf_dir: parlay.best_pair(parlay.high_odds_candidates(matches(spark, sf_dir)), 3.0, top=3),
     "profile_candidates": _on_matches(parlay.profile_candidates),
     "profile_pair": lambda spark, sf_dir: parlay.best_pair(parlay.profile_candidates(matches(spark, sf_dir)), 3.0),
+    "full_analysis_candidates": _on_matches(parlay.full_analysis_candidates),
+    "full_analysis_pair": lambda spark, sf_dir: parlay.best_pair(parlay.full_analysis_candidates(matches(spark, sf_dir)), 3.0, 2.8, 3.5),
+    "three_fold": lambda spark, sf_dir: parlay.n_fold(parlay.profile_candidates(matches(spark, sf_dir)), 3, 5.0),
+    "four_fold": lambda spark, sf_dir: parlay.n_fold(parlay.profile_candidates(matches(spark, sf_dir)), 4, 8.0),
+    "banker_candidates": _on_matches(parlay.banker_candidates),
+    "banker_pair": lambda spark, sf_dir: parlay.banker_pair(parlay.banker_candidates(matches(spark, sf_dir))),
+    "low_odds_backtest": _on_matches(parlay.low_odds_backtest),
+    "delete_bet_group": _deleted,
+    "review_batch_stats": lambda spark, sf_dir: predict.review_batch_stats(_reviews(spark, sf_dir)),
+    "apply_reviews": lambda spark, sf_dir: predict.apply_reviews(testbed.read(spark, sf_dir, "predictions"), _reviews(spark, sf_dir)).select("match_id", "is_reviewed", "correct_count", "accuracy"),
+    "upsert_predictions": _predicted_again,
+    "nearest_line": lambda spark, sf_dir: feeds.nearest_line(_candidate_lines(spark, sf_dir)).select("match_id", "pos", "line_text"),
     "list_matches": lambda spark, sf_dir: lists.list_matches(matches(spark, sf_dir)).select("match_id", "owner_date", "league", "status"),
     "list_matches_range": lambda spark, sf_dir: lists.list_matches(matches(spark, sf_dir), start="1996-01-01", end="1996-03-31").select("match_id", "owner_date", "league", "status"),
     "page": lambda spark, sf_dir: lists.page(lists.list_matches(matches(spark, sf_dir)), 2),

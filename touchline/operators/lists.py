@@ -57,3 +57,24 @@ def movement_eligible(m: DataFrame) -> DataFrame:
         euro = euro & t
     lines = first_present(F.col("asian_initial_handicap")).isNotNull() & first_present(F.col("asian_current_handicap")).isNotNull()
     return m.where(euro | lines).select("match_id", euro.alias("euro"), lines.alias("asian"))
+
+
+def value_counts(m: DataFrame, top: int = 10) -> DataFrame:
+    """Rows of the ``top`` leagues, ties by name, and of each status; absent leagues are left out, an absent status is 未开始."""
+    n = F.count("*").alias("n")
+    leagues = m.where("nullif(league, '') IS NOT NULL").groupBy(F.lit("league").alias("field"), F.col("league").alias("value")).agg(n).orderBy(F.desc("n"), "value").limit(top)
+    return leagues.unionByName(m.groupBy(F.lit("status").alias("field"), F.coalesce(F.col("status").cast("string"), F.lit("未开始")).alias("value")).agg(n))
+
+
+def notification_text(m: DataFrame) -> DataFrame:
+    """The four markets of a match as one text of four lines, initial and current; what is absent is empty. Over/under shows under first."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    side = lambda market, when, parts: F.concat_ws("/", *[text(f"{market}_{when}_{p}") for p in parts])
+    both = lambda head, market, *parts: F.concat(head, F.lit("初:"), side(market, "initial", parts), F.lit(" 即:"), side(market, "current", parts))
+    lines = [
+        both(F.lit("欧赔 "), "euro", "win", "draw", "lose"),
+        both(F.lit("亚盘 "), "asian", "home_odds", "handicap", "away_odds"),
+        both(F.lit("大小球 "), "ou", "under_odds", "total", "over_odds"),
+        both(F.concat(F.lit("让球指数 盘:"), text("hi_handicap_value"), F.lit(" ")), "hi", "home_odds", "draw_odds", "away_odds"),
+    ]
+    return m.select("match_id", F.concat_ws("\n", *lines).alias("body"))

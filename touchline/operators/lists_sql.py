@@ -10,6 +10,16 @@ _AT = "try_strptime('2024-' || match_time, '%Y-%m-%d %H:%M')"
 _DRAW = "TRY_CAST(euro_current_draw AS DOUBLE)"
 _LV = "(coalesce(hi_handicap_value, '') IN ('0', '平手') OR coalesce(hi_handicap_value, '') LIKE '%平%')"
 
+
+def _both(market: str, *parts: str) -> str:
+    side = lambda when: " || '/' || ".join(f"coalesce({market}_{when}_{p}, '')" for p in parts)
+    return f"'初:' || {side('initial')} || ' 即:' || {side('current')}"
+
+
+_TEXT = f"'欧赔 ' || {_both('euro', 'win', 'draw', 'lose')} || chr(10) || '亚盘 ' || {_both('asian', 'home_odds', 'handicap', 'away_odds')} || chr(10) || '大小球 ' || {_both('ou', 'under_odds', 'total', 'over_odds')} || chr(10) || '让球指数 盘:' || coalesce(hi_handicap_value, '') || ' ' || {_both('hi', 'home_odds', 'draw_odds', 'away_odds')}"
+_ROWS = "cr AS (SELECT match_id, line AS hint, pos, list_extract([hi_handicap_value, '-1', '+1', '0', 'x', '2'], pos + 1) AS line_text FROM m, (SELECT CAST(range AS INT) AS pos FROM range(6)))"
+_FITS = "(v > 0 AND hint > 0 OR v < 0 AND hint < 0 OR v = 0 AND abs(hint) < 0.25::DOUBLE)"
+
 SQL = {
     "list_matches": sql("SELECT match_id, owner_date, league, status FROM m WHERE status IN (0, 6)"),
     "list_matches_range": sql("SELECT match_id, owner_date, league, status FROM m WHERE owner_date BETWEEN '1996-01-01' AND '1996-03-31'"),
@@ -23,4 +33,7 @@ SQL = {
     "upsert_matches": sql("SELECT match_id, home_team, away_team, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN '9' ELSE home_score END AS home_score, CASE WHEN CAST(match_id AS BIGINT) % 6 = 0 THEN '' ELSE away_score END AS away_score FROM m"),
     "odds_trend": "SELECT user_id AS match_id, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM events GROUP BY 1, 2",
     "odds_trend_by_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current FROM events GROUP BY 1, 2",
+    "value_counts": sql("SELECT 'league' AS field, league AS value, n FROM (SELECT league, count(*) AS n FROM m WHERE nullif(league, '') IS NOT NULL GROUP BY 1 ORDER BY n DESC, league LIMIT 10) UNION ALL SELECT 'status', coalesce(CAST(status AS STRING), '未开始'), count(*) FROM m GROUP BY 1, 2"),
+    "notification_text": sql(f"SELECT match_id, {_TEXT} AS body FROM m"),
+    "nearest_line": sql(f"WITH {_ROWS} SELECT match_id, pos, line_text FROM (SELECT *, TRY_CAST(line_text AS DOUBLE) AS v FROM cr) QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY CASE WHEN {_FITS} THEN 0 ELSE 1 END, CASE WHEN {_FITS} THEN abs(v - hint) END, CASE WHEN {_FITS} THEN pos ELSE -pos END) = 1"),
 }

@@ -99,3 +99,24 @@ def my_picks(submissions: DataFrame, m: DataFrame) -> DataFrame:
     p = normalise_picks(submissions).join(m.where("status = 0"), "match_id").withColumns({f"o_{k}": v for k, v in of.items()})
     odds = F.array_compact(F.array(*[F.when(F.array_contains(F.split("manual_options", ","), k), c(f"o_{k}")) for k in ALLOWED]))
     return p.select("match_id", "device_id", "match_time", "manual_options", "manual_confidence", F.array_min(odds).alias("main_odds"), F.size(odds).alias("n_odds"))
+
+
+def delete_bet_group(bets: DataFrame, requests: DataFrame) -> DataFrame:
+    """``bets`` without those that a request (device_id, id) of the same device names by bet or by group."""
+    r = requests.select("device_id", "id").distinct()
+    by = lambda c: r.withColumnRenamed("id", c)
+    return bets.join(by("bet_id"), ["device_id", "bet_id"], "left_anti").join(by("group_id"), ["device_id", "group_id"], "left_anti").select(*bets.columns)
+
+
+def place_bets(submissions: DataFrame) -> DataFrame:
+    """Bet rows of submissions (submission_id, device_id, created_at, tickets: array of combo, desc, odds, stake, multiple).
+
+    A submission's id is the group of its tickets and their ids follow from it, so a repeated run gives the same rows.
+    Submissions without a device or tickets give none.
+    """
+    t = submissions.where("nullif(device_id, '') IS NOT NULL").select("submission_id", "device_id", "created_at", F.posexplode("tickets").alias("pos", "t"))
+    kind = F.when(F.size("t.combo") > 1, "parlay").otherwise("single")
+    return t.select(
+        F.concat_ws("-", "submission_id", "pos").alias("bet_id"), F.col("submission_id").alias("group_id"), "device_id", kind.alias("type"), F.col("t.combo").alias("items"), "t.desc", "t.odds", "t.stake", "t.multiple",
+        F.lit("pending").alias("status"), F.lit(0.0).alias("actual_return"), "created_at",
+    )

@@ -23,11 +23,27 @@ _z = lambda c: f"coalesce({c}, 0)"
 _T0 = "coalesce(TRY_CAST(nullif(ou_initial_total, '') AS DOUBLE), 0)"
 HIGH = f"""c AS (SELECT match_id, CASE WHEN {_z('win0')} BETWEEN 1.65::DOUBLE AND 1.95::DOUBLE THEN 1 ELSE 2 END AS k, CASE WHEN {_z('win0')} BETWEEN 1.65::DOUBLE AND 1.95::DOUBLE THEN '主胜' ELSE '客胜' END AS type, CASE WHEN {_z('win0')} BETWEEN 1.65::DOUBLE AND 1.95::DOUBLE THEN win0 ELSE lose0 END AS odds FROM m
     WHERE status = 0 AND ({_z('win0')} BETWEEN 1.65::DOUBLE AND 1.95::DOUBLE OR {_z('lose0')} BETWEEN 1.65::DOUBLE AND 1.95::DOUBLE) UNION ALL SELECT match_id, 3, '大球', over0 + 1.0 FROM m WHERE status = 0 AND over0 + 1.0 BETWEEN 1.70::DOUBLE AND 2.0 AND {_T0} >= 2.5)"""
-PROFILED = f"""{PROFILE}, pr AS (SELECT team, 100.0::DOUBLE * wins / matches AS w, 100.0::DOUBLE * losses / matches AS l, 100.0::DOUBLE * big_games / matches AS b FROM tp),
-  u AS (SELECT m.*, coalesce(x.w, 0) AS hw_, coalesce(x.l, 0) AS hl_, coalesce(x.b, 0) AS hb_, coalesce(y.w, 0) AS aw_, coalesce(y.l, 0) AS al_, coalesce(y.b, 0) AS ab_ FROM m LEFT JOIN pr x ON x.team = home_team LEFT JOIN pr y ON y.team = away_team WHERE status = 0),
+RATED = f"""{PROFILE}, pr AS (SELECT team, 100.0::DOUBLE * wins / matches AS w, 100.0::DOUBLE * losses / matches AS l, 100.0::DOUBLE * big_games / matches AS b FROM tp),
+  u AS (SELECT m.*, coalesce(x.w, 0) AS hw_, coalesce(x.l, 0) AS hl_, coalesce(x.b, 0) AS hb_, coalesce(y.w, 0) AS aw_, coalesce(y.l, 0) AS al_, coalesce(y.b, 0) AS ab_ FROM m LEFT JOIN pr x ON x.team = home_team LEFT JOIN pr y ON y.team = away_team WHERE status = 0)"""
+PROFILED = f"""{RATED},
   c AS (SELECT match_id, 1 AS k, '主胜' AS type, win0 AS odds FROM u WHERE win0 BETWEEN 1.5 AND 2.0 AND (hw_ >= 40 OR al_ >= 40) UNION ALL SELECT match_id, 2, '客胜', lose0 FROM u WHERE lose0 BETWEEN 1.5 AND 2.0 AND (aw_ >= 40 OR hl_ >= 40)
     UNION ALL SELECT match_id, 3, '大球', over0 + 1.0 FROM u WHERE over0 + 1.0 BETWEEN 1.7::DOUBLE AND 2.0 AND {_T0} >= 2.5 AND ((hb_ + ab_) / 2 >= 50 OR {_T0} >= 3.0))"""
 _PAIR = "SELECT x.match_id AS match_1, x.k AS k_1, y.match_id AS match_2, y.k AS k_2, x.odds AS odds_1, y.odds AS odds_2, abs(x.odds * y.odds - {t}) AS diff FROM c x JOIN c y ON x.odds <= y.odds AND x.match_id <> y.match_id {w} ORDER BY diff, odds_1, odds_2, match_1, k_1, match_2, k_2 LIMIT {n}"
+FULL = f"""{RATED}, c AS (SELECT match_id, k, CASE k WHEN 1 THEN '主胜' WHEN 2 THEN '客胜' ELSE '大球' END AS type, CASE k WHEN 1 THEN win0 WHEN 2 THEN lose0 ELSE over0 + 1.0 END AS odds FROM (SELECT *, CASE WHEN win0 BETWEEN 1.65::DOUBLE AND 1.95::DOUBLE AND hw_ >= 50 THEN 1
+    WHEN lose0 BETWEEN 1.65::DOUBLE AND 1.95::DOUBLE AND aw_ >= 50 THEN 2 WHEN over0 + 1.0 BETWEEN 1.7::DOUBLE AND 2.0 AND {_T0} >= 2.5 AND ((hb_ + ab_) / 2 >= 50 OR {_T0} >= 3.0) THEN 3 END AS k FROM u) WHERE k IS NOT NULL)"""
+BANKER = f"""c AS (SELECT match_id, 1 AS k, '主胜' AS type, win0 AS odds FROM m WHERE status = 0 AND win0 BETWEEN 1.30::DOUBLE AND 1.60::DOUBLE UNION ALL SELECT match_id, 3, '大球', 1.85::DOUBLE FROM m WHERE status = 0 AND win0 > 1.01::DOUBLE AND {_T0} >= 3.0)"""
+
+
+def fold(n: int, target: float) -> str:
+    """All combinations of the first ``n`` matches of each odds value, nearest first."""
+    x = [f"x{i}" for i in range(1, n + 1)]
+    product = " * ".join(f"{a}.v" for a in x)
+    joins = " ".join(f"JOIN one {b} ON ({a}.v, {a}.match_id) < ({b}.v, {b}.match_id) AND {b}.match_id NOT IN ({', '.join(f'{y}.match_id' for y in x[: x.index(b)])})" for a, b in zip(x, x[1:], strict=False))
+    out = ", ".join([f"{a}.match_id AS match_{i}, {a}.k AS k_{i}, {a}.v / 100.0::DOUBLE AS odds_{i}" for i, a in enumerate(x, 1)])
+    order = ", ".join([f"{a}.v" for a in x] + [f"{a}.match_id" for a in x])
+    return f"""one AS (SELECT v, match_id, min(k) AS k FROM (SELECT match_id, k, CAST(round(odds * 100) AS BIGINT) AS v FROM c) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY v ORDER BY match_id) <= {n})
+    SELECT {out}, ({product}) / {100**n}.0::DOUBLE AS product, abs({product} - {round(target * 100) * 100 ** (n - 1)}) / {100**n}.0::DOUBLE AS diff FROM one x1 {joins} ORDER BY abs({product} - {round(target * 100) * 100 ** (n - 1)}), {order} LIMIT 1"""
+
 
 SQL = {
     "settle_bets": sql(f"WITH {SETTLED} SELECT * FROM st", "legs"),
@@ -42,4 +58,12 @@ SQL = {
     "nearest_pairs": sql(f"WITH {HIGH} " + _PAIR.format(t="3.0", w="", n=3)),
     "profile_candidates": sql(f"WITH {PROFILED} SELECT * FROM c"),
     "profile_pair": sql(f"WITH {PROFILED} " + _PAIR.format(t="3.0", w="", n=1)),
+    "full_analysis_candidates": sql(f"WITH {FULL} SELECT * FROM c"),
+    "full_analysis_pair": sql(f"WITH {FULL} " + _PAIR.format(t="3.0", w="WHERE x.odds * y.odds BETWEEN 2.8::DOUBLE AND 3.5", n=1)),
+    "three_fold": sql(f"WITH {PROFILED}, {fold(3, 5.0)}"),
+    "four_fold": sql(f"WITH {PROFILED}, {fold(4, 8.0)}"),
+    "banker_candidates": sql(f"WITH {BANKER} SELECT * FROM c"),
+    "banker_pair": sql(f"WITH {BANKER}, o AS (SELECT *, row_number() OVER (ORDER BY odds, match_id, k) AS rn FROM c) SELECT x.match_id AS match_1, x.k AS k_1, x.odds AS odds_1, y.match_id AS match_2, y.k AS k_2, y.odds AS odds_2, x.odds * y.odds AS product FROM o x JOIN o y ON x.rn = 1 AND y.rn = 2"),
+    "low_odds_backtest": sql("SELECT *, 100.0::DOUBLE * hits / n AS hit_pct, 100.0::DOUBLE * (returned - n) / n AS roi_pct FROM (SELECT lg AS league, CAST(grouping(lg) AS INT) AS whole, count(*) AS n, count(*) FILTER (result = 'home') AS hits, CAST(sum(CAST(CASE WHEN result = 'home' THEN win0 ELSE 0 END AS DECIMAL(28, 10))) AS DOUBLE) AS returned FROM (SELECT *, coalesce(league, '') AS lg FROM f WHERE result IS NOT NULL AND win0 > 1.1::DOUBLE AND win0 < 1.65::DOUBLE) GROUP BY ROLLUP (lg))"),
+    "delete_bet_group": sql(f"WITH {SETTLED}, rq AS (SELECT DISTINCT device_id, CASE WHEN CAST(bet_id AS BIGINT) % 2 = 0 THEN group_id ELSE bet_id END AS id FROM st WHERE CAST(bet_id AS BIGINT) % 7 = 0) SELECT bet_id, group_id, device_id FROM st WHERE NOT EXISTS (SELECT 1 FROM rq WHERE rq.device_id = st.device_id AND (rq.id = st.bet_id OR rq.id = st.group_id))", "legs"),
 }

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import pct
+from ..operators.results import count_of
 from ..operators.teams import team_profile
+from .bets import money
 
 
 def high_odds_candidates(m: DataFrame) -> DataFrame:
@@ -26,13 +29,19 @@ def _upcoming(m: DataFrame) -> DataFrame:
     return m.where("status = 0").withColumn("total0", F.nullif("ou_initial_total", F.lit("")).try_cast("double"))
 
 
-def profile_candidates(m: DataFrame) -> DataFrame:
-    """Up to three candidates a match by odds bands and the profiles of both teams; a missing profile counts as rates of 0."""
+def _profiled(m: DataFrame) -> DataFrame:
+    """Upcoming matches with the win, loss and big-game rates of both teams; a missing profile gives nulls."""
     p = team_profile(m)
     rates = {"win": 100 * F.col("wins") / F.col("matches"), "loss": 100 * F.col("losses") / F.col("matches"), "big": 100 * F.col("big_games") / F.col("matches")}
     u = _upcoming(m)
     for side in ("home", "away"):
         u = u.join(p.select(F.col("team").alias(f"{side}_team"), *[r.alias(f"{side}_{k}") for k, r in rates.items()]), f"{side}_team", "left")
+    return u
+
+
+def profile_candidates(m: DataFrame) -> DataFrame:
+    """Up to three candidates a match by odds bands and the profiles of both teams; a missing profile counts as rates of 0."""
+    u = _profiled(m)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     win, lose, over, line = z("win0"), z("lose0"), z("over0"), z("total0")
     make = lambda k, name, odds: F.struct(F.lit(k).alias("k"), F.lit(name).alias("type"), odds.alias("odds"))
@@ -60,3 +69,87 @@ def best_pair(candidates: DataFrame, target: float = 3.0, low: float | None = No
     firsts = lambda c, i: c.withColumn("rn", F.row_number().over(Window.partitionBy(f"odds_{i}").orderBy(f"match_{i}", f"k_{i}"))).where(f"rn <= {3 * top + 3}").drop("rn")
     pairs = F.broadcast(near).join(firsts(c1, 1), "odds_1").join(firsts(c2, 2), "odds_2").where("match_1 <> match_2")
     return pairs.select("match_1", "k_1", "match_2", "k_2", "odds_1", "odds_2", "diff").orderBy("diff", "odds_1", "odds_2", "match_1", "k_1", "match_2", "k_2").limit(top)
+
+
+def full_analysis_candidates(m: DataFrame) -> DataFrame:
+    """At most one candidate a match: home win, else away win, else over, each by its odds band and the profiles of the teams."""
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    win, lose, over, line = z("win0"), z("lose0"), z("over0") + 1.0, z("total0")
+    make = lambda k, name, odds: F.struct(F.lit(k).alias("k"), F.lit(name).alias("type"), odds.alias("odds"))
+    home = win.between(1.65, 1.95) & (z("home_win") >= 50)
+    away = lose.between(1.65, 1.95) & (z("away_win") >= 50)
+    big = over.between(1.7, 2.0) & (line >= 2.5) & (((z("home_big") + z("away_big")) / 2 >= 50) | (line >= 3.0))
+    pick = F.when(home, make(1, "主胜", win)).when(away, make(2, "客胜", lose)).when(big, make(3, "大球", over))
+    return _profiled(m).select("match_id", pick.alias("c")).where("c IS NOT NULL").select("match_id", "c.k", "c.type", "c.odds")
+
+
+def banker_candidates(m: DataFrame) -> DataFrame:
+    """Home wins at 1.30 to 1.60, and over at a fixed 1.85 for lines of 3 or more; matches without home odds above 1.01 give none."""
+    home = F.when(F.col("win0").between(1.30, 1.60), F.struct(F.lit(1).alias("k"), F.lit("主胜").alias("type"), F.col("win0").alias("odds")))
+    big = F.when(F.col("total0") >= 3.0, F.struct(F.lit(3).alias("k"), F.lit("大球").alias("type"), F.lit(1.85).alias("odds")))
+    return _upcoming(m).where("win0 > 1.01").select("match_id", F.explode(F.array_compact(F.array(home, big))).alias("c")).select("match_id", "c.k", "c.type", "c.odds")
+
+
+def banker_pair(candidates: DataFrame, apart: bool = False) -> DataFrame:
+    """The two candidates of lowest odds, ties by match and kind; no row for fewer than two.
+
+    Both may be of one match unless ``apart``; as a match has at most two candidates, the three lowest hold the answer then.
+    """
+    low = candidates.orderBy("odds", "match_id", "k").limit(3 if apart else 2)
+    rows = low.agg(F.array_sort(F.collect_list(F.struct("odds", "match_id", "k"))).alias("r")).withColumn("first", F.try_element_at("r", F.lit(1)))
+    others = F.filter(F.slice("r", 2, 2), lambda x: x["match_id"] != F.col("first.match_id")) if apart else F.slice("r", 2, 1)
+    rows = rows.withColumn("second", F.try_element_at(others, F.lit(1))).where("second IS NOT NULL")
+    out = [F.col(f"{side}.{c}").alias(f"{name}_{i}") for i, side in ((1, "first"), (2, "second")) for c, name in (("match_id", "match"), ("k", "k"), ("odds", "odds"))]
+    return rows.select(*out, (F.col("first.odds") * F.col("second.odds")).alias("product"))
+
+
+def low_odds_backtest(m: DataFrame, low: float = 1.1, high: float = 1.65) -> DataFrame:
+    """Backing every home side at initial odds within (low, high): hits, hit rate and return on stakes of 1, by league and over all (league null, whole 1)."""
+    f = m.where("status = 2 AND result IS NOT NULL").where((F.col("win0") > low) & (F.col("win0") < high)).withColumn("lg", F.coalesce("league", F.lit("")))
+    hit = F.col("result") == "home"
+    g = f.rollup("lg").agg(F.grouping("lg").cast("int").alias("whole"), F.count("*").alias("n"), count_of(hit).alias("hits"), money(F.when(hit, F.col("win0"))).alias("returned"))
+    return g.select(F.when(F.col("whole") == 0, F.col("lg")).alias("league"), "whole", "n", "hits", pct(F.col("hits"), F.col("n")).alias("hit_pct"), "returned", pct(F.col("returned") - F.col("n"), F.col("n")).alias("roi_pct"))
+
+
+def n_fold(candidates: DataFrame, n: int = 2, target: float = 3.0) -> DataFrame:
+    """The combination of ``n`` different matches, 2 to 5, whose product of odds is nearest to ``target``; none, no row.
+
+    Odds are taken to two places, so products are whole numbers and ties are exact; ties go by odds and then by match.
+    The search runs over the values of the odds, which a band bounds, not over candidates. Of each value the first ``n``
+    matches suffice: a chosen match beyond them can always be replaced by one of them that is free. A combination of values
+    that all have ``n`` matches can surely be filled; only combinations at least as near as the best of those are filled.
+    Odds outside 1.00 to 4.00 raise an error, so that the broadcast tables have at most 301 values.
+    """
+    if not 2 <= n <= 5:
+        raise ValueError("n is 2 to 5")
+    cents = F.round(F.col("odds") * 100).cast("long")
+    cents = F.when(cents.between(100, 400), cents).otherwise(F.raise_error(F.lit("odds outside 1.00 to 4.00")).cast("long"))
+    # a match has at most three candidates: 3n rows hold n matches; the limit works before the shuffle
+    w = Window.partitionBy("v")
+    few = candidates.where("odds IS NOT NULL").select("match_id", "k", cents.alias("v")).withColumn("rn", F.row_number().over(w.orderBy("match_id", "k"))).where(F.col("rn") <= 3 * n)
+    few = few.groupBy("v", "match_id").agg(F.min("k").alias("k")).withColumn("rn", F.row_number().over(w.orderBy("match_id"))).where(F.col("rn") <= n)
+    values = few.groupBy("v").agg(F.count("*").alias("m"))
+    one = lambda i: values.select(F.col("v").alias(f"v_{i}"), F.col("m").alias(f"m_{i}"))
+    t = one(1)
+    for i in range(2, n + 1):
+        t = t.join(F.broadcast(one(i)), F.col(f"v_{i - 1}") <= F.col(f"v_{i}"))
+        t = t.repartition("v_1", "v_2") if i == 2 and n > 3 else t
+    product = F.col("v_1")
+    for i in range(2, n + 1):
+        product = product * F.col(f"v_{i}")
+    aim = round(target * 100) * 100 ** (n - 1)
+    t = t.withColumns({"product": product, "off": F.abs(product - F.lit(aim).cast("long")), "sure": F.least(*[F.col(f"m_{i}") for i in range(1, n + 1)]) >= n})
+    bound = t.where("sure").agg(F.min("off").alias("bound"))  # one row
+    t = t.join(F.broadcast(bound), F.col("bound").isNull() | (F.col("off") <= F.col("bound")))
+    for i in range(1, n + 1):
+        c = few.select(F.col("v").alias(f"v_{i}"), F.col("match_id").alias(f"match_{i}"), F.col("k").alias(f"k_{i}"))
+        t = t.join(F.broadcast(c), f"v_{i}")
+        for j in range(1, i):
+            a, b = F.col(f"match_{j}"), F.col(f"match_{i}")
+            t = t.where((a != b) & ((F.col(f"v_{j}") != F.col(f"v_{i}")) | (a < b)))
+    order = ["off", *[f"v_{i}" for i in range(1, n + 1)], *[f"match_{i}" for i in range(1, n + 1)]]
+    scale = float(100**n)
+    return t.orderBy(*order).limit(1).select(
+        *[F.col(f"{c}_{i}") for i in range(1, n + 1) for c in ("match", "k")], *[(F.col(f"v_{i}") / 100.0).alias(f"odds_{i}") for i in range(1, n + 1)],
+        (F.col("product") / scale).alias("product"), (F.col("off") / scale).alias("diff"),
+    )

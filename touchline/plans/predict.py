@@ -238,6 +238,25 @@ def review_summary(reviews: DataFrame) -> DataFrame:
     return g.select(F.when(F.col("whole") == 0, F.col("lg")).alias("league"), "n", *[pct(F.col(k), F.col("n")).alias(f"{k}_pct") for k in ("win", "asian", "ou", "score")], "mean_accuracy", mark.alias("mark"))
 
 
+def review_batch_stats(reviews: DataFrame) -> DataFrame:
+    """One row for a batch of reviews: mean accuracy, right picks and their rates over all rows; no row for none."""
+    g = reviews.agg(F.count("*").alias("n"), F.round(F.avg("accuracy"), 6).alias("mean_accuracy"), *[count_of(F.col(f"{k}_correct")).alias(f"{k}_right") for k in ("win", "asian", "ou")])
+    return g.where("n > 0").select("*", *[pct(F.col(f"{k}_right"), F.col("n")).alias(f"{k}_pct") for k in ("win", "asian", "ou")])
+
+
+def upsert_predictions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per match: a new prediction replaces the old row and is not reviewed. ``new`` has one row per match."""
+    kept = old.join(new.select("match_id"), "match_id", "left_anti").select(*old.columns)
+    return kept.unionByName(new.withColumn("is_reviewed", F.lit(False)).select(*old.columns))
+
+
+def apply_reviews(predictions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Predictions with their review's marks; those reviewed now are marked so, the others keep their state."""
+    r = reviews.select("match_id", "correct_count", "accuracy", F.lit(True).alias("now"))
+    p = predictions.join(r, "match_id", "left").withColumn("is_reviewed", F.coalesce("now", "is_reviewed", F.lit(False)))
+    return p.drop("now")
+
+
 def high_confidence_count(predictions: DataFrame, bar: float = 80.0) -> DataFrame:
     test = (F.col("win_confidence") >= bar) | (F.col("asian_confidence") >= bar) | (F.col("ou_confidence") >= bar)
     return predictions.agg(count_of(test).alias("n"))

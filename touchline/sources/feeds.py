@@ -87,3 +87,16 @@ def preferred_source(rows: DataFrame, market: str) -> DataFrame:
     rank = {"euro": F.when(official, 0).when(known, 1).otherwise(2), "asian": F.when(known, 0).otherwise(1), "ou": F.lit(0), "index": F.when(official, 0)}[market]
     best = rows.withColumn("rank", rank).where("rank IS NOT NULL")
     return best.groupBy("match_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "match_id"]), F.struct("rank", "pos")).alias("r")).select("match_id", "r.*")
+
+
+def nearest_line(rows: DataFrame, line: str = "line_text", hint: str = "hint") -> DataFrame:
+    """Of the rows (match_id, pos, line text, hint, ...) of a match the one whose line is nearest to the hint, the first on ties.
+
+    Lines of the hint's sign compete, and zero for hints below a quarter; where none does, or there is no hint, the last row
+    is taken. One aggregation by match, which combines before its shuffle.
+    """
+    v, h = F.col(line).try_cast("double"), F.col(hint)
+    fits = F.coalesce(((v > 0) & (h > 0)) | ((v < 0) & (h < 0)) | ((v == 0) & (F.abs(h) < 0.25)), F.lit(False))
+    rank = F.when(fits, F.struct(F.lit(0).alias("a"), F.abs(v - h).alias("b"), F.col("pos").alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), F.lit(0.0).alias("b"), (-F.col("pos")).alias("c")))
+    rest = [c for c in rows.columns if c != "match_id"]
+    return rows.groupBy("match_id").agg(F.min_by(F.struct(*rest), rank).alias("r")).select("match_id", "r.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..normalise import typed
+from ..plans.bets import settle_bets
 from ..sources.merge import upsert_matches
 
 
@@ -46,7 +48,7 @@ def ingest_snapshots(spark: SparkSession, source: str, schema: str, table: str,
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = current(batch.sparkSession, table)
+        old = current(batch.sparkSession, table, before=epoch)
         new = upsert_matches(old, batch) if old is not None else upsert_matches(batch.drop("seq", "present").limit(0), batch)
         new.write.mode("overwrite").parquet(f"{table}/version={epoch}")
         batch.sparkSession.createDataFrame([(epoch,)], "epoch long").write.mode("append").parquet(f"{table}/done")
@@ -55,12 +57,41 @@ def ingest_snapshots(spark: SparkSession, source: str, schema: str, table: str,
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The table's newest whole version, or None."""
+def settle_on_result(spark: SparkSession, source: str, schema: str, legs: DataFrame, matches: DataFrame, table: str, checkpoint: str):
+    """Starts a run over landed match updates, all columns of ``matches`` in each, that settles the bets they concern.
+
+    A batch reads the legs of bets with a leg among its matches, by semi joins, and settles them against the matches as
+    updated so far; bets left pending are not written. Each batch writes its own folder below ``table``, so a repeated
+    batch replaces its rows, and ``settled`` takes the newest row of a bet. Updates are kept beside, a folder a batch.
+    """
+
+    def settle(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        batch.select(*matches.columns, F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{table}/updates/batch={epoch}")
+        seen = session.read.parquet(f"{table}/updates").where(F.col("batch") <= epoch)
+        newest = seen.groupBy("match_id").agg(F.max_by(F.struct(*matches.columns), F.struct("epoch", F.to_json(F.struct(*matches.columns)))).alias("r")).select("r.*")
+        now = matches.join(newest.select("match_id"), "match_id", "left_anti").select(*matches.columns).unionByName(newest)
+        hit = legs.join(session.read.parquet(f"{table}/updates/batch={epoch}").select(F.col("match_id").alias("mid")).distinct(), "mid", "left_semi").select("bet_id").distinct()
+        settle_bets(legs.join(hit, "bet_id", "left_semi"), typed(now)).where("status <> 'pending'").withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{table}/settled/batch={epoch}")
+
+    stream = spark.readStream.schema(schema).json(source)
+    return stream.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def settled(spark: SparkSession, table: str) -> DataFrame:
+    """The newest settlement of each bet that a run of ``settle_on_result`` has written."""
+    rows = spark.read.parquet(f"{table}/settled").drop("batch")
+    columns = [c for c in rows.columns if c != "epoch"]
+    return rows.groupBy("bet_id").agg(F.max_by(F.struct(*columns), "epoch").alias("r")).select("r.*")
+
+
+def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """The table's newest whole version, or None; with ``before`` the newest of an earlier batch, so that a repeated batch never reads what it writes."""
     try:
-        last = spark.read.schema("epoch long").parquet(f"{table}/done").agg(F.max("epoch")).first()[0]
+        done = spark.read.schema("epoch long").parquet(f"{table}/done")
+        last = (done if before is None else done.where(F.col("epoch") < before)).agg(F.max("epoch")).first()[0]
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
-    return spark.read.parquet(f"{table}/version={last}")
+    return None if last is None else spark.read.parquet(f"{table}/version={last}")
