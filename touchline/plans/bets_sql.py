@@ -64,6 +64,6 @@ SQL = {
     "four_fold": sql(f"WITH {PROFILED}, {fold(4, 8.0)}"),
     "banker_candidates": sql(f"WITH {BANKER} SELECT * FROM c"),
     "banker_pair": sql(f"WITH {BANKER}, o AS (SELECT *, row_number() OVER (ORDER BY odds, match_id, k) AS rn FROM c) SELECT x.match_id AS match_1, x.k AS k_1, x.odds AS odds_1, y.match_id AS match_2, y.k AS k_2, y.odds AS odds_2, x.odds * y.odds AS product FROM o x JOIN o y ON x.rn = 1 AND y.rn = 2"),
-    "low_odds_backtest": sql("SELECT *, 100.0::DOUBLE * hits / n AS hit_pct, 100.0::DOUBLE * (returned - n) / n AS roi_pct FROM (SELECT lg AS league, CAST(grouping(lg) AS INT) AS whole, count(*) AS n, count(*) FILTER (result = 'home') AS hits, CAST(sum(CAST(CASE WHEN result = 'home' THEN win0 ELSE 0 END AS DECIMAL(28, 10))) AS DOUBLE) AS returned FROM (SELECT *, coalesce(league, '') AS lg FROM f WHERE result IS NOT NULL AND win0 > 1.1::DOUBLE AND win0 < 1.65::DOUBLE) GROUP BY ROLLUP (lg))"),
+    "low_odds_backtest": sql("WITH x AS (SELECT coalesce(league, '') AS lg, result, win0 FROM f WHERE win0 > 1.1::DOUBLE AND win0 < 1.65::DOUBLE), y AS (SELECT lg AS league, 0 AS whole, result, win0 FROM x UNION ALL SELECT NULL, 1, result, win0 FROM x) SELECT *, 100.0::DOUBLE * hits / n AS hit_pct, 100.0::DOUBLE * (returned - n) / n AS roi_pct FROM (SELECT league, whole, count(result) AS n, count(*) FILTER (result = 'home') AS hits, CAST(sum(CAST(CASE WHEN result = 'home' THEN win0 ELSE 0 END AS DECIMAL(28, 10))) AS DOUBLE) AS returned FROM y GROUP BY 1, 2) WHERE n > 0"),
     "delete_bet_group": sql(f"WITH {SETTLED}, rq AS (SELECT DISTINCT device_id, CASE WHEN CAST(bet_id AS BIGINT) % 2 = 0 THEN group_id ELSE bet_id END AS id FROM st WHERE CAST(bet_id AS BIGINT) % 7 = 0) SELECT bet_id, group_id, device_id FROM st WHERE NOT EXISTS (SELECT 1 FROM rq WHERE rq.device_id = st.device_id AND (rq.id = st.bet_id OR rq.id = st.group_id))", "legs"),
 }
