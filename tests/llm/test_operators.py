@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from touchline.llm import embed_dedup, exact_dedup, graph, langid, packing, pii, quality, queries, sepscan, simhash, sp_codec, warc
+from touchline.llm import embed_dedup, exact_dedup, graph, jaccard, langid, packing, pii, quality, queries, sepscan, simhash, sp_codec, warc
 from touchline.llm.common import union_roots
 from touchline.llm.tokens import encoder
 
@@ -327,6 +327,41 @@ def test_tiles_and_block_plans(spark):
             assert any(diff & m == 0 for m in masks)
 
 
+# near copies of the pipeline
+def brute_similar(texts, bar=0.8):
+    """Links (i, j) of the texts whose sets of five-word shingles have a Jaccard similarity of at least ``bar``."""
+    sets = []
+    for text in texts:
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    sizes = [len(s) for s in sets]
+    return [(i, j) for i in range(len(sets)) for j in range(i) if min(sizes[i], sizes[j]) >= bar * max(sizes[i], sizes[j]) - 1e-9 and (sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= bar)]
+
+
+def test_near_copies_by_jaccard(spark, monkeypatch):
+    rnd = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    for k in range(40):  # chains of edits, many to one source, about the bar; a common line in all
+        words = [f"w{k % 5}_{i}" for i in range(60)]
+        for _ in range(k // 5):
+            words[rnd.randrange(60)] = f"v{rnd.randrange(1000)}"
+        texts.append("This line stands in each of these texts as it is. " * (k % 2) + " ".join(words))
+    root = union_roots(len(texts), *np.array(brute_similar(texts)).T)
+    assert len(set(root)) < len(texts) - 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for often in (5, 10**9):
+        monkeypatch.setattr(jaccard, "OFTEN", often)
+        assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == sorted(set(root))
+
+
+def test_near_stage_by_jaccard(spark, sf_dir):
+    rows = docs_of(spark, sf_dir).orderBy("doc_id").collect()
+    root = union_roots(len(rows), *np.array(brute_similar([r["text"] for r in rows])).T)
+    kept = {r["doc_id"] for r in corpus_pipeline.near(spark, docs_of(spark, sf_dir), sf_dir).collect()}
+    assert kept == {rows[i]["doc_id"] for i in set(root)} and 177 not in kept
+
+
 # 9
 def test_separator_scan(spark, sf_dir, odd_docs, no_docs, tmp_path):
     docs = docs_of(spark, sf_dir).select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10**6))

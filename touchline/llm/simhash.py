@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import small_side, union_roots, written
 from .graph import components
+from .jaccard import similar_groups, text_sha
 
 SEED = 42
 BITS = 64
@@ -180,8 +181,13 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     return all_fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with their columns as they are."""
-    gone = near_groups(docs, **options).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component of similar texts, with their columns as they are.
+
+    Links are those of ``jaccard``: all pairs whose sets of ``width``-word shingles have that Jaccard similarity or more.
+    Rows that share a doc_id and a text share the decision; a component of null ids only stays.
+    """
+    gone = similar_groups(docs, width, similarity).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("id"), "sha").distinct()
     gone = small_side(written(gone, "gone"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), text_sha(docs).alias("own"))
+    return keyed.join(gone, F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha")), "left_anti").select("row.*")
