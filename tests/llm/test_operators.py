@@ -170,6 +170,41 @@ def test_redaction_and_trees(spark, odd_docs, no_docs):
     assert "mail <EMAIL>." in [r["text"] for r in redacted.where("doc_id = 1").collect()][0] and pii.redact(no_docs, pii.fit(no_docs)).count() == 0
 
 
+def extra_of(spark, rows, model=None):
+    """{doc_id: [(kind, text of the span)]} of the extra spans."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = model or pii.fit(df)
+    return {r["doc_id"]: [(pii.KINDS[x["kind"]], r["text"][x["start"] : x["end"]]) for x in r["extra"]] for r in pii.detect(df, model).collect()}, model
+
+
+def test_a_handful_of_secrets(spark):
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(200)]
+    text = lambda i: f'token = "{hexes[i % 7]}" is set' if i % 20 == 0 else f"plain words and identifier_{i}_of_the_long_kind too"
+    models = []
+    for n in (40, 4000):
+        got, model = extra_of(spark, [(i, text(i)) for i in range(n)])
+        assert all(got[i] == ([("secret", hexes[i % 7])] if i % 20 == 0 else []) for i in range(n)), n
+        models.append(model)
+    one = [(i, text(i)) for i in range(400)]
+    bars = [pii.fit(spark.createDataFrame(one * k, "doc_id long, text string"))["bars"] for k in (1, 30)]
+    assert bars[0] == pytest.approx(bars[1]) and bars[0][2] < float("inf")  # the same shares, the same bars
+    assert extra_of(spark, [(1, 'token = "' + hexes[9] + '"')])[0] == {1: [("secret", hexes[9])]}
+    df = spark.createDataFrame([(1, f'token = "{hexes[9]}" is set')], "doc_id long, text string")
+    assert pii.redact(df, pii.fit(df)).first()["text"] == 'token = "<SECRET>" is set'
+
+
+def test_numbers_and_addresses_behind_calling_words(spark):
+    rows = [(0, "tel 0523 555 1055 or so"), (1, "mail: jürgen@exämple.de now"), (2, "in 2023.10.11 555 1055 rows"), (3, "call +1 (523) 555-1055"), (4, "the hotel 0523 555 1055")]
+    got, _ = extra_of(spark, rows + [(i, "many plain words, 1234567 of them") for i in range(5, 60)])
+    assert [got[i] for i in range(6)] == [[("number", "0523 555 1055")], [("address", "jürgen@exämple.de")], [], [], [], []]
+
+
+def test_candidates_of_a_telling_format_need_no_word(spark):
+    rows = [(i, f"{'tel' if i % 300 else 'about'} 0523 555 {1000 + i} or so") for i in range(1, 3000)] + [(i, f"plain 1234567 words {i}") for i in range(3000, 4000)]
+    got, model = extra_of(spark, rows)
+    assert model["bars"][1] < float("inf") and all(got[i] == [("number", f"0523 555 {1000 + i}")] for i in range(1, 3000)) and not any(got[i] for i in range(3000, 4000))
+
+
 # 5
 def member_list(n=6):
     payloads = [bytes(f"<html>{'body ' * (50 * i)}{i} WARC/1.0\n\x1f\x8b\x08</html>", "latin-1") for i in range(n)]
