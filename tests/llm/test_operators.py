@@ -428,6 +428,13 @@ def test_sentencepiece(spark, sf_dir, odd_docs, no_docs):
     assert ids == theirs.encode(texts) and [own.decode(i) for i in ids] == theirs.decode(ids)
     assert sp_codec.round_trip(odd_docs, path).where("NOT text_back").count() == 0 and sp_codec.round_trip(no_docs, path).count() == 0
     encoded = sp_codec.encode(odd_docs, path)
+def test_near_copies_of_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, a), (None, a + " x"), (None, b), (None, c), (2, a + " y"), (2, "a text of its own")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, a), (None, b), (None, c), (2, "a text of its own")]))
+
+
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in sp_codec.decode(encoded, path).collect()))) == sorted(map(str, ((r["doc_id"], r["text"] or "") for r in odd_docs.collect())))
 
 
