@@ -292,6 +292,14 @@ def test_language(spark, odd_docs, no_docs):
     assert r[10]["lang_pred"] == "ja" and r[11]["lang_pred"] == "ru" and r[7]["lang_pred"] == "la" and r[1]["spans"][0]["start"] == 0
     assert langid.keep_identified(odd_docs, model).columns == odd_docs.columns and langid.identify(no_docs, langid.learn(no_docs)).count() == 0
     assert langid.identify(odd_docs, langid.learn(no_docs)).where("lang_pred <> 'und'").count() == 0
+@pytest.mark.parametrize("options", [{}, {"huge": 4}, {"primes": (2,), "bases": (3,)}])
+@pytest.mark.parametrize("doc", [None, 5])
+def test_exact_dedup_of_one_id_with_many_texts(spark, options, doc):
+    df = spark.createDataFrame([(doc, t) for t in ("text A", "text A", "text B", "text B", "text C")], "doc_id long, text string")
+    got = sorted((r["text_sha256"], r["group_size"], r["keep_id"]) for r in exact_dedup.exact_groups(df, **options).collect())
+    assert got == sorted((hashlib.sha256(f"text {t}".encode()).hexdigest(), n, doc) for t, n in (("A", 2), ("A", 2), ("B", 2), ("B", 2), ("C", 1)))
+
+
 
 
 def test_mixed_spans(spark):

@@ -141,9 +141,11 @@ def exact_groups(docs: DataFrame, huge: int = 8 << 20, primes=PRIMES, bases=BASE
     groups = fps.groupBy("fp", "n_bytes").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = small_side(written(groups, "groups"))
     met = fps.join(groups.select("fp", "n_bytes"), ["fp", "n_bytes"])
-    met = small_side(written(met.select(F.col("doc_id").alias("id"), "fp", "n_bytes").distinct(), "met"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc"), normalised(docs).cast("binary").alias("n"))
-    members = d.join(met, F.col("doc").eqNullSafe(F.col("id"))).where(F.octet_length("n") == F.col("n_bytes")).select("id", "fp", "n_bytes", "n")
+    met = small_side(written(met.select(F.col("doc_id").alias("id"), "text_sha256", "fp", "n_bytes").distinct(), "met"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc"), normalised(docs).cast("binary").alias("n")).withColumn("own", F.sha2("n", 256))
+    # the sha gives each row its own fingerprint only, however many texts an id has
+    same_text = F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("text_sha256")) & (F.octet_length("n") == F.col("n_bytes"))
+    members = d.join(met, same_text).select("id", "fp", "n_bytes", "n")
     cut = members.select("fp", "n_bytes", F.explode(F.expr(f"sequence(0, int(greatest(octet_length(n) - 1, 0) div {CHUNK}))")).alias("at"), "n")
     cut = cut.select("fp", "n_bytes", "at", F.expr(f"substring(n, at * {CHUNK} + 1, {CHUNK})").alias("part"))
     same = cut.groupBy("fp", "n_bytes", "at").agg(F.min("part").alias("low"), F.max("part").alias("high"))
