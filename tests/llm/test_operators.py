@@ -245,6 +245,29 @@ def test_salvage(zipped, damage, chunk):
     assert any(not r.get("warc_type") for r in got) == (damage not in ("none", "lost"))
 
 
+@pytest.mark.parametrize("damaged", [None, 0, 1, 2])
+@pytest.mark.parametrize("chunk", [37, 1 << 20])
+def test_salvage_of_a_member_of_many_records(damaged, chunk):
+    payloads, records = member_list()
+    inner = records[1:4]
+    if damaged is not None:
+        at = inner[damaged].index(b"body") + 1
+        inner[damaged] = inner[damaged][:at] + b"X" + inner[damaged][at + 1 :]
+    many = warc.member(b"".join(inner) + b"left over")
+    data = warc.member(records[0]) + many + warc.member(records[5])
+    got = list(warc.salvage(io.BytesIO(data).read, "p", chunk=chunk))
+    found = {int(r["record_id"].rsplit(":", 1)[1]): r["payload"] for r in got if r.get("warc_type")}
+    assert found == {i: payloads[i] for i in (0, 1, 2, 3, 5) if damaged is None or i != damaged + 1}
+    gaps = [r["problem"] for r in got if not r.get("warc_type")]
+    size = sum(map(len, inner))
+    if damaged is not None:
+        begun, end = sum(map(len, inner[:damaged])), sum(map(len, inner[: damaged + 1]))
+        # a false version line in the damaged payload may end the search only where a record follows
+        assert gaps[0] == f"payload digest differs (content {begun} to {end if damaged < 2 else size + 9})"
+    assert len(gaps) == (2 if damaged in (0, 1) else 1) and gaps[-1].endswith(f"to {size + 9})")
+    assert all((r["at"], r["end"]) == (len(warc.member(records[0])), len(warc.member(records[0])) + len(many)) for r in got[1:-1])
+
+
 def test_warc_round_trip(spark, sf_dir):
     odd = spark.createDataFrame([(1, "u\r\nx", "a", 1), (2, None, "a", 1), (3, "w", None, 1), (4, "w", "", 1), (5, "w", "é🙂", 1), (None, "n", "a", 1), (7, "w", "big " * 100_000, 1)], "page_id long, url string, html string, refers_to int")
     got = {r["page_id"]: r for r in warc.round_trip(odd).collect()}

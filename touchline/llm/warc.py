@@ -50,9 +50,9 @@ def member(data: bytes, level: int = 3) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse(data: bytes) -> tuple[dict | None, str, int]:
-    """(fields, problem, length) of the record at the start of ``data``; fields are None if a check fails."""
-    m = VERSION.match(data)
+def parse(data: bytes, start: int = 0) -> tuple[dict | None, str, int]:
+    """(fields, problem, length) of the record at ``start`` of ``data``; fields are None if a check fails."""
+    m = VERSION.match(data, start)
     if not m:
         return None, "no version line", 0
     end = data.find(b"\r\n\r\n", m.end() - 2)
@@ -83,7 +83,25 @@ def parse(data: bytes) -> tuple[dict | None, str, int]:
         "warc_type": kind, "record_id": head.get("warc-record-id", "").strip("<>"), "uri": head.get("warc-target-uri"), "refers_to": head["warc-refers-to"].strip("<>") if "warc-refers-to" in head else None,
         "digest": digest, "http_length": int(length[1]) if length else None, "payload": payload if kind == "response" else None,
     }
-    return fields, "", at + int(size) + 4
+    return fields, "", at + int(size) + 4 - start
+
+
+def contents(data: bytes) -> list[dict]:
+    """The records of a member's content and the gaps between them, in order; a gap has only a problem, which tells its place."""
+    out, at = [], 0
+    while at < len(data):
+        fields, why, used = parse(data, at)
+        if fields is not None:
+            out.append({"problem": ""} | fields)
+            at += used
+            continue
+        begun, problem = at, why
+        while fields is None and at < len(data):
+            line = VERSION.search(data, at + 1)
+            at = line.start() if line else len(data)
+            fields = parse(data, at)[0]
+        out.append({"problem": f"{problem} (content {begun} to {at})"})
+    return out
 
 
 def _gunzip(data: bytes) -> tuple[bytes | None, int, bool]:
@@ -99,8 +117,9 @@ def _gunzip(data: bytes) -> tuple[bytes | None, int, bool]:
 def salvage(read, path: str = "", chunk: int = CHUNK, most: int = 1 << 30):
     """Records and gaps of an archive as dicts of RECORDS. ``read(n)`` gives the next bytes, none at the end.
 
-    Holds one record and a chunk at a time; one that is not closed within ``most`` bytes fails its check. Gaps have a null
-    warc_type and the failed check in ``problem``.
+    Holds one record or member, with its content, and a chunk at a time; one that is not closed within ``most`` bytes fails
+    its check. Gaps have a null warc_type and the failed check in ``problem``. All records and gaps inside one member carry
+    the member's place, as its content has none of its own in the archive.
     """
     buffer, base, ended = b"", 0, False  # base: the place of buffer[0] in the archive
     bad, problem = None, ""
@@ -120,7 +139,7 @@ def salvage(read, path: str = "", chunk: int = CHUNK, most: int = 1 << 30):
             continue
         if not buffer:
             break
-        fields, why, used = None, "", 0
+        rows, why, used = [], "", 0
         if buffer[:3] == GZIP:
             content, used, open_ = _gunzip(buffer)
             if open_ and not ended and len(buffer) < most:
@@ -129,19 +148,23 @@ def salvage(read, path: str = "", chunk: int = CHUNK, most: int = 1 << 30):
             if content is None:
                 why = "member not closed" if open_ else "bad member"
             else:
-                fields, why, _ = parse(content)
+                rows = contents(content)
+                if not any("warc_type" in r for r in rows):
+                    rows, why = [], parse(content)[1]
         elif VERSION.match(buffer):
             fields, why, used = parse(buffer)
             if why in ("header block not closed", "record cut short") and not ended and len(buffer) < most:
                 more()
                 continue
+            rows = [{"problem": ""} | fields] if fields is not None else []
         else:
             why = "no member or version line"
-        if fields is not None:
+        if rows:
             if bad is not None:
                 yield gap(base)
                 bad = None
-            yield {"path": path, "at": base, "end": base + used, "problem": ""} | fields
+            for r in rows:
+                yield {"path": path, "at": base, "end": base + used} | r
             buffer, base = buffer[used:], base + used
             continue
         if bad is None:
