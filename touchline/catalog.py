@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import testbed
-from .normalise import typed
-from .operators import leagues, lists, results, teams
+from .functions import match_number
+from .normalise import write_view
+from .operators import leagues, lists, reports, results, teams
 from .operators.leagues_sql import SQL as LEAGUES_SQL
 from .operators.lists_sql import SQL as LISTS_SQL
 from .operators.results_sql import SQL as RESULTS_SQL
@@ -17,12 +18,33 @@ from .operators.teams_sql import SQL as TEAMS_SQL
 from .plans import bets, parlay, predict
 from .plans.bets_sql import SQL as BETS_SQL
 from .plans.predict_sql import SQL as PREDICT_SQL
-from .sources import feeds, merge
+from .sources import feeds, files, merge
+from .store import exists, scratch
 from .streaming import jobs
 
 
+_VIEWS: dict[tuple[str, str, str], str] = {}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table, or the typed view of the matches (``typed``): written once a session in the shared folder, then read.
+
+    Analyses so read typed columns, and their filters reach the Parquet scan.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path = _VIEWS.get(key)
+    if path is None or not exists(spark, f"{path}/_SUCCESS"):
+        path = scratch(spark, f"view-{name}")
+        if name == "typed":
+            write_view(view(spark, sf_dir, "matches"), path)
+        else:
+            testbed.read(spark, sf_dir, name).write.parquet(path)
+        _VIEWS[key] = path
+    return spark.read.parquet(path)
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed(testbed.read(spark, sf_dir, "matches"))
+    return view(spark, sf_dir, "typed")
 
 
 def _on_matches(f: Callable, **options) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,32 +52,115 @@ def _on_matches(f: Callable, **options) -> Callable[[SparkSession, str], DataFra
 
 
 OPTIONS = {"ou_probability": {"least": 1, "most": 5}, "field_profile": {"fields": [c for c in testbed.match_columns("spark") if c != "status"]}}
-OPTIONS |= {k: {"features": testbed.FEATURES} for k in ("predict_by_patterns", "pattern_recommendations")}
+OPTIONS |= {k: {"features": testbed.FEATURES} for k in ("predict_by_patterns", "pattern_recommendations", "pattern_report")}
 FAMILIES = [(results, RESULTS_SQL), (leagues, LEAGUES_SQL), (teams, TEAMS_SQL), (predict, PREDICT_SQL), (bets, BETS_SQL), (lists, LISTS_SQL)]
 
 
+def _day(text: str):
+    """A fixed time in place of the clock, so that results can be compared."""
+    return F.expr(f"TIMESTAMP_NTZ '{text} 00:00:00'")
+
+
+#: The measures that the long forms of the reports show.
+RESULT_MEASURES = ["n", "home", "draw", "away", "home_pct", "draw_pct", "away_pct"]
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "predictions")
+
+
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predict.review_predictions(matches(spark, sf_dir), testbed.read(spark, sf_dir, "predictions"))
+    return predict.review_predictions(matches(spark, sf_dir), _predictions(spark, sf_dir))
 
 
 def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bets.settle_bets(testbed.read(spark, sf_dir, "legs"), matches(spark, sf_dir))
+    return bets.settle_bets(view(spark, sf_dir, "legs"), matches(spark, sf_dir), _day("2024-05-01"))
+
+
+def _picks(spark: SparkSession, sf_dir: str, lined: bool = False) -> DataFrame:
+    return bets.normalise_picks(view(spark, sf_dir, "picks"), matches(spark, sf_dir) if lined else None)
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matches written as feed documents, one for each day, and parsed again."""
-    m = testbed.read(spark, sf_dir, "matches")
+    """The matches written as feed documents and parsed again; a day gives as many documents as its matches fill, some hundreds in each."""
+    m = view(spark, sf_dir, "matches")
     code = {0: "0", 1: "2", 2: "4", 6: "6"}
     status = F.try_element_at(F.create_map(*[F.lit(x) for p in code.items() for x in p]), "status")
     names = {v: k for k, v in feeds.FIELDS.items()}
     item = F.struct(*[F.col(c).alias(names[c]) for c in ("match_id", "match_number", "league", "match_time", "home_team", "away_team", "home_score", "away_score")], status.alias("status"), F.replace("owner_date", F.lit("-"), F.lit("")).alias("ownerdate"))
-    raw = m.groupBy("owner_date").agg(F.collect_list(item).alias("matches")).select(F.to_json(F.struct(F.struct("matches").alias("data"))).alias("value"))
+    days = m.groupBy("owner_date").agg(F.ceil(F.count("*") / 500).cast("int").alias("parts"))
+    dealt = m.join(days, "owner_date").withColumn("part", F.pmod(F.xxhash64("match_id"), F.col("parts")))
+    raw = dealt.groupBy("owner_date", "part").agg(F.collect_list(item).alias("matches")).select(F.to_json(F.struct(F.struct("matches").alias("data"))).alias("value"))
     return feeds.parse_match_feed(raw).select("match_id", "match_number", "round_id", "league", "match_time", "status", "home_team", "away_team", "score", "owner_date")
 
 
+def _joined_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with two XML odds feeds: one names every number of a weekday, the other those whose last digit plus one is even."""
+    m = view(spark, sf_dir, "matches").select("match_id", "match_number")
+    number = m.select(match_number(F.col("match_number")).alias("n")).where("n IS NOT NULL").distinct()
+    row = lambda win, last: F.concat(F.lit('<m matchnum="'), "n", F.lit(f'"><row win="{win}" draw="3.00" lost="{last}" updatetime="t"/><row win="{win}" draw="3.10" lost="4.50" updatetime="s"/></m>'))
+    doc = lambda rows: rows.select(F.concat(F.lit("<xml>"), "x", F.lit("</xml>")).alias("value"))
+    hi = feeds.parse_odds_feed_xml(doc(number.select(row("2.00", "4.00").alias("x"))))
+    euro = feeds.parse_odds_feed_xml(doc(number.where(F.substring("n", 2, 9).cast("int") % 2 == 1).select(row("1.50", "5.00").alias("x"))))
+    return feeds.join_feeds(m, hi.drop("ticks"), euro.drop("ticks")).select("match_id", "match_number", "hi_currodds", "hi_initial_lose", "euro_currodds")
+
+
+def _odds_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested odds documents of every third match: a euro market in each, an Asian one, an over-under one, an index in some; every seventh of them is empty."""
+    m = view(spark, sf_dir, "matches").withColumn("k", F.col("match_id").cast("long")).where("k % 3 = 0")
+    empty = F.col("k") % 21 == 0
+    one = lambda test, **new: F.when(test & ~empty, F.array(F.struct(*[v.alias(k) for k, v in new.items()])))
+    none = F.lit(None).cast("string")
+    both = lambda prefix, *parts: {f"{w}_{p}": F.col(f"{prefix}_{w}_{p}") for w in ("initial", "current") for p in parts}
+    euro = one(F.lit(True), **(both("euro", "win", "draw", "lose") | {"current_win": F.lit("9.99")}))
+    asian = one(F.col("k") % 6 == 0, **(both("asian", "home_odds", "handicap", "away_odds") | {"current_home_odds": F.lit("1.50"), "current_handicap": F.lit("两球")}))
+    ou = one(F.col("k") % 12 == 0, **{f"{w}_{p}": none for w in ("initial", "current") for p in ("over_odds", "total", "under_odds")})
+    index = F.when((F.col("k") % 9 == 0) & ~empty, F.struct(F.lit("-3").alias("handicap_value"), *[F.lit("5.55").alias(f"{w}_{p}") for w in ("initial", "current") for p in ("home_odds", "draw_odds", "away_odds")]))
+    times = [none.alias("euro_odds_update_time"), F.when(F.col("k") % 9 == 0, F.lit("t9")).alias("odds_update_time")]
+    return m.select("match_id", F.lit(1).cast("long").alias("seq"), euro.alias("euro_odds"), asian.alias("asian_handicap"), ou.alias("over_under"), index.alias("handicap_index"), *times)
+
+
+def _odds_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = view(spark, sf_dir, "matches").withColumns({"asian_movement_label": F.lit("旧"), "odds_update_time": F.lit(None).cast("string")})
+    shown = ["match_id", "euro_current_win", "euro_initial_draw", "asian_current_home_odds", "asian_current_handicap", "ou_current_total", "hi_handicap_value", "hi_current_draw_odds", "asian_movement_label", "odds_update_time"]
+    return merge.upsert_odds(old, _odds_documents(spark, sf_dir)).select(*shown)
+
+
+def _picks_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks saved on one day and, in part, again on the next with another result."""
+    p, k = _picks(spark, sf_dir, lined=True), F.col("match_id").cast("long")
+    saved = p.where(k % 4 != 0).withColumn("updated_at", _day("2024-05-01"))
+    again = p.where((k % 4).isin(0, 2)).withColumn("manual_win_prediction", F.lit("again"))
+    return bets.upsert_user_picks(saved, again, _day("2024-05-02")).select("device_id", "match_id", "manual_win_prediction", "manual_asian_handicap", "created_at", "updated_at")
+
+
+def _picks_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _picks(spark, sf_dir).select("device_id", "match_id")
+    return bets.delete_user_pick(p, p.where(F.col("match_id").cast("long") % 7 == 0))
+
+
+def _bets_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third bet is appended to the others without group and time where it has none; every fifth is then set to won."""
+    s = _settled(spark, sf_dir).select("bet_id", "group_id", "created_at", "status")
+    k = F.col("bet_id").cast("long")
+    all_bets = bets.append_bets(s.where(k % 3 != 0), s.where(k % 3 == 0), _day("2024-05-01"))
+    return bets.update_bets(all_bets, s.where(k % 5 == 0).select("bet_id", F.lit("won").alias("status")))
+
+
+def _firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matches(spark, sf_dir).select("match_id", "league", F.lit(2).alias("position"))
+    both = files.read_many([m, m.where(F.col("match_id").cast("long") % 3 == 0).withColumns({"league": F.concat("league", F.lit("x")), "position": F.lit(1)})])
+    return files.first_of_each(both)
+
+
+def _pattern_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_cover = [*RESULT_MEASURES, "cover_home", "cover_away_pct"]
+    return reports.long_form(reports.pattern_report(matches(spark, sf_dir)), {"size": "", "label": "grp", "line": "grp", "water": "grp", "total": "grp"}, {"size": ["finished", "decided"], "label": with_cover, "line": with_cover, "water": with_cover, "total": ["n", "over", "under_pct"]})
+
+
 def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of updates: one sets home scores, the next clears some away scores and is without names for others."""
-    old = testbed.read(spark, sf_dir, "matches").select("match_id", "home_team", "away_team", "home_score", "away_score")
+    old = view(spark, sf_dir, "matches").select("match_id", "home_team", "away_team", "home_score", "away_score")
     k = F.col("match_id").cast("long")
     first = old.where(k % 3 == 0).withColumns({"home_score": F.lit("9"), "away_score": F.lit("x"), "seq": F.lit(1), "present": F.array(F.lit("home_score"))})
     second = old.where(k % 6 == 0).withColumns({"home_score": F.lit("x"), "away_score": F.lit(""), "seq": F.lit(2), "present": F.array(F.lit("away_score"))})
@@ -77,8 +182,8 @@ def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted_again(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = testbed.read(spark, sf_dir, "predictions").select("match_id", "win_prediction", "is_reviewed")
-    return predict.upsert_predictions(old, old.where(F.col("match_id").cast("long") % 3 == 0).withColumn("win_prediction", F.lit("draw")))
+    old = _predictions(spark, sf_dir).select("match_id", "win_prediction", "is_reviewed", "predict_date")
+    return predict.upsert_predictions(old, old.where(F.col("match_id").cast("long") % 3 == 0).withColumn("win_prediction", F.lit("draw")), _day("2024-05-01"))
 
 
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +198,9 @@ OTHERS = {
     "bet_stats": lambda spark, sf_dir: bets.bet_stats(_settled(spark, sf_dir)),
     "daily_bet_stats": lambda spark, sf_dir: bets.daily_bet_stats(_settled(spark, sf_dir)),
     "bet_groups": lambda spark, sf_dir: bets.bet_groups(_settled(spark, sf_dir)),
-    "enrich_legs": lambda spark, sf_dir: bets.enrich_legs(testbed.read(spark, sf_dir, "legs"), matches(spark, sf_dir)),
-    "normalise_picks": lambda spark, sf_dir: bets.normalise_picks(testbed.read(spark, sf_dir, "picks")),
-    "my_picks": lambda spark, sf_dir: bets.my_picks(testbed.read(spark, sf_dir, "picks"), matches(spark, sf_dir)),
+    "enrich_legs": lambda spark, sf_dir: bets.enrich_legs(view(spark, sf_dir, "legs"), matches(spark, sf_dir)),
+    "normalise_picks": lambda spark, sf_dir: _picks(spark, sf_dir, lined=True),
+    "my_picks": lambda spark, sf_dir: bets.my_picks(view(spark, sf_dir, "picks"), matches(spark, sf_dir)).withColumns({"grid_win": F.col("grid_data.euro.win"), "grid_h_lose": F.col("grid_data.handicap.odds.lose"), "grid_val": F.col("grid_data.handicap.val")}).drop("grid_data"),
     "high_odds_candidates": _on_matches(parlay.high_odds_candidates),
     "high_odds_pair": lambda spark, sf_dir: parlay.best_pair(parlay.high_odds_candidates(matches(spark, sf_dir)), 3.0, 2.8, 3.5),
     "nearest_pairs": lambda spark, sf_dir: parlay.best_pair(parlay.high_odds_candidates(matches(spark, sf_dir)), 3.0, top=3),
@@ -108,21 +213,49 @@ OTHERS = {
     "banker_candidates": _on_matches(parlay.banker_candidates),
     "banker_pair": lambda spark, sf_dir: parlay.banker_pair(parlay.banker_candidates(matches(spark, sf_dir))),
     "low_odds_backtest": _on_matches(parlay.low_odds_backtest),
+    "low_odds_pick": _on_matches(parlay.low_odds_pick, seed=7),
+    "bets_dashboard": lambda spark, sf_dir: bets.dashboard_rows(view(spark, sf_dir, "legs"), matches(spark, sf_dir)),
+    "bets_of": lambda spark, sf_dir: lists.bets_of(_settled(spark, sf_dir), "d7", "won").select("bet_id", "created_at", "status", "odds"),
+    "picks_of": lambda spark, sf_dir: lists.picks_of(_picks(spark, sf_dir), "d11", 40).select("match_id", "manual_win_prediction", "manual_asian_prediction", "created_at"),
+    "my_picks_list": lambda spark, sf_dir: bets.my_picks_list(view(spark, sf_dir, "picks"), matches(spark, sf_dir), "d5").select("match_id", "match_time", "confidence", "main_odds"),
+    "upsert_user_picks": _picks_upserted,
+    "delete_user_pick": _picks_deleted,
+    "append_and_update_bets": _bets_appended,
     "delete_bet_group": _deleted,
     "review_batch_stats": lambda spark, sf_dir: predict.review_batch_stats(_reviews(spark, sf_dir)),
-    "apply_reviews": lambda spark, sf_dir: predict.apply_reviews(testbed.read(spark, sf_dir, "predictions"), _reviews(spark, sf_dir)).select("match_id", "is_reviewed", "correct_count", "accuracy"),
+    "apply_reviews": lambda spark, sf_dir: predict.apply_reviews(_predictions(spark, sf_dir), _reviews(spark, sf_dir), _day("2024-05-01")).select("match_id", "is_reviewed", "correct_count", "accuracy", "actual_winner", "actual_home_score", "win_correct", "review_date"),
+    "review_batch_leagues": lambda spark, sf_dir: predict.review_batch_leagues(_reviews(spark, sf_dir)),
+    "review_summary_of_days": lambda spark, sf_dir: predict.review_summary(_reviews(spark, sf_dir).join(_predictions(spark, sf_dir).select("match_id", F.col("predict_date").alias("review_date")), "match_id"), _day("1997-06-01")),
+    "predict_and_review": lambda spark, sf_dir: predict.predict_and_review(matches(spark, sf_dir), _predictions(spark, sf_dir), _day("2024-05-01")).select("match_id", "win_prediction", "is_reviewed", "accuracy"),
+    "predictions_list": lambda spark, sf_dir: lists.predictions_list(_predictions(spark, sf_dir), False).select("match_id", "win_prediction", "is_reviewed", "predict_date"),
+    "daily_predictions_of_day": _on_matches(predict.daily_predictions, day="1996-03-05"),
+    "ou_samples_of_league": _on_matches(results.ou_samples, league="NATION_3", least=1, most=4),
+    "movement_of_league": _on_matches(results.movement_categories, league="NATION_3"),
+    "lower_plate_of_league": _on_matches(leagues.lower_plate_upcoming, least=3.5, league="NATION_1"),
+    "odds_pattern_report": _pattern_report,
+    "level_ball_report": lambda spark, sf_dir: reports.long_form(reports.level_report(matches(spark, sf_dir)), dict.fromkeys(("water", "water_change", "league"), "grp"), dict.fromkeys(("water", "water_change", "league"), RESULT_MEASURES)),
+    "get_matches_by_odds": lambda spark, sf_dir: lists.get_matches(matches(spark, sf_dir), 200, "win0", False, {"owner_date": ("1995-01-01", "1996-12-31")}, ["match_id", "league", "owner_date", "win0", "match_time"], league="NATION_4"),
+    "match_by_id": lambda spark, sf_dir: lists.by_id(matches(spark, sf_dir), matches(spark, sf_dir).where(F.col("match_id").cast("long") % 7 == 0).agg(F.max(F.col("match_id").cast("long")).cast("string")).first()[0]).select("match_id", "league", "status", "home_team", "away_team", "home_score", "away_score"),
+    "row_json": lambda spark, sf_dir: lists.row_json(matches(spark, sf_dir).select("match_id", "league", "status", "home_score")),
+    "odds_needed": lambda spark, sf_dir: lists.odds_needed(matches(spark, sf_dir)).select("match_id", "status"),
+    "upsert_odds": _odds_upserted,
+    "combined": lambda spark, sf_dir: merge.combined(view(spark, sf_dir, "matches").select("match_id", "league"), _odds_documents(spark, sf_dir)),
+    "backfill_labels": lambda spark, sf_dir: merge.backfill_labels(view(spark, sf_dir, "matches").withColumn("asian_movement_label", F.lit("旧"))).select("match_id", "asian_movement_label"),
+    "join_feeds": _joined_feeds,
+    "first_of_each": _firsts,
+    "odds_trend_by_day": lambda spark, sf_dir: jobs.odds_trend_by_day(_ticks(spark, sf_dir)),
     "upsert_predictions": _predicted_again,
     "nearest_line": lambda spark, sf_dir: feeds.nearest_line(_candidate_lines(spark, sf_dir)).select("match_id", "pos", "line_text"),
     "list_matches": lambda spark, sf_dir: lists.list_matches(matches(spark, sf_dir)).select("match_id", "owner_date", "league", "status"),
     "list_matches_range": lambda spark, sf_dir: lists.list_matches(matches(spark, sf_dir), start="1996-01-01", end="1996-03-31").select("match_id", "owner_date", "league", "status"),
-    "page": lambda spark, sf_dir: lists.page(lists.list_matches(matches(spark, sf_dir)), 2),
-    "get_matches": lambda spark, sf_dir: lists.get_matches(matches(spark, sf_dir), status=2),
+    "page": lambda spark, sf_dir: lists.page(lists.list_matches(matches(spark, sf_dir)), 2, year=2024),
+    "get_matches": lambda spark, sf_dir: lists.get_matches(matches(spark, sf_dir), columns=["match_id", "league", "status", "match_time", "home_team", "away_team"], status=2),
     "live_alerts": _on_matches(jobs.live_alerts),
     "parse_match_feed": _feed,
     "upsert_matches": _upserted,
     "odds_trend": lambda spark, sf_dir: jobs.odds_trend(_ticks(spark, sf_dir)),
     "odds_trend_by_hour": lambda spark, sf_dir: jobs.odds_trend_by_hour(_ticks(spark, sf_dir)),
-    "high_confidence_count": lambda spark, sf_dir: predict.high_confidence_count(testbed.read(spark, sf_dir, "predictions")),
+    "high_confidence_count": lambda spark, sf_dir: predict.high_confidence_count(_predictions(spark, sf_dir)),
 }
 
 

@@ -50,3 +50,19 @@ def strip_arrows(c: Column) -> Column:
 def triple(*cols: Column) -> Column:
     """'a/b/c' with '-' for what is absent."""
     return F.concat_ws("/", *[F.coalesce(F.nullif(c, F.lit("")), F.lit("-")) for c in cols])
+
+
+def stars(confidence: Column) -> Column:
+    """A bar of five: a full star for each 20 of the confidence."""
+    n = F.greatest(F.lit(0), F.least(F.lit(5), F.floor(confidence / 20).cast("int")))
+    return F.concat(F.repeat(F.lit("★"), n), F.repeat(F.lit("☆"), F.lit(5) - n))
+
+
+def confidence_mark(confidence: Column) -> Column:
+    """2 from 70 on, 1 from 60 on, else 0."""
+    return F.when(confidence >= 70, 2).when(confidence >= 60, 1).otherwise(0)
+
+
+def fixed(c: Column, places: int = 2) -> Column:
+    """The number as text with so many places."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * places))

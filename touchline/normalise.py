@@ -32,3 +32,17 @@ def typed(matches: DataFrame) -> DataFrame:
         "goals": c("h") + c("a"), "result": match_result(c("h"), c("a")), "line": parse_handicap(c("line_text"), "pattern"),
         "cover": asian_result(c("h"), c("a"), c("line_text")), "ou": ou_result(c("h"), c("a"), c("total")), "label": label,
     })
+
+
+def write_view(matches: DataFrame, path: str, daily: bool = False, mode: str = "overwrite") -> DataFrame:
+    """The typed view as Parquet, read back: every later analysis reads typed columns and skips row groups by owner_date and status.
+
+    Rows are laid out by owner_date, which gives each file a narrow range of days; ``daily`` makes a folder for each day, which
+    large tables want and which lets a run replace single days.
+    """
+    t = typed(matches)
+    if daily:
+        t.repartition("owner_date").sortWithinPartitions("status").write.mode(mode).partitionBy("owner_date").parquet(path)
+    else:
+        t.repartitionByRange("owner_date").sortWithinPartitions("status", "owner_date", "match_id").write.mode(mode).parquet(path)
+    return matches.sparkSession.read.parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import index_result, lower_plate, mean_or_zero, nonzero, pct, safe_int
+from ..functions import fixed, index_result, lower_plate, mean_or_zero, nonzero, pct, safe_int
 from .results import count_of, decided, finished
 
 
@@ -73,6 +73,11 @@ def best_league_per_metric(m: DataFrame, **options) -> DataFrame:
     return long.groupBy("metric").agg(F.min_by("league", F.struct(-F.col("value"), F.col("league"))).alias("league"), F.max("value").alias("value"))
 
 
+def score_text(home: str, away: str) -> Column:
+    """'h:a' with '-' for a score that is null or empty."""
+    return F.concat_ws(":", *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-")) for c in (home, away)])
+
+
 def with_plate(m: DataFrame) -> DataFrame:
     """Rows with a handicap value other than 0 and the lower-plate result; scores that don't parse count as 0."""
     h, a = safe_int(F.col("home_score")), safe_int(F.col("away_score"))
@@ -95,12 +100,13 @@ def _plate_rows(m: DataFrame, cold: float) -> DataFrame:
     goals = F.abs(v).cast("int").cast("string")
     desc = F.concat(F.when(v < 0, "主让").otherwise("客让"), goals, F.lit("球"))
     out = m.withColumns({"handicap_desc": desc, "is_cold": nonzero(F.col("ha1")) >= cold} | _teams(F.when(v < 0, "home").otherwise("away")))
-    return out.select("match_id", "match_time", "league", "home_team", "away_team", F.col("index_line").alias("hi_handicap"), "handicap_desc", "upper_team", "lower_team", F.col("hh1").alias("hi_home_odds"), F.col("hd1").alias("hi_draw_odds"), F.col("ha1").alias("hi_away_odds"), "is_cold")
+    return out.select("match_id", "match_time", "league", "home_team", "away_team", F.concat_ws("-", safe_int(F.col("home_score")), safe_int(F.col("away_score"))).alias("score"), F.col("win1").alias("euro_home"), F.col("lose1").alias("euro_away"), F.col("index_line").alias("hi_handicap"), "handicap_desc", "upper_team", "lower_team", F.col("hh1").alias("hi_home_odds"), F.col("hd1").alias("hi_draw_odds"), F.col("ha1").alias("hi_away_odds"), "is_cold")
 
 
-def lower_plate_upcoming(m: DataFrame, least: float = 3.0, top: int = 30) -> DataFrame:
-    """Upcoming chances of the lower plate; the away odds are used whichever side that is."""
-    rows = m.where("status = 0").where(nonzero(F.col("index_line")).isNotNull() & (F.col("ha1") >= least) & (F.col("ha1") != 0))
+def lower_plate_upcoming(m: DataFrame, least: float = 3.0, league: str = "", top: int = 30) -> DataFrame:
+    """Upcoming chances of the lower plate, in leagues whose name holds ``league``; the away odds are used whichever side that is."""
+    rows = m.where("status = 0")
+    rows = (rows.where(F.contains("league", F.lit(league))) if league else rows).where(nonzero(F.col("index_line")).isNotNull() & (F.col("ha1") >= least) & (F.col("ha1") != 0))
     return _plate_rows(rows, 4.0).orderBy(F.desc("hi_away_odds"), "match_id").limit(top)
 
 
@@ -112,8 +118,9 @@ def lower_plate_history(m: DataFrame, league: str = "", least: float | None = No
     return _plate_rows(rows, 3.0).orderBy(F.coalesce(F.col("hi_away_odds"), F.lit(0.0)).desc(), "match_id").limit(top)
 
 
-def lower_plate_rate(m: DataFrame, least: float | None = None) -> DataFrame:
+def lower_plate_rate(m: DataFrame, least: float | None = None, league: str = "") -> DataFrame:
     """One row: rows with a handicap, rows kept, rate."""
+    m = m.where(F.contains("league", F.lit(league))) if league else m
     keep = F.col("plate.lower_wins")
     keep = keep & F.coalesce(nonzero(F.col("ha1")) >= least, F.lit(True)) if least else keep
     out = with_plate(finished(m)).agg(F.count("*").alias("total"), count_of(keep).alias("kept"))
@@ -131,15 +138,30 @@ def odds_filter(m: DataFrame, mode: str = "all", league: str = "") -> DataFrame:
     m = {"upcoming": m.where("status = 0"), "finished": m.where("home_score IS NOT NULL AND away_score IS NOT NULL"), "all": m}[mode]
     m = m.where(F.contains("league", F.lit(league))) if league else m
     kinds = F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in filter_types().items()])))
-    hi = F.when(nonzero(F.col("index_line")).isNotNull() | (F.col("index_line") == 0), index_result(F.col("h"), F.col("a"), F.col("index_line")))
-    return m.select("match_id", "match_time", "league", "home_team", "away_team", "result", hi.alias("index_result"), F.col("hh0").alias("hi_home_initial"), F.col("hh1").alias("hi_home_current"), F.col("win0").alias("win_initial"), F.col("win1").alias("win_current"), kinds.alias("filter_type"))
+    rows = m.withColumns({"score": score_text("home_score", "away_score"), "index_result": index_result(F.col("h"), F.col("a"), F.col("index_line")), "filter_type": kinds})
+    names = {"hi_handicap": "index_line", "hi_home_initial": "hh0", "hi_home_current": "hh1", "hi_away_initial": "ha0", "hi_away_current": "ha1", "win_initial": "win0", "win_current": "win1", "lose_initial": "lose0", "lose_current": "lose1"}
+    return rows.select("match_id", "match_time", "league", "home_team", "away_team", "status", "score", "result", "index_result", *[F.col(v).alias(k) for k, v in names.items()], "filter_type", filter_text().alias("filter_desc"))
+
+
+def filter_text() -> Column:
+    """What moved, in the words of the filter type."""
+    c, kind = F.col, F.col("filter_type")
+    step = lambda a, b, head, plus: F.concat(F.lit(head), fixed(c(a)), F.lit("→"), fixed(c(b)), F.lit(f" ({plus}"), fixed(c(b) - c(a)), F.lit(")"))
+    both = lambda head, a, b: F.concat(F.lit(f"{head} +"), fixed(c(b) - c(a)), F.lit(" | 欧主降 "), fixed(c("win1") - c("win0")))
+    return F.when(kind.isin("hi_home_up", "hi_home_up_low"), step("hh0", "hh1", "让胜升水 ", "+")).when(kind == "hi_away_down", step("ha0", "ha1", "让负降水 ", "")).when(kind == "hi_home_up_euro_down", both("让胜升", "hh0", "hh1")).otherwise(both("亚盘升", "hw0", "hw1"))
+
+
+def odds_filter_rows(m: DataFrame, mode: str = "all", league: str = "", top: int = 100) -> DataFrame:
+    """The newest ``top`` rows of each filter type by match_time as text."""
+    w = Window.partitionBy("filter_type").orderBy(F.desc_nulls_last("match_time"), F.desc("match_id"))
+    return odds_filter(m, mode, league).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def odds_filter_stats(m: DataFrame, mode: str = "finished") -> DataFrame:
-    """For each type: rows with a result, results and index results with their own totals."""
+    """For each type: results as shares of all its rows, decided or not, and index results as shares of their own total."""
     r, i = F.col("result"), F.col("index_result")
     g = odds_filter(m, mode).groupBy("filter_type").agg(F.count("*").alias("n"), count_of(r.isNotNull()).alias("decided"), *[count_of(r == x).alias(x) for x in ("home", "draw", "away")], count_of(i.isNotNull()).alias("index_n"), count_of(i == "让胜").alias("index_win"), count_of(i == "走水").alias("index_push"), count_of(i == "让负").alias("index_lose"))
-    return g.withColumns({f"{x}_pct": pct(F.col(x), F.col("decided")) for x in ("home", "draw", "away")} | {f"{x}_pct": pct(F.col(x), F.col("index_n")) for x in ("index_win", "index_push", "index_lose")})
+    return g.withColumns({f"{x}_pct": pct(F.col(x), F.col("n")) for x in ("home", "draw", "away")} | {f"{x}_pct": pct(F.col(x), F.col("index_n")) for x in ("index_win", "index_push", "index_lose")})
 
 
 def odds_filter_leagues(m: DataFrame, mode: str = "finished", top: int = 15) -> DataFrame:

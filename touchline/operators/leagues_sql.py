@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..oracle import sign, sql
-from ..testbed import match_columns
 
 _C = lambda x: f"(nullif({x}1, 0) - nullif({x}0, 0))"
 _P = lambda a, b: f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE 100.0::DOUBLE * ({a}) / ({b}) END"
@@ -24,20 +23,28 @@ PROFILE = f"""p AS (SELECT league, count(*) AS total,
 _H0 = "coalesce(h, 0)"
 _A0 = "coalesce(a, 0)"
 _PD = f"(CASE WHEN index_line < 0 THEN {_H0} + index_line - {_A0} ELSE {_A0} - index_line - {_H0} END)"
-_ROWS = "match_id, match_time, league, home_team, away_team, index_line AS hi_handicap, CASE WHEN index_line < 0 THEN '主让' ELSE '客让' END || CAST(CAST(trunc(abs(index_line)) AS INT) AS VARCHAR) || '球' AS handicap_desc, CASE WHEN index_line < 0 THEN home_team ELSE away_team END AS upper_team, CASE WHEN index_line < 0 THEN away_team ELSE home_team END AS lower_team, hh1 AS hi_home_odds, hd1 AS hi_draw_odds, ha1 AS hi_away_odds, nullif(ha1, 0) >= {cold} AS is_cold"
+_ROWS = "match_id, match_time, league, home_team, away_team, CAST(coalesce(h, 0) AS VARCHAR) || '-' || CAST(coalesce(a, 0) AS VARCHAR) AS score, win1 AS euro_home, lose1 AS euro_away, index_line AS hi_handicap, CASE WHEN index_line < 0 THEN '主让' ELSE '客让' END || CAST(CAST(trunc(abs(index_line)) AS INT) AS VARCHAR) || '球' AS handicap_desc, CASE WHEN index_line < 0 THEN home_team ELSE away_team END AS upper_team, CASE WHEN index_line < 0 THEN away_team ELSE home_team END AS lower_team, hh1 AS hi_home_odds, hd1 AS hi_draw_odds, ha1 AS hi_away_odds, nullif(ha1, 0) >= {cold} AS is_cold"
 _nz = lambda c: f"nullif({c}, 0)"
 _UPHI, _EURO = f"{_nz('hh1')} > {_nz('hh0')} + 0.02::DOUBLE", f"{_nz('win1')} < {_nz('win0')} - 0.02::DOUBLE"
 _TYPES = {"hi_home_up": _UPHI, "hi_home_up_euro_down": f"{_UPHI} AND {_EURO}", "asian_up_euro_down": f"{_nz('hw1')} > {_nz('hw0')} + 0.02::DOUBLE AND {_EURO}", "hi_away_down": f"{_nz('ha1')} < {_nz('ha0')} - 0.02::DOUBLE", "hi_home_up_low": f"{_UPHI} AND {_nz('hh1')} < 5.0"}
 _IR = sign("(h - a + index_line)", "让胜", "走水", "让负")
 
 
+_UPWARDS = "format('让胜升水 {:.2f}→{:.2f} (+{:.2f})', hh0, hh1, hh1 - hh0)"
+_DESC = {"hi_home_up": _UPWARDS, "hi_home_up_low": _UPWARDS, "hi_home_up_euro_down": "format('让胜升 +{:.2f} | 欧主降 {:.2f}', hh1 - hh0, win1 - win0)", "asian_up_euro_down": "format('亚盘升 +{:.2f} | 欧主降 {:.2f}', hw1 - hw0, win1 - win0)", "hi_away_down": "format('让负降水 {:.2f}→{:.2f} ({:.2f})', ha0, ha1, ha1 - ha0)"}
+
+
 def _filtered(where: str) -> str:
-    parts = [f"SELECT match_id, match_time, league, home_team, away_team, result, {_IR} AS index_result, hh0 AS hi_home_initial, hh1 AS hi_home_current, win0 AS win_initial, win1 AS win_current, '{k}' AS filter_type FROM m WHERE {where} AND {t}" for k, t in _TYPES.items()]
+    names = {"hi_handicap": "index_line", "hi_home_initial": "hh0", "hi_home_current": "hh1", "hi_away_initial": "ha0", "hi_away_current": "ha1", "win_initial": "win0", "win_current": "win1", "lose_initial": "lose0", "lose_current": "lose1"}
+    detail = ", ".join(f"{v} AS {k}" for k, v in names.items())
+    score = "coalesce(nullif(home_score, ''), '-') || ':' || coalesce(nullif(away_score, ''), '-') AS score"
+    parts = [f"SELECT match_id, match_time, league, home_team, away_team, status, {score}, result, {_IR} AS index_result, {detail}, '{k}' AS filter_type, {_DESC[k]} AS filter_desc FROM m WHERE {where} AND {t}" for k, t in _TYPES.items()]
     return "o AS (" + " UNION ALL ".join(parts) + ")"
 
 
 _FIN = "home_score IS NOT NULL AND away_score IS NOT NULL"
-_TEXTS = [c for c, e in match_columns("duckdb").items() if c != "status"]
+_TEXTS = ["match_id", "match_number", "league", "round", "match_time", "owner_date", "home_team", "away_team", "home_rank", "home_score", "away_score", "hi_handicap_value"]
+_TEXTS += [f"{p.format(w)}" for w in ("initial", "current") for p in ("euro_{}_win", "euro_{}_draw", "euro_{}_lose", "asian_{}_home_odds", "asian_{}_handicap", "asian_{}_away_odds", "ou_{}_over_odds", "ou_{}_total", "ou_{}_under_odds", "hi_{}_home_odds", "hi_{}_draw_odds", "hi_{}_away_odds")]
 
 SQL = {
     "league_profile": sql(f"WITH {PROFILE} SELECT * FROM p"),
@@ -57,7 +64,9 @@ SQL = {
     "lower_plate_history": sql(f"SELECT {_ROWS.format(cold='3.0')} FROM f WHERE index_line <> 0 AND {_PD} < 0 ORDER BY coalesce(ha1, 0) DESC, match_id LIMIT 50"),
     "lower_plate_rate": sql(f"SELECT *, round_even(100.0::DOUBLE * kept / total, 1) AS rate FROM (SELECT count(*) AS total, count(*) FILTER ({_PD} < 0) AS kept FROM f WHERE index_line <> 0)"),
     "odds_filter": sql(f"WITH {_filtered('TRUE')} SELECT * FROM o"),
-    "odds_filter_stats": sql(f"""WITH {_filtered(_FIN)} SELECT *, {', '.join(f"{_P(x, 'decided')} AS {x}_pct" for x in ('home', 'draw', 'away'))}, {', '.join(f"{_P(x, 'index_n')} AS {x}_pct" for x in ('index_win', 'index_push', 'index_lose'))} FROM (
+    "odds_filter_rows": sql(f"WITH {_filtered('TRUE')} SELECT *, CAST(row_number() OVER (PARTITION BY filter_type ORDER BY match_time DESC NULLS LAST, match_id DESC) AS INTEGER) AS rank FROM o QUALIFY rank <= 100"),
+    "lower_plate_of_league": sql(f"SELECT {_ROWS.format(cold='4.0')} FROM m WHERE status = 0 AND league LIKE '%NATION_1%' AND index_line <> 0 AND ha1 >= 3.5 ORDER BY ha1 DESC, match_id LIMIT 30"),
+    "odds_filter_stats": sql(f"""WITH {_filtered(_FIN)} SELECT *, {', '.join(f"{_P(x, 'n')} AS {x}_pct" for x in ('home', 'draw', 'away'))}, {', '.join(f"{_P(x, 'index_n')} AS {x}_pct" for x in ('index_win', 'index_push', 'index_lose'))} FROM (
       SELECT filter_type, count(*) AS n, count(result) AS decided, {_N("result = 'home'")} AS home, {_N("result = 'draw'")} AS draw, {_N("result = 'away'")} AS away, count(index_result) AS index_n, {_N("index_result = '让胜'")} AS index_win, {_N("index_result = '走水'")} AS index_push, {_N("index_result = '让负'")} AS index_lose FROM o GROUP BY 1)"""),
     "odds_filter_leagues": sql(f"WITH {_filtered(_FIN)}, g AS (SELECT filter_type, league, count(*) AS n, count(index_result) AS index_n, {_N("index_result = '让负'")} AS index_lose FROM o GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY filter_type ORDER BY lose_pct DESC, league) AS INTEGER) AS rank FROM (SELECT *, 100.0::DOUBLE * index_lose / index_n AS lose_pct FROM g WHERE n >= 3 AND index_n > 0) QUALIFY rank <= 15"),
     "match_stats": sql("SELECT 'total' AS kind, NULL AS value, count(*) AS n FROM m UNION ALL SELECT 'leagues', NULL, count(DISTINCT nullif(league, '')) FROM m UNION ALL SELECT 'status', CASE status WHEN 0 THEN '未开始' WHEN 1 THEN '进行中' WHEN 2 THEN '完场' WHEN 6 THEN '改期' ELSE CAST(status AS VARCHAR) END, count(*) FROM m WHERE status IS NOT NULL GROUP BY 2 UNION ALL SELECT 'league', league, count(*) FROM m WHERE nullif(league, '') IS NOT NULL GROUP BY 2"),

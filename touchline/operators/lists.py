@@ -20,19 +20,60 @@ def list_matches(m: DataFrame, day: str | None = None, start: str | None = None,
     return m.where(F.col("status").isin(0, 6)) if not start and (not day or day == today) else m
 
 
-def page(m: DataFrame, number: int = 1, size: int = 50, year: int = 2024) -> DataFrame:
-    """One page by match time, unparsable times last, with its place and the number of pages."""
+def page(m: DataFrame, number: int = 1, size: int = 50, year: int | None = None) -> DataFrame:
+    """One page by match time, unparsable times last, with the number of pages; times without a year are of ``year``, else of the current one."""
     size, number = max(1, min(200, size)), max(1, number)
-    rows = m.withColumn("starts_at", match_time(F.col("match_time"), F.lit(year))).orderBy(F.asc_nulls_last("starts_at"), "match_id").offset((number - 1) * size).limit(size)
+    rows = m.withColumn("starts_at", match_time(F.col("match_time"), None if year is None else F.lit(year))).orderBy(F.asc_nulls_last("starts_at"), "match_id").offset((number - 1) * size).limit(size)
     total = F.broadcast(m.agg(F.count("*").alias("all_n")))  # one row
     return rows.crossJoin(total).select("match_id", "match_time", "league", "status", "starts_at", F.col("all_n").alias("total"), F.expr(f"int((all_n + {size - 1}) div {size})").alias("pages"))
 
 
-def get_matches(m: DataFrame, limit: int = 100, **equal) -> DataFrame:
-    """Rows by equality filters, newest match_time first."""
+def get_matches(m: DataFrame, limit: int | None = 100, sort: str = "match_time", descending: bool = True, between: dict[str, tuple] | None = None, columns: list[str] | None = None, **equal) -> DataFrame:
+    """Rows by equality (None: null) and inclusive range filters, by ``sort``, nulls last, ties by match_id; ``columns`` None: all."""
     for k, v in equal.items():
-        m = m.where(F.col(k) == v)
-    return m.orderBy(F.desc_nulls_last("match_time"), F.desc("match_id")).limit(limit).select("match_id", "league", "status", "match_time", "home_team", "away_team")
+        m = m.where(F.col(k).isNull() if v is None else F.col(k) == v)
+    for k, (low, high) in (between or {}).items():
+        m = m.where(F.col(k).between(low, high))
+    order = [F.desc_nulls_last(sort), F.desc("match_id")] if descending else [F.asc_nulls_last(sort), F.asc("match_id")]
+    m = m.orderBy(*order)
+    m = m if limit is None else m.limit(limit)
+    return m.select(*columns) if columns else m
+
+
+def by_id(df: DataFrame, match_id: str) -> DataFrame:
+    """The rows of one match; works on matches and on odds documents alike."""
+    return df.where(F.col("match_id") == match_id)
+
+
+def row_json(df: DataFrame, key: str = "match_id") -> DataFrame:
+    """(key, json) of every row with all its columns; times in ISO form, nulls kept."""
+    times = {f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss") for f in df.schema if f.dataType.typeName() in ("timestamp", "timestamp_ntz")}
+    shown = df.withColumns(times) if times else df
+    return shown.select(key, F.to_json(F.struct(*shown.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def predictions_list(p: DataFrame, is_reviewed: bool | None = None, limit: int = 50) -> DataFrame:
+    """The newest predictions, reviewed ones or others if asked for; 1 to 200 of them."""
+    p = p if is_reviewed is None else p.where(F.col("is_reviewed") == is_reviewed)
+    return p.orderBy(F.desc_nulls_last("predict_date"), "match_id").limit(max(1, min(200, limit)))
+
+
+def picks_of(picks: DataFrame, device: str, limit: int | None = None) -> DataFrame:
+    """A device's picks, the newest first."""
+    rows = picks.where(F.col("device_id") == device).orderBy(F.desc_nulls_last("created_at"), "match_id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def bets_of(bets: DataFrame, device: str, status: str | None = None, limit: int | None = 100) -> DataFrame:
+    """A device's bets, of one status if asked for, the newest first."""
+    rows = bets.where(F.col("device_id") == device)
+    rows = (rows if status is None else rows.where(F.col("status") == status)).orderBy(F.desc_nulls_last("created_at"), "bet_id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def odds_needed(m: DataFrame) -> DataFrame:
+    """Matches whose odds still change: not started or live."""
+    return m.where(F.col("status").isin(0, 1))
 
 
 def high_odds(m: DataFrame, least: float = 3.0) -> DataFrame:
@@ -44,12 +85,6 @@ def goal_range(m: DataFrame, least: int = 2, most: int = 3) -> DataFrame:
     return m.where("status = 2").where(F.col("goals").between(least, most)).select("match_id", "league", "goals")
 
 
-def flat_odds(m: DataFrame, odds: DataFrame) -> DataFrame:
-    """Matches with their odds columns, '' where a match has none."""
-    o = odds.select(F.col("match_id"), *[F.col(c) for c in odds.columns if c != "match_id"])
-    return m.join(o, "match_id", "left").select(*m.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in odds.columns if c != "match_id"])
-
-
 def movement_eligible(m: DataFrame) -> DataFrame:
     six = [F.nullif(f"euro_{w}_{p}", F.lit("")).isNotNull() for w in ("initial", "current") for p in ("win", "draw", "lose")]
     euro = six[0]

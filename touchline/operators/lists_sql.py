@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from ..oracle import present, sql
+from ..oracle import label, present, sql
 
 _SIX = " AND ".join(f"nullif(euro_{w}_{p}, '') IS NOT NULL" for w in ("initial", "current") for p in ("win", "draw", "lose"))
 _LINES = f"{present('asian_initial_handicap')} IS NOT NULL AND {present('asian_current_handicap')} IS NOT NULL"
 _AT = "try_strptime('2024-' || match_time, '%Y-%m-%d %H:%M')"
-_DRAW = "TRY_CAST(euro_current_draw AS DOUBLE)"
-_LV = "(coalesce(hi_handicap_value, '') IN ('0', '平手') OR coalesce(hi_handicap_value, '') LIKE '%平%')"
+_DRAW = f"TRY_CAST({present('euro_current_draw', 'euro_initial_draw')} AS DOUBLE)"
+_LV = "(trim(coalesce(hi_handicap_value, '')) IN ('0', '平手') OR coalesce(hi_handicap_value, '') LIKE '%平%')"
+_HITS = f"coalesce({_DRAW} BETWEEN 2.85::DOUBLE AND 3.5, FALSE)"
+_ALERT = f"coalesce(match_number, '') || ' ' || right(match_time, 5) || ' ' || home_team || ' vs ' || away_team || ' [' || concat_ws(' ', CASE WHEN {_HITS} THEN '平' || {_DRAW} END, CASE WHEN {_LV} THEN '让平' END) || ']'"
+_K = "CAST(match_id AS BIGINT)"
+_DOC = f"({_K} % 3 = 0 AND {_K} % 21 <> 0)"
+_NEWLABEL = label("asian_initial_handicap", "'两球'", "asian_initial_home_odds", "'1.50'")
+_UPSERTED = f"""SELECT match_id, CASE WHEN {_DOC} THEN '9.99' ELSE euro_current_win END AS euro_current_win, CASE WHEN {_DOC} THEN coalesce(euro_initial_draw, '') ELSE euro_initial_draw END AS euro_initial_draw, CASE WHEN {_DOC} AND {_K} % 6 = 0 THEN '1.50' ELSE asian_current_home_odds END AS asian_current_home_odds,
+  CASE WHEN {_DOC} AND {_K} % 6 = 0 THEN '两球' ELSE asian_current_handicap END AS asian_current_handicap, CASE WHEN {_DOC} AND {_K} % 12 = 0 THEN '' ELSE ou_current_total END AS ou_current_total, CASE WHEN {_DOC} AND {_K} % 9 = 0 THEN '-3' ELSE hi_handicap_value END AS hi_handicap_value, CASE WHEN {_DOC} AND {_K} % 9 = 0 THEN '5.55' ELSE hi_current_draw_odds END AS hi_current_draw_odds,
+  CASE WHEN {_DOC} AND {_K} % 6 = 0 THEN coalesce({_NEWLABEL}, '旧') ELSE '旧' END AS asian_movement_label, CASE WHEN {_DOC} AND {_K} % 9 = 0 THEN 't9' END AS odds_update_time FROM m"""
+_COMBINED = [f"{p}_{w}_{x}" for p, parts in (("euro", ("win", "draw", "lose")), ("asian", ("home_odds", "handicap", "away_odds")), ("ou", ("over_odds", "total", "under_odds"))) for w in ("current", "initial") for x in parts]
+_new = {"euro_current_win": "'9.99'", "asian_current_home_odds": "'1.50'", "asian_current_handicap": "'两球'"}
+_there = {"euro": _DOC, "asian": f"({_DOC} AND {_K} % 6 = 0)", "ou": f"({_DOC} AND {_K} % 12 = 0)"}
+_doc = lambda c: f"CASE WHEN {_there[c.split('_')[0]]} THEN coalesce({_new.get(c, 'NULL' if c.startswith('ou_') else c)}, '') ELSE '' END"
+_OLDER = {"euro_win": "euro_current_win", "euro_draw": "euro_current_draw", "euro_lose": "euro_current_lose", "asian_home_odds": "asian_current_home_odds", "asian_handicap": "asian_current_handicap", "asian_away_odds": "asian_current_away_odds", "over_odds": "ou_current_over_odds", "total_goals": "ou_current_total", "under_odds": "ou_current_under_odds"}
 
 
 def _both(market: str, *parts: str) -> str:
@@ -28,10 +41,20 @@ SQL = {
     "high_odds": sql("SELECT match_id, league, win1 AS win_odds FROM m WHERE win1 >= 3.0"),
     "goal_range": sql("SELECT match_id, league, goals FROM f WHERE goals BETWEEN 2 AND 3"),
     "movement_eligible": sql(f"SELECT match_id, {_SIX} AS euro, {_LINES} AS asian FROM m WHERE ({_SIX}) OR ({_LINES})"),
-    "live_alerts": sql(f"SELECT match_id, league, home_team, away_team, {_DRAW} AS draw_odds, coalesce({_DRAW} BETWEEN 2.85::DOUBLE AND 3.5, FALSE) AS by_draw, {_LV} AS by_line FROM m WHERE status = 1 AND (coalesce({_DRAW} BETWEEN 2.85::DOUBLE AND 3.5, FALSE) OR {_LV})"),
+    "live_alerts": sql(f"SELECT match_id, league, home_team, away_team, {_DRAW} AS draw_odds, {_HITS} AS by_draw, {_LV} AS by_line, {_ALERT} AS alert FROM m WHERE status = 1 AND ({_HITS} OR {_LV})"),
+    "get_matches_by_odds": sql("SELECT match_id, league, owner_date, win0, match_time FROM m WHERE league = 'NATION_4' AND owner_date BETWEEN '1995-01-01' AND '1996-12-31' ORDER BY win0 NULLS LAST, match_id LIMIT 200"),
+    "match_by_id": sql("SELECT match_id, league, status, home_team, away_team, home_score, away_score FROM m WHERE match_id = (SELECT CAST(max(o_orderkey) AS STRING) FROM orders WHERE o_orderkey % 7 = 0)"),
+    "row_json": sql("SELECT match_id, json_object('match_id', match_id, 'league', league, 'status', status, 'home_score', home_score) AS json FROM m"),
+    "odds_needed": sql("SELECT match_id, status FROM m WHERE status IN (0, 1)"),
+    "upsert_odds": sql(_UPSERTED),
+    "combined": sql(f"SELECT match_id, league, {', '.join(f'{_doc(c)} AS {c}' for c in _COMBINED)}, {', '.join(f'{_doc(v)} AS {k}' for k, v in _OLDER.items())} FROM m"),
+    "backfill_labels": sql("SELECT match_id, coalesce(label, '旧') AS asian_movement_label FROM m"),
+    "join_feeds": sql("SELECT match_id, match_number, CASE WHEN n > 0 THEN '2.00/3.00/4.00' END AS hi_currodds, CASE WHEN n > 0 THEN '4.50' END AS hi_initial_lose, CASE WHEN n > 0 AND n % 2 = 0 THEN '1.50/3.00/5.00' END AS euro_currodds FROM (SELECT *, CASE WHEN match_number LIKE '周%' THEN CAST(substr(match_number, 3) AS INT) + 1 ELSE 0 END AS n FROM m)"),
+    "first_of_each": sql("SELECT match_id, league, position FROM (SELECT match_id, league, position FROM (SELECT match_id, league, 2 AS position FROM m UNION ALL SELECT match_id, league || 'x', 1 FROM m WHERE CAST(match_id AS BIGINT) % 3 = 0)) QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY position, league) = 1"),
     "parse_match_feed": sql("SELECT match_id, match_number, match_number AS round_id, league, match_time, status, home_team, away_team, CASE WHEN status <> 0 AND nullif(home_score, '') IS NOT NULL AND nullif(away_score, '') IS NOT NULL THEN home_score || '-' || away_score ELSE '-' END AS score, owner_date FROM m"),
     "upsert_matches": sql("SELECT match_id, home_team, away_team, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN '9' ELSE home_score END AS home_score, CASE WHEN CAST(match_id AS BIGINT) % 6 = 0 THEN '' ELSE away_score END AS away_score FROM m"),
     "odds_trend": "SELECT user_id AS match_id, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM events GROUP BY 1, 2",
+    "odds_trend_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS match_id, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM events GROUP BY 1, 2, 3",
     "odds_trend_by_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current FROM events GROUP BY 1, 2",
     "value_counts": sql("SELECT 'league' AS field, league AS value, n FROM (SELECT league, count(*) AS n FROM m WHERE nullif(league, '') IS NOT NULL GROUP BY 1 ORDER BY n DESC, league LIMIT 10) UNION ALL SELECT 'status', coalesce(CAST(status AS STRING), '未开始'), count(*) FROM m GROUP BY 1, 2"),
     "notification_text": sql(f"SELECT match_id, {_TEXT} AS body FROM m"),

@@ -129,9 +129,11 @@ def ou_probability(m: DataFrame, league: str | None = None, least: int | None =
     return out.withColumns({f"{x}_pct": pct(F.col(x), F.col("n")) for x in ("over", "under", "push")})
 
 
-def ou_samples(m: DataFrame, k: int = 10) -> DataFrame:
-    """The newest ``k`` rows with a line, as the probability report shows them."""
-    rows = decided(m).where("total IS NOT NULL").select("match_id", "league", "match_time", "home_team", "away_team", "goals", "total", "ou")
+def ou_samples(m: DataFrame, k: int = 10, league: str | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
+    """The newest ``k`` rows with a line, of the league and goal range, as the probability report shows them."""
+    rows = decided(m) if league is None else decided(m).where(F.col("league") == league)
+    rows = rows if least is None else rows.where(F.col("goals") >= least)
+    rows = (rows if most is None else rows.where(F.col("goals") <= most)).where("total IS NOT NULL").select("match_id", "league", "match_time", "home_team", "away_team", "goals", "total", "ou")
     return rows.orderBy(F.desc_nulls_last("match_time"), F.desc("match_id")).limit(k)
 
 
@@ -204,13 +206,20 @@ def level_goal_histogram(m: DataFrame) -> DataFrame:
     return goal_histogram(m.where(is_level()))
 
 
-def movement_categories(m: DataFrame) -> DataFrame:
-    """Five categories of line and water movement with cover counts; rows whose score doesn't parse drop out."""
-    dh = parse_handicap(F.col("asian_current_handicap")) - parse_handicap(F.col("asian_initial_handicap"))
-    dw = F.col("hw1") - F.col("hw0")
+def movement_rows(m: DataFrame, league: str | None = None) -> DataFrame:
+    """Decided matches with both lines and home odds: category of line and water movement, changes, cover; others drop out."""
+    m = m if league is None else m.where(F.col("league") == league)
+    line0, line1 = (parse_handicap(F.col(f"asian_{w}_handicap")) for w in ("initial", "current"))
+    rows = decided(m).withColumns({"line0": line0, "line1": line1}).withColumns({"dh": F.col("line1") - F.col("line0"), "dw": F.col("hw1") - F.col("hw0")}).where("dh IS NOT NULL AND dw IS NOT NULL")
+    dh, dw = F.col("dh"), F.col("dw")
     still = (F.abs(dh) < 0.01) & (F.abs(dw) < 0.01)
     kind = F.when(still, "无变化").when((dh > 0) & (dw < 0), "升盘降水").when((dh > 0) & (dw > 0), "升盘升水").when((dh < 0) & (dw > 0), "降盘升水").when(dw < 0, "降盘降水").otherwise("降盘升水")
-    won = _sign(F.col("h") + parse_handicap(F.col("asian_current_handicap")) - F.col("a"), "home", "push", "away")
-    rows = decided(m).withColumns({"dh": dh, "dw": dw}).where("dh IS NOT NULL AND dw IS NOT NULL").withColumns({"kind": kind, "won": won})
-    out = rows.groupBy(F.col("kind").alias("grp")).agg(F.count("*").alias("n"), *[count_of(F.col("won") == x).alias(f"cover_{x}") for x in ("home", "away", "push")])
+    won = _sign(F.col("h") + F.col("line1") - F.col("a"), "home", "push", "away")
+    return rows.select("match_id", "league", "match_time", "home_team", "away_team", F.concat_ws("-", "h", "a").alias("score"), "line0", "line1", F.col("hw0").alias("water0"), F.col("hw1").alias("water1"), "dh", "dw", kind.alias("kind"), won.alias("won"))
+
+
+def movement_categories(m: DataFrame, league: str | None = None) -> DataFrame:
+    """Five categories of line and water movement with cover counts."""
+    won = F.col("won")
+    out = movement_rows(m, league).groupBy(F.col("kind").alias("grp")).agg(F.count("*").alias("n"), *[count_of(won == x).alias(f"cover_{x}") for x in ("home", "away", "push")])
     return out.withColumn("win_pct", pct(F.col("cover_home"), F.col("n")))

@@ -3,7 +3,31 @@
 from __future__ import annotations
 
 from ..oracle import bucket, line, present, shares, sign, sql
-from . import results as R
+
+
+
+class R:
+    """Fixed values, stated here a second time: group names and thresholds of the analyses."""
+
+    LABELS = "升盘降水 升盘升水 升盘 降盘降水 降盘升水 降盘 升水 降水 无变化 无标签".split()
+    EURO_CUTS = [("<", -0.15, "主胜赔率大降(>0.15)"), ("<", -0.05, "主胜赔率小降(0.05-0.15)"), (">", 0.15, "主胜赔率大升(>0.15)"), (">", 0.05, "主胜赔率小升(0.05-0.15)")]
+    EURO_REST, DRAW_DROP, LOSE_DROP = "主胜赔率基本不变", "平局赔率大降(>0.15)", "客胜赔率大降(>0.15)"
+    LINE_CUTS = [(">=", 1.5, "主让球半及以上"), (">=", 1.0, "主让一球到球半"), (">=", 0.5, "主让半球到一球"), (">=", 0.25, "主让平半到半球"), (">=", 0.0, "平手到平半"), (">=", -0.5, "主受让半球内")]
+    LINE_REST = "主受让半球以上"
+    WATER_CUTS = [("<", -0.08, "主水大降(>0.08)"), ("<", -0.03, "主水小降(0.03-0.08)"), (">", 0.08, "主水大升(>0.08)"), (">", 0.03, "主水小升(0.03-0.08)")]
+    WATER_REST, LEVEL_WATER_REST = "水位基本不变", "水位不变"
+    TOTAL_CUTS = [("<=", 1.75, "小于2球"), ("<=", 2.25, "2-2.25球"), ("<=", 2.75, "2.5-2.75球"), ("<=", 3.25, "3-3.25球")]
+    TOTAL_REST = "3.5球以上"
+    INDEX_CUTS = [(">=", 2.0, "让两球及以上"), (">=", 1.0, "让一球到两球"), (">", 0.0, "让半球到一球"), ("=", 0.0, "平手"), (">=", -1.0, "受让半球到一球")]
+    INDEX_REST = "受让一球以上"
+    LEVEL_CUTS = [("<=", 0.85, "低水(≤0.85)"), ("<=", 0.95, "中低水(0.86-0.95)"), ("<=", 1.0, "中水(0.96-1.00)"), ("<=", 1.1, "中高水(1.01-1.10)")]
+    LEVEL_REST = "高水(>1.10)"
+    WIN_CUTS = [("<", 2.0, "主胜赔率<2.0（强看主）"), ("<", 2.5, "主胜赔率2.0-2.5"), ("<", 3.0, "主胜赔率2.5-3.0（均势）"), ("<", 3.5, "主胜赔率3.0-3.5")]
+    WIN_REST = "主胜赔率>3.5（弱看主）"
+    DRAW_CUTS = [("<", 3.0, "平局赔率<3.0"), ("<", 3.3, "平局赔率3.0-3.3"), ("<", 3.6, "平局赔率3.3-3.6")]
+    DRAW_REST = "平局赔率>3.6"
+    LEVEL_TEXTS, STRICT_TEXTS = ["平手", "平/半", "平手/半球", "0", "0.25"], ["平手", "0"]
+
 
 N = "count(*) AS n, count(*) FILTER (result = 'home') AS home, count(*) FILTER (result = 'draw') AS draw, count(*) FILTER (result = 'away') AS away"
 COVER = "count(*) FILTER (cover = 'home') AS cover_home, count(*) FILTER (cover = 'away') AS cover_away, count(*) FILTER (cover = 'push') AS cover_push"
@@ -36,6 +60,25 @@ _CW = {x: f"({_nz(x + '1')} - {_nz(x + '0')})" for x in ("win", "draw", "lose")}
 _DH = f"({line('asian_current_handicap', 'label')} - {line('asian_initial_handicap', 'label')})"
 _DW = "(hw1 - hw0)"
 LEVEL = f"{WON} AND {_level()}"
+_L0, _L1 = line("asian_initial_handicap", "label"), line("asian_current_handicap", "label")
+_KIND = "CASE WHEN abs(dh) < 0.01::DOUBLE AND abs(dw) < 0.01::DOUBLE THEN '无变化' WHEN dh > 0 AND dw < 0 THEN '升盘降水' WHEN dh > 0 AND dw > 0 THEN '升盘升水' WHEN dh < 0 AND dw > 0 THEN '降盘升水' WHEN dw < 0 THEN '降盘降水' ELSE '降盘升水' END"
+_MOVED = f"""k AS (SELECT match_id, league, match_time, home_team, away_team, CAST(h AS VARCHAR) || '-' || CAST(a AS VARCHAR) AS score, {_L0} AS line0, {_L1} AS line1, hw0 AS water0, hw1 AS water1, {_DH} AS dh, {_DW} AS dw, h, a FROM f WHERE {WON}),
+  c AS (SELECT * EXCLUDE (h, a), {_KIND} AS kind, {sign('(h + line1 - a)', 'home', 'push', 'away')} AS won FROM k WHERE dh IS NOT NULL AND dw IS NOT NULL)"""
+_BY_KIND = "SELECT *, 100.0::DOUBLE * cover_home / n AS win_pct FROM (SELECT kind AS grp, count(*) AS n, count(*) FILTER (won = 'home') AS cover_home, count(*) FILTER (won = 'away') AS cover_away, count(*) FILTER (won = 'push') AS cover_push FROM c GROUP BY 1)"
+_LONG = lambda section, key, measures, body: " UNION ALL ".join(f"SELECT '{section}' AS section, {key} AS grp, '{x}' AS measure, CAST({x} AS DOUBLE) AS value FROM ({body})" for x in measures)
+_RESULTS = ["n", "home", "draw", "away", "home_pct", "draw_pct", "away_pct"]
+_REPORT_SQL = " UNION ALL ".join([
+    _LONG("size", "''", ["finished", "decided"], "SELECT count(*) AS finished, count(result) AS decided FROM f"),
+    _LONG("label", "grp", [*_RESULTS, "cover_home", "cover_away_pct"], grouped("coalesce(nullif(label, ''), '无标签')", cover=True)),
+    _LONG("line", "grp", [*_RESULTS, "cover_home", "cover_away_pct"], grouped(bucket("line", R.LINE_CUTS, R.LINE_REST), cover=True)),
+    _LONG("water", "grp", [*_RESULTS, "cover_home", "cover_away_pct"], grouped(bucket(WATER, R.WATER_CUTS, R.WATER_REST), cover=True)),
+    _LONG("total", "grp", ["n", "over", "under_pct"], f"SELECT *, {OU_PCT} FROM (SELECT {bucket('total', R.TOTAL_CUTS, R.TOTAL_REST)} AS grp, {OU} FROM f WHERE {WON} AND nullif(total, 0) IS NOT NULL GROUP BY 1)"),
+])
+_LEVEL_SQL = " UNION ALL ".join([
+    _LONG("water", "grp", _RESULTS, grouped(bucket(_nz("hw"), R.LEVEL_CUTS, R.LEVEL_REST), where=LEVEL)),
+    _LONG("water_change", "grp", _RESULTS, grouped(bucket(WATER, R.WATER_CUTS, R.LEVEL_WATER_REST), where=LEVEL)),
+    _LONG("league", "grp", _RESULTS, grouped("coalesce(league, '未知')", where=LEVEL, having="n >= 5")),
+])
 
 SQL = {
     "movement_label_results": sql(grouped("coalesce(nullif(label, ''), '无标签')", cover=True, more=f", CAST(list_position({R.LABELS}, grp) AS INTEGER) AS pos")),
@@ -53,6 +96,7 @@ SQL = {
     ),
     "goal_distribution": sql("SELECT goals, count(*) AS n, CASE WHEN goals < 2 THEN '0-1' WHEN goals <= 3 THEN '2-3' ELSE '4+' END AS band, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM f) AS pct FROM f WHERE goals IS NOT NULL GROUP BY goals"),
     "ou_probability": sql(f"SELECT *, {OU_PCT} FROM (SELECT count(total) AS n, count(*) FILTER (ou = 'over') AS over, count(*) FILTER (ou = 'under') AS under, count(*) FILTER (ou = 'push') AS push, count(*) FILTER (total IS NULL) AS no_odds FROM f WHERE {WON} AND goals BETWEEN 1 AND 5)"),
+    "ou_samples_of_league": sql("SELECT match_id, league, match_time, home_team, away_team, goals, total, ou FROM f WHERE result IS NOT NULL AND total IS NOT NULL AND league = 'NATION_3' AND goals BETWEEN 1 AND 4 ORDER BY match_time DESC NULLS LAST, match_id DESC LIMIT 10"),
     "ou_samples": sql("SELECT match_id, league, match_time, home_team, away_team, goals, total, ou FROM f WHERE result IS NOT NULL AND total IS NOT NULL ORDER BY match_time DESC NULLS LAST, match_id DESC LIMIT 10"),
     "ou_by_initial_line": sql(
         f"SELECT *, {OU_PCT} FROM (SELECT league, line_value, {OU} FROM (SELECT league, {sign('(goals - line_value)', 'over', 'push', 'under')} AS ou, line_value FROM (SELECT *, TRY_CAST({present('ou_initial_total')} AS DOUBLE) AS line_value FROM f WHERE {WON}) WHERE line_value IS NOT NULL) GROUP BY 1, 2)"
@@ -72,9 +116,9 @@ SQL = {
         + ", ".join(f"count(*) FILTER (ou = '{x}' AND total <> 0) AS {x}" for x in ("over", "under", "push")) + f" FROM f WHERE {LEVEL})"
     ),
     "level_goal_histogram": sql(f"SELECT goals, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS pct, sum(goals * count(*)) OVER () * 1.0::DOUBLE / sum(count(*)) OVER () AS mean_goals FROM f WHERE {LEVEL} GROUP BY goals"),
-    "movement_categories": sql(
-        f"WITH k AS (SELECT {_DH} AS dh, {_DW} AS dw, {sign('(h + ' + line('asian_current_handicap', 'label') + ' - a)', 'home', 'push', 'away')} AS won FROM f WHERE {WON}), "
-        "c AS (SELECT CASE WHEN abs(dh) < 0.01::DOUBLE AND abs(dw) < 0.01::DOUBLE THEN '无变化' WHEN dh > 0 AND dw < 0 THEN '升盘降水' WHEN dh > 0 AND dw > 0 THEN '升盘升水' WHEN dh < 0 AND dw > 0 THEN '降盘升水' WHEN dw < 0 THEN '降盘降水' ELSE '降盘升水' END AS grp, won FROM k WHERE dh IS NOT NULL AND dw IS NOT NULL) "
-        "SELECT *, 100.0::DOUBLE * cover_home / n AS win_pct FROM (SELECT grp, count(*) AS n, count(*) FILTER (won = 'home') AS cover_home, count(*) FILTER (won = 'away') AS cover_away, count(*) FILTER (won = 'push') AS cover_push FROM c GROUP BY 1)"
-    ),
+    "movement_rows": sql(f"WITH {_MOVED} SELECT * FROM c"),
+    "movement_categories": sql(f"WITH {_MOVED} {_BY_KIND}"),
+    "movement_of_league": sql(f"WITH {_MOVED} {_BY_KIND.replace('FROM c', "FROM c WHERE league = 'NATION_3'")}"),
+    "odds_pattern_report": sql(_REPORT_SQL),
+    "level_ball_report": sql(_LEVEL_SQL),
 }

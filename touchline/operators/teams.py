@@ -11,8 +11,8 @@ from .results import count_of, decided, finished
 
 
 def sides(m: DataFrame) -> DataFrame:
-    """Two rows for each match, one for each team: team, other, at_home, gf, ga, outcome. One explode, no second scan."""
-    h, a = F.col("h"), F.col("a")
+    """Two rows for each match, one for each team: team, other, at_home, gf, ga, outcome; goals are null unless both scores parse. One explode, no second scan."""
+    h, a = (F.when(F.col("goals").isNotNull(), F.col(c)) for c in ("h", "a"))
     one = lambda team, other, home, gf, ga: F.struct(F.col(team).alias("team"), F.col(other).alias("other"), F.lit(home).alias("at_home"), gf.alias("gf"), ga.alias("ga"))
     both = F.explode(F.array(one("home_team", "away_team", True, h, a), one("away_team", "home_team", False, a, h)))
     d = F.col("gf") - F.col("ga")

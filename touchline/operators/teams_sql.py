@@ -9,7 +9,7 @@ SIDES = f"""s AS (SELECT *, CASE WHEN gf > ga THEN 'win' WHEN gf < ga THEN 'loss
   SELECT {_T}, home_team AS team, away_team AS other, h AS gf, a AS ga FROM f UNION ALL SELECT {_T}, away_team, home_team, a, h FROM f))"""
 LAST = SIDES + ", l AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY team ORDER BY match_time DESC NULLS LAST, match_id DESC) <= 10)"
 WDL = "count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'draw') AS draws, count(*) FILTER (outcome = 'loss') AS losses"
-SUMS = "CAST(coalesce(sum(gf), 0) AS BIGINT) AS goals_for, CAST(coalesce(sum(ga), 0) AS BIGINT) AS goals_against"
+SUMS = "CAST(coalesce(sum(gf) FILTER (outcome IS NOT NULL), 0) AS BIGINT) AS goals_for, CAST(coalesce(sum(ga) FILTER (outcome IS NOT NULL), 0) AS BIGINT) AS goals_against"
 _OUL = f"TRY_CAST(coalesce({present('ou_current_total', 'ou_initial_total')}, '2.5') AS DOUBLE)"
 FORM = f"""{LAST}, form AS (SELECT *, {', '.join(f"{k} * 1.0::DOUBLE / matches AS {k}_rate" for k in ('wins', 'draws', 'losses', 'over', 'under'))}, goals_for * 1.0::DOUBLE / matches AS avg_for, goals_against * 1.0::DOUBLE / matches AS avg_against
   FROM (SELECT team, count(*) AS matches, {WDL}, {SUMS}, count(*) FILTER (goals > {_OUL}) AS over, count(*) FILTER (goals < {_OUL}) AS under FROM l GROUP BY team))"""

@@ -1,11 +1,35 @@
-"""The DuckDB side of the queries: the same derived tables and typed view as common table expressions."""
+"""The DuckDB side of the queries: the same derived tables and typed view as common table expressions.
+
+It states its own tables of labels, cuts and columns and imports none from the operators.
+"""
 
 from __future__ import annotations
 
-from .functions.handicap import DIALECTS
-from .normalise import PAIRS
 from .testbed import duckdb_view
 
+#: Handicap labels in quarters of a goal, by dialect.
+_QUARTERS = {
+    "平手": 0, "平/半": 1, "平手/半球": 1, "半球": 2, "半/一": 3, "半球/一球": 3, "一球": 4, "一/球半": 5, "一球/球半": 5, "球半": 6, "球半/两": 7, "球半/两球": 7, "两球": 8, "两/两球半": 9, "两球半": 10,
+    "两球半/三": 11, "两球半/三球": 11, "三球": 12, "三/三球半": 13, "三球半": 14,
+}
+
+
+def _only(*names: str, most: int = 99) -> dict[str, float]:
+    return {k: _QUARTERS[k] / 4 for k in names if _QUARTERS[k] <= most}
+
+
+_PLAIN = ("平手", "平/半", "平手/半球", "半球", "半/一", "半球/一球", "一球", "一/球半", "一球/球半", "球半", "球半/两", "球半/两球", "两球", "两/两球半", "两球半")
+#: dialect: labels, and what becomes of other texts
+_READ = {
+    "label": (_only(*_PLAIN), "digits"), "pattern": (_only(*_PLAIN, "两球半/三", "三球"), "digits"), "level": (_only(*_PLAIN), "digits"), "strict": (_only(*_PLAIN, most=8), "number"),
+    "hint": (_only("平手", "平/半", "半球", "半/一", "一球", "一/球半", "球半", "球半/两", "球半/两球", "两球", "两/两球半", "两球半", "两球半/三", "两球半/三球", "三球", "三/三球半", "三球半"), "signed"),
+    "digits0": ({}, "digits_or_0"), "digits": ({}, "digits"),
+}
+_NUMBERS = {
+    "win": "euro_{}_win", "draw": "euro_{}_draw", "lose": "euro_{}_lose", "hw": "asian_{}_home_odds", "aw": "asian_{}_away_odds", "over": "ou_{}_over_odds", "under": "ou_{}_under_odds",
+    "hh": "hi_{}_home_odds", "hd": "hi_{}_draw_odds", "ha": "hi_{}_away_odds",
+}
+
 
 def present(*texts: str) -> str:
     return f"coalesce({', '.join(f"nullif({t}, '')" for t in texts)})"
@@ -20,7 +44,7 @@ def whole(text: str) -> str:
 
 
 def line(text: str, dialect: str) -> str:
-    labels, unknown, receiving = DIALECTS[dialect]
+    labels, unknown = _READ[dialect]
     t = f"nullif({text}, '')"
     bare = f"replace({t}, '受', '')"
     digits = f"TRY_CAST(nullif(regexp_extract({t}, '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE)"
@@ -49,7 +73,7 @@ def label(h0: str, h1: str, w0: str, w1: str) -> str:
 
 def _typed() -> str:
     first = []
-    for name, pattern in PAIRS.items():
+    for name, pattern in _NUMBERS.items():
         a, b = pattern.format("initial"), pattern.format("current")
         first += [f"{number(a)} AS {name}0", f"{number(b)} AS {name}1", f"{number(present(b, a))} AS {name}"]
     first += [f"{whole('home_score')} AS h", f"{whole('away_score')} AS a", f"{present('asian_current_handicap', 'asian_initial_handicap')} AS line_text"]

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import first_present, leg_result, nonzero
+from ..functions import first_present, leg_result, nonzero, triple
 from ..operators.results import count_of
+from ..store import written
 
 #: The options of a pick.
 ALLOWED = ["win", "draw", "lose", "h_win", "h_draw", "h_lose"]
@@ -18,32 +19,31 @@ def money(c: Column) -> Column:
     return F.sum(F.coalesce(c, F.lit(0.0)).cast("decimal(28,10)")).cast("double")
 
 
-def tickets(legs: DataFrame) -> DataFrame:
-    """One row per bet: group, device, stake, combined odds, its legs in order."""
-    g = legs.groupBy("bet_id").agg(
-        F.first("group_id", ignorenulls=True).alias("group_id"), F.first("device_id").alias("device_id"), F.max("created_at").alias("created_at"), F.max("stake").alias("stake"), F.max("old_status").alias("old_status"),
-        F.array_sort(F.collect_list(F.struct("pos", "mid", "opt", "leg_odds", "leg_handicap"))).alias("items"),
-    )
-    odds = F.aggregate("items", F.lit(1.0), lambda acc, x: acc * x["leg_odds"])
-    kind = F.when(F.size("items") > 1, "parlay").otherwise("single")
-    return g.withColumns({"group_id": F.coalesce("group_id", "bet_id"), "odds": odds, "type": kind})
-
-
-def leg_states(legs: DataFrame, m: DataFrame) -> DataFrame:
+def leg_states(legs: DataFrame, m: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Each leg with its match: won, lost or pending; a match that is missing or not finished leaves it pending."""
-    f = m.select(F.col("match_id").alias("mid"), "status", "h", "a", "hi_handicap_value", "home_team", "away_team", "home_score", "away_score")
+    f = m.select(F.col("match_id").alias("mid"), "status", "h", "a", "hi_handicap_value", *more)
     j = legs.join(f, "mid", "left")
     state = F.when(F.col("status") == 2, leg_result(F.col("h"), F.col("a"), F.col("opt"), F.col("leg_handicap"), F.col("hi_handicap_value"))).otherwise("pending")
     return j.withColumn("leg_state", F.coalesce(state, F.lit("pending")))
 
 
-def settle_bets(legs: DataFrame, m: DataFrame) -> DataFrame:
-    """Every bet with its status: any pending leg keeps it pending, else any lost leg loses it. Settled bets keep their status."""
-    s = leg_states(legs, m).groupBy("bet_id").agg(F.bool_or(F.col("leg_state") == "pending").alias("open"), F.bool_or(F.col("leg_state") == "lost").alias("lost"), F.count("*").alias("legs"))
-    t = tickets(legs).join(s, "bet_id")
-    new = F.when(F.col("old_status") != "pending", F.col("old_status")).when(F.col("open"), "pending").when(F.col("lost"), "lost").otherwise("won")
-    t = t.withColumn("status", new)
-    return t.select("bet_id", "group_id", "device_id", "created_at", "type", "stake", "odds", "legs", "status", F.when(F.col("status") == "won", F.col("stake") * F.col("odds")).when(F.col("status") == "lost", 0.0).alias("actual_return"))
+def settle_bets(legs: DataFrame, m: DataFrame, at: Column | None = None, items: bool = False) -> DataFrame:
+    """Every bet with its status: any pending leg keeps it pending, else any lost leg loses it. Settled bets keep their status.
+
+    One aggregation by bet gathers the legs, at most some tens a ticket, and what they came to. ``at`` adds settled_at for bets
+    that are settled now; ``items`` keeps the nested legs in order.
+    """
+    leg = F.struct("pos", "mid", "opt", "leg_odds", "leg_handicap", "leg_state")
+    g = leg_states(legs, m).groupBy("bet_id").agg(
+        F.max("group_id").alias("group_id"), F.max("device_id").alias("device_id"), F.max("created_at").alias("created_at"), F.max("stake").alias("stake"), F.max("old_status").alias("old_status"), F.max("descr").alias("descr"),
+        F.array_sort(F.collect_list(leg)).alias("items"), F.bool_or(F.col("leg_state") == "pending").alias("open"), F.bool_or(F.col("leg_state") == "lost").alias("lost"),
+    )
+    odds = F.aggregate("items", F.lit(1.0), lambda acc, x: acc * x["leg_odds"])
+    status = F.when(F.col("old_status") != "pending", F.col("old_status")).when(F.col("open"), "pending").when(F.col("lost"), "lost").otherwise("won")
+    g = g.withColumns({"group_id": F.coalesce("group_id", "bet_id"), "odds": odds, "type": F.when(F.size("items") > 1, "parlay").otherwise("single"), "legs": F.size("items").cast("long"), "status": status})
+    returned = F.when(F.col("status") == "won", F.col("stake") * F.col("odds")).when(F.col("status") == "lost", 0.0)
+    more = [] if at is None else [F.when((F.col("old_status") == "pending") & (F.col("status") != "pending"), at).alias("settled_at")]
+    return g.select("bet_id", "group_id", "device_id", "created_at", "type", "descr", "stake", "odds", "legs", "status", returned.alias("actual_return"), *more, *(["items"] if items else []))
 
 
 def bet_stats(settled: DataFrame) -> DataFrame:
@@ -61,44 +61,173 @@ def daily_bet_stats(settled: DataFrame, days: int = 30) -> DataFrame:
 
 
 def bet_groups(settled: DataFrame, limit: int = 50) -> DataFrame:
-    """For each device the newest ``limit`` groups: sums, status, the type of the newest ticket, nested tickets newest first."""
+    """For each device the newest ``limit`` groups: sums, status, description and type of the newest ticket, ticket ids newest first.
+
+    The groups are chosen by their times before anything is gathered, so that only their tickets are.
+    """
     order = F.struct(F.col("created_at").alias("c"), F.col("bet_id").alias("b"))
-    g = settled.groupBy("device_id", "group_id").agg(
+    w = Window.partitionBy("device_id").orderBy(F.desc("newest"), "group_id")
+    chosen = settled.groupBy("device_id", "group_id").agg(F.max("created_at").alias("newest")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).select("device_id", "group_id")
+    g = settled.join(chosen, ["device_id", "group_id"]).groupBy("device_id", "group_id").agg(
         F.max("created_at").alias("created_at"), F.count("*").alias("n"), F.sum("stake").alias("stake"), money(F.col("actual_return")).alias("returned"), F.bool_or(F.col("status") == "pending").alias("open"),
-        F.max_by("type", order).alias("newest_type"), F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(order))), lambda x: x["b"]), ",").alias("tickets"),
+        F.max_by("type", order).alias("newest_type"), F.max_by("descr", order).alias("descr"), F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(order))), lambda x: x["b"]), ",").alias("tickets"),
     )
     state = F.when(F.col("open"), "pending").when(F.col("returned") > 0, "won").otherwise("lost")
-    w = Window.partitionBy("device_id").orderBy(F.desc("created_at"), "group_id")
-    return g.withColumns({"status": state, "rn": F.row_number().over(w)}).where(F.col("rn") <= limit).drop("rn", "open")
+    return g.withColumn("status", state).drop("open")
+
+
+def odds_text(*texts: str) -> Column:
+    """'a/b/c' with '-' for what is absent."""
+    return triple(*[F.col(t) for t in texts])
+
+
+_SHOWN = ("home_team", "away_team", "league", "match_number", "match_time", "home_score", "away_score")
+_MARKETS = {"euro": ("win", "draw", "lose"), "asian": ("home_odds", "handicap", "away_odds"), "hi": ("home_odds", "draw_odds", "away_odds")}
 
 
 def enrich_legs(legs: DataFrame, m: DataFrame) -> DataFrame:
-    """Legs with match information: teams, score text, result; '-:-' where the match is missing."""
-    j = leg_states(legs, m)
-    score = F.when(F.col("home_score").isNull() & F.col("away_score").isNull(), "-:-").otherwise(F.concat(F.coalesce(F.nullif("home_score", F.lit("")), F.lit("-")), F.lit(":"), F.coalesce(F.nullif("away_score", F.lit("")), F.lit("-"))))
-    return j.select("bet_id", "pos", "mid", "opt", "home_team", "away_team", score.alias("score_text"), "leg_state")
-
-
-def normalise_picks(submissions: DataFrame) -> DataFrame:
-    """Options as an array of the allowed ones; a single 1X2 option and a single handicap side become picks; confidence 0 to 100, 90 by default."""
-    options = F.array_distinct(F.filter(F.split("options", ","), lambda x: x.isin(*ALLOWED)))
-    plain, sides = F.filter(options, lambda x: x.isin("win", "draw", "lose")), F.filter(options, lambda x: x.isin("h_win", "h_lose"))
-    names = F.create_map(*[F.lit(x) for p in {"win": "home", "draw": "draw", "lose": "away", "h_win": "home", "h_lose": "away"}.items() for x in p])
-    conf = F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(F.col("confidence").try_cast("int"), F.lit(90))))
-    s = submissions.withColumns({"opts": options, "plain": plain, "sides": sides, "conf": conf})
+    """Legs with their match: teams, league, times, score text, status, the odds of three markets as texts, the result.
+
+    A score that is absent shows as '-'; a missing match gives '-:-' and no odds texts.
+    """
+    texts = [f"{k}_{when}_{p}" for k, parts in _MARKETS.items() for when in ("initial", "current") for p in parts]
+    j = leg_states(legs, m.withColumn("there", F.lit(True)), (*_SHOWN, *texts, "there"))
+    score = F.concat_ws(":", *[F.when(F.col("there"), F.coalesce(F.col(c), F.lit("-"))).otherwise("-") for c in ("home_score", "away_score")])
+    odds = {f"{k}_{short}": F.when(F.col("there"), odds_text(*[f"{k}_{when}_{p}" for p in parts])) for k, parts in _MARKETS.items() for when, short in (("initial", "init"), ("current", "curr"))}
+    line = F.when(F.col("there"), F.coalesce(F.nullif("hi_handicap_value", F.lit("")), F.lit("-")))
+    return j.select("bet_id", "pos", "mid", "opt", "leg_odds", "leg_handicap", *_SHOWN[:5], score.alias("score_text"), F.col("status").alias("match_status"), *[v.alias(k) for k, v in odds.items()], line.alias("hi_value"), "leg_state")
+
+
+def enrich_bet_groups(settled: DataFrame, legs: DataFrame, m: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest groups of each device with their tickets, newest first, and in each ticket its enriched legs in order, all nested."""
+    groups = bet_groups(settled, limit)
+    mine = settled.join(groups.select("device_id", "group_id"), ["device_id", "group_id"])
+    rows = enrich_legs(legs.join(mine.select("bet_id"), "bet_id", "left_semi"), m)
+    items = rows.groupBy("bet_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != "bet_id"]))).alias("items"))
+    order = ["created_at", "bet_id", "type", "descr", "odds", "stake", "status", "actual_return", "items"]
+    nested = mine.join(items, "bet_id", "left").groupBy("device_id", "group_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct(*order)))).alias("bets"))
+    return groups.join(nested, ["device_id", "group_id"])
+
+
+def bets_dashboard(legs: DataFrame, m: DataFrame, device: str | None = None, limit: int = 50, days: int = 30) -> dict[str, DataFrame]:
+    """Settles, then gives the nested groups, the sums and the daily sums of all devices or of one."""
+    legs = legs if device is None else legs.where(F.col("device_id") == device)
+    settled = written(settle_bets(legs, m), "settled")
+    return {"groups": enrich_bet_groups(settled, legs, m, limit), "stats": bet_stats(settled), "daily": daily_bet_stats(settled, days)}
+
+
+def dashboard_rows(legs: DataFrame, m: DataFrame, device: str | None = None) -> DataFrame:
+    """The dashboard as one table: a row for each leg shown, with its ticket's place in its group and the device's sums."""
+    d = bets_dashboard(legs, m, device)
+    g = d["groups"].select("device_id", "group_id", F.col("status").alias("group_status"), F.posexplode("bets").alias("ticket", "b"))
+    g = g.select("device_id", "group_id", "group_status", "ticket", "b.bet_id", F.col("b.status").alias("bet_status"), F.explode("b.items").alias("i"))
+    g = g.select("device_id", "group_id", "group_status", "ticket", "bet_id", "bet_status", "i.pos", "i.mid", "i.score_text", "i.euro_init", "i.asian_curr", "i.hi_value", "i.leg_state")
+    return g.join(d["stats"].select("device_id", F.col("n").alias("all_bets"), "pending", "won"), "device_id")
+
+
+_SIDE = {"win": "home", "draw": "draw", "lose": "away", "h_win": "home", "h_lose": "away"}
+#: The words of the options.
+OPTION_NAMES = {"win": "主胜", "draw": "平", "lose": "客胜", "h_win": "让胜", "h_draw": "让平", "h_lose": "让负"}
+
+
+def option_text(options: Column) -> Column:
+    """The options' words, in order; an unknown option stands for itself."""
+    names = F.create_map(*[F.lit(x) for p in OPTION_NAMES.items() for x in p])
+    return F.transform(options, lambda x: F.coalesce(F.try_element_at(names, x), x))
+
+
+def _options(submissions: DataFrame) -> Column:
+    """An array, a comma-separated text, or the older column ``option``."""
+    kinds = dict(submissions.dtypes)
+    given = F.lit(None).cast("array<string>")
+    if "options" in kinds:
+        given = F.col("options") if kinds["options"].startswith("array") else F.split("options", ",")
+    old = F.when(F.nullif(F.trim("option"), F.lit("")).isNotNull(), F.array(F.trim("option"))) if "option" in kinds else F.lit(None).cast("array<string>")
+    return F.filter(F.coalesce(given, old, F.array().cast("array<string>")), lambda x: x.isin(*ALLOWED))
+
+
+def normalise_picks(submissions: DataFrame, m: DataFrame | None = None) -> DataFrame:
+    """Submissions with a device and an allowed option as picks.
+
+    Options keep their order and repeats. Exactly one distinct 1X2 option becomes the win pick, exactly one handicap side the
+    Asian pick, each with the confidence: 0 to 100, 90 where none or no number is given. With ``m`` picks of unknown matches
+    drop out and the Asian pick gets the current line, else the initial one, else ''.
+    """
+    plain = F.array_distinct(F.filter("opts", lambda x: x.isin("win", "draw", "lose")))
+    sides = F.array_distinct(F.filter("opts", lambda x: x.isin("h_win", "h_lose")))
+    names = F.create_map(*[F.lit(x) for p in _SIDE.items() for x in p])
+    given = F.col("confidence").try_cast("double")
+    conf = F.when(given.isNull() | F.isnan(given), 90.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), given)))
+    s = submissions.withColumns({"opts": _options(submissions), "conf": conf}).where("size(opts) > 0 AND nullif(device_id, '') IS NOT NULL").withColumns({"plain": plain, "sides": sides})
+    if m is not None:
+        s = s.join(m.select("match_id", F.coalesce(F.nullif("asian_current_handicap", F.lit("")), F.col("asian_initial_handicap"), F.lit("")).alias("line_then")), "match_id")
     one = lambda c: F.when(F.size(c) == 1, F.try_element_at(names, F.try_element_at(F.col(c), F.lit(1))))
-    return s.where(F.size("opts") > 0).select("match_id", "device_id", F.array_join("opts", ",").alias("manual_options"), one("plain").alias("manual_win_prediction"), one("sides").alias("manual_asian_prediction"), F.col("conf").alias("manual_confidence"))
+    out = {"manual_options": F.col("opts"), "manual_win_prediction": one("plain"), "manual_win_confidence": F.when(F.size("plain") == 1, F.col("conf")), "manual_asian_prediction": one("sides"), "manual_asian_confidence": F.when(F.size("sides") == 1, F.col("conf"))}
+    if m is not None:
+        out["manual_asian_handicap"] = F.when(F.size("sides") == 1, F.col("line_then"))
+    return s.select("match_id", "device_id", *[v.alias(k) for k, v in out.items()], *(["created_at"] if "created_at" in submissions.columns else []))
+
+
+def upsert_user_picks(old: DataFrame, picks: DataFrame, now: Column) -> DataFrame:
+    """``old`` picks with the new ones merged in by device and match, of which ``picks`` has one each.
+
+    Columns that a new pick leaves null keep the old value. A creation time that comes with the pick is kept, else it is
+    ``now``; the update time is ``now`` for every pick saved.
+    """
+    given = F.coalesce(F.col("created_at"), now) if "created_at" in picks.columns else now
+    new = picks.withColumns({"created_at": given, "updated_at": now})
+    columns = [c for c in old.columns if c not in ("device_id", "match_id")]
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__new"))).alias(c) for c in columns]
+    return both.groupBy("device_id", "match_id").agg(*latest).select(*old.columns)
+
+
+def delete_user_pick(picks: DataFrame, requests: DataFrame) -> DataFrame:
+    """``picks`` without those that a request (device_id, match_id) names."""
+    return picks.join(requests.select("device_id", "match_id").distinct(), ["device_id", "match_id"], "left_anti").select(*picks.columns)
 
 
 def my_picks(submissions: DataFrame, m: DataFrame) -> DataFrame:
-    """Picks of upcoming matches with the odds of each option (euro initial first, index current first) and the lowest of them."""
+    """Picks of upcoming matches: option words, the odds of each option in its place and the lowest of them, both markets as texts and nested.
+
+    Euro odds are the initial ones first, index odds the current ones. A confidence of 0 or none shows as the other one, else 90.
+    """
     c = F.col
-    euro = lambda x: nonzero(first_present(c(f"euro_initial_{x}"), c(f"euro_current_{x}")).try_cast("double"))
-    index = lambda x: nonzero(first_present(c(f"hi_current_{x}_odds"), c(f"hi_initial_{x}_odds")).try_cast("double"))
-    of = dict(zip(ALLOWED, (euro("win"), euro("draw"), euro("lose"), index("home"), index("draw"), index("away")), strict=True))
-    p = normalise_picks(submissions).join(m.where("status = 0"), "match_id").withColumns({f"o_{k}": v for k, v in of.items()})
-    odds = F.array_compact(F.array(*[F.when(F.array_contains(F.split("manual_options", ","), k), c(f"o_{k}")) for k in ALLOWED]))
-    return p.select("match_id", "device_id", "match_time", "manual_options", "manual_confidence", F.array_min(odds).alias("main_odds"), F.size(odds).alias("n_odds"))
+    euro = {x: first_present(c(f"euro_initial_{x}"), c(f"euro_current_{x}")) for x in ("win", "draw", "lose")}
+    index = {x: first_present(c(f"hi_current_{y}_odds"), c(f"hi_initial_{y}_odds")) for x, y in (("win", "home"), ("draw", "draw"), ("lose", "away"))}
+    up = m.where("status = 0").select("match_id", "match_number", "league", "match_time", "home_team", "away_team", c("hi_handicap_value").alias("hi_handicap"), F.struct(*[v.alias(k) for k, v in euro.items()]).alias("e"), F.struct(*[v.alias(k) for k, v in index.items()]).alias("i"))
+    p = normalise_picks(submissions).join(up, "match_id")
+    number = lambda t: t.try_cast("double")
+    of = lambda x: F.when(x == "win", number(c("e.win"))).when(x == "draw", number(c("e.draw"))).when(x == "lose", number(c("e.lose"))).when(x == "h_win", number(c("i.win"))).when(x == "h_draw", number(c("i.draw"))).when(x == "h_lose", number(c("i.lose")))
+    odds = F.array_compact(F.transform("manual_options", of))
+    grid = lambda s: F.struct(*[F.coalesce(number(c(f"{s}.{x}")), F.lit(0.0)).alias(x) for x in ("win", "draw", "lose")])
+    conf = F.coalesce(nonzero(c("manual_win_confidence")), nonzero(c("manual_asian_confidence")), F.lit(90.0))
+    hi = F.struct(F.coalesce(F.nullif("hi_handicap", F.lit("")), F.lit("0")).alias("val"), grid("i").alias("odds"))
+    return p.select(
+        "match_id", "device_id", "match_number", "league", "match_time", "home_team", "away_team", c("manual_options").alias("options"), option_text(c("manual_options")).alias("options_text"), conf.alias("confidence"),
+        triple(*[c(f"e.{x}") for x in ("win", "draw", "lose")]).alias("euro_odds"), "hi_handicap", triple(*[c(f"i.{x}") for x in ("win", "draw", "lose")]).alias("hi_odds"), odds.alias("pick_odds"), F.array_min(odds).alias("main_odds"),
+        F.struct(grid("e").alias("euro"), hi.alias("handicap")).alias("grid_data"),
+    )
+
+
+def my_picks_list(submissions: DataFrame, m: DataFrame, device: str) -> DataFrame:
+    """One device's picks of upcoming matches by match_time."""
+    return my_picks(submissions.where(F.col("device_id") == device), m).orderBy(F.asc_nulls_last("match_time"), "match_id")
+
+
+def append_bets(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """``old`` and ``new`` bets; a new one without an id gets a random one, without a group its own id, without a time ``now``."""
+    bet = F.coalesce("bet_id", F.expr("uuid()"))
+    fresh = new.withColumn("bet_id", bet)
+    fresh = fresh.withColumns({"group_id": F.coalesce("group_id", "bet_id"), "created_at": F.coalesce("created_at", now)})
+    return old.unionByName(fresh, allowMissingColumns=True).select(*old.columns)
+
+
+def update_bets(bets: DataFrame, changes: DataFrame) -> DataFrame:
+    """``bets`` with the non-null columns of ``changes`` (bet_id and some columns, a row a bet) set."""
+    columns = [c for c in changes.columns if c != "bet_id"]
+    j = bets.join(changes.select("bet_id", *[F.col(c).alias(f"__{c}") for c in columns]), "bet_id", "left")
+    return j.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in bets.columns])
 
 
 def delete_bet_group(bets: DataFrame, requests: DataFrame) -> DataFrame:
@@ -117,6 +246,6 @@ def place_bets(submissions: DataFrame) -> DataFrame:
     t = submissions.where("nullif(device_id, '') IS NOT NULL").select("submission_id", "device_id", "created_at", F.posexplode("tickets").alias("pos", "t"))
     kind = F.when(F.size("t.combo") > 1, "parlay").otherwise("single")
     return t.select(
-        F.concat_ws("-", "submission_id", "pos").alias("bet_id"), F.col("submission_id").alias("group_id"), "device_id", kind.alias("type"), F.col("t.combo").alias("items"), "t.desc", "t.odds", "t.stake", "t.multiple",
+        F.concat_ws("-", "submission_id", "pos").alias("bet_id"), F.col("submission_id").alias("group_id"), "device_id", kind.alias("type"), F.col("t.combo").alias("items"), F.col("t.desc").alias("descr"), "t.odds", "t.stake", "t.multiple",
         F.lit("pending").alias("status"), F.lit(0.0).alias("actual_return"), "created_at",
     )

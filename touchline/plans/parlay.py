@@ -1,32 +1,62 @@
-"""Candidates and the search for the best pair.
+"""Candidates and the search for the best pair or combination.
 
-Odds have two places and lie in narrow bands, so there are few distinct values however many candidates there are. Pairs of
-values are ranked first, and only the candidates of the best value pairs are joined: the search never forms all pairs.
+Odds have two places and lie in narrow bands, so there are few distinct values however many candidates there are. The first
+candidates of each value stand for all of them, and the search runs over these few rows: it never forms all pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import pct
+from ..functions import first_present, pct
 from ..operators.results import count_of
 from ..operators.teams import team_profile
+from ..store import small_side, written
 from .bets import money
 
+def _in_order() -> list[Column]:
+    """Candidates as their matches are listed, newest match_time first, and by kind within a match."""
+    return [F.desc_nulls_last("match_time"), F.desc("match_id"), F.asc("k")]
 
-def high_odds_candidates(m: DataFrame) -> DataFrame:
-    """Up to two candidates a match: a side at 1.65 to 1.95 (home before away), and over at 1.70 to 2.00 with a line of 2.5 or more."""
-    win, lose, over, line = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("win0", "lose0", "over0", "total0"))
-    side = F.when(win.between(1.65, 1.95), F.struct(F.lit(1).alias("k"), F.lit("主胜").alias("type"), win.alias("odds"))).when(lose.between(1.65, 1.95), F.struct(F.lit(2).alias("k"), F.lit("客胜").alias("type"), lose.alias("odds")))
-    big = F.when((over + 1.0).between(1.70, 2.0) & (line >= 2.5), F.struct(F.lit(3).alias("k"), F.lit("大球").alias("type"), (over + 1.0).alias("odds")))
-    rows = _upcoming(m).select("match_id", F.explode(F.array_compact(F.array(side, big))).alias("c"))
-    return rows.select("match_id", "c.k", "c.type", "c.odds")
+
+def _price(text: str) -> Column:
+    """The number of a text; 0 for an absent one, null for one that is no number."""
+    return F.coalesce(first_present(F.col(text)), F.lit("0")).try_cast("double")
 
 
 def _upcoming(m: DataFrame) -> DataFrame:
-    return m.where("status = 0").withColumn("total0", F.nullif("ou_initial_total", F.lit("")).try_cast("double"))
+    prices = {"p_win": "euro_initial_win", "p_draw": "euro_initial_draw", "p_lose": "euro_initial_lose", "p_line": "ou_initial_total"}
+    return m.where("status = 0").withColumns({k: _price(v) for k, v in prices.items()} | {"p_over": _price("ou_initial_over_odds") + 1.0})
+
+
+def _known(*names: str) -> Column:
+    test = F.lit(True)
+    for n in names:
+        test = test & F.col(f"p_{n}").isNotNull()
+    return test
+
+
+def _candidate(k: int, name: str, odds: str) -> Column:
+    return F.struct(F.lit(k).alias("k"), F.lit(name).alias("type"), F.col(odds).alias("odds"))
+
+
+def _listed(rows: DataFrame, *choices: Column) -> DataFrame:
+    rows = rows.select("match_id", "match_time", F.explode(F.array_compact(F.array(*choices))).alias("c"))
+    return rows.select("match_id", "match_time", "c.k", "c.type", "c.odds")
+
+
+def high_odds_candidates(m: DataFrame) -> DataFrame:
+    """Up to two candidates a match: a side at 1.65 to 1.95 (home before away), and over at 1.70 to 2.00 with a line of 2.5 or more.
+
+    Home or away odds that are no number leave a match without candidates; a line or over odds that are none cost the over only.
+    """
+    win, lose, over, line = (F.col(f"p_{x}") for x in ("win", "lose", "over", "line"))
+    sides = _known("win", "lose")
+    side = F.when(sides & win.between(1.65, 1.95), _candidate(1, "主胜", "p_win")).when(sides & lose.between(1.65, 1.95), _candidate(2, "客胜", "p_lose"))
+    big = F.when(sides & over.between(1.70, 2.0) & (line >= 2.5), _candidate(3, "大球", "p_over"))
+    return _listed(_upcoming(m), side, big)
 
 
 def _profiled(m: DataFrame) -> DataFrame:
@@ -40,54 +70,69 @@ def _profiled(m: DataFrame) -> DataFrame:
 
 
 def profile_candidates(m: DataFrame) -> DataFrame:
-    """Up to three candidates a match by odds bands and the profiles of both teams; a missing profile counts as rates of 0."""
-    u = _profiled(m)
+    """Up to three candidates a match by odds bands and the profiles of both teams; a missing profile counts as rates of 0.
+
+    A match with odds or a line that are no number has none.
+    """
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    win, lose, over, line = z("win0"), z("lose0"), z("over0"), z("total0")
-    make = lambda k, name, odds: F.struct(F.lit(k).alias("k"), F.lit(name).alias("type"), odds.alias("odds"))
-    home = F.when(win.between(1.5, 2.0) & ((z("home_win") >= 40) | (z("away_loss") >= 40)), make(1, "主胜", win))
-    away = F.when(lose.between(1.5, 2.0) & ((z("away_win") >= 40) | (z("home_loss") >= 40)), make(2, "客胜", lose))
-    big = F.when((over + 1.0).between(1.7, 2.0) & (line >= 2.5) & (((z("home_big") + z("away_big")) / 2 >= 50) | (line >= 3.0)), make(3, "大球", over + 1.0))
-    return u.select("match_id", F.explode(F.array_compact(F.array(home, away, big))).alias("c")).select("match_id", "c.k", "c.type", "c.odds")
+    win, lose, over, line = (F.col(f"p_{x}") for x in ("win", "lose", "over", "line"))
+    home = F.when(win.between(1.5, 2.0) & ((z("home_win") >= 40) | (z("away_loss") >= 40)), _candidate(1, "主胜", "p_win"))
+    away = F.when(lose.between(1.5, 2.0) & ((z("away_win") >= 40) | (z("home_loss") >= 40)), _candidate(2, "客胜", "p_lose"))
+    big = F.when(over.between(1.7, 2.0) & (line >= 2.5) & (((z("home_big") + z("away_big")) / 2 >= 50) | (line >= 3.0)), _candidate(3, "大球", "p_over"))
+    return _listed(_profiled(m).where(_known("win", "lose", "over", "line")), home, away, big)
+
+
+def _cents(odds: Column) -> Column:
+    """Odds as whole hundredths; others than 1.00 to 4.00 or with more places raise an error."""
+    v = F.round(odds * 100).cast("long")
+    good = v.between(100, 400) & (F.abs(odds * 100 - v) < 1e-6)
+    return F.when(good, v).otherwise(F.raise_error(F.lit("odds are of two places from 1.00 to 4.00")).cast("long"))
+
+
+def _first_of_values(candidates: DataFrame, each: int, one_of_match: bool) -> DataFrame:
+    """(v, match_id, k, pos): of each value of the odds the first ``each`` candidates, or matches, in order; at most 301 * each rows."""
+    w = Window.partitionBy("v").orderBy(*_in_order())
+    few = candidates.where("odds IS NOT NULL").select("match_id", "match_time", "k", _cents(F.col("odds")).alias("v"))
+    # a match has at most three candidates: 3 * each rows hold each matches; the limit works before the shuffle
+    few = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= (3 * each if one_of_match else each))
+    if one_of_match:
+        few = few.groupBy("v", "match_id").agg(F.min("k").alias("k"), F.max("match_time").alias("match_time"))
+        few = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= each)
+    place = F.row_number().over(Window.orderBy(*_in_order()))  # a bounded number of rows
+    return written(few.select("v", "match_id", "k", place.alias("pos")), "candidates")
 
 
 def best_pair(candidates: DataFrame, target: float = 3.0, low: float | None = None, high: float | None = None, top: int = 1) -> DataFrame:
-    """The ``top`` pairs of different matches whose product is nearest to ``target``, within [low, high] if given.
+    """The ``top`` pairs of different matches whose product is nearest to ``target``, within [low, high] if given; ties in candidate order.
 
-    Ties go by odds and then by match. Of the candidates with equal odds the first few by match suffice: of any
-    ``3 * top + 3`` of them, which hold at most three of one match, enough pair with different matches.
+    Odds count in hundredths, so that ties are exact. Of the candidates of one value the first ``3 * top + 3`` suffice: a
+    later one has enough earlier ones of other matches that pair as well.
     """
-    values = candidates.select("odds").distinct()  # odds have two places and lie in narrow bands: a bounded list
-    a, b = values.select(F.col("odds").alias("odds_1")), values.select(F.col("odds").alias("odds_2"))
-    product = F.col("odds_1") * F.col("odds_2")
-    near = a.join(F.broadcast(b), F.col("odds_1") <= F.col("odds_2")).withColumn("diff", F.abs(product - target))
-    near = near if low is None else near.where(product.between(low, high))
-    # the first value pairs that can fill the list: each gives at least one pair unless both are of one match
-    near = near.orderBy("diff", "odds_1", "odds_2").limit(50 * top + 50)
-    c1 = candidates.select(F.col("match_id").alias("match_1"), F.col("k").alias("k_1"), F.col("odds").alias("odds_1"))
-    c2 = candidates.select(F.col("match_id").alias("match_2"), F.col("k").alias("k_2"), F.col("odds").alias("odds_2"))
-    firsts = lambda c, i: c.withColumn("rn", F.row_number().over(Window.partitionBy(f"odds_{i}").orderBy(f"match_{i}", f"k_{i}"))).where(f"rn <= {3 * top + 3}").drop("rn")
-    pairs = F.broadcast(near).join(firsts(c1, 1), "odds_1").join(firsts(c2, 2), "odds_2").where("match_1 <> match_2")
-    return pairs.select("match_1", "k_1", "match_2", "k_2", "odds_1", "odds_2", "diff").orderBy("diff", "odds_1", "odds_2", "match_1", "k_1", "match_2", "k_2").limit(top)
+    few = small_side(_first_of_values(candidates, 3 * top + 3, one_of_match=False))
+    side = lambda i: few.select(*[F.col(c).alias(f"{c}_{i}") for c in ("v", "match_id", "k", "pos")])
+    product = F.col("v_1") * F.col("v_2")
+    pairs = side(1).join(side(2), (F.col("pos_1") < F.col("pos_2")) & (F.col("match_id_1") != F.col("match_id_2")))
+    pairs = pairs if low is None else pairs.where(product.between(round(low * 10_000), round(high * 10_000)))
+    pairs = pairs.withColumn("off", F.abs(product - round(target * 10_000))).orderBy("off", "pos_1", "pos_2").limit(top)
+    return pairs.select(F.col("match_id_1").alias("match_1"), "k_1", F.col("match_id_2").alias("match_2"), "k_2", *[(F.col(f"v_{i}") / 100.0).alias(f"odds_{i}") for i in (1, 2)], (F.col("off") / 10_000.0).alias("diff"))
 
 
 def full_analysis_candidates(m: DataFrame) -> DataFrame:
     """At most one candidate a match: home win, else away win, else over, each by its odds band and the profiles of the teams."""
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    win, lose, over, line = z("win0"), z("lose0"), z("over0") + 1.0, z("total0")
-    make = lambda k, name, odds: F.struct(F.lit(k).alias("k"), F.lit(name).alias("type"), odds.alias("odds"))
+    win, lose, over, line = (F.col(f"p_{x}") for x in ("win", "lose", "over", "line"))
     home = win.between(1.65, 1.95) & (z("home_win") >= 50)
     away = lose.between(1.65, 1.95) & (z("away_win") >= 50)
     big = over.between(1.7, 2.0) & (line >= 2.5) & (((z("home_big") + z("away_big")) / 2 >= 50) | (line >= 3.0))
-    pick = F.when(home, make(1, "主胜", win)).when(away, make(2, "客胜", lose)).when(big, make(3, "大球", over))
-    return _profiled(m).select("match_id", pick.alias("c")).where("c IS NOT NULL").select("match_id", "c.k", "c.type", "c.odds")
+    pick = F.when(home, _candidate(1, "主胜", "p_win")).when(away, _candidate(2, "客胜", "p_lose")).when(big, _candidate(3, "大球", "p_over"))
+    return _listed(_profiled(m).where(_known("win", "draw", "lose", "over", "line")), pick)
 
 
 def banker_candidates(m: DataFrame) -> DataFrame:
     """Home wins at 1.30 to 1.60, and over at a fixed 1.85 for lines of 3 or more; matches without home odds above 1.01 give none."""
     home = F.when(F.col("win0").between(1.30, 1.60), F.struct(F.lit(1).alias("k"), F.lit("主胜").alias("type"), F.col("win0").alias("odds")))
-    big = F.when(F.col("total0") >= 3.0, F.struct(F.lit(3).alias("k"), F.lit("大球").alias("type"), F.lit(1.85).alias("odds")))
-    return _upcoming(m).where("win0 > 1.01").select("match_id", F.explode(F.array_compact(F.array(home, big))).alias("c")).select("match_id", "c.k", "c.type", "c.odds")
+    big = F.when(F.col("p_line") >= 3.0, F.struct(F.lit(3).alias("k"), F.lit("大球").alias("type"), F.lit(1.85).alias("odds")))
+    return _listed(_upcoming(m).where("win0 > 1.01"), home, big).drop("match_time")
 
 
 def banker_pair(candidates: DataFrame, apart: bool = False) -> DataFrame:
@@ -111,28 +156,36 @@ def low_odds_backtest(m: DataFrame, low: float = 1.1, high: float = 1.65) -> Dat
     return g.select(F.when(F.col("whole") == 0, F.col("lg")).alias("league"), "whole", "n", "hits", pct(F.col("hits"), F.col("n")).alias("hit_pct"), "returned", pct(F.col("returned") - F.col("n"), F.col("n")).alias("roi_pct"))
 
 
+def low_odds_pick(m: DataFrame, seed: int, n: int = 2, low: float = 1.1, high: float = 1.65) -> DataFrame:
+    """``n`` random finished matches with initial home odds within (low, high), and the product that backing them all returned, else 0.
+
+    The choice follows from ``seed`` and the match ids alone: the smallest hashes are taken.
+    """
+    f = m.where("status = 2 AND result IS NOT NULL").where((F.col("win0") > low) & (F.col("win0") < high))
+    rows = f.select("match_id", F.col("win0").alias("odds"), (F.col("result") == "home").alias("hit"), F.sha2(F.concat_ws(":", F.lit(str(seed)), "match_id"), 256).alias("draw")).orderBy("draw").limit(n)
+    g = rows.agg(F.count("*").alias("legs"), F.array_sort(F.collect_list(F.struct("draw", "match_id", "odds"))).alias("r"), F.bool_and("hit").alias("won"))
+    product = F.aggregate("r", F.lit(1.0), lambda acc, x: acc * x["odds"])
+    return g.where("legs > 0").select("legs", F.array_join(F.transform("r", lambda x: x["match_id"]), ",").alias("matches"), product.alias("product"), F.when(F.col("won"), product).otherwise(0.0).alias("returned"))
+
+
 def n_fold(candidates: DataFrame, n: int = 2, target: float = 3.0) -> DataFrame:
     """The combination of ``n`` different matches, 2 to 5, whose product of odds is nearest to ``target``; none, no row.
 
-    Odds are taken to two places, so products are whole numbers and ties are exact; ties go by odds and then by match.
-    The search runs over the values of the odds, which a band bounds, not over candidates. Of each value the first ``n``
-    matches suffice: a chosen match beyond them can always be replaced by one of them that is free. A combination of values
-    that all have ``n`` matches can surely be filled; only combinations at least as near as the best of those are filled.
-    Odds outside 1.00 to 4.00 raise an error, so that the broadcast tables have at most 301 values.
+    Odds count in hundredths, so that products are whole numbers and ties are exact; ties go to the combination that comes
+    first in candidate order, and its legs stand in that order. The search runs over the values of the odds. Of each value
+    the first ``n`` matches suffice: a chosen match beyond them can always be replaced by an earlier one that is free. A
+    combination of values that all have ``n`` matches can surely be filled; only combinations at least as near as the best
+    of those are filled. Odds outside 1.00 to 4.00 raise an error, so that the broadcast tables have at most 301 values.
     """
     if not 2 <= n <= 5:
         raise ValueError("n is 2 to 5")
-    cents = F.round(F.col("odds") * 100).cast("long")
-    cents = F.when(cents.between(100, 400), cents).otherwise(F.raise_error(F.lit("odds outside 1.00 to 4.00")).cast("long"))
-    # a match has at most three candidates: 3n rows hold n matches; the limit works before the shuffle
-    w = Window.partitionBy("v")
-    few = candidates.where("odds IS NOT NULL").select("match_id", "k", cents.alias("v")).withColumn("rn", F.row_number().over(w.orderBy("match_id", "k"))).where(F.col("rn") <= 3 * n)
-    few = few.groupBy("v", "match_id").agg(F.min("k").alias("k")).withColumn("rn", F.row_number().over(w.orderBy("match_id"))).where(F.col("rn") <= n)
-    values = few.groupBy("v").agg(F.count("*").alias("m"))
+    few = _first_of_values(candidates, n, one_of_match=True)
+    values = written(few.groupBy("v").agg(F.count("*").alias("m")), "values")
+    few, values = small_side(few), small_side(values)
     one = lambda i: values.select(F.col("v").alias(f"v_{i}"), F.col("m").alias(f"m_{i}"))
     t = one(1)
     for i in range(2, n + 1):
-        t = t.join(F.broadcast(one(i)), F.col(f"v_{i - 1}") <= F.col(f"v_{i}"))
+        t = t.join(one(i), F.col(f"v_{i - 1}") <= F.col(f"v_{i}"))
         t = t.repartition("v_1", "v_2") if i == 2 and n > 3 else t
     product = F.col("v_1")
     for i in range(2, n + 1):
@@ -142,14 +195,14 @@ def n_fold(candidates: DataFrame, n: int = 2, target: float = 3.0) -> DataFrame:
     bound = t.where("sure").agg(F.min("off").alias("bound"))  # one row
     t = t.join(F.broadcast(bound), F.col("bound").isNull() | (F.col("off") <= F.col("bound")))
     for i in range(1, n + 1):
-        c = few.select(F.col("v").alias(f"v_{i}"), F.col("match_id").alias(f"match_{i}"), F.col("k").alias(f"k_{i}"))
-        t = t.join(F.broadcast(c), f"v_{i}")
+        t = t.join(few.select(F.col("v").alias(f"v_{i}"), F.struct("pos", "match_id", "k", "v").alias(f"leg_{i}")), f"v_{i}")
         for j in range(1, i):
-            a, b = F.col(f"match_{j}"), F.col(f"match_{i}")
-            t = t.where((a != b) & ((F.col(f"v_{j}") != F.col(f"v_{i}")) | (a < b)))
-    order = ["off", *[f"v_{i}" for i in range(1, n + 1)], *[f"match_{i}" for i in range(1, n + 1)]]
+            a, b = F.col(f"leg_{j}"), F.col(f"leg_{i}")
+            t = t.where((a["match_id"] != b["match_id"]) & ((F.col(f"v_{j}") != F.col(f"v_{i}")) | (a["pos"] < b["pos"])))
+    t = t.select("off", "product", F.array_sort(F.array(*[f"leg_{i}" for i in range(1, n + 1)])).alias("legs")).orderBy("off", "legs").limit(1)
+    leg = lambda i: F.element_at("legs", i)
     scale = float(100**n)
-    return t.orderBy(*order).limit(1).select(
-        *[F.col(f"{c}_{i}") for i in range(1, n + 1) for c in ("match", "k")], *[(F.col(f"v_{i}") / 100.0).alias(f"odds_{i}") for i in range(1, n + 1)],
+    return t.select(
+        *[leg(i)[c].alias(f"{name}_{i}") for i in range(1, n + 1) for c, name in (("match_id", "match"), ("k", "k"))], *[(leg(i)["v"] / 100.0).alias(f"odds_{i}") for i in range(1, n + 1)],
         (F.col("product") / scale).alias("product"), (F.col("off") / scale).alias("diff"),
     )

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import asian_movement, asian_result, euro_movement, first_present, nonzero, ou_result, parse_handicap, pct
+from ..functions import asian_movement, asian_result, confidence_mark, euro_movement, first_present, fixed, nonzero, ou_result, parse_handicap, pct, stars
 from ..operators.leagues import league_goal_average
+from ..operators.lists import movement_eligible
 from ..operators.results import count_of, ou_stats_by_league_line
 from ..operators.teams import team_form
 
@@ -25,7 +26,7 @@ DRAW_LEAGUES = ["意甲", "德乙", "西甲", "法乙"]
 
 def with_form(m: DataFrame, n: int = 10) -> DataFrame:
     """Upcoming matches that have odds, with the form of both sides; a team without finished matches has none."""
-    form = team_form(m, n).select("team", "matches", "wins_rate", "over_rate", "avg_for", "avg_against")
+    form = team_form(m, n).select("team", "matches", "wins_rate", "over_rate", "under_rate", "avg_for", "avg_against")
     up = m.where("status = 0").where(first_present(F.col("euro_current_win"), F.col("euro_initial_win")).isNotNull())
     for side in ("home", "away"):
         own = form.select(F.col("team").alias(f"{side}_team"), *[F.col(c).alias(f"{side}_{c}") for c in form.columns[1:]])
@@ -64,11 +65,10 @@ def predict_over_under(over: Column, under: Column, home_rate: Column, away_rate
     return F.struct(pick.alias("pick"), F.when(backed, F.least(conf + 10, F.lit(75))).otherwise(conf).cast("double").alias("confidence"))
 
 
-def predict_score(winner: Column, home_for: Column, home_against: Column, away_for: Column, away_against: Column) -> Column:
-    """struct<home, away>: half-even rounded means, the winner ahead by one, a draw level at no less than 1."""
+def predict_score(winner: Column, home_for: Column, away_for: Column) -> Column:
+    """struct<home, away>: each side's mean of own goals rounded half to even, the winner ahead by one, a draw level at no less than 1."""
     known = home_for.isNotNull() & away_for.isNotNull()
-    h = F.bround((home_for + away_against) / 2, 0).cast("int")
-    a = F.bround((away_for + home_against) / 2, 0).cast("int")
+    h, a = F.bround(home_for, 0).cast("int"), F.bround(away_for, 0).cast("int")
     level = F.greatest(F.lit(1), F.least(h, a))
     home = F.when(~known, F.when(winner == "home", 2).when(winner == "away", 0).otherwise(1)).when(winner == "home", F.when(h <= a, a + 1).otherwise(h)).when(winner == "draw", level).otherwise(h)
     away = F.when(~known, F.when(winner == "home", 0).when(winner == "away", 2).otherwise(1)).when(winner == "away", F.when(a <= h, h + 1).otherwise(a)).when(winner == "draw", level).otherwise(a)
@@ -82,7 +82,7 @@ def predict_upcoming(m: DataFrame) -> DataFrame:
         "w": predict_winner(c("win"), c("draw"), c("lose"), c("home_wins_rate"), c("away_wins_rate")),
         "s": predict_asian(c("hw"), c("aw")), "g": predict_over_under(c("over"), c("under"), c("home_over_rate"), c("away_over_rate")),
     })
-    p = p.withColumn("r", predict_score(c("w.pick"), c("home_avg_for"), c("home_avg_against"), c("away_avg_for"), c("away_avg_against")))
+    p = p.withColumn("r", predict_score(c("w.pick"), c("home_avg_for"), c("away_avg_for")))
     return p.select(
         "match_id", "league", "match_time", "home_team", "away_team", c("w.pick").alias("win_prediction"), c("w.confidence").alias("win_confidence"), c("s.pick").alias("asian_prediction"), c("s.confidence").alias("asian_confidence"),
         c("line_text").alias("asian_handicap"), c("g.pick").alias("ou_prediction"), c("g.confidence").alias("ou_confidence"), c("total").alias("ou_total"), c("r.home").alias("predicted_home_score"), c("r.away").alias("predicted_away_score"),
@@ -109,42 +109,91 @@ def _best(home: Column, draw: Column, away: Column) -> Column:
     return F.struct(order[0]["name"].alias("pick"), F.least(F.lit(90), 50 + 8 * (top - second) + 3 * top).alias("confidence"))
 
 
-def daily_predictions(m: DataFrame) -> DataFrame:
-    """Result, index market and goal band of each upcoming match, from odds, their movement and league goal averages."""
-    avg = league_goal_average(m).where("n >= 10").select("league", "avg_goals")
-    u = m.where("status = 0").join(avg, "league", "left").withColumn("avg", F.coalesce("avg_goals", F.lit(2.8)))
+#: The words of the picks.
+RESULT_NAMES, INDEX_NAMES = {"home": "主胜", "draw": "平局", "away": "客胜"}, {"home": "让胜", "draw": "让平", "away": "让负"}
+
+
+def _texts(*rules: tuple[Column, Column | str]) -> Column:
+    """The texts whose test holds, in order."""
+    return F.array_compact(F.array(*[F.when(test, text if isinstance(text, Column) else F.lit(text)) for test, text in rules]))
+
+
+def _with(text: str, number: Column, places: int = 2) -> Column:
+    return F.concat(F.lit(text), fixed(number, places))
+
+
+def _result_market() -> dict[str, Column]:
+    """Scores of the three results; without all three current odds only movement and league count."""
     nz = lambda c: nonzero(F.col(c))
     w, d, l = nz("win1"), nz("draw1"), nz("lose1")
-    dw, dl = nz("win0") - w, nz("lose0") - l
-    home = _chain((w < 1.5, 4), (w < 1.7, 3), (w < 2.0, 2)) + _chain((dw > 0.15, 2), (dw < -0.12, -1))
-    away = F.when(w > 2.6, 2).otherwise(0) + _chain((l < 1.7, 4), (l < 2.0, 3), (l < 2.3, 2)) + F.when(dl > 0.15, 2).otherwise(0)
-    draw = _chain((d < 3.1, 2), (d > 3.6, -1)) + F.when(F.col("league").isin(*DRAW_LEAGUES), 2).otherwise(0)
-    result = _best(home, draw, away)
+    whole = w.isNotNull() & d.isNotNull() & l.isNotNull()
+    dw, dl, league = nz("win0") - w, nz("lose0") - l, F.col("league").isin(*DRAW_LEAGUES)
+    home = F.when(whole, _chain((w < 1.5, 4), (w < 1.7, 3), (w < 2.0, 2))).otherwise(0) + _chain((dw > 0.15, 2), (dw < -0.12, -1))
+    away = F.when(whole, F.when(w > 2.6, 2).otherwise(0) + _chain((l < 1.7, 4), (l < 2.0, 3), (l < 2.3, 2))).otherwise(0) + F.when(dl > 0.15, 2).otherwise(0)
+    draw = F.when(whole, _chain((d < 3.1, 2), (d > 3.6, -1))).otherwise(0) + F.when(league, 2).otherwise(0)
+    said = _texts(
+        (whole & (w < 1.5), _with("主胜赔极低", w)), (whole & (w >= 1.5) & (w < 1.7), _with("主胜赔低", w)), (whole & (w > 2.6), _with("主胜赔高", w)),
+        (whole & (l < 1.7), _with("客胜赔极低", l)), (whole & (l >= 1.7) & (l < 2.0), _with("客胜赔低", l)), (whole & (d < 3.1), _with("平赔低", d)),
+        (dw > 0.15, "主胜赔降"), (dl > 0.15, "客胜赔降"), (league, "高平局联赛"),
+    )
+    return {"result_p": _best(home, draw, away), "result_reasons": said}
+
+
+def _index_market() -> dict[str, Column]:
+    """Scores of the three-way index; null without all three current odds."""
+    nz = lambda c: nonzero(F.col(c))
     a, b, c = nz("hh1"), nz("hd1"), nz("ha1")
-    low, whole = F.least(a, b, c), a.isNotNull() & b.isNotNull() & c.isNotNull()
-    line = F.col("index_line")
-    ih = _points((a == low, 3)) + _chain((a < 1.8, 3), (a < 2.1, 2)) + F.when(nz("hh0") - a > 0.15, 2).otherwise(0)
-    idr = _points((b == low, 3)) + _chain((b < 3.0, 2), (b < 3.5, 1)) + F.when(nz("hd0") - b > 0.15, 2).otherwise(0) + F.when(line == 0, 1).otherwise(0)
-    ia = _points((c == low, 3)) + _chain((c < 1.8, 3), (c < 2.2, 2)) + F.when(nz("ha0") - c > 0.15, 2).otherwise(0) + F.when(F.abs(line) >= 2, 1).otherwise(0)
-    index = _best(ih, idr, ia)
-    second = F.element_at(F.array_sort(F.array(a, b, c)), 2)
-    bonus = F.when(second - low > 0.5, 10).otherwise(0)
-    t, over, under, mean = nz("total"), nz("over1"), nz("under1"), F.col("avg")
-    bands = [(t <= 2.0, "0-1", 85), (t <= 2.25, "1-2", 78), (t <= 2.5, None, 72), (t <= 2.75, "2-3", 75), (t <= 3.0, None, 0), (t <= 3.5, "3-4", 68), (t.isNotNull(), "4-6", 60)]
-    special = {2: (F.when(mean < 2.5, "1-2").otherwise("2-3"), F.lit(72)), 4: (F.when(mean >= 3, "3-4").otherwise("2-3"), F.when(mean >= 3, 75).otherwise(70))}
-    band = conf = None
-    for i, (test, name, points) in enumerate(bands):
-        v, p = special.get(i, (F.lit(name), F.lit(points)))
-        band, conf = (F.when(test, v), F.when(test, p)) if band is None else (band.when(test, v), conf.when(test, p))
-    band, conf = band.otherwise(F.when(mean >= 3.2, "3-4").when(mean <= 2.4, "1-2").otherwise("2-3")), conf.otherwise(F.when((mean >= 3.2) | (mean <= 2.4), 65).otherwise(60))
-    u = u.withColumns({"result_p": result, "index_p": index, "band0": band, "conf0": conf})
-    by_over, by_under = t.isNotNull() & (over < 0.82), t.isNotNull() & (under < 0.82) & ~F.coalesce(over < 0.82, F.lit(False))
-    up, down = by_over & (F.col("band0") == "2-3"), by_under & F.col("band0").isin("2-3", "3-4")
-    goal_band = F.when(up, "3-4").when(down & (F.col("band0") == "2-3"), "1-2").when(down, "2-3").otherwise(F.col("band0"))
-    goal_conf = F.least(F.lit(90), F.col("conf0") + F.when(up | down, 5).otherwise(0))
+    low, whole, line = F.least(a, b, c), a.isNotNull() & b.isNotNull() & c.isNotNull(), F.col("index_line")
+    drops = [nz(f"{x}0") - y > 0.15 for x, y in (("hh", a), ("hd", b), ("ha", c))]
+    home = _points((a == low, 3)) + _chain((a < 1.8, 3), (a < 2.1, 2)) + F.when(drops[0], 2).otherwise(0)
+    draw = _points((b == low, 3)) + _chain((b < 3.0, 2), (b < 3.5, 1)) + F.when(drops[1], 2).otherwise(0) + F.when(line == 0, 1).otherwise(0)
+    away = _points((c == low, 3)) + _chain((c < 1.8, 3), (c < 2.2, 2)) + F.when(drops[2], 2).otherwise(0) + F.when(F.abs(line) >= 2, 1).otherwise(0)
+    bonus = F.when(F.element_at(F.array_sort(F.array(a, b, c)), 2) - low > 0.5, 10).otherwise(0)
+    depth = F.concat(F.lit("深让"), F.abs(line.cast("int")).cast("string"), F.lit("球"))
+    said = _texts(
+        (a < 1.8, _with("让胜赔低", a)), (b < 3.0, _with("让平赔低", b)), (c < 1.8, _with("让负赔低", c)), ((c >= 1.8) & (c < 2.2), _with("让负赔较低", c)),
+        (drops[0], "让胜赔降"), (drops[1], "让平赔降"), (drops[2], "让负赔降"), (F.abs(line) >= 2, depth), (F.abs(line) == 1, "让1球"), (line == 0, "平手盘"),
+    )
+    return {"index_p": F.when(whole, _best(home, draw, away)), "index_bonus": bonus, "hi_reasons": F.when(whole, said).otherwise(F.array().cast("array<string>"))}
+
+
+def _goal_market() -> dict[str, Column]:
+    """Band and confidence by the line and the league's mean goals; low over odds raise the band, else low under odds lower it."""
+    t, over, under, mean = (nonzero(F.col(c)) for c in ("total", "over", "under", "avg"))
+    # (test, band, confidence, text and the number in it)
+    rules = [
+        (t <= 2.0, "0-1", 85, _with("极低盘口", t, 1)), (t <= 2.25, "1-2", 78, _with("低盘口", t, 1)),
+        ((t <= 2.5) & (mean < 2.5), "1-2", 72, F.concat(_with("盘口", t, 1), F.lit("+低进球联赛"))), (t <= 2.5, "2-3", 72, _with("盘口", t, 1)), (t <= 2.75, "2-3", 75, _with("盘口", t, 1)),
+        ((t <= 3.0) & (mean >= 3.0), "3-4", 75, _with("高进球联赛+盘口", t, 1)), (t <= 3.0, "2-3", 70, _with("盘口", t, 1)), (t <= 3.5, "3-4", 68, _with("高盘口", t, 1)), (t.isNotNull(), "4-6", 60, _with("极高盘口", t, 1)),
+        (mean >= 3.2, "3-4", 65, _with("高进球联赛", mean, 1)), (mean <= 2.4, "1-2", 65, _with("低进球联赛", mean, 1)), (F.lit(True), "2-3", 60, _with("联赛场均", mean, 1)),
+    ]
+    rule = None
+    for test, band, conf, text in rules:
+        value = F.struct(F.lit(band).alias("band"), F.lit(conf).alias("conf"), text.alias("text"))
+        rule = F.when(test, value) if rule is None else rule.when(test, value)
+    priced = t.isNotNull() & over.isNotNull() & under.isNotNull()
+    return {"goal_rule": rule, "by_over": F.coalesce(priced & (over < 0.82), F.lit(False)), "by_under": F.coalesce(priced & (over >= 0.82) & (under < 0.82), F.lit(False))}
+
+
+def daily_predictions(m: DataFrame, day: str | None = None) -> DataFrame:
+    """Result, index market and goal band of each upcoming match (of ``day``, an owner_date), from odds, their movement and league means.
+
+    A league of fewer than ten decided matches counts as one of 2.8 goals a match. Reasons are arrays in the order of the rules.
+    """
+    avg = league_goal_average(m).where("n >= 10").select("league", "avg_goals")
+    u = m.where("status = 0")
+    u = u.where(F.col("owner_date") == day) if day else u
+    u = u.join(avg, "league", "left").withColumn("avg", F.coalesce("avg_goals", F.lit(2.8)))
+    u = u.withColumns(_result_market() | _index_market() | _goal_market())
+    up, down = F.col("by_over"), F.col("by_under")
+    band = F.col("goal_rule.band")
+    goal_band = F.when(up & (band == "2-3"), "3-4").when(down & (band == "2-3"), "1-2").when(down & (band == "3-4"), "2-3").otherwise(band)
+    goal_conf = F.least(F.lit(90), F.col("goal_rule.conf") + F.when(up | down, 5).otherwise(0))
+    goal_reasons = F.array_compact(F.array(F.col("goal_rule.text"), F.when(up, "大球低水").when(down, "小球低水")))
+    hi = F.when(F.col("index_p").isNotNull(), F.least(F.lit(90), F.col("index_p.confidence") + F.col("index_bonus"))).otherwise(0)
     return u.select(
-        "match_id", "league", "match_time", "home_team", "away_team", F.col("result_p.pick").alias("result_pick"), F.col("result_p.confidence").cast("int").alias("result_conf"),
-        F.when(whole, F.col("index_p.pick")).alias("hi_pick"), F.when(whole, F.least(F.lit(90), F.col("index_p.confidence") + bonus)).otherwise(0).cast("int").alias("hi_conf"), goal_band.alias("goal_band"), goal_conf.cast("int").alias("goal_conf"),
+        "match_id", "league", "match_time", "home_team", "away_team", F.col("result_p.pick").alias("result_pick"), F.col("result_p.confidence").cast("int").alias("result_conf"), "result_reasons",
+        F.col("index_p.pick").alias("hi_pick"), hi.cast("int").alias("hi_conf"), "hi_reasons", goal_band.alias("goal_band"), goal_conf.cast("int").alias("goal_conf"), goal_reasons.alias("goal_reasons"),
     )
 
 
@@ -157,10 +206,10 @@ def daily_top(m: DataFrame, k: int = 3) -> DataFrame:
 
 
 def predict_by_patterns(m: DataFrame, day: str | None = None, features: dict[str, list[str]] | None = None) -> DataFrame:
-    """Scores for home, draw and away from odds, line, water, label and the leagues' features; reasons are counted."""
+    """Scores for home, draw and away from odds, line, water, label and the leagues' features, with the reasons in the order of the rules."""
     u = m.where("status = 0")
     u = u.where(F.contains("match_time", F.lit(day))) if day else u
-    has = {k: F.col("league").isin(*v) for k, v in (features or FEATURE_LEAGUES).items()}
+    has = {k: F.coalesce(F.col("league").isin(*v), F.lit(False)) for k, v in (features or FEATURE_LEAGUES).items()}
     nz = lambda c: nonzero(F.col(c))
     win, lose, drop = nz("win"), nz("lose"), F.when(nz("lose").isNotNull(), nz("win") - nz("win0"))
     line, hw, water, label, total = parse_handicap(F.col("line_text"), "level"), nz("hw"), nz("hw") - nz("hw0"), F.col("label"), nz("total")
@@ -179,17 +228,37 @@ def predict_by_patterns(m: DataFrame, day: str | None = None, features: dict[str
     parts_draw = [l_draw]
     parts_away = [e_away, F.when(trapped, 20).otherwise(0), l_away, F.when(w_up, 10).otherwise(0), b_away]
     home, draw, away = (sum(p, F.lit(0)) for p in (parts_home, parts_draw, parts_away))
-    tests = [e_home > 0, e_away > 0, drop < -0.15, level & hw.between(1.01, 1.10), level & (has["level_draw"] | has["level_away"]), line >= 1.5, line <= -1.5, w_down, w_up, label.isin("升盘降水", "降盘降水"), total.isNotNull() & (has["high_goals"] | has["low_goals"]), total.isNotNull() & level]
-    reasons = sum((F.when(t, 1).otherwise(0) for t in tests), F.lit(0))
+    text = lambda c: c.cast("string")
+    by = lambda head, c: F.concat(F.lit(head), fixed(F.abs(c)))
+    lg, shown = F.col("league"), F.col("line_text")
+    has_line = F.coalesce(label.isin("升盘降水", "降盘降水"), F.lit(False))
+    reasons = _texts(
+        (e_home == 30, F.concat(F.lit("欧赔主胜"), text(win), F.lit("极低，强看主"))), (e_home == 15, F.concat(F.lit("欧赔主胜"), text(win), F.lit("偏低"))),
+        (e_away == 30, F.concat(F.lit("欧赔客胜"), text(lose), F.lit("极低，强看客"))), (e_away == 15, F.concat(F.lit("欧赔客胜"), text(lose), F.lit("偏低"))),
+        (trapped, F.concat(lg, by("主赔降", drop), F.lit("，诱盘信号，反向博客"))), (dropped, by("主赔降", drop)),
+        (level & hw.between(1.01, 1.10), F.concat(F.lit("平手盘中高水"), text(hw), F.lit("，高平局概率"))),
+        (level & has["level_draw"], F.concat(lg, F.lit("平手盘高平局"))), (level & ~has["level_draw"] & has["level_away"], F.concat(lg, F.lit("平手盘客胜率高"))),
+        (line >= 1.5, F.concat(F.lit("深盘"), shown, F.lit("，博受让"))), (line <= -1.5, F.concat(F.lit("反向深盘"), shown, F.lit("，博让方"))),
+        (w_down & has["water_down"], F.concat(by("降水", water), F.lit("，"), lg, F.lit("降水信号强"))), (w_down & ~has["water_down"], by("主水降", water)), (w_up, by("主水升", water)),
+        (has_line & (label == "升盘降水"), "升盘降水，机构看好主队"), (has_line & (label == "降盘降水"), "降盘降水，机构看好客队"),
+        (total.isNotNull() & has["high_goals"], F.concat(lg, F.lit("高进球联赛，倾向大球"))), (total.isNotNull() & ~has["high_goals"] & has["low_goals"], F.concat(lg, F.lit("低进球联赛，倾向小球"))),
+        (total.isNotNull() & level, "平手盘比赛胶着，倾向小球"),
+    )
+    warnings = _texts((trapped, "诱盘联赛"), (label.isin("升盘升水", "降盘升水"), F.concat(label, F.lit("可能诱盘"))))
     asian = F.when(w_down & has["water_down"], "让胜").when(line >= 1.5, "受让方").when(line <= -1.5, "让方")
     ou = F.when(total.isNotNull(), F.when(level, "小球").when(has["high_goals"], "大球").when(has["low_goals"], "小球"))
     top = F.greatest(home, draw, away)
-    u = u.withColumns({"hs": home, "ds": draw, "as_": away, "top": top, "reasons": reasons})
+    u = u.withColumns({"hs": home, "ds": draw, "as_": away, "top": top, "reason_texts": reasons, "warning_texts": warnings}).withColumn("reasons", F.size("reason_texts"))
     pick = F.when(F.col("top") <= 0, "难以判断").when(F.col("hs") == F.col("top"), "home").when(F.col("as_") == F.col("top"), "away").otherwise("draw")
     conf = F.when(pick == "难以判断", 40).when(pick == "draw", F.least(F.lit(85), 50 + F.col("top"))).otherwise(F.least(F.lit(90), 50 + F.col("top")))
     conf = F.when((pick != "难以判断") & (F.col("reasons") < 2), F.greatest(F.lit(40), conf - 20)).otherwise(conf)
-    warn = trapped | label.isin("升盘升水", "降盘升水")
-    return u.select("match_id", "league", "match_time", F.col("hs").alias("home_score_points"), F.col("ds").alias("draw_points"), F.col("as_").alias("away_points"), pick.alias("pick"), conf.alias("confidence"), "reasons", asian.alias("asian_pick"), ou.alias("ou_pick"), F.coalesce(warn, F.lit(False)).alias("warning"))
+    return u.select("match_id", "league", "match_time", F.col("hs").alias("home_score_points"), F.col("ds").alias("draw_points"), F.col("as_").alias("away_points"), pick.alias("pick"), conf.cast("int").alias("confidence"), "reasons", asian.alias("asian_pick"), ou.alias("ou_pick"), (F.size("warning_texts") > 0).alias("warning"), "reason_texts", "warning_texts")
+
+
+def pattern_report(m: DataFrame, **options) -> DataFrame:
+    """Pattern predictions as lists show them: stars, mark, and the first three reasons and all warnings as texts."""
+    p = predict_by_patterns(m, **options)
+    return p.select("match_id", "pick", "confidence", stars(F.col("confidence")).alias("stars"), confidence_mark(F.col("confidence")).alias("mark"), F.concat_ws(" | ", F.slice("reason_texts", 1, 3)).alias("reason_text"), F.concat_ws(", ", "warning_texts").alias("warning_text"))
 
 
 def pattern_recommendations(m: DataFrame, **options) -> DataFrame:
@@ -203,12 +272,13 @@ def pattern_recommendations(m: DataFrame, **options) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 5 AND rn <= k").select("section", "match_id", "pick", "confidence")
 
 
-def movement_report(m: DataFrame, api: bool = True) -> DataFrame:
-    """Euro and Asian movement of every match."""
+def movement_report(m: DataFrame, api: bool = True, eligible: bool = False) -> DataFrame:
+    """Euro and Asian movement of every match, or of those with all six euro odds or both Asian lines only."""
+    m = m.join(movement_eligible(m).select("match_id"), "match_id", "left_semi") if eligible else m
     c = F.col
     e = euro_movement((c("win0"), c("win1")), (c("draw0"), c("draw1")), (c("lose0"), c("lose1")))
     s = asian_movement((c("asian_initial_handicap"), c("asian_current_handicap")), (c("asian_initial_home_odds"), c("asian_current_home_odds")), (c("asian_initial_away_odds"), c("asian_current_away_odds")), api)
-    return m.withColumns({"e": e, "s": s}).select("match_id", c("e.win").alias("win_change"), c("e.draw").alias("draw_change"), c("e.lose").alias("lose_change"), F.size("e.texts").alias("n_texts"), c("e.tendency").alias("tendency"), c("s.line").alias("line_change"), c("s.home").alias("home_change"), c("s.away").alias("away_change"), c("s.rule").alias("asian_rule"))
+    return m.withColumns({"e": e, "s": s}).select("match_id", c("e.win").alias("win_change"), c("e.draw").alias("draw_change"), c("e.lose").alias("lose_change"), F.size("e.texts").alias("n_texts"), F.concat_ws("；", c("e.texts")).alias("texts"), c("e.tendency").alias("tendency"), c("s.line").alias("line_change"), c("s.home").alias("home_change"), c("s.away").alias("away_change"), c("s.rule").alias("asian_rule"))
 
 
 def review_predictions(m: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -227,12 +297,13 @@ def review_predictions(m: DataFrame, predictions: DataFrame) -> DataFrame:
     p = p.withColumns(ok)
     valid = F.array_compact(F.array(*[c(k) for k in ok]))
     p = p.withColumns({"total_predictions": F.size(valid), "correct_count": F.size(F.filter(valid, lambda x: x))}).where("total_predictions > 0")
-    return p.select("match_id", "league", c("h").alias("actual_home_score"), c("a").alias("actual_away_score"), c("result").alias("actual_winner"), *[F.coalesce(c(k), F.lit(False)).alias(k) for k in ok], "correct_count", "total_predictions", pct(c("correct_count"), c("total_predictions")).alias("accuracy"))
+    return p.select("match_id", "league", c("h").alias("actual_home_score"), c("a").alias("actual_away_score"), c("result").alias("actual_winner"), *[F.coalesce(c(k), F.lit(False)).alias(k) for k in ok], "correct_count", "total_predictions", pct(c("correct_count"), c("total_predictions")).alias("accuracy"), (first_present(c("manual_win_prediction")).isNotNull() | first_present(c("manual_asian_prediction")).isNotNull()).alias("is_manual"))
 
 
-def review_summary(reviews: DataFrame) -> DataFrame:
-    """Accuracies over all rows and for each league, by grouping sets; a missing league is 未知."""
-    r = reviews.withColumn("lg", F.coalesce("league", F.lit("未知")))
+def review_summary(reviews: DataFrame, since: Column | None = None) -> DataFrame:
+    """Accuracies over all rows and for each league, by grouping sets; a missing league is 未知. ``since``: reviewed after it only."""
+    r = reviews if since is None else reviews.where(F.col("review_date") > since)
+    r = r.withColumn("lg", F.coalesce("league", F.lit("未知")))
     g = r.rollup("lg").agg(F.grouping("lg").alias("whole"), F.count("*").alias("n"), *[count_of(F.col(f"{k}_correct")).alias(k) for k in ("win", "asian", "ou", "score")], F.round(F.avg("accuracy"), 6).alias("mean_accuracy"))
     mark = F.when(F.col("mean_accuracy") >= 75, 2).when(F.col("mean_accuracy") >= 50, 1).otherwise(0)
     return g.select(F.when(F.col("whole") == 0, F.col("lg")).alias("league"), "n", *[pct(F.col(k), F.col("n")).alias(f"{k}_pct") for k in ("win", "asian", "ou", "score")], "mean_accuracy", mark.alias("mark"))
@@ -244,17 +315,35 @@ def review_batch_stats(reviews: DataFrame) -> DataFrame:
     return g.where("n > 0").select("*", *[pct(F.col(f"{k}_right"), F.col("n")).alias(f"{k}_pct") for k in ("win", "asian", "ou")])
 
 
-def upsert_predictions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row per match: a new prediction replaces the old row and is not reviewed. ``new`` has one row per match."""
-    kept = old.join(new.select("match_id"), "match_id", "left_anti").select(*old.columns)
-    return kept.unionByName(new.withColumn("is_reviewed", F.lit(False)).select(*old.columns))
+def review_batch_leagues(reviews: DataFrame) -> DataFrame:
+    """For each league of a batch: reviews, right picks and their rates, and how many were right at 75 % or more and at 50 % or more."""
+    g = reviews.groupBy(F.coalesce("league", F.lit("未知")).alias("league")).agg(F.count("*").alias("n"), *[count_of(F.col(f"{k}_correct")).alias(f"{k}_right") for k in ("win", "asian", "ou")], count_of(F.col("accuracy") >= 75).alias("good"), count_of(F.col("accuracy") >= 50).alias("fair"))
+    return g.select("*", *[pct(F.col(f"{k}_right"), F.col("n")).alias(f"{k}_pct") for k in ("win", "asian", "ou")])
 
 
-def apply_reviews(predictions: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Predictions with their review's marks; those reviewed now are marked so, the others keep their state."""
-    r = reviews.select("match_id", "correct_count", "accuracy", F.lit(True).alias("now"))
-    p = predictions.join(r, "match_id", "left").withColumn("is_reviewed", F.coalesce("now", "is_reviewed", F.lit(False)))
-    return p.drop("now")
+def upsert_predictions(old: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
+    """One row per match: a new prediction replaces the old row, is not reviewed and dates from ``now``. ``new`` has one row per match."""
+    kept = old.join(new.select("match_id"), "match_id", "left_anti").select(*old.columns)
+    fresh = new.withColumn("is_reviewed", F.lit(False))
+    fresh = fresh if now is None else fresh.withColumn("predict_date", now)
+    return kept.unionByName(fresh.select(*old.columns))
+
+
+def apply_reviews(predictions: DataFrame, reviews: DataFrame, now: Column | None = None) -> DataFrame:
+    """Predictions with all columns of their review and its date; those reviewed now are marked so, the others keep their state."""
+    columns = [c for c in reviews.columns if c not in ("match_id", "league")]
+    r = reviews.select("match_id", *columns, F.lit(True).alias("now"))
+    p = predictions.drop(*columns).join(r, "match_id", "left").withColumn("is_reviewed", F.coalesce("now", "is_reviewed", F.lit(False)))
+    return (p if now is None else p.withColumn("review_date", F.when(F.col("now"), now))).drop("now")
+
+
+def predict_and_review(m: DataFrame, predictions: DataFrame, now: Column) -> DataFrame:
+    """One run of the scheduled job: finished predictions are reviewed, then every upcoming match with odds is predicted anew."""
+    reviewed = apply_reviews(predictions, review_predictions(m, predictions), now)
+    new = predict_upcoming(m)
+    shared = [c for c in reviewed.columns if c in new.columns]
+    fresh = new.select(*[F.col(c).cast(reviewed.schema[c].dataType).alias(c) if c in shared else F.lit(None).cast(reviewed.schema[c].dataType).alias(c) for c in reviewed.columns])
+    return upsert_predictions(reviewed, fresh, now)
 
 
 def high_confidence_count(predictions: DataFrame, bar: float = 80.0) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import match_number, match_status, normal_date, normal_time
+from ..functions import clean_rank, match_number, match_status, normal_date, normal_time
 
 #: The feed's field names and ours.
 FIELDS = {
@@ -33,7 +34,7 @@ def parse_odds_feed_xml(raw: DataFrame, column: str = "value") -> DataFrame:
     m = raw.select(F.explode(F.from_xml(column, shape)["m"]).alias("m")).where(F.size("m.row") > 0)
     now, first = F.element_at("m.row", 1), F.element_at("m.row", -1)
     names = {"win": "_win", "draw": "_draw", "lose": "_lost"}
-    return m.select(F.col("m._matchnum").alias("matchnum"), *[now[v].alias(f"current_{k}") for k, v in names.items()], *[first[v].alias(f"initial_{k}") for k, v in names.items()], now["_updatetime"].alias("update_time"), F.size("m.row").alias("ticks"))
+    return m.select(F.col("m._matchnum").alias("matchnum"), *[now[v].alias(f"current_{k}") for k, v in names.items()], *[first[v].alias(f"initial_{k}") for k, v in names.items()], F.concat_ws("/", *[F.coalesce(now[v], F.lit("")) for v in names.values()]).alias("currodds"), now["_updatetime"].alias("update_time"), F.size("m.row").alias("ticks"))
 
 
 def join_feeds(matches: DataFrame, handicap: DataFrame, euro: DataFrame) -> DataFrame:
@@ -44,48 +45,156 @@ def join_feeds(matches: DataFrame, handicap: DataFrame, euro: DataFrame) -> Data
 
 
 class _Cells(HTMLParser):
-    """The rows of all tables of a page as lists of cell texts."""
+    """The rows of all tables of a page: the row's class and fid, and of each cell its text, links, grey spans and class."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.cell = [], None
+        self.rows, self.cell, self.table = [], None, ""
 
     def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.rows.append([])
+        attrs = dict(attrs)
+        if tag == "table":
+            self.table = attrs.get("id") or ""
+        elif tag == "tr":
+            self.rows.append({"table": self.table, "kind": attrs.get("class") or "", "fid": attrs.get("fid") or "", "cells": [], "classes": [], "links": [], "grey": []})
+            self.cell = None
         elif tag in ("td", "th") and self.rows:
             self.cell = []
+            row = self.rows[-1]
+            row["classes"].append(attrs.get("class") or "")
+            for k in ("cells", "links", "grey"):
+                row[k].append("" if k == "cells" else [])
+            self.within = ""
+        elif self.cell is not None and tag in ("a", "span"):
+            self.within = "links" if tag == "a" else "grey" if "gray" in (attrs.get("class") or "").split() else ""
+            if self.within:
+                self.rows[-1][self.within][-1].append("")
 
     def handle_endtag(self, tag):
         if tag in ("td", "th") and self.cell is not None and self.rows:
-            self.rows[-1].append(" ".join("".join(self.cell).split()))
+            self.rows[-1]["cells"][-1] = " ".join("".join(self.cell).split())
             self.cell = None
+        elif tag in ("a", "span"):
+            self.within = ""
 
     def handle_data(self, data):
         if self.cell is not None:
             self.cell.append(data)
+            if self.within:
+                self.rows[-1][self.within][-1][-1] += data.strip()
 
 
-def table_cells(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, row, cells) of every table row of archived pages; arrows of odds cells are stripped. The one Python job of the library."""
+def decode_page(raw: bytes) -> str:
+    """By the charset that the page names in its head, Chinese national ones widened to GB18030, else UTF-8; bad bytes are replaced."""
+    named = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", raw[:2048])
+    name = named[1].decode("ascii").lower() if named else "utf-8"
+    try:
+        return raw.decode("gb18030" if name in ("gb2312", "gbk", "gb-2312") else name, "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
+_ROWS = "id long, row int, table string, kind string, fid string, cells array<string>, classes array<string>, links array<array<string>>, grey array<array<string>>"
+
+
+def table_rows(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:
+    """(id, row, table, kind, fid, cells, classes, links, grey) of every table row of archived pages, texts or bytes.
+
+    Arrows of odds cells are stripped. A null page has no rows. The one Python job of the library.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
-            for key, text in zip(batch["id"], batch["html"], strict=True):
+            for key, page in zip(batch["id"], batch["html"], strict=True):
                 parser = _Cells()
-                parser.feed(text or "")
-                out += [(key, i, [c.translate({0x2191: None, 0x2193: None}).strip() for c in row]) for i, row in enumerate(parser.rows)]
-            yield pd.DataFrame(out, columns=["id", "row", "cells"])
+                parser.feed(decode_page(bytes(page)) if isinstance(page, (bytes, bytearray)) else page or "")
+                for i, r in enumerate(parser.rows):
+                    r["cells"] = [c.translate({0x2191: None, 0x2193: None}).strip() for c in r["cells"]]
+                    out.append((key, i, *[r[k] for k in ("table", "kind", "fid", "cells", "classes", "links", "grey")]))
+            yield pd.DataFrame(out, columns=["id", "row", "table", "kind", "fid", "cells", "classes", "links", "grey"])
+
+    return pages.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html")).mapInPandas(run, _ROWS)
+
+
+def table_cells(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:
+    return table_rows(pages, id_column, html).select("id", "row", "cells")
+
+
+def _at(name: str, i: int) -> Column:
+    return F.coalesce(F.try_element_at(name, F.lit(i + 1)), F.lit(""))
 
-    return pages.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html")).mapInPandas(run, "id long, row int, cells array<string>")
+
+def page_status(text: Column, kind: Column) -> Column:
+    """0, 1 or 2 by the cell's class, else by its words: finished, a minute or a pause, else not started."""
+    live = text.rlike("^[0-9]+'?$|^[0-9]+\\+[0-9]+'?$|中场|半场|加时|点球")
+    return F.when(F.contains(kind, F.lit("td_living")), 1).when(text.rlike("完|结束"), 2).when(live, 1).otherwise(0)
+
+
+def list_page_matches(rows: DataFrame) -> DataFrame:
+    """Match rows of archived list pages: ten cells a row on pages of finished matches, fourteen on others.
+
+    Team names are the first link of their cells, ranks the digits of the grey text; the seventh cell's three links are home
+    score, line and away score, also on the ten-cell layout, where that cell is the away team's, so such rows have no score.
+    Rows without a match number or with fewer cells are left out.
+    """
+    r = rows.where("nullif(fid, '') IS NOT NULL AND size(cells) >= 10")
+    ten = F.size("cells") == 10
+    cell = lambda finished, other: F.when(ten, _at("cells", finished)).otherwise(_at("cells", other))
+    part = lambda name, finished, other: F.coalesce(F.try_element_at(F.when(ten, F.try_element_at(name, F.lit(finished + 1))).otherwise(F.try_element_at(name, F.lit(other + 1))), F.lit(1)), F.lit(""))
+    links = F.try_element_at("links", F.lit(7))
+    score = lambda i: F.when(~ten & (F.size(links) >= 3), F.coalesce(F.try_element_at(links, F.lit(i)), F.lit(""))).otherwise("")
+    out = {
+        "match_id": F.col("fid"), "match_number": F.when(ten, "").otherwise(_at("cells", 0)), "league": cell(0, 1), "round": cell(1, 2), "match_time": cell(2, 3), "status_text": cell(3, 4),
+        "status": page_status(cell(3, 4), F.when(ten, _at("classes", 3)).otherwise(_at("classes", 4))), "home_team": part("links", 4, 5), "away_team": part("links", 6, 7),
+        "home_rank": clean_rank(part("grey", 4, 5)), "away_rank": clean_rank(part("grey", 6, 7)), "home_score": score(1), "handicap": score(2), "away_score": score(3),
+    }
+    return r.select("id", "row", *[v.alias(k) for k, v in out.items()])
+
+
+#: Cells of a market's row: (least cells, name -> cell).
+LAYOUT = {
+    "euro": (9, {"initial_win": 3, "initial_draw": 4, "initial_lose": 5, "current_win": 6, "current_draw": 7, "current_lose": 8}),
+    "asian": (12, {"current_home_odds": 3, "current_handicap": 4, "current_away_odds": 5, "initial_home_odds": 9, "initial_handicap": 10, "initial_away_odds": 11}),
+    "ou": (12, {"current_over_odds": 3, "current_total": 4, "current_under_odds": 5, "initial_over_odds": 9, "initial_total": 10, "initial_under_odds": 11}),
+    "index": (10, {"handicap_value": 2, "initial_home_odds": 4, "initial_draw_odds": 5, "initial_away_odds": 6, "current_home_odds": 7, "current_draw_odds": 8, "current_away_odds": 9}),
+}
+
+
+def market_rows(rows: DataFrame, market: str, hints: DataFrame | None = None) -> DataFrame:
+    """(match_id, odds of the market) of archived market pages, whose page id is the match's: the preferred row of the odds table.
+
+    Pages whose preferred row has too few cells or lacks a current value give nothing. ``hints`` (match_id, hint) are the
+    Asian lines that tell several index rows apart.
+    """
+    least, cells = LAYOUT[market]
+    table = rows.where("table = 'datatb' AND size(cells) > 0").select(F.col("id").alias("match_id"), F.col("row").alias("pos"), F.concat_ws("", "cells").alias("company"), "kind", "cells")
+    if hints is not None:
+        table = table.join(hints.select("match_id", "hint"), "match_id", "left")
+    best = preferred_source(table, market).where(F.size("cells") >= least)
+    out = best.select("match_id", *[_at("cells", i).alias(name) for name, i in cells.items()])
+    for name in [n for n in cells if n.startswith("current") or n == "handicap_value"]:
+        out = out.where(F.col(name) != "")
+    return out
 
 
 def preferred_source(rows: DataFrame, market: str) -> DataFrame:
-    """Of the company rows (match_id, pos, company, ...) of a match the one that the market prefers, else the first."""
-    official, known = F.col("company").rlike("竞.*官|竞.*中国"), F.col("company").rlike("t3.*5")
-    rank = {"euro": F.when(official, 0).when(known, 1).otherwise(2), "asian": F.when(known, 0).otherwise(1), "ou": F.lit(0), "index": F.when(official, 0)}[market]
-    best = rows.withColumn("rank", rank).where("rank IS NOT NULL")
+    """Of the company rows (match_id, pos, company, ...) of a match the one that the market prefers.
+
+    euro: the official row, which bears both official marks, else the known house, else the first; asian: the house, else the
+    first; ou: the first; index: official rows only, and of several the one whose line (``cells``) is nearest to ``hint``, else
+    the last. "First" is the first row of kind tr1 where rows have a kind.
+    """
+    c = F.col("company")
+    official, known = F.contains(c, F.lit("竞*官*")) & F.contains(c, F.lit("竞*官*(中国)")), F.contains(c, F.lit("t3*5"))
+    starred = F.contains(c, F.lit("**t3*5"))
+    plain = F.array_contains(F.split("kind", " "), "tr1") if "kind" in rows.columns else F.lit(True)
+    rank = {"euro": F.when(official, 0).when(known, 1).when(plain, 2), "asian": F.when(starred, 0).when(plain, 1), "ou": F.when(plain, 0), "index": F.when(official, 0)}[market]
+    best = rows.withColumn("rank", rank).where("rank IS NOT NULL").drop("rank") if market == "index" else rows.withColumn("rank", rank).where("rank IS NOT NULL")
+    if market == "index":
+        hint = F.col("hint") if "hint" in rows.columns else F.lit(None).cast("double")
+        line = _at("cells", 2) if "cells" in rows.columns else F.lit(None).cast("string")
+        return nearest_line(best.withColumns({"__line": line, "__hint": hint}), "__line", "__hint").drop("__line", "__hint")
     return best.groupBy("match_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "match_id"]), F.struct("rank", "pos")).alias("r")).select("match_id", "r.*")
 
 

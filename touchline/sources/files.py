@@ -28,10 +28,27 @@ def first_of_each(df: DataFrame, key: str = "match_id", order: str = "position")
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def write_dataset(df: DataFrame, path: str, kind: str = "matches", run: str = "run", form: str = "parquet") -> str:
-    """Writes under path/kind/run=<run>; a repeated run replaces its own folder only."""
+def read_many(frames: list[DataFrame]) -> DataFrame:
+    """Frames of several days or files one after the other; a column that some lack is null in theirs."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def write_dataset(df: DataFrame, path: str, kind: str = "matches", run: str = "run", form: str = "parquet", daily: bool = False) -> str:
+    """Writes under path/kind/run=<run>; a repeated run replaces its own folder only. ``daily`` makes a folder for each owner_date.
+
+    CSV files begin with a byte order mark, which spreadsheets want: it stands before the first name of the header.
+    """
     to = f"{path}/{kind}/run={run}"
-    df.write.mode("overwrite").format(form).options(**({"header": True} if form == "csv" else {})).save(to)
+    options = {}
+    if form == "csv":
+        options = {"header": True, "emptyValue": ""}
+        first = next(c for c in df.columns if not (daily and c == "owner_date"))
+        df = df.withColumnRenamed(first, "\ufeff" + first)
+    writer = df.write.mode("overwrite").format(form).options(**options)
+    (writer.partitionBy("owner_date") if daily else writer).save(to)
     return to
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import first_present
 from ..normalise import typed
 from ..plans.bets import settle_bets
-from ..sources.merge import upsert_matches
+from ..plans.predict import predict_upcoming, review_predictions
+from ..sources.merge import flatten_odds, upsert_matches, upsert_odds
+from ..store import exists, written
 
 
 def ticks(events: DataFrame) -> DataFrame:
@@ -16,11 +19,24 @@ def ticks(events: DataFrame) -> DataFrame:
 
 
 def odds_trend(t: DataFrame, late: str | None = None) -> DataFrame:
-    """Initial and current value, number and change of the ticks of each match and market; ``late`` is the watermark of a stream."""
+    """Initial and current value, number and change of the ticks of each match and market; ``late`` is the watermark of a stream.
+
+    Of a stream the state of a match and market would never go; ``odds_trend_by_day`` is the form whose state is bounded.
+    """
     t = t if late is None else t.withWatermark("ts", late)
+    return _trend(t, "match_id", "market").withColumn("change", F.col("current") - F.col("initial"))
+
+
+def _trend(t: DataFrame, *keys) -> DataFrame:
     at = F.struct("ts", "tick_id")
-    g = t.groupBy("match_id", "market").agg(F.count("*").alias("ticks"), F.min_by("value", at).alias("initial"), F.max_by("value", at).alias("current"))
-    return g.withColumn("change", F.col("current") - F.col("initial"))
+    return t.groupBy(*keys).agg(F.count("*").alias("ticks"), F.min_by("value", at).alias("initial"), F.max_by("value", at).alias("current"))
+
+
+def odds_trend_by_day(t: DataFrame, late: str | None = None) -> DataFrame:
+    """The same within days of UTC: a day's state is dropped once the watermark has passed it, so a stream holds the open days only."""
+    t = t if late is None else t.withWatermark("ts", late)
+    g = _trend(t, F.window("ts", "1 day").alias("w"), "match_id", "market")
+    return g.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "match_id", "market", "ticks", "initial", "current", (F.col("current") - F.col("initial")).alias("change"))
 
 
 def odds_trend_by_hour(t: DataFrame, late: str | None = None) -> DataFrame:
@@ -31,48 +47,114 @@ def odds_trend_by_hour(t: DataFrame, late: str | None = None) -> DataFrame:
     return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "market", "ticks", "initial", "current")
 
 
-def live_alerts(m: DataFrame) -> DataFrame:
-    """Live matches with draw odds of 2.85 to 3.5 or a level handicap line; a stateless filter, the same on a stream."""
-    line = F.coalesce("hi_handicap_value", F.lit(""))
-    draw = F.col("euro_current_draw").try_cast("double")
+def live_alerts(m: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Live matches with draw odds of 2.85 to 3.5, current or else initial, or a level handicap line; a stateless filter, the same on a stream.
+
+    ``alert`` is the text of the notification: number, time of day, teams, and the tags that apply. ``more`` names columns to keep.
+    """
+    line = F.trim(F.coalesce("hi_handicap_value", F.lit("")))
+    draw = first_present(F.col("euro_current_draw"), F.col("euro_initial_draw")).try_cast("double")
     level = line.isin("0", "平手") | F.contains(line, F.lit("平"))
     hit = F.coalesce(draw.between(2.85, 3.5), F.lit(False))
-    return m.where("status = 1").where(hit | level).select("match_id", "league", "home_team", "away_team", draw.alias("draw_odds"), hit.alias("by_draw"), level.alias("by_line"))
+    time = F.when(F.length("match_time") >= 5, F.right("match_time", F.lit(5))).otherwise(F.coalesce("match_time", F.lit("")))
+    head = F.concat_ws(" ", F.coalesce("match_number", F.lit("")), time, "home_team", F.lit("vs"), "away_team")
+    tags = F.concat_ws(" ", F.when(hit, F.concat(F.lit("平"), draw.cast("string"))), F.when(level, F.lit("让平")))
+    return m.where("status = 1").where(hit | level).select("match_id", "league", "home_team", "away_team", draw.alias("draw_odds"), hit.alias("by_draw"), level.alias("by_line"), F.concat(head, F.lit(" ["), tags, F.lit("]")).alias("alert"), *more)
+
+
+def stream_alerts(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, late: str = "1 day"):
+    """Starts a run over landed match snapshots (with ``seen_at``) that appends each match's alert once to the Parquet table.
+
+    A match is remembered until the watermark is ``late`` past its first alert, which bounds the state.
+    """
+    stream = spark.readStream.schema(schema).json(source).withWatermark("seen_at", late)
+    alerts = live_alerts(stream, ("seen_at",)).dropDuplicatesWithinWatermark(["match_id"])
+    return alerts.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+BUCKETS = 64
+
+
+def _bucket(key: str = "match_id") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 def ingest_snapshots(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str):
-    """Starts a run over landed snapshot files that merges each batch into the versioned Parquet table below ``table``.
+    """Starts a run over landed snapshot files that merges each batch into the Parquet table below ``table``.
 
-    A version is written whole before the pointer moves to it, so a failed or repeated batch leaves the table as it was.
-    Returns the query; with ``availableNow`` it ends when the landed files are done.
+    An update row has match columns, ``seq`` and ``present``; it may also carry the nested odds columns of ``flatten_odds``.
+    A file that lands twice changes nothing, as updates go by ``seq``. The table is cut into buckets by match; a batch writes
+    the buckets of its matches only, each as a new version, and then one row that says which version of which bucket counts,
+    so a failed or repeated batch leaves the table as it was. Returns the query; with ``availableNow`` it ends when the landed
+    files are done.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        old = current(batch.sparkSession, table, before=epoch)
-        new = upsert_matches(old, batch) if old is not None else upsert_matches(batch.drop("seq", "present").limit(0), batch)
-        new.write.mode("overwrite").parquet(f"{table}/version={epoch}")
-        batch.sparkSession.createDataFrame([(epoch,)], "epoch long").write.mode("append").parquet(f"{table}/done")
+        session = batch.sparkSession
+        batch = written(batch.dropDuplicates(["match_id", "seq"]).withColumn("bucket", _bucket()), "batch")
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
+        plain = [c for c in batch.columns if c not in ("seq", "present", "bucket", *ODDS_COLUMNS)]
+        known = current(session, table, before=epoch, buckets=touched)
+        empty = batch.select(*plain).limit(0)
+        if set(ODDS_COLUMNS) <= set(batch.columns):
+            flat = flatten_odds(batch)
+            empty = empty.withColumns({c: F.lit(None).cast(t) for c, t in flat.dtypes if c not in (*plain, "seq", "present")})
+        old = known if known is not None else empty
+        new = upsert_matches(old, batch.select(*[F.col(c) if c in plain else F.lit(None).cast(t).alias(c) for c, t in old.dtypes], "seq", "present"))
+        if set(ODDS_COLUMNS) <= set(batch.columns):
+            new = upsert_odds(new, batch)
+        if new.isEmpty():
+            return
+        new.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={epoch}")
+        session.createDataFrame([(epoch, touched)], "epoch long, buckets array<int>").coalesce(1).write.mode("append").parquet(f"{table}/done")
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+ODDS_COLUMNS = ("euro_odds", "asian_handicap", "over_under", "handicap_index", "euro_odds_update_time", "odds_update_time")
+
+
+def predict_and_review_run(spark: SparkSession, source: str, schema: str, predictions: DataFrame, history: DataFrame, table: str, checkpoint: str):
+    """Starts a run over landed match snapshots: each batch reviews the predictions of its finished matches against them and predicts its open ones.
+
+    ``history`` are the raw matches that forms are taken from. Rows go below ``table``, a folder a batch, which a repeated batch replaces.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch = written(batch, "batch")
+        rest = history.join(batch.select("match_id").distinct(), "match_id", "left_anti").select(*batch.columns)
+        m = written(typed(rest.unionByName(batch)), "typed")
+        mine = predictions.join(batch.select("match_id").distinct(), "match_id", "left_semi")
+        at = F.lit(epoch).cast("long")
+        review_predictions(m, mine).withColumn("batch_id", at).write.mode("overwrite").parquet(f"{table}/reviews/batch={epoch}")
+        predict_upcoming(m).join(batch.select("match_id").distinct(), "match_id", "left_semi").withColumn("batch_id", at).write.mode("overwrite").parquet(f"{table}/predictions/batch={epoch}")
+
+    stream = spark.readStream.schema(schema).json(source)
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def settle_on_result(spark: SparkSession, source: str, schema: str, legs: DataFrame, matches: DataFrame, table: str, checkpoint: str):
     """Starts a run over landed match updates, all columns of ``matches`` in each, that settles the bets they concern.
 
-    A batch reads the legs of bets with a leg among its matches, by semi joins, and settles them against the matches as
-    updated so far; bets left pending are not written. Each batch writes its own folder below ``table``, so a repeated
-    batch replaces its rows, and ``settled`` takes the newest row of a bet. Updates are kept beside, a folder a batch.
+    A batch keeps its updates in a folder of its own and reads, of the updates so far, only those of the matches that its bets
+    name: the folders are partitioned by bucket of match and only the buckets at hand are opened. Bets left pending are not
+    written. Each batch writes its own folder below ``table``, so a repeated batch replaces its rows, and ``settled`` takes the
+    newest row of a bet.
     """
 
     def settle(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        batch.select(*matches.columns, F.lit(epoch).cast("long").alias("epoch")).write.mode("overwrite").parquet(f"{table}/updates/batch={epoch}")
-        seen = session.read.parquet(f"{table}/updates").where(F.col("batch") <= epoch)
+        batch.select(*matches.columns, F.lit(epoch).cast("long").alias("epoch"), _bucket().alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/updates/batch={epoch}")
+        own = session.read.parquet(f"{table}/updates/batch={epoch}").select(F.col("match_id").alias("mid")).distinct()
+        hit = legs.join(own, "mid", "left_semi").select("bet_id").distinct()
+        mine = written(legs.join(hit, "bet_id", "left_semi"), "legs")
+        named = mine.select(F.col("mid").alias("match_id")).distinct().withColumn("bucket", _bucket())
+        buckets = [r["bucket"] for r in named.select("bucket").distinct().collect()]  # at most BUCKETS
+        seen = session.read.parquet(f"{table}/updates").where((F.col("batch") <= epoch) & F.col("bucket").isin(buckets)).join(named.select("match_id"), "match_id", "left_semi")
         newest = seen.groupBy("match_id").agg(F.max_by(F.struct(*matches.columns), F.struct("epoch", F.to_json(F.struct(*matches.columns)))).alias("r")).select("r.*")
-        now = matches.join(newest.select("match_id"), "match_id", "left_anti").select(*matches.columns).unionByName(newest)
-        hit = legs.join(session.read.parquet(f"{table}/updates/batch={epoch}").select(F.col("match_id").alias("mid")).distinct(), "mid", "left_semi").select("bet_id").distinct()
-        settle_bets(legs.join(hit, "bet_id", "left_semi"), typed(now)).where("status <> 'pending'").withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{table}/settled/batch={epoch}")
+        then = matches.join(named.select("match_id"), "match_id", "left_semi").join(newest.select("match_id"), "match_id", "left_anti").select(*matches.columns)
+        settle_bets(mine, typed(then.unionByName(newest))).where("status <> 'pending'").withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{table}/settled/batch={epoch}")
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -85,13 +167,19 @@ def settled(spark: SparkSession, table: str) -> DataFrame:
     return rows.groupBy("bet_id").agg(F.max_by(F.struct(*columns), "epoch").alias("r")).select("r.*")
 
 
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The table's newest whole version, or None; with ``before`` the newest of an earlier batch, so that a repeated batch never reads what it writes."""
-    try:
-        done = spark.read.schema("epoch long").parquet(f"{table}/done")
-        last = (done if before is None else done.where(F.col("epoch") < before)).agg(F.max("epoch")).first()[0]
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+def current(spark: SparkSession, table: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The table as its newest versions of the buckets make it, or None; ``before``: of earlier batches, so that a repeated batch never reads what it writes."""
+    if not exists(spark, f"{table}/done"):
         return None
-    return None if last is None else spark.read.parquet(f"{table}/version={last}")
+    done = spark.read.schema("epoch long, buckets array<int>").parquet(f"{table}/done")
+    done = done if before is None else done.where(F.col("epoch") < before)
+    newest = done.select("epoch", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+    chosen: dict[int, list[int]] = {}
+    for r in newest.collect():  # at most BUCKETS rows
+        if buckets is None or r["bucket"] in buckets:
+            chosen.setdefault(r["epoch"], []).append(r["bucket"])
+    out = None
+    for epoch, own in sorted(chosen.items()):
+        part = spark.read.parquet(f"{table}/version={epoch}").where(F.col("bucket").isin(own)).drop("bucket")
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

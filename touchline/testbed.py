@@ -108,6 +108,7 @@ def leg_columns(engine: str) -> dict[str, str]:
         "opt": pick(OPTIONS, "l_partkey"),
         "leg_odds": "CAST(120 + l_suppkey % 90 AS DOUBLE) / 100",
         "leg_handicap": pick([None, "-1", "+1", "", None, None, "x"], div("l_partkey", 3)),
+        "descr": f"'D' || CAST({div('l_partkey', 3)} % 9 AS STRING)",
         "stake": f"CAST(10 + l_orderkey % 90 + {div('l_linenumber - 1', 3)} AS DOUBLE)",
         "old_status": "CASE WHEN l_orderkey % 5 = 0 THEN 'won' WHEN l_orderkey % 5 = 1 THEN 'lost' ELSE 'pending' END",
         "created_at": "o_orderdate",
@@ -120,7 +121,8 @@ def pick_columns(engine: str) -> dict[str, str]:
         "match_id": "CAST(k AS STRING)",
         "device_id": "'d' || CAST(k % 50 AS STRING)",
         "options": pick(["win", "win,h_win", "draw", "h_lose", "lose,win", "bad", "win,win", "h_win,h_lose", "", "draw,h_draw,lose"], div("k", 3)),
-        "confidence": pick(["80", None, "130", "-5", "abc", "55"], div("k", 5)),
+        "confidence": pick(["80", None, "130", "-5", "abc", "55", "80.5", "0"], div("k", 5)),
+        "created_at": "o_orderdate",
     }
 
 
