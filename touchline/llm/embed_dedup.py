@@ -1,21 +1,24 @@
 """Near-duplicate vectors of equal label by int8 tile products with rigorous error bounds.
 
 Equal vectors of a label are one class first. The classes of a label are dealt out into tiles of bounded size, ordered along
-the label's widest coordinate so that tiles too far apart along it are never paired: unit vectors whose cosine reaches the
-threshold differ by at most sqrt(2 - 2 * threshold) in every coordinate. A pair of tiles is one task's work: unit vectors
-quantised to int8 are multiplied as matrices, the product's error is bounded for each pair by the norms of the two
+the label's widest coordinate, and each tile is a file in the shared folder. Only descriptions of tiles are joined, with a box
+of each in its widest coordinates: unit vectors whose cosine reaches the threshold are at most sqrt(2 - 2 * threshold) apart,
+so tiles whose boxes are farther apart are never paired. A task reads the files of its pairs of tiles: unit vectors quantised to int8 are multiplied as matrices, the product's error is bounded for each pair by the norms of the two
 quantisation residuals, and only pairs that the bound leaves possible are computed again in double precision. A task emits
 the links counted for each vector and a spanning forest of them, never the pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, union_roots, written
+from .common import remove, scratch, small_side, union_roots, written
+from .files import opened, own_name
 from .graph import components
 
 #: Added to the error bounds for rounding in the bounds' own arithmetic.
@@ -52,17 +55,34 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, block
 
 
 def _pair(threshold: float):
+    """Rows (left, right) of tile files, ordered by left; right is null for a tile with itself."""
+
     def run(batches):
+        name, held = None, None
         for batch in batches:
-            for row in range(batch.num_rows):
-                left, right = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                out = _linked(left, right, threshold)
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if left != name:
+                    name, held = left, load_tile(left)
+                out = _linked(held, load_tile(right) if right else None, threshold)
                 if len(out[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["rep", "links", "root"])
 
     return run
 
 
+def save_tile(path: str, ids: np.ndarray, sizes: np.ndarray, vecs: np.ndarray) -> None:
+    single = vecs.dtype == np.float32
+    with opened(path, write=True) as f:
+        f.write(np.array([len(ids), vecs.shape[1], single], dtype=np.int64).tobytes() + ids.astype(np.int64).tobytes() + sizes.astype(np.int64).tobytes() + vecs.tobytes())
+
+
+def load_tile(path: str) -> dict:
+    with opened(path) as f:
+        data = f.read()
+    n, _, single = np.frombuffer(data, dtype=np.int64, count=3)
+    return {"ids": data[24 : 24 + 8 * n], "sizes": data[24 + 8 * n : 24 + 16 * n], "vecs": data[24 + 16 * n :], "single": bool(single)}
+
+
 def _linked(left: dict, right: dict | None, threshold: float):
     sides = [left] if right is None else [left, right]
     ids, sizes = (np.concatenate([np.frombuffer(s[k], dtype=np.int64) for s in sides]) for k in ("ids", "sizes"))
@@ -88,51 +108,109 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024)
     vec_id, link with nothing: no links, their own component, kept. Vectors of different lengths never link. Repeated rows
     link with one another as equal vectors. Other columns are ignored; an empty table gives an empty result.
     """
-    kind = vectors.schema["embedding"].dataType.elementType.typeName()
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").alias("vec"))
-    sound = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("vec") > 0)
-    sound &= F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
-    v = written(v.withColumn("sound", F.coalesce(sound, F.lit(False))), "vectors")
-    classes = v.where("sound").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    classes = written(classes, "classes")
-    # two numbers for each label and coordinate; few columns of the widest spread order the tiles
-    spread = classes.select("label", F.size("vec").alias("dim"), F.posexplode("vec").alias("k", "x"), F.expr("sqrt(aggregate(vec, 0D, (s, x) -> s + double(x) * double(x)))").alias("norm"))
-    spread = spread.groupBy("label", "dim", "k").agg(F.var_pop(F.col("x") / F.col("norm")).alias("var"), F.count("*").alias("n"), F.percentile_approx(F.col("x") / F.col("norm"), [i / 64 for i in range(1, 64)], 2000).alias("cuts"))
-    plan = spread.groupBy("label", "dim").agg(F.max("n").alias("n"), F.max_by(F.struct("k", "cuts"), F.struct("var", "k")).alias("widest"))
-    plan = small_side(written(plan.select("label", "dim", F.ceil(F.col("n") / tile).cast("long").alias("tiles"), "widest.k", "widest.cuts"), "tile-plan"))
-    x = F.expr("double(vec[k]) / sqrt(aggregate(vec, 0D, (s, x) -> s + double(x) * double(x)))")
-    c = classes.withColumn("dim", F.size("vec")).join(plan, ["label", "dim"]).withColumn("at", x)
+    spark = vectors.sparkSession
+    label, kind = vectors.schema["label"].dataType.simpleString(), vectors.schema["embedding"].dataType.simpleString()
+    raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").alias("vec"))
+    tagged = raw.mapInArrow(_tag, f"vec_id long, label {label}, vec {kind}, digest binary")
+    v = written(tagged.select("vec_id", "label", "digest"), "vectors")
+    classes = tagged.where("digest IS NOT NULL").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec"))
+    classes = written(classes, "classes").withColumn("dim", F.size("vec"))
+    folder = scratch(spark, "tiles")
+    tiles = written(_tiles(classes, label, tile, folder), "tile-list")
+    pairs = _tile_pairs(tiles, float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 64)
+    dealt = pairs.repartition(parts, "left", F.pmod(F.xxhash64("right"), F.lit(16))).sortWithinPartitions("left")
+    found = written(dealt.mapInArrow(_pair(threshold), "rep long, links long, root long"), "links")
+    remove(spark, folder)
+    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    roots = components(found.select("rep", "root"), "vectors")
+    of = classes.join(linked, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    of = of.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    good = v.where("digest IS NOT NULL").join(of, ["label", "digest"]).select("vec_id", "n_links", "component_id")
+    out = good.unionByName(v.where("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))
+
+
+def _tag(batches):
+    """Adds a digest of the components to vectors that can link; equal vectors have equal ones, as both zeros are written alike."""
+    for batch in batches:
+        col = batch.column(2)
+        values, offsets = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+        known = [c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+        out = []
+        for i in range(batch.num_rows):
+            x = values[offsets[i] : offsets[i + 1]]
+            good = known[0][i] and known[1][i] and known[2][i] and len(x) and np.isfinite(x).all() and x.any()
+            out.append(hashlib.blake2b((x + x.dtype.type(0)).tobytes(), digest_size=16).digest() if good else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["vec_id", "label", "vec", "digest"])
+
+
+AXES = 4  # coordinates that the boxes of tiles are bounded in
+
+
+def _sums(batches):
+    """For each label and length of a task: the number, sum and squared sum of each coordinate of the unit vectors."""
+    held: dict = {}
+    kind = None
+    for batch in batches:
+        kind = batch.column(0).type
+        labels = batch.column(0).to_pylist()
+        offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64)
+        for i, name in enumerate(labels):
+            x = values[offsets[i] : offsets[i + 1]]
+            x = x / np.linalg.norm(x)
+            n, s, q = held.setdefault((name, len(x)), [0, np.zeros(len(x)), np.zeros(len(x))])
+            held[name, len(x)] = [n + 1, s + x, q + x * x]
+    for (name, dim), (n, s, q) in held.items():
+        same = [np.full(dim, v) for v in (dim, n)]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * dim, kind), pa.array(same[0].astype(np.int32)), pa.array(np.arange(dim, dtype=np.int32)), pa.array(same[1].astype(np.int64)), pa.array(s), pa.array(q)], ["label", "dim", "k", "n", "s", "q"])
+
+
+def _tiles(classes: DataFrame, label: str, tile: int, folder: str) -> DataFrame:
+    """Writes the classes of each label in tiles of about ``tile`` to ``folder``: (label, dim, band, part, path, low, high).
+
+    The label's widest coordinate, cut at quantiles, orders the tiles; low and high bound a tile in its widest coordinates.
+    """
+    sums = classes.select("label", "vec").mapInArrow(_sums, f"label {label}, dim int, k int, n long, s double, q double")
+    spread = sums.groupBy("label", "dim", "k").agg(F.sum("n").alias("n"), (F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)).alias("var"))
+    plan = spread.groupBy("label", "dim").agg(F.max("n").alias("n"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("var", "k")))), 1, AXES).alias("ks"))
+    plan = small_side(written(plan.select("label", "dim", "n", F.col("ks.k").alias("ks")), "tile-axes"))
+    norm = F.expr("sqrt(aggregate(vec, 0D, (s, x) -> s + double(x) * double(x)))")
+    placed = classes.join(plan, ["label", "dim"]).withColumn("norm", norm).withColumn("at", F.transform("ks", lambda k: F.get("vec", k).cast("double") / F.col("norm"))).drop("norm", "ks")
+    cuts = placed.groupBy("label", "dim").agg(F.percentile_approx(F.get("at", F.lit(0)), [i / 64 for i in range(1, 64)], 2000).alias("cuts"), F.ceil(F.max("n") / tile).cast("long").alias("tiles"))
+    cuts = small_side(written(cuts, "tile-cuts"))
     # the 64 bands of about equal numbers in runs of one tile each, or several tiles to a band
-    per_band = F.greatest(F.lit(1), F.ceil(F.col("tiles") / 64)).cast("long")
-    c = c.withColumns({"band": F.expr("int(size(filter(cuts, c -> c < at)) * least(tiles, 64L) div 64)"), "part": F.pmod(F.xxhash64("rep"), per_band)})
-    packed = c.groupBy("label", "dim", "band", "part").agg(F.collect_list(F.struct("rep", "size", "vec")).alias("rows"), F.min("at").alias("low"), F.max("at").alias("high"))
+    band = F.expr("int(size(filter(cuts, c -> c < at[0])) * least(tiles, 64L) div 64)")
+    part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("tiles") / 64)).cast("long"))
+    c = placed.drop("n").join(cuts, ["label", "dim"]).withColumns({"band": band, "part": part})
+    ends = [F.array(*[f(F.get("at", F.lit(i))) for i in range(AXES)]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    packed = c.groupBy("label", "dim", "band", "part").agg(F.collect_list(F.struct("rep", "size", "vec")).alias("rows"), *ends)
 
-    def blob(batches):
-        dtype = np.float32 if kind == "float" else np.float64
+    def save(batches):
         for batch in batches:
+            paths = []
             for i in range(batch.num_rows):
                 rows = batch.column(4)[i].values
-                made = {"ids": rows.field("rep").to_numpy(zero_copy_only=False).tobytes(), "sizes": rows.field("size").to_numpy(zero_copy_only=False).tobytes(), "vecs": rows.field("vec").flatten().to_numpy(zero_copy_only=False).astype(dtype).tobytes(), "single": dtype is np.float32}
-                keep = [batch.column(k).slice(i, 1) for k in (0, 1, 2, 3, 5, 6)]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array([made], _BLOB)], ["label", "dim", "band", "part", "low", "high", "tile"])
-
-    schema = f"label {c.schema['label'].dataType.simpleString()}, dim int, band int, part long, low double, high double, tile struct<ids: binary, sizes: binary, vecs: binary, single: boolean>"
-    tiles = written(packed.mapInArrow(blob, schema), "tiles")
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    a, b = tiles.alias("a"), tiles.alias("b")
-    near = (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.struct("a.band", "a.part") <= F.struct("b.band", "b.part"))
-    near &= (F.col("a.high") >= F.col("b.low") - reach) & (F.col("b.high") >= F.col("a.low") - reach)
-    same = (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part"))
-    pairs = a.join(b, near).select(F.col("a.tile").alias("left"), F.when(~same, F.col("b.tile")).alias("right"), "a.label", "a.band", "a.part", F.col("b.band").alias("band2"), F.col("b.part").alias("part2"))
-    pairs = pairs.repartition("label", "band", "part", "band2", "part2").select("left", "right")
-    found = written(pairs.mapInArrow(_pair(threshold), "rep long, links long, root long"), "links")
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select("rep", "root"), "vectors")
-    of = classes.join(linked, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    of = of.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    good = v.where("sound").join(of, ["label", "vec"]).select("vec_id", "n_links", "component_id")
-    out = good.unionByName(v.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))
+                paths.append(own_name(folder, ".tile"))
+                ids, sizes = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "size"))
+                save_tile(paths[-1], ids, sizes, rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *batch.columns[5:7], pa.array(paths)], ["label", "dim", "band", "part", "low", "high", "path"])
+
+    return packed.mapInArrow(save, f"label {label}, dim int, band int, part long, low array<double>, high array<double>, path string")
 
 
-_BLOB = pa.struct([("ids", pa.binary()), ("sizes", pa.binary()), ("vecs", pa.binary()), ("single", pa.bool_())])
+def _tile_pairs(tiles: DataFrame, reach: float) -> DataFrame:
+    """(left, right): the files of each pair of tiles of a label whose boxes are at most ``reach`` apart, and of each tile alone.
+
+    Only these small rows are joined. The tiles of a label are dealt out to buckets, of about 64 tiles, that the label's other
+    tiles are all sent to, so that a label of very many tiles is not joined in one task.
+    """
+    sizes = tiles.groupBy("label", "dim").agg(F.ceil(F.count("*") / 64).cast("int").alias("buckets"))
+    t = tiles.join(sizes, ["label", "dim"])
+    a = t.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).alias("a")
+    b = t.withColumn("bucket", F.pmod(F.xxhash64("band", "part"), F.col("buckets"))).alias("b")
+    gap = lambda i: F.coalesce(F.greatest(F.col("a.low")[i] - F.col("b.high")[i], F.col("b.low")[i] - F.col("a.high")[i], F.lit(0.0)), F.lit(0.0))
+    apart = sum((gap(i) * gap(i) for i in range(1, AXES)), gap(0) * gap(0))
+    on = (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (F.col("a.bucket") == F.col("b.bucket"))
+    on &= (F.struct("a.band", "a.part") < F.struct("b.band", "b.part")) & (apart <= reach * reach)
+    return a.join(b, on).select(F.col("a.path").alias("left"), F.col("b.path").alias("right")).unionByName(tiles.select(F.col("path").alias("left"), F.lit(None).cast("string").alias("right")))
