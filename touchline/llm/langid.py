@@ -30,9 +30,9 @@ SCRIPT_NAMES = ("other", *dict.fromkeys(s for _, _, s in SCRIPTS))
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point below 0x30000: its lower case if it is a letter, else 0; its script."""
-    fold, script = np.zeros(0x30000, dtype=np.uint32), np.zeros(0x30000, dtype=np.int8)
-    for c in range(0x30000):
+    """For each code point: its lower case if it is a letter, else 0; its script."""
+    fold, script = np.zeros(0x110000, dtype=np.uint32), np.zeros(0x110000, dtype=np.int8)
+    for c in range(0x110000):
         if unicodedata.category(chr(c))[0] == "L":
             low = chr(c).lower()
             fold[c] = ord(low) if len(low) == 1 else c
@@ -45,14 +45,13 @@ def _letters(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     """Positions of the letters, trigram bucket and script of each, and the indices among them that begin a word."""
     fold, script = _tables()
     cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    known = np.minimum(cps, len(fold) - 1)
     low = np.zeros(len(cps) + 2, dtype=np.uint32)
-    low[1:-1] = fold[known]
+    low[1:-1] = fold[cps]
     at = np.flatnonzero(low)
     tri = (low[at - 1] * np.uint32(0x9E3779B1)) ^ (low[at] * np.uint32(0x85EBCA77)) ^ (low[at + 1] * np.uint32(0xC2B2AE3D))
     tri = ((tri ^ (tri >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(17)).astype(np.int32)
     begins = np.flatnonzero(low[at - 1] == 0)
-    return at - 1, tri, script[known[at - 1]], begins
+    return at - 1, tri, script[cps[at - 1]], begins
 
 
 def _windows(text: str):
@@ -182,7 +181,11 @@ def identify(docs: DataFrame, model: dict, penalty: float = 12.0) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict, penalty: float = 12.0) -> DataFrame:
-    """The rows of ``docs`` whose text has a language (it is not ``und``), with their columns as they are."""
+    """The rows of ``docs`` whose text has a language (it is not ``und``), with their columns as they are.
+
+    Rows with a null, empty or letterless text go, and all rows if the model knows no language; rows that repeat or have a null
+    id are judged one by one; an empty table gives an empty result.
+    """
     schema = docs.schema
     at = docs.columns.index("text")
 
