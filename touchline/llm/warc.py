@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import scratch, small_side, written
 from .files import opened, own_name
 
 GZIP = b"\x1f\x8b\x08"
@@ -114,11 +114,11 @@ def _gunzip(data: bytes) -> tuple[bytes | None, int, bool]:
     return (out, len(data) - len(z.unused_data), False) if z.eof else (None, 0, True)
 
 
-def salvage(read, path: str = "", chunk: int = CHUNK, most: int = 1 << 30):
+def salvage(read, path: str = "", chunk: int = CHUNK, most: int = (1 << 31) + (1 << 20)):
     """Records and gaps of an archive as dicts of RECORDS. ``read(n)`` gives the next bytes, none at the end.
 
-    Holds one record or member, with its content, and a chunk at a time; one that is not closed within ``most`` bytes fails
-    its check. Gaps have a null warc_type and the failed check in ``problem``. All records and gaps inside one member carry
+    Holds one record or member, with its content, and a chunk at a time; one that is not closed within ``most`` bytes, more
+    than a value of a table can have, fails its check. Gaps have a null warc_type and the failed check in ``problem``. All records and gaps inside one member carry
     the member's place, as its content has none of its own in the archive.
     """
     buffer, base, ended = b"", 0, False  # base: the place of buffer[0] in the archive
@@ -243,16 +243,23 @@ def read_warc(paths: DataFrame, payloads: bool = True) -> DataFrame:
     return paths.select("path").repartition(parts, "path").mapInArrow(run, RECORDS)
 
 
+def quarantined(records: DataFrame) -> DataFrame:
+    """The gaps of what ``read_warc`` found: (path, at, end, problem)."""
+    return records.where("warc_type IS NULL").select("path", "at", "end", "problem")
+
+
 def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """(page_id, uri, payload, refers_to) rows: refers_to is null for responses.
 
     Of the pages with equal payloads of at least ``least`` bytes the one with the largest page_id is the response; rows that
-    repeat it are responses too. Null html counts as empty; a null page_id is smaller than any other.
+    repeat it are responses too. Null html counts as empty; a null page_id is smaller than any other. Only digests are shuffled
+    to find the payloads that repeat; their list is broadcast if it is small, so that payloads stay where they are read.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("uri"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("key", F.sha2("html", 256))
-    last = p.groupBy("key").agg(F.max("page_id").alias("last"))
-    out = p.join(last, "key").withColumn("payload", F.col("html").cast("binary"))
+    last = p.select("page_id", "key").groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    last = small_side(written(last, "warc-repeated"))
+    out = p.join(last, "key", "left").withColumn("payload", F.col("html").cast("binary"))
     to = F.when((F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return out.select("page_id", "uri", "payload", to.alias("refers_to"))
 
@@ -260,9 +267,15 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0, folder: str | None = None) -> DataFrame:
     """Writes ``pages`` to archives and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Other columns are ignored; an empty table gives an empty result.
+    Null html counts as empty, a null url as none; rows that repeat and rows with a null page_id have a record each; other
+    columns are ignored; an empty table gives an empty result. What the reader finds, gaps too, is written as a table without
+    the payloads; a gap, or a number of records other than that of the manifest, raises an error.
     """
     manifest = write_warc(revisits(pages, least), folder or scratch(pages.sparkSession, "warc"))
-    r = read_warc(manifest, payloads=False).where("warc_type IN ('response', 'revisit')")
+    r = written(read_warc(manifest, payloads=False).drop("payload"), "warc-read")
+    gaps, found = quarantined(r).limit(20).collect(), r.where("warc_type IS NOT NULL").count()
+    if gaps or found != (manifest.agg(F.sum("records")).first()[0] or 0):
+        raise ValueError(f"archives came back with {found} records and gaps {[tuple(g) for g in gaps]}")
+    r = r.where("warc_type IN ('response', 'revisit')")
     page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '([0-9-]+)$', 1) AS BIGINT)")
     return r.select(page("record_id").alias("page_id"), F.col("http_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
