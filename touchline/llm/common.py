@@ -2,44 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_OWN_FOLDER: dict[str, str] = {}
+from ..store import remove, scratch, small_side, temporary, written
+
+__all__ = ["remove", "scratch", "small_batches", "small_side", "table", "temporary", "union_roots", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it; only where the session has none (tests) a folder of our own is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        key = spark.sparkContext.applicationId
-        base = _OWN_FOLDER.setdefault(key, "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return f"{base.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
-    """Marks a written table of a few narrow columns for broadcast if it has at most ``rows`` rows; a larger one is shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def union_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over the links (a[i], b[i]), by vectorised hooking and jumping."""
     root = np.arange(n) if root is None else root
@@ -57,3 +33,15 @@ def union_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None =
                 break
             root = up
     return root
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for what is run inside: for rows that hold long values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -163,7 +163,11 @@ def exact_groups(docs: DataFrame, huge: int = 8 << 20, primes=PRIMES, bases=BASE
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they are."""
+    """The rows of ``docs`` that stay, with their columns as they are.
+
+    Null text counts as empty; rows that repeat an id with the same text share the decision; of equal texts with null ids only
+    all stay; an empty table gives an empty result.
+    """
     gone = exact_groups(docs, **options).where("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
     gone = small_side(written(gone, "gone"))
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), F.sha2(normalised(docs), 256).alias("own"))

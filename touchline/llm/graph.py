@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, scratch
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
@@ -26,12 +26,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     a, b = (F.col(c).cast("long") for c in edges.columns[:2])
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a.isNotNull() & b.isNotNull()).alias("ok"))
-    e = written(e.where("ok AND u <> v").select("u", "v").distinct(), name)
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema("u long, v long").parquet(path), path
+
+    e, path = kept(e.where("ok AND u <> v").select("u", "v").distinct())
     while not _is_star_forest(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        e, last = kept(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        remove(spark, path)
+        path = last
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
