@@ -614,7 +614,11 @@ def test_near_copies_by_jaccard(spark, monkeypatch):
 def test_sketches_bound_the_difference(seed, common, own, other):
     x = np.random.default_rng(seed).integers(0, 2**64, common + own + other, dtype=np.uint64)
     a, b = np.unique(x[: common + own]), np.unique(np.concatenate([x[:common], x[common + own :]]))
-    assert jaccard.sketch_distance(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
+    x, y = jaccard.sketch(a), jaccard.sketch(b)
+    assert jaccard.sketch_distance(x, y) <= len(np.setxor1d(a, b))
+    words, folded = jaccard.folded_sketches([x, y])
+    left, right = folded[int(words.min())]
+    assert words.tolist() == [len(x) // 8, len(y) // 8] and np.bitwise_count(left ^ right).sum() == jaccard.sketch_distance(x, y)
 
 
 def test_near_stage_by_jaccard(spark, sf_dir):
