@@ -621,6 +621,13 @@ def test_sketches_bound_the_difference(seed, common, own, other):
     assert words.tolist() == [len(x) // 8, len(y) // 8] and np.bitwise_count(left ^ right).sum() == jaccard.sketch_distance(x, y)
 
 
+def test_nearest_pairs_of_each_root(monkeypatch):
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    root, x, y = np.array([0, 0, 2, 3]), np.array([0, 1, 0, 2]), np.array([2, 2, 3, 3])
+    assert jaccard._nearest(root, x, y, np.array([5, 4, 9, 7])).tolist() == [1, 3]  # roots 0 and 2 by the second, 3 by the last
+    assert len(jaccard._nearest(root, x[:0], y[:0], x[:0])) == 0
+
+
 def test_near_stage_by_jaccard(spark, sf_dir):
     rows = docs_of(spark, sf_dir).orderBy("doc_id").collect()
     root = union_roots(len(rows), *np.array(brute_similar([r["text"] for r in rows])).T)
