@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, langid, packing, pii, quality, sepscan, simhash, sp_codec, warc
+from . import embed_dedup, exact_dedup, hard_negatives, langid, licences, packing, pii, quality, sepscan, simhash, sp_codec, warc, whitening
 from .common import table
 
 #: Parameter: the tokenizers file that the token queries use.
@@ -114,10 +114,69 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.round_trip(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth vector against all vectors."""
+    finite = F.forall("embedding", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)))
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    x = F.transform("embedding", lambda c: F.floor(F.lit(256.0) * c.cast("double")))
+    v = table(spark, sf_dir, "embeddings").where(finite)
+    return hard_negatives.mine(v.select(F.col("vec_id").alias("id"), label.alias("label"), x.alias("x"), (F.pmod("vec_id", F.lit(100)) == 0).alias("anchor")))
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.x) = len(b.x)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened on their four leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def _quoted(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_TEMPLATES = [(label, phrase, True, []) for label, phrase in licences.BASE] + [(label, notice, False, keys) for label, notice, keys in licences.NOTICES]
+OP13_SQL = f"""
+WITH t(t, label, words, base, keys) AS (VALUES {", ".join(f"({i}, '{label}', string_split('{words}', ' '), {base}, {_quoted(keys)}::VARCHAR[])" for i, (label, words, base, keys) in enumerate(_TEMPLATES))}),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(replace(coalesce(text, ''), 'K', 'ĸ')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+h AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
+tw AS (SELECT t, base, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS j, len(words) AS size FROM t),
+df AS (SELECT w, count(DISTINCT doc_id) AS n FROM h WHERE w IN (SELECT w FROM tw) GROUP BY w),
+p AS (SELECT t, w, j, CASE WHEN base THEN size ELSE least({licences.AGREE}, size) END AS need FROM tw LEFT JOIN df USING (w)
+  QUALIFY base OR row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), j) <= {licences.RARE}),
+c AS (SELECT doc_id, t, i - j AS s FROM h JOIN p USING (w) GROUP BY ALL HAVING count(*) >= min(need)),
+k AS (SELECT t, words, string_split(unnest(keys), ' ') AS key FROM t),
+ka AS (SELECT t, key, list_min(list_filter(range(len(words)), lambda i: words[i + 1:i + len(key)] = key)) AS place FROM k),
+failed AS (SELECT DISTINCT c.doc_id, c.t, c.s FROM c JOIN ka ON ka.t = c.t JOIN d ON d.doc_id = c.doc_id
+  WHERE len(list_filter(range(c.s + place - {licences.SLACK}, c.s + place + {licences.SLACK} + 1), lambda i: i >= 0 AND ws[i + 1:i + len(key)] = key)) = 0),
+found AS (SELECT c.doc_id, t.label, t.base, c.s, len(list_filter(range(len(words)), lambda j: c.s + j >= 0 AND ws[c.s + j + 1] = words[j + 1])) / len(words) AS share
+  FROM c JOIN t ON t.t = c.t JOIN d ON d.doc_id = c.doc_id WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.doc_id = c.doc_id AND f.t = c.t AND f.s = c.s)),
+g AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict:
-    found = (op1_embedding_dedup, op2_packing, op3_quality, op4_pii, op5_warc, op6_exact_dedup, op7_language, op8_simhash, op9_token_counts, op10_sentencepiece)
+    found = (op1_embedding_dedup, op2_packing, op3_quality, op4_pii, op5_warc, op6_exact_dedup, op7_language, op8_simhash, op9_token_counts, op10_sentencepiece, op11_hard_negatives, op12_whitening, op13_licences)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_licences": OP13_SQL}
