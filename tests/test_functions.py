@@ -1,5 +1,7 @@
 """Hand-computed rows for the column functions, thresholds from both sides, and deliberate quirks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +216,18 @@ def test_upsert(spark):
     assert [r[0] for r in merge.delete(new, old, ["match_id"]).collect()] == ["3"]
 
 
+def test_a_text_is_one_option(spark):
+    rows = [("m1", "d", "win,h_win"), ("m2", "d", "win"), ("m3", "d", "bad"), ("m4", "d", None)]
+    got = bets.normalise_picks(spark.createDataFrame([(*r, None) for r in rows], "match_id string, device_id string, options string, confidence string"))
+    assert [(r["match_id"], r["manual_options"], r["manual_win_prediction"]) for r in got.collect()] == [("m2", ["win"], "home")]
+
+
+def test_predictions_again_keep_manual_picks(spark):
+    old = spark.createDataFrame([("1", "home", "draw", True, 50.0), ("2", "away", None, True, 25.0)], "match_id string, win_prediction string, manual_win_prediction string, is_reviewed boolean, accuracy double")
+    new = spark.createDataFrame([("1", "away", 1), ("3", None, 1)], "match_id string, win_prediction string, other int")
+    assert sorted(map(str, map(tuple, predict.upsert_predictions(old, new).collect()))) == [str(x) for x in (("1", "away", "draw", False, 50.0), ("2", "away", None, True, 25.0), ("3", None, None, False, None))]
+
+
 def test_best_pair_is_brute_force(spark):
     import itertools
 
@@ -225,8 +239,30 @@ def test_best_pair_is_brute_force(spark):
     want = [pairs[i] for _, i in sorted(both)[:4]]
     assert [(r["match_1"], r["k_1"], r["match_2"], r["k_2"]) for r in parlay.best_pair(df, 3.0, top=4).collect()] == [(a[0], a[2], b[0], b[2]) for a, b in want]
     assert parlay.best_pair(df.limit(0)).count() == 0
-    with pytest.raises(Exception, match="two places"):
-        parlay.best_pair(spark.createDataFrame([("a", "t", 1, 1.655)], df.schema)).collect()
+
+
+@pytest.mark.parametrize("places,n,target", [(3, 2, 3.2), (3, 3, 5.0), (3, 5, 9.0), (5, 4, 8.0), (6, 2, 3.0)])
+def test_combinations_of_any_odds(spark, places, n, target):
+    """Odds of three and more places, among them 1.925, with matches that hold several candidates; held against all combinations."""
+    import itertools
+    import math
+
+    rnd = random.Random(places * 10 + n)
+    odds = [1.925, *(round(rnd.uniform(1.5, 2.0), places) for _ in range(13))]
+    c = [(o, f"m{i % 9}", f"0{i % 3}-02 10:00", i // 9) for i, o in enumerate([*odds, odds[3]])] + [(0.0, "m1", None, 2), (None, "m2", None, 2)]
+    df = spark.createDataFrame(c, "odds double, match_id string, match_time string, k int")
+    listed = sorted((x for x in c if x[0]), key=lambda x: (x[2], x[1], -x[3]), reverse=True)
+    whole = lambda x: round(x[0] * 10**6)
+    fits = [x for x in itertools.combinations(listed, n) if len({v[1] for v in x}) == n]
+    best = min(fits, key=lambda x: abs(math.prod(map(whole, x)) - round(target * 10**6) * 10 ** (6 * (n - 1))))
+    got = parlay.n_fold(df, n, target).collect()
+    assert [tuple(r)[: 2 * n] for r in got] == [tuple(y for v in best for y in (v[1], v[3]))]
+    assert [got[0][f"odds_{i + 1}"] for i in range(n)] == [v[0] for v in best]
+    if n == 2:
+        assert tuple(parlay.best_pair(df, target).collect()[0])[:4] == tuple(got[0])[:4]
+        inside = [x for x in fits if 2.6 <= x[0][0] * x[1][0] <= 2.9]
+        best = min(inside, key=lambda x: abs(whole(x[0]) * whole(x[1]) - round(target * 10**12)))
+        assert tuple(parlay.best_pair(df, target, 2.6, 2.9).collect()[0])[:4] == tuple(y for v in best for y in (v[1], v[3]))
 
 
 def test_stream_is_batch(spark, sf_dir, tmp_path):

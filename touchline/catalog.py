@@ -77,8 +77,13 @@ def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bets.settle_bets(view(spark, sf_dir, "legs"), matches(spark, sf_dir), _day("2024-05-01"))
 
 
+def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submitted picks, whose options the derived table writes as one text."""
+    return view(spark, sf_dir, "picks").withColumn("options", F.split("options", ","))
+
+
 def _picks(spark: SparkSession, sf_dir: str, lined: bool = False) -> DataFrame:
-    return bets.normalise_picks(view(spark, sf_dir, "picks"), matches(spark, sf_dir) if lined else None)
+    return bets.normalise_picks(_submissions(spark, sf_dir), matches(spark, sf_dir) if lined else None)
 
 
 def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +186,17 @@ def _deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bets.delete_bet_group(all_bets, all_bets.where(k % 7 == 0).select("device_id", F.when(k % 2 == 0, F.col("group_id")).otherwise(F.col("bet_id")).alias("id")))
 
 
+def _match_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match with the largest id that 7 divides, looked up by a one-row join."""
+    m = matches(spark, sf_dir)
+    asked = m.where(F.col("match_id").cast("long") % 7 == 0).agg(F.max(F.col("match_id").cast("long")).cast("string").alias("match_id"))
+    return lists.by_ids(m, asked).select("match_id", "league", "status", "home_team", "away_team", "home_score", "away_score")
+
+
 def _predicted_again(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = _predictions(spark, sf_dir).select("match_id", "win_prediction", "is_reviewed", "predict_date")
-    return predict.upsert_predictions(old, old.where(F.col("match_id").cast("long") % 3 == 0).withColumn("win_prediction", F.lit("draw")), _day("2024-05-01"))
+    old = _predictions(spark, sf_dir).select("match_id", "win_prediction", "is_reviewed", "predict_date", "manual_win_prediction", "manual_asian_handicap")
+    new = old.where(F.col("match_id").cast("long") % 3 == 0).select("match_id", F.lit("draw").alias("win_prediction"))
+    return predict.upsert_predictions(old, new, _day("2024-05-01"))
 
 
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +213,7 @@ OTHERS = {
     "bet_groups": lambda spark, sf_dir: bets.bet_groups(_settled(spark, sf_dir)),
     "enrich_legs": lambda spark, sf_dir: bets.enrich_legs(view(spark, sf_dir, "legs"), matches(spark, sf_dir)),
     "normalise_picks": lambda spark, sf_dir: _picks(spark, sf_dir, lined=True),
-    "my_picks": lambda spark, sf_dir: bets.my_picks(view(spark, sf_dir, "picks"), matches(spark, sf_dir)).withColumns({"grid_win": F.col("grid_data.euro.win"), "grid_h_lose": F.col("grid_data.handicap.odds.lose"), "grid_val": F.col("grid_data.handicap.val")}).drop("grid_data"),
+    "my_picks": lambda spark, sf_dir: bets.my_picks(_submissions(spark, sf_dir), matches(spark, sf_dir)).withColumns({"grid_win": F.col("grid_data.euro.win"), "grid_h_lose": F.col("grid_data.handicap.odds.lose"), "grid_val": F.col("grid_data.handicap.val")}).drop("grid_data"),
     "high_odds_candidates": _on_matches(parlay.high_odds_candidates),
     "high_odds_pair": lambda spark, sf_dir: parlay.best_pair(parlay.high_odds_candidates(matches(spark, sf_dir)), 3.0, 2.8, 3.5),
     "nearest_pairs": lambda spark, sf_dir: parlay.best_pair(parlay.high_odds_candidates(matches(spark, sf_dir)), 3.0, top=3),
@@ -210,6 +223,8 @@ OTHERS = {
     "full_analysis_pair": lambda spark, sf_dir: parlay.best_pair(parlay.full_analysis_candidates(matches(spark, sf_dir)), 3.0, 2.8, 3.5),
     "three_fold": lambda spark, sf_dir: parlay.n_fold(parlay.profile_candidates(matches(spark, sf_dir)), 3, 5.0),
     "four_fold": lambda spark, sf_dir: parlay.n_fold(parlay.profile_candidates(matches(spark, sf_dir)), 4, 8.0),
+    "two_fold": lambda spark, sf_dir: parlay.n_fold(parlay.profile_candidates(matches(spark, sf_dir)), 2, 3.0),
+    "five_fold": lambda spark, sf_dir: parlay.n_fold(parlay.profile_candidates(matches(spark, sf_dir)), 5, 9.0),
     "banker_candidates": _on_matches(parlay.banker_candidates),
     "banker_pair": lambda spark, sf_dir: parlay.banker_pair(parlay.banker_candidates(matches(spark, sf_dir))),
     "low_odds_backtest": _on_matches(parlay.low_odds_backtest),
@@ -217,7 +232,7 @@ OTHERS = {
     "bets_dashboard": lambda spark, sf_dir: bets.dashboard_rows(view(spark, sf_dir, "legs"), matches(spark, sf_dir)),
     "bets_of": lambda spark, sf_dir: lists.bets_of(_settled(spark, sf_dir), "d7", "won").select("bet_id", "created_at", "status", "odds"),
     "picks_of": lambda spark, sf_dir: lists.picks_of(_picks(spark, sf_dir), "d11", 40).select("match_id", "manual_win_prediction", "manual_asian_prediction", "created_at"),
-    "my_picks_list": lambda spark, sf_dir: bets.my_picks_list(view(spark, sf_dir, "picks"), matches(spark, sf_dir), "d5").select("match_id", "match_time", "confidence", "main_odds"),
+    "my_picks_list": lambda spark, sf_dir: bets.my_picks_list(_submissions(spark, sf_dir), matches(spark, sf_dir), "d5").select("match_id", "match_time", "confidence", "main_odds"),
     "upsert_user_picks": _picks_upserted,
     "delete_user_pick": _picks_deleted,
     "append_and_update_bets": _bets_appended,
@@ -226,7 +241,7 @@ OTHERS = {
     "apply_reviews": lambda spark, sf_dir: predict.apply_reviews(_predictions(spark, sf_dir), _reviews(spark, sf_dir), _day("2024-05-01")).select("match_id", "is_reviewed", "correct_count", "accuracy", "actual_winner", "actual_home_score", "win_correct", "review_date"),
     "review_batch_leagues": lambda spark, sf_dir: predict.review_batch_leagues(_reviews(spark, sf_dir)),
     "review_summary_of_days": lambda spark, sf_dir: predict.review_summary(_reviews(spark, sf_dir).join(_predictions(spark, sf_dir).select("match_id", F.col("predict_date").alias("review_date")), "match_id"), _day("1997-06-01")),
-    "predict_and_review": lambda spark, sf_dir: predict.predict_and_review(matches(spark, sf_dir), _predictions(spark, sf_dir), _day("2024-05-01")).select("match_id", "win_prediction", "is_reviewed", "accuracy"),
+    "predict_and_review": lambda spark, sf_dir: predict.predict_and_review(matches(spark, sf_dir), _predictions(spark, sf_dir), _day("2024-05-01")).select("match_id", "win_prediction", "is_reviewed", "accuracy", "manual_win_prediction", "manual_asian_prediction", "manual_asian_handicap"),
     "predictions_list": lambda spark, sf_dir: lists.predictions_list(_predictions(spark, sf_dir), False).select("match_id", "win_prediction", "is_reviewed", "predict_date"),
     "daily_predictions_of_day": _on_matches(predict.daily_predictions, day="1996-03-05"),
     "ou_samples_of_league": _on_matches(results.ou_samples, league="NATION_3", least=1, most=4),
@@ -235,7 +250,7 @@ OTHERS = {
     "odds_pattern_report": _pattern_report,
     "level_ball_report": lambda spark, sf_dir: reports.long_form(reports.level_report(matches(spark, sf_dir)), dict.fromkeys(("water", "water_change", "league"), "grp"), dict.fromkeys(("water", "water_change", "league"), RESULT_MEASURES)),
     "get_matches_by_odds": lambda spark, sf_dir: lists.get_matches(matches(spark, sf_dir), 200, "win0", False, {"owner_date": ("1995-01-01", "1996-12-31")}, ["match_id", "league", "owner_date", "win0", "match_time"], league="NATION_4"),
-    "match_by_id": lambda spark, sf_dir: lists.by_id(matches(spark, sf_dir), matches(spark, sf_dir).where(F.col("match_id").cast("long") % 7 == 0).agg(F.max(F.col("match_id").cast("long")).cast("string")).first()[0]).select("match_id", "league", "status", "home_team", "away_team", "home_score", "away_score"),
+    "match_by_id": _match_by_id,
     "row_json": lambda spark, sf_dir: lists.row_json(matches(spark, sf_dir).select("match_id", "league", "status", "home_score")),
     "odds_needed": lambda spark, sf_dir: lists.odds_needed(matches(spark, sf_dir)).select("match_id", "status"),
     "upsert_odds": _odds_upserted,

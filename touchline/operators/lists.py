@@ -45,6 +45,11 @@ def by_id(df: DataFrame, match_id: str) -> DataFrame:
     return df.where(F.col("match_id") == match_id)
 
 
+def by_ids(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of the matches that ``asked`` (match_id) names."""
+    return df.join(asked.select("match_id").distinct(), "match_id", "left_semi")
+
+
 def row_json(df: DataFrame, key: str = "match_id") -> DataFrame:
     """(key, json) of every row with all its columns; times in ISO form, nulls kept."""
     times = {f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss") for f in df.schema if f.dataType.typeName() in ("timestamp", "timestamp_ntz")}

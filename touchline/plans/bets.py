@@ -137,11 +137,11 @@ def option_text(options: Column) -> Column:
 
 
 def _options(submissions: DataFrame) -> Column:
-    """An array, a comma-separated text, or the older column ``option``."""
+    """An array, a text, which is one option, or the older column ``option``."""
     kinds = dict(submissions.dtypes)
     given = F.lit(None).cast("array<string>")
     if "options" in kinds:
-        given = F.col("options") if kinds["options"].startswith("array") else F.split("options", ",")
+        given = F.col("options") if kinds["options"].startswith("array") else F.when(F.col("options").isNotNull(), F.array("options"))
     old = F.when(F.nullif(F.trim("option"), F.lit("")).isNotNull(), F.array(F.trim("option"))) if "option" in kinds else F.lit(None).cast("array<string>")
     return F.filter(F.coalesce(given, old, F.array().cast("array<string>")), lambda x: x.isin(*ALLOWED))
 

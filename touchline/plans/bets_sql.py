@@ -66,6 +66,22 @@ def fold(n: int, target: float) -> str:
     SELECT {out}, ({product}) / {100**n}.0::DOUBLE AS product, abs({product} - {round(target * 100) * 100 ** (n - 1)}) / {100**n}.0::DOUBLE AS diff FROM one x1 {joins} ORDER BY abs({product} - {round(target * 100) * 100 ** (n - 1)}), {order} LIMIT 1"""
 
 
+def fold5(target: float) -> str:
+    """Five legs: all combinations of values first; those at least as near as the best whose values have five matches each are filled with legs."""
+    x, aim = range(1, 6), round(target * 100) * 100**4
+    product = " * ".join(f"a{i}.v" for i in x)
+    chain = " ".join(f"JOIN vm a{i} ON a{i - 1}.v <= a{i}.v" for i in x[1:])
+    legs = " ".join(f"JOIN one x{i} ON x{i}.v = v{i}" for i in x)
+    apart = " AND ".join(f"x{i}.match_id <> x{j}.match_id AND (v{i} <> v{j} OR x{i}.i < x{j}.i)" for i in x for j in x if i < j)
+    out = ", ".join(f"l[{i}].match_id AS match_{i}, l[{i}].k AS k_{i}, l[{i}].v / 100.0::DOUBLE AS odds_{i}" for i in x)
+    return f"""{_RANKED}, one AS (SELECT v, match_id, arg_min(k, i) AS k, min(i) AS i FROM rc GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY v ORDER BY min(i)) <= 5),
+    vm AS (SELECT v::BIGINT AS v, count(*) AS m FROM one GROUP BY 1),
+    cb AS (SELECT {", ".join(f"a{i}.v AS v{i}" for i in x)}, abs({product} - {aim}) AS off, {" AND ".join(f"a{i}.m >= 5" for i in x)} AS sure FROM vm a1 {chain}),
+    near AS (SELECT * FROM cb WHERE off <= (SELECT coalesce(min(off) FILTER (WHERE sure), {10**18}) FROM cb)),
+    fl AS (SELECT off, {" * ".join(f"v{i}" for i in x)} AS product, list_sort([{", ".join(f"{{'i': x{i}.i, 'match_id': x{i}.match_id, 'k': x{i}.k, 'v': x{i}.v}}" for i in x)}]) AS l FROM near {legs} WHERE {apart})
+    SELECT {out}, product / {100**5}.0::DOUBLE AS product, off / {100**5}.0::DOUBLE AS diff FROM fl ORDER BY off, list_transform(l, lambda q: q.i) LIMIT 1"""
+
+
 SQL = {
     "settle_bets": sql(f"WITH {SETTLED} SELECT * FROM st", "legs"),
     "bet_stats": sql(f"WITH {SETTLED} {STATS}", "legs"),
@@ -90,6 +106,8 @@ SQL = {
     "full_analysis_pair": sql(f"WITH {FULL}" + ", " + _PAIR.format(w="WHERE x.v * y.v BETWEEN 28000 AND 35000", n=1)),
     "three_fold": sql(f"WITH {PROFILED}, {fold(3, 5.0)}"),
     "four_fold": sql(f"WITH {PROFILED}, {fold(4, 8.0)}"),
+    "two_fold": sql(f"WITH {PROFILED}, {fold(2, 3.0)}"),
+    "five_fold": sql(f"WITH {PROFILED}, {fold5(9.0)}"),
     "low_odds_pick": sql("WITH x AS (SELECT match_id, win0, result, sha256('7:' || match_id) AS draw FROM f WHERE result IS NOT NULL AND win0 > 1.1::DOUBLE AND win0 < 1.65::DOUBLE ORDER BY draw LIMIT 2) SELECT count(*) AS legs, string_agg(match_id, ',' ORDER BY draw) AS matches, list_reduce(list_prepend(1.0::DOUBLE, list(win0 ORDER BY draw)), lambda a, b: a * b) AS product, CASE WHEN bool_and(result = 'home') THEN list_reduce(list_prepend(1.0::DOUBLE, list(win0 ORDER BY draw)), lambda a, b: a * b) ELSE 0.0 END AS returned FROM x HAVING count(*) > 0"),
     "banker_candidates": sql(f"WITH {BANKER} SELECT * FROM c"),
     "banker_pair": sql(f"WITH {BANKER}, o AS (SELECT *, row_number() OVER (ORDER BY odds, match_id, k) AS rn FROM c) SELECT x.match_id AS match_1, x.k AS k_1, x.odds AS odds_1, y.match_id AS match_2, y.k AS k_2, y.odds AS odds_2, x.odds * y.odds AS product FROM o x JOIN o y ON x.rn = 1 AND y.rn = 2"),

@@ -1,11 +1,16 @@
 """Candidates and the search for the best pair or combination.
 
-Odds have two places and lie in narrow bands, so there are few distinct values however many candidates there are. The first
-candidates of each value stand for all of them, and the search runs over these few rows: it never forms all pairs.
+A band of odds holds few distinct values however many candidates there are. The first candidates of each value stand for all
+of them, and the search meets in the middle over these values: products of pairs are sorted once in a task, and each product
+of the other legs looks up its complement, within a distance of the target that widens until enough combinations are found.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,39 +87,139 @@ def profile_candidates(m: DataFrame) -> DataFrame:
     return _listed(_profiled(m).where(_known("win", "lose", "over", "line")), home, away, big)
 
 
-def _cents(odds: Column) -> Column:
-    """Odds as whole hundredths; others than 1.00 to 4.00 or with more places raise an error."""
-    v = F.round(odds * 100).cast("long")
-    good = v.between(100, 400) & (F.abs(odds * 100 - v) < 1e-6)
-    return F.when(good, v).otherwise(F.raise_error(F.lit("odds are of two places from 1.00 to 4.00")).cast("long"))
+#: Odds count in millionths at the finest, so that products are whole numbers and ties are exact.
+PLACES = 6
 
 
 def _first_of_values(candidates: DataFrame, each: int, one_of_match: bool) -> DataFrame:
-    """(v, match_id, k, pos): of each value of the odds the first ``each`` candidates, or matches, in order; at most 301 * each rows."""
+    """(v, match_id, k, pos): of each value of the odds, in millionths, the first ``each`` candidates, or matches, in order. Odds not above 0 are none."""
     w = Window.partitionBy("v").orderBy(*_in_order())
-    few = candidates.where("odds IS NOT NULL").select("match_id", "match_time", "k", _cents(F.col("odds")).alias("v"))
+    few = candidates.where("odds > 0").select("match_id", "match_time", "k", F.round(F.col("odds") * 10**PLACES).cast("long").alias("v")).where("v > 0")
     # a match has at most three candidates: 3 * each rows hold each matches; the limit works before the shuffle
     few = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= (3 * each if one_of_match else each))
     if one_of_match:
         few = few.groupBy("v", "match_id").agg(F.min("k").alias("k"), F.max("match_time").alias("match_time"))
         few = few.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= each)
-    place = F.row_number().over(Window.orderBy(*_in_order()))  # a bounded number of rows
+    place = F.row_number().over(Window.orderBy(*_in_order()))  # as many rows as values of the odds, times ``each``
     return written(few.select("v", "match_id", "k", place.alias("pos")), "candidates")
 
 
+def _complements(v: list[int], m: list[int], n: int, aim: int, reach: float):
+    """Rows (i): the combinations i <= i2 <= ... of value numbers whose product is within ``reach`` of ``aim``, no value more often than its ``m``.
+
+    The products of two legs (one for pairs), sorted, are searched for the complement of each product of the others, so no
+    more of them are held than the square of the values, and only what is near enough is formed.
+    """
+    def run(batches):
+        x, size = np.array(v, dtype=np.float64), len(v)
+        a, b = (np.arange(size), np.arange(size)) if n == 2 else np.triu_indices(size)
+        products = x if n == 2 else x[a] * x[b]
+        order = np.argsort(products, kind="stable")
+        a, b, products = a[order], b[order], products[order]
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                rest = np.arange(first, size)
+                if n <= 3:
+                    left = np.array([[first]])
+                elif n == 4:
+                    left = np.stack([np.full(len(rest), first), rest], axis=1)
+                else:
+                    i, j = np.triu_indices(len(rest))
+                    left = np.stack([np.full(len(i), first), rest[i], rest[j]], axis=1)
+                own = x[left].prod(axis=1)
+                low = np.searchsorted(products, (aim - reach) / own * (1 - 1e-12), "left")
+                high = np.searchsorted(products, (aim + reach) / own * (1 + 1e-12), "right")
+                ends = np.cumsum(high - low)
+                for at in range(0, int(ends[-1]), 1 << 20):
+                    flat = np.arange(at, min(at + (1 << 20), int(ends[-1])))
+                    row = np.searchsorted(ends, flat, "right")
+                    pair = high[row] - (ends[row] - flat)
+                    right = a[pair][:, None] if n == 2 else np.stack([a[pair], b[pair]], axis=1)
+                    both = np.concatenate([left[row], right], axis=1)
+                    both = both[both[:, left.shape[1]] >= both[:, left.shape[1] - 1]]
+                    out = []
+                    for numbers in both.tolist():
+                        if all(numbers.count(k) <= m[k] for k in set(numbers)):
+                            product = math.prod(v[k] for k in numbers)
+                            if abs(product - aim) <= reach:
+                                out.append([*[v[k] for k in numbers], str(product), str(abs(product - aim))])
+                    if out:
+                        cols = list(zip(*out))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:n]] + [pa.array(c) for c in cols[n:]], [*[f"v_{i}" for i in range(1, n + 1)], "product", "off"])
+
+    return run
+
+
+def _nearest(few: DataFrame, n: int, target: float, top: int = 1, low: float | None = None, high: float | None = None) -> tuple[DataFrame, int]:
+    """The ``top`` combinations of ``n`` rows of ``few`` of different matches with products nearest to ``target``: (off, product, legs), and the places.
+
+    The values of the odds, a few hundred to a few thousand, come to the driver; the combinations don't. The distance begins
+    where some fifty combinations are expected and grows until ``top`` are found, or everything, or the band, is within it.
+    """
+    spark = few.sparkSession
+    counted = sorted((r["v"], r["m"]) for r in few.groupBy("v").agg(F.count_distinct("match_id").alias("m")).collect())
+    # as few places as tell all values, so that products stay short; fewer where 38 digits would not hold a product
+    places = next(p for p in range(PLACES + 1) if p == PLACES or all(v % 10 ** (PLACES - p) == 0 for v, _ in counted))
+    most = max((v for v, _ in counted), default=1) / 10**PLACES
+    while places and n * (places + math.log10(max(most, 1.0))) > 37.5:
+        places -= 1
+    unit = 10 ** (PLACES - places)
+    held: dict[int, int] = {}
+    for v, m in counted:
+        held[max(1, round(v / unit))] = held.get(max(1, round(v / unit)), 0) + m
+    v, m = list(held), list(held.values())
+    few = few.withColumn("v", F.greatest(F.lit(1), F.round(F.col("v") / unit)).cast("long"))
+    scale = 10 ** (places * n)
+    aim = round(target * scale)
+    far = max([abs(min(v) ** n - aim), abs(max(v) ** n - aim)]) if v else 0
+    if low is not None:
+        far = min(far, max(aim - round(low * scale), round(high * scale) - aim))
+    names, schema = [f"v_{i}" for i in range(1, n + 1)], ", ".join([*[f"v_{i} long" for i in range(1, n + 1)], "product string", "off string"])
+    reach = min(far, int(max(v) ** n - min(v) ** n) * 50 // max(1, math.comb(len(v) + n - 1, n)) if v else 0)
+    firsts = spark.range(0, len(v), 1, max(1, min(len(v), 64)))
+    while True:
+        t = firsts.mapInArrow(_complements(v, m, n, aim, reach), schema).withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("product", "off")})
+        if low is not None:
+            t = t.where(F.col("product").between(round(low * scale), round(high * scale)))
+        # the nearest first: most searches end with a few hundred of them, and those of the same distance
+        t = written(t, "combinations")
+        bar = t.orderBy("off").limit(256).agg(F.max("off")).first()[0]
+        for near in ([bar] if bar is not None else []) + [None]:
+            found = written(_filled(t if near is None else t.where(F.col("off") <= F.lit(near)), few, n, names).orderBy("off", "legs").limit(top), "found")
+            if near is not None and found.count() >= top:
+                return found, places
+        if reach >= far or found.count() >= top:
+            return found, places
+        reach = min(far, max(16 * reach, 1))
+
+
+def _filled(t: DataFrame, few: DataFrame, n: int, names: list[str]) -> DataFrame:
+    """The combinations of values with legs of different matches in their places; of equal values the earlier leg first."""
+    few = small_side(few)
+    for i in range(1, n + 1):
+        t = t.join(few.select(F.col("v").alias(f"v_{i}"), F.struct("pos", "match_id", "k", "v").alias(f"leg_{i}")), f"v_{i}")
+        for j in range(1, i):
+            a, b = F.col(f"leg_{j}"), F.col(f"leg_{i}")
+            t = t.where((a["match_id"] != b["match_id"]) & ((F.col(f"v_{j}") != F.col(f"v_{i}")) | (a["pos"] < b["pos"])))
+    return t.select("off", "product", F.array_sort(F.array(*[f"leg_{i}" for i in range(1, n + 1)])).alias("legs"))
+
+
+def _legs(found: DataFrame, n: int, places: int) -> tuple[list[Column], list[Column], Column, Column]:
+    leg = lambda i: F.element_at("legs", i)
+    unit, scale = float(10**places), float(10 ** (places * n))
+    keys = [leg(i)[c].alias(f"{name}_{i}") for i in range(1, n + 1) for c, name in (("match_id", "match"), ("k", "k"))]
+    return keys, [(leg(i)["v"] / unit).alias(f"odds_{i}") for i in range(1, n + 1)], (F.col("product").cast("double") / scale).alias("product"), (F.col("off").cast("double") / scale).alias("diff")
+
+
 def best_pair(candidates: DataFrame, target: float = 3.0, low: float | None = None, high: float | None = None, top: int = 1) -> DataFrame:
     """The ``top`` pairs of different matches whose product is nearest to ``target``, within [low, high] if given; ties in candidate order.
 
-    Odds count in hundredths, so that ties are exact. Of the candidates of one value the first ``3 * top + 3`` suffice: a
-    later one has enough earlier ones of other matches that pair as well.
+    Odds of any number of places count to the nearest millionth, so that ties are exact. Of the candidates of one value the
+    first ``3 * top + 3`` suffice: a later one has enough earlier ones of other matches that pair as well.
     """
-    few = small_side(_first_of_values(candidates, 3 * top + 3, one_of_match=False))
-    side = lambda i: few.select(*[F.col(c).alias(f"{c}_{i}") for c in ("v", "match_id", "k", "pos")])
-    product = F.col("v_1") * F.col("v_2")
-    pairs = side(1).join(side(2), (F.col("pos_1") < F.col("pos_2")) & (F.col("match_id_1") != F.col("match_id_2")))
-    pairs = pairs if low is None else pairs.where(product.between(round(low * 10_000), round(high * 10_000)))
-    pairs = pairs.withColumn("off", F.abs(product - round(target * 10_000))).orderBy("off", "pos_1", "pos_2").limit(top)
-    return pairs.select(F.col("match_id_1").alias("match_1"), "k_1", F.col("match_id_2").alias("match_2"), "k_2", *[(F.col(f"v_{i}") / 100.0).alias(f"odds_{i}") for i in (1, 2)], (F.col("off") / 10_000.0).alias("diff"))
+    found, places = _nearest(_first_of_values(candidates, 3 * top + 3, one_of_match=False), 2, target, top, low, high)
+    keys, odds, _, diff = _legs(found, 2, places)
+    return found.orderBy("off", "legs").select(*keys, *odds, diff)
 
 
 def full_analysis_candidates(m: DataFrame) -> DataFrame:
@@ -171,38 +276,12 @@ def low_odds_pick(m: DataFrame, seed: int, n: int = 2, low: float = 1.1, high: f
 def n_fold(candidates: DataFrame, n: int = 2, target: float = 3.0) -> DataFrame:
     """The combination of ``n`` different matches, 2 to 5, whose product of odds is nearest to ``target``; none, no row.
 
-    Odds count in hundredths, so that products are whole numbers and ties are exact; ties go to the combination that comes
-    first in candidate order, and its legs stand in that order. The search runs over the values of the odds. Of each value
-    the first ``n`` matches suffice: a chosen match beyond them can always be replaced by an earlier one that is free. A
-    combination of values that all have ``n`` matches can surely be filled; only combinations at least as near as the best
-    of those are filled. Odds outside 1.00 to 4.00 raise an error, so that the broadcast tables have at most 301 values.
+    Odds of any number of places count to the nearest millionth, so that products are whole numbers and ties are exact; ties go
+    to the combination that comes first in candidate order, and its legs stand in that order. Of each value of the odds the
+    first ``n`` matches suffice: a chosen match beyond them can always be replaced by an earlier one that is free.
     """
     if not 2 <= n <= 5:
         raise ValueError("n is 2 to 5")
-    few = _first_of_values(candidates, n, one_of_match=True)
-    values = written(few.groupBy("v").agg(F.count("*").alias("m")), "values")
-    few, values = small_side(few), small_side(values)
-    one = lambda i: values.select(F.col("v").alias(f"v_{i}"), F.col("m").alias(f"m_{i}"))
-    t = one(1)
-    for i in range(2, n + 1):
-        t = t.join(one(i), F.col(f"v_{i - 1}") <= F.col(f"v_{i}"))
-        t = t.repartition("v_1", "v_2") if i == 2 and n > 3 else t
-    product = F.col("v_1")
-    for i in range(2, n + 1):
-        product = product * F.col(f"v_{i}")
-    aim = round(target * 100) * 100 ** (n - 1)
-    t = t.withColumns({"product": product, "off": F.abs(product - F.lit(aim).cast("long")), "sure": F.least(*[F.col(f"m_{i}") for i in range(1, n + 1)]) >= n})
-    bound = t.where("sure").agg(F.min("off").alias("bound"))  # one row
-    t = t.join(F.broadcast(bound), F.col("bound").isNull() | (F.col("off") <= F.col("bound")))
-    for i in range(1, n + 1):
-        t = t.join(few.select(F.col("v").alias(f"v_{i}"), F.struct("pos", "match_id", "k", "v").alias(f"leg_{i}")), f"v_{i}")
-        for j in range(1, i):
-            a, b = F.col(f"leg_{j}"), F.col(f"leg_{i}")
-            t = t.where((a["match_id"] != b["match_id"]) & ((F.col(f"v_{j}") != F.col(f"v_{i}")) | (a["pos"] < b["pos"])))
-    t = t.select("off", "product", F.array_sort(F.array(*[f"leg_{i}" for i in range(1, n + 1)])).alias("legs")).orderBy("off", "legs").limit(1)
-    leg = lambda i: F.element_at("legs", i)
-    scale = float(100**n)
-    return t.select(
-        *[leg(i)[c].alias(f"{name}_{i}") for i in range(1, n + 1) for c, name in (("match_id", "match"), ("k", "k"))], *[(leg(i)["v"] / 100.0).alias(f"odds_{i}") for i in range(1, n + 1)],
-        (F.col("product") / scale).alias("product"), (F.col("off") / scale).alias("diff"),
-    )
+    found, places = _nearest(_first_of_values(candidates, n, one_of_match=True), n, target)
+    keys, odds, product, diff = _legs(found, n, places)
+    return found.select(*keys, *odds, product, diff)

@@ -11,6 +11,7 @@ from ..operators.leagues import league_goal_average
 from ..operators.lists import movement_eligible
 from ..operators.results import count_of, ou_stats_by_league_line
 from ..operators.teams import team_form
+from ..sources.merge import upsert
 
 #: Leagues of the feature lists, and leagues where draws are common.
 FEATURE_LEAGUES = {
@@ -322,11 +323,16 @@ def review_batch_leagues(reviews: DataFrame) -> DataFrame:
 
 
 def upsert_predictions(old: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
-    """One row per match: a new prediction replaces the old row, is not reviewed and dates from ``now``. ``new`` has one row per match."""
-    kept = old.join(new.select("match_id"), "match_id", "left_anti").select(*old.columns)
+    """One row per match: the columns that a new prediction has replace those of the old row, which keeps the others, such as manual picks.
+
+    A match predicted anew is not reviewed and dates from ``now``. ``new`` has one row per match; columns that ``old`` lacks are left out.
+    """
     fresh = new.withColumn("is_reviewed", F.lit(False))
     fresh = fresh if now is None else fresh.withColumn("predict_date", now)
-    return kept.unionByName(fresh.select(*old.columns))
+    given = [c for c in old.columns if c in fresh.columns and c != "match_id"]
+    kinds = dict(old.dtypes)
+    updates = fresh.select(*[(F.col(c) if c in fresh.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in old.columns], F.lit(0).alias("seq"), F.array(*map(F.lit, given)).alias("present"))
+    return upsert(old, updates, ["match_id"])
 
 
 def apply_reviews(predictions: DataFrame, reviews: DataFrame, now: Column | None = None) -> DataFrame:
@@ -340,10 +346,7 @@ def apply_reviews(predictions: DataFrame, reviews: DataFrame, now: Column | None
 def predict_and_review(m: DataFrame, predictions: DataFrame, now: Column) -> DataFrame:
     """One run of the scheduled job: finished predictions are reviewed, then every upcoming match with odds is predicted anew."""
     reviewed = apply_reviews(predictions, review_predictions(m, predictions), now)
-    new = predict_upcoming(m)
-    shared = [c for c in reviewed.columns if c in new.columns]
-    fresh = new.select(*[F.col(c).cast(reviewed.schema[c].dataType).alias(c) if c in shared else F.lit(None).cast(reviewed.schema[c].dataType).alias(c) for c in reviewed.columns])
-    return upsert_predictions(reviewed, fresh, now)
+    return upsert_predictions(reviewed, predict_upcoming(m), now)
 
 
 def high_confidence_count(predictions: DataFrame, bar: float = 80.0) -> DataFrame:

@@ -135,8 +135,8 @@ SQL = {
     "review_summary_of_days": sql(f"""WITH {_REVIEWS}, dated AS (SELECT rv.*, coalesce(league, '未知') AS lg FROM rv JOIN predictions p ON p.match_id = rv.match_id WHERE p.predict_date > TIMESTAMP '1997-06-01') SELECT league, n, win_pct, asian_pct, ou_pct, score_pct, mean_accuracy, CASE WHEN mean_accuracy >= 75 THEN 2 WHEN mean_accuracy >= 50 THEN 1 ELSE 0 END AS mark FROM (
       SELECT lg AS league, count(*) AS n, {', '.join(f"100.0::DOUBLE * count(*) FILTER ({k}_correct) / count(*) AS {k}_pct" for k in ('win', 'asian', 'ou', 'score'))}, round(avg(accuracy), 6) AS mean_accuracy FROM dated GROUP BY ROLLUP (lg))""", "predictions"),
     "apply_reviews": sql(f"WITH {_REVIEWS} SELECT p.match_id, coalesce(rv.match_id IS NOT NULL OR p.is_reviewed, FALSE) AS is_reviewed, rv.correct_count, rv.accuracy, rv.actual_winner, rv.actual_home_score, rv.win_correct, CASE WHEN rv.match_id IS NOT NULL THEN TIMESTAMP '2024-05-01' END AS review_date FROM predictions p LEFT JOIN rv ON rv.match_id = p.match_id", "predictions"),
-    "predict_and_review": sql(f"{_UPCOMING.replace('SELECT match_id, league, match_time, home_team, away_team, wp AS win_prediction', ', up AS (SELECT match_id, wp AS win_prediction', 1)} ), {_REVIEWS} SELECT coalesce(p.match_id, up.match_id) AS match_id, CASE WHEN up.match_id IS NOT NULL THEN up.win_prediction ELSE p.win_prediction END AS win_prediction, up.match_id IS NULL AND coalesce(rv.match_id IS NOT NULL OR p.is_reviewed, FALSE) AS is_reviewed, CASE WHEN up.match_id IS NULL THEN rv.accuracy END AS accuracy FROM predictions p FULL JOIN up ON up.match_id = p.match_id LEFT JOIN rv ON rv.match_id = p.match_id", "predictions"),
+    "predict_and_review": sql(f"{_UPCOMING.replace('SELECT match_id, league, match_time, home_team, away_team, wp AS win_prediction', ', up AS (SELECT match_id, wp AS win_prediction', 1)} ), {_REVIEWS} SELECT coalesce(p.match_id, up.match_id) AS match_id, CASE WHEN up.match_id IS NOT NULL THEN up.win_prediction ELSE p.win_prediction END AS win_prediction, up.match_id IS NULL AND coalesce(rv.match_id IS NOT NULL OR p.is_reviewed, FALSE) AS is_reviewed, rv.accuracy AS accuracy, p.manual_win_prediction, p.manual_asian_prediction, p.manual_asian_handicap FROM predictions p FULL JOIN up ON up.match_id = p.match_id LEFT JOIN rv ON rv.match_id = p.match_id", "predictions"),
     "predictions_list": sql("SELECT match_id, win_prediction, is_reviewed, predict_date FROM predictions WHERE NOT is_reviewed ORDER BY predict_date DESC NULLS LAST, match_id LIMIT 50", "predictions"),
     "daily_predictions_of_day": sql(f"WITH {_DAILY} SELECT d.* FROM d JOIN m USING (match_id) WHERE owner_date = '1996-03-05'"),
-    "upsert_predictions": sql("SELECT match_id, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN 'draw' ELSE win_prediction END AS win_prediction, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN FALSE ELSE is_reviewed END AS is_reviewed, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN TIMESTAMP '2024-05-01' ELSE predict_date END AS predict_date FROM predictions", "predictions"),
+    "upsert_predictions": sql("SELECT match_id, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN 'draw' ELSE win_prediction END AS win_prediction, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN FALSE ELSE is_reviewed END AS is_reviewed, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN TIMESTAMP '2024-05-01' ELSE predict_date END AS predict_date, manual_win_prediction, manual_asian_handicap FROM predictions", "predictions"),
 }
