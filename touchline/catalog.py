@@ -20,7 +20,7 @@ from .plans.bets_sql import SQL as BETS_SQL
 from .plans.predict_sql import SQL as PREDICT_SQL
 from .sources import feeds, files, merge
 from .store import exists, scratch
-from .streaming import jobs
+from .streaming import form_table, jobs
 
 
 _VIEWS: dict[tuple[str, str, str], str] = {}
@@ -199,6 +199,44 @@ def _predicted_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.upsert_predictions(old, new, _day("2024-05-01"))
 
 
+def _tick_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as XML odds documents, newest row first; a user with many events gives several documents of some hundred rows."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    parts = e.groupBy("user_id").agg(F.ceil(F.count("*") / 500).cast("int").alias("parts"))
+    e = e.join(parts, "user_id").withColumn("part", F.pmod("event_id", F.col("parts")))
+    row = F.struct("ts", "event_id", F.format_string('<row win="%s" draw="%s" lost="%s" updatetime="%s"/>', F.col("value").cast("string"), "event_type", F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("x"))
+    rows = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(row))), lambda r: r["x"]), "")
+    doc = e.groupBy("user_id", "part").agg(rows.alias("rows"))
+    return doc.select(F.concat(F.lit("<xml><m matchnum=\""), F.col("user_id").cast("string"), F.lit("\">"), "rows", F.lit("</m></xml>")).alias("value"))
+
+
+def _feed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = feeds.odds_ticks(_tick_documents(spark, sf_dir))
+    return t.select("matchnum", "pos", "ticks", F.col("win").try_cast("double").alias("win"), F.col("draw").alias("kind"), F.col("lose").try_cast("long").alias("tick_id"), "update_time")
+
+
+def _in_time(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Legs with the last kick-off of their bet, and the results of finished matches two hours after theirs; some come late."""
+    m = matches(spark, sf_dir).select("match_id", "status", "h", "a", "hi_handicap_value", F.expr("CAST(try_cast(owner_date AS date) AS timestamp_ntz)").alias("day"))
+    legs = view(spark, sf_dir, "legs")
+    close = legs.join(m.select(F.col("match_id").alias("mid"), "day"), "mid").groupBy("bet_id").agg(F.max("day").alias("closes_at"))
+    late = F.when(F.col("match_id").cast("long") % 7 == 0, 9).otherwise(2)
+    results = m.where("status = 2").select("match_id", "h", "a", "hi_handicap_value", (F.col("day") + F.make_dt_interval(hours=late)).alias("ended_at"))
+    return legs.join(close, "bet_id"), results
+
+
+def _joined_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with feed snapshots of several weeks: one for every number and day on that day, an earlier one for every third, and one for no match."""
+    m = view(spark, sf_dir, "matches").select("match_id", "match_number", "owner_date")
+    day = feeds.number_day(F.col("match_number"), F.col("owner_date").cast("date"))
+    keys = m.select(match_number(F.col("match_number")).alias("matchnum"), day.alias("day")).where("matchnum IS NOT NULL").distinct()
+    third = F.substring("matchnum", 2, 9).cast("int") % 3 == 0
+    shot = lambda rows, hour, win: rows.select("matchnum", F.expr(f"CAST(day AS timestamp_ntz) + INTERVAL {hour} HOURS").alias("seen_at"), F.concat(F.date_format("day", "MMdd"), F.lit(win)).alias("win"))
+    hi = shot(keys, 20, ".20").unionByName(shot(keys.where(third), -26, ".1")).unionByName(shot(keys.where(third), 34, ".34"))
+    euro = shot(keys.where(~third), 13, ".13")
+    return feeds.join_feeds_by_day(m, hi, euro).select("match_id", "match_number", "owner_date", "hi_win", "hi_seen_at", "euro_win")
+
+
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -258,6 +296,12 @@ OTHERS = {
     "backfill_labels": lambda spark, sf_dir: merge.backfill_labels(view(spark, sf_dir, "matches").withColumn("asian_movement_label", F.lit("旧"))).select("match_id", "asian_movement_label"),
     "join_feeds": _joined_feeds,
     "first_of_each": _firsts,
+    "form_table": _on_matches(form_table.built),
+    "feed_ticks": _feed_ticks,
+    "feed_trend": lambda spark, sf_dir: jobs.odds_trend(jobs.feed_ticks(feeds.odds_ticks(_tick_documents(spark, sf_dir)))),
+    "odds_trend_by_match": lambda spark, sf_dir: jobs.odds_trend_by_match(_ticks(spark, sf_dir), quiet="3 days"),
+    "settle_in_time": lambda spark, sf_dir: jobs.settle_in_time(*_in_time(spark, sf_dir)),
+    "join_feeds_by_day": _joined_by_day,
     "odds_trend_by_day": lambda spark, sf_dir: jobs.odds_trend_by_day(_ticks(spark, sf_dir)),
     "upsert_predictions": _predicted_again,
     "nearest_line": lambda spark, sf_dir: feeds.nearest_line(_candidate_lines(spark, sf_dir)).select("match_id", "pos", "line_text"),

@@ -49,11 +49,18 @@ SQL = {
     "upsert_odds": sql(_UPSERTED),
     "combined": sql(f"SELECT match_id, league, {', '.join(f'{_doc(c)} AS {c}' for c in _COMBINED)}, {', '.join(f'{_doc(v)} AS {k}' for k, v in _OLDER.items())} FROM m"),
     "backfill_labels": sql("SELECT match_id, coalesce(label, '旧') AS asian_movement_label FROM m"),
+    "join_feeds_by_day": sql("""WITH d0 AS (SELECT match_id, match_number, owner_date, CASE WHEN regexp_full_match(match_number, '周[一二三四五六日][0-9]+') THEN position(substr(match_number, 2, 1) IN '一二三四五六日') END AS wd FROM matches),
+      d1 AS (SELECT *, (wd::VARCHAR || substr(match_number, 3))::VARCHAR AS num, owner_date::DATE + ((wd - isodow(owner_date::DATE) + 7) % 7)::INTEGER AS day, substr(match_number, 3)::INTEGER % 3 = 0 AS third FROM d0 WHERE wd IS NOT NULL)
+      SELECT d0.match_id, d0.match_number, d0.owner_date, CASE WHEN third THEN strftime(day, '%m%d') || '.34' ELSE strftime(day, '%m%d') || '.20' END AS hi_win, CASE WHEN third THEN day::TIMESTAMP + INTERVAL 34 HOURS ELSE day::TIMESTAMP + INTERVAL 20 HOURS END AS hi_seen_at, CASE WHEN NOT third THEN strftime(day, '%m%d') || '.13' END AS euro_win
+      FROM d0 LEFT JOIN d1 USING (match_id)"""),
     "join_feeds": sql("SELECT match_id, match_number, CASE WHEN n > 0 THEN '2.00/3.00/4.00' END AS hi_currodds, CASE WHEN n > 0 THEN '4.50' END AS hi_initial_lose, CASE WHEN n > 0 AND n % 2 = 0 THEN '1.50/3.00/5.00' END AS euro_currodds FROM (SELECT *, CASE WHEN match_number LIKE '周%' THEN CAST(substr(match_number, 3) AS INT) + 1 ELSE 0 END AS n FROM m)"),
     "first_of_each": sql("SELECT match_id, league, position FROM (SELECT match_id, league, position FROM (SELECT match_id, league, 2 AS position FROM m UNION ALL SELECT match_id, league || 'x', 1 FROM m WHERE CAST(match_id AS BIGINT) % 3 = 0)) QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY position, league) = 1"),
     "parse_match_feed": sql("SELECT match_id, match_number, match_number AS round_id, league, match_time, status, home_team, away_team, CASE WHEN status <> 0 AND nullif(home_score, '') IS NOT NULL AND nullif(away_score, '') IS NOT NULL THEN home_score || '-' || away_score ELSE '-' END AS score, owner_date FROM m"),
     "upsert_matches": sql("SELECT match_id, home_team, away_team, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN '9' ELSE home_score END AS home_score, CASE WHEN CAST(match_id AS BIGINT) % 6 = 0 THEN '' ELSE away_score END AS away_score FROM m"),
     "odds_trend": "SELECT user_id AS match_id, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM events GROUP BY 1, 2",
+    "feed_ticks": "WITH e AS (SELECT *, event_id % ceil(count(*) OVER (PARTITION BY user_id) / 500)::BIGINT AS part FROM events) SELECT user_id::VARCHAR AS matchnum, (row_number() OVER (PARTITION BY user_id, part ORDER BY ts DESC, event_id DESC) - 1)::INTEGER AS pos, count(*) OVER (PARTITION BY user_id, part)::INTEGER AS ticks, value AS win, event_type AS kind, event_id AS tick_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS update_time FROM e",
+    "feed_trend": "SELECT user_id::VARCHAR AS match_id, 'euro' AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM events GROUP BY 1",
+    "odds_trend_by_match": "WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 3 DAYS, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), r AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS opened, user_id AS match_id, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM r GROUP BY user_id, event_type, run",
     "odds_trend_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS match_id, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM events GROUP BY 1, 2, 3",
     "odds_trend_by_hour": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current FROM events GROUP BY 1, 2",
     "value_counts": sql("SELECT 'league' AS field, league AS value, n FROM (SELECT league, count(*) AS n FROM m WHERE nullif(league, '') IS NOT NULL GROUP BY 1 ORDER BY n DESC, league LIMIT 10) UNION ALL SELECT 'status', coalesce(CAST(status AS STRING), '未开始'), count(*) FROM m GROUP BY 1, 2"),

@@ -45,10 +45,18 @@ def form_columns(prefix: str = "") -> dict[str, Column]:
     return c | {f"{prefix}avg_for": F.col("goals_for") / n, f"{prefix}avg_against": F.col("goals_against") / n}
 
 
-def team_form(m: DataFrame, n: int = 10) -> DataFrame:
-    """Form over the last ``n`` rows; rates are over the rows taken, also those whose score doesn't parse. A missing line is 2.5."""
+def _with_line(m: DataFrame) -> DataFrame:
+    """``m`` with the line that a form counts overs against: a missing one is 2.5."""
     line = F.coalesce(F.nullif("ou_current_total", F.lit("")), F.nullif("ou_initial_total", F.lit("")), F.lit("2.5")).try_cast("double")
-    last = last_matches(m.withColumn("total", line), n)
+    return m.withColumn("total", line)
+
+
+def form_rows(m: DataFrame) -> DataFrame:
+    """The rows that a form is made of, one for each team of each finished match."""
+    return sides(finished(_with_line(m))).select("team", "match_id", "match_time", "goals", "total", "gf", "ga", "outcome")
+
+
+def _form(last: DataFrame) -> DataFrame:
     o, over = F.col("outcome"), F.col("goals") > F.col("total")
     g = last.groupBy("team").agg(
         F.count("*").alias("matches"), count_of(o == "win").alias("wins"), count_of(o == "draw").alias("draws"), count_of(o == "loss").alias("losses"),
@@ -57,6 +65,37 @@ def team_form(m: DataFrame, n: int = 10) -> DataFrame:
     return g.withColumns(form_columns())
 
 
+def form_of_rows(rows: DataFrame, n: int = 10) -> DataFrame:
+    """The form over the last ``n`` of the rows of ``form_rows``."""
+    w = Window.partitionBy("team").orderBy(F.desc_nulls_last("match_time"), F.desc("match_id"))
+    return _form(rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n))
+
+
+def team_form(m: DataFrame, n: int = 10) -> DataFrame:
+    """Form over the last ``n`` rows; rates are over the rows taken, also those whose score doesn't parse. A missing line is 2.5."""
+    return _form(last_matches(_with_line(m), n))
+
+
+def form_before(m: DataFrame, n: int = 10) -> DataFrame:
+    """For each side of each finished match its form over the ``n`` matches before kick-off: no look ahead.
+
+    Kick-off is the day and the time of day; matches of a team that kick off together see none of one another. The frame of a
+    team's first row of a kick-off ends before it, and the others of that kick-off take its sums; one shuffle by team.
+    """
+    time = F.concat_ws(" ", F.coalesce("owner_date", F.lit("")), F.right(F.coalesce("match_time", F.lit("")), F.lit(5)))
+    s = sides(finished(_with_line(m))).withColumn("kick_off", time)
+    before = Window.partitionBy("team").orderBy("kick_off", "match_id").rowsBetween(-n, -1)
+    o = F.col("outcome")
+    tests = {"wins": o == "win", "draws": o == "draw", "losses": o == "loss", "over": F.col("goals") > F.col("total"), "under": F.col("goals") < F.col("total")}
+    sums = {"matches": F.count("*").over(before)} | {k: F.coalesce(F.sum(F.when(t, 1).otherwise(0)).over(before), F.lit(0)) for k, t in tests.items()}
+    sums |= {k: F.coalesce(F.sum(c).over(before), F.lit(0)) for k, c in (("goals_for", "gf"), ("goals_against", "ga"))}
+    together = Window.partitionBy("team", "kick_off").orderBy("match_id")
+    s = s.select("match_id", "team", "at_home", "kick_off", *[v.alias(k) for k, v in sums.items()])
+    s = s.select("match_id", "team", "at_home", "kick_off", *[F.first(k).over(together).alias(k) for k in sums])
+    rates = {k: F.when(F.col("matches") > 0, v) for k, v in form_columns().items()}
+    return s.withColumns(rates)
+
+
 def form_as_of(m: DataFrame, n: int = 10) -> DataFrame:
     """For each side of each match the wins and goals of its ``n`` matches before it: no look ahead."""
     w = Window.partitionBy("team").orderBy("owner_date", "match_id").rowsBetween(-n, -1)

@@ -33,8 +33,14 @@ def settle_bets(legs: DataFrame, m: DataFrame, at: Column | None = None, items:
     One aggregation by bet gathers the legs, at most some tens a ticket, and what they came to. ``at`` adds settled_at for bets
     that are settled now; ``items`` keeps the nested legs in order.
     """
-    leg = F.struct("pos", "mid", "opt", "leg_odds", "leg_handicap", "leg_state")
-    g = leg_states(legs, m).groupBy("bet_id").agg(
+    return tickets(leg_states(legs, m), at=at, items=items)
+
+
+def tickets(states: DataFrame, *more_keys: Column, at: Column | None = None, items: bool = False) -> DataFrame:
+    """Legs with their states as settled bets; of a stream ``more_keys`` has the window that ends a bet's state."""
+    # the product of the odds needs their order only; the whole legs are gathered where they are asked for
+    leg = F.struct("pos", "mid", "opt", "leg_odds", "leg_handicap", "leg_state") if items else F.struct("pos", "mid", "leg_odds")
+    g = states.groupBy(*more_keys, "bet_id").agg(
         F.max("group_id").alias("group_id"), F.max("device_id").alias("device_id"), F.max("created_at").alias("created_at"), F.max("stake").alias("stake"), F.max("old_status").alias("old_status"), F.max("descr").alias("descr"),
         F.array_sort(F.collect_list(leg)).alias("items"), F.bool_or(F.col("leg_state") == "pending").alias("open"), F.bool_or(F.col("leg_state") == "lost").alias("lost"),
     )

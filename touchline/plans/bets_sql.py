@@ -84,6 +84,7 @@ def fold5(target: float) -> str:
 
 SQL = {
     "settle_bets": sql(f"WITH {SETTLED} SELECT * FROM st", "legs"),
+    "settle_in_time": sql(f"""WITH {SETTLED.replace("lg AS (SELECT legs.*,", "cl AS (SELECT bet_id AS cb, max(owner_date::TIMESTAMP) AS closes_at FROM legs JOIN m ON m.match_id = legs.mid GROUP BY 1), lg AS (SELECT legs.*,").replace("WHEN status = 2 AND", "WHEN status = 2 AND in_time AND").replace("FROM legs LEFT JOIN m ON m.match_id = legs.mid)", "FROM legs JOIN cl ON cb = bet_id LEFT JOIN (SELECT *, owner_date::TIMESTAMP + CASE WHEN match_id::BIGINT % 7 = 0 THEN INTERVAL 9 HOURS ELSE INTERVAL 2 HOURS END AS ended FROM m) m ON m.match_id = legs.mid, LATERAL (SELECT coalesce(ended BETWEEN closes_at - INTERVAL 3 DAYS AND closes_at + INTERVAL 4 HOURS, FALSE) AS in_time))")} SELECT * EXCLUDE (settled_at) FROM st""", "legs"),
     "bet_stats": sql(f"WITH {SETTLED} {STATS}", "legs"),
     "daily_bet_stats": sql(f"WITH {SETTLED} SELECT *, returned - stake AS profit FROM (SELECT device_id, strftime(created_at, '%Y-%m-%d') AS day, sum(stake) AS stake, CAST(sum(CAST(coalesce(actual_return, 0) AS DECIMAL(28, 10))) AS DOUBLE) AS returned, count(*) AS n FROM st GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY day DESC) <= 30", "legs"),
     "bet_groups": sql(f"WITH {SETTLED}, {GROUPS} SELECT * FROM gr", "legs"),

@@ -10,7 +10,7 @@ from ..functions import asian_movement, asian_result, confidence_mark, euro_move
 from ..operators.leagues import league_goal_average
 from ..operators.lists import movement_eligible
 from ..operators.results import count_of, ou_stats_by_league_line
-from ..operators.teams import team_form
+from ..operators.teams import form_before, team_form
 from ..sources.merge import upsert
 
 #: Leagues of the feature lists, and leagues where draws are common.
@@ -25,16 +25,33 @@ FEATURE_LEAGUES = {
 DRAW_LEAGUES = ["意甲", "德乙", "西甲", "法乙"]
 
 
-def with_form(m: DataFrame, n: int = 10) -> DataFrame:
-    """Upcoming matches that have odds, with the form of both sides; a team without finished matches has none."""
-    form = team_form(m, n).select("team", "matches", "wins_rate", "over_rate", "under_rate", "avg_for", "avg_against")
-    up = m.where("status = 0").where(first_present(F.col("euro_current_win"), F.col("euro_initial_win")).isNotNull())
+FORM = ("matches", "wins_rate", "over_rate", "under_rate", "avg_for", "avg_against")
+
+
+def _has_odds() -> Column:
+    return first_present(F.col("euro_current_win"), F.col("euro_initial_win")).isNotNull()
+
+
+def with_form(m: DataFrame, n: int = 10, form: DataFrame | None = None) -> DataFrame:
+    """Upcoming matches that have odds, with the form of both sides, given or taken from ``m``; a team without finished matches has none."""
+    form = (team_form(m, n) if form is None else form).select("team", *FORM)
+    up = m.where("status = 0").where(_has_odds())
     for side in ("home", "away"):
         own = form.select(F.col("team").alias(f"{side}_team"), *[F.col(c).alias(f"{side}_{c}") for c in form.columns[1:]])
         up = up.join(own, f"{side}_team", "left")
     return up
 
 
+def with_form_before(m: DataFrame, n: int = 10) -> DataFrame:
+    """Decided matches that have odds, with the form that both sides had before kick-off; a team's first matches have none."""
+    f = form_before(m, n)
+    side = lambda home: F.max_by(F.struct(*FORM), F.when(F.col("at_home") == home, 1))
+    f = f.groupBy("match_id").agg(side(True).alias("hf"), side(False).alias("af"))
+    known = lambda x, c: F.when(F.col(f"{x}.matches") > 0, F.col(f"{x}.{c}"))
+    f = f.select("match_id", *[known(x, c).alias(f"{name}_{c}") for x, name in (("hf", "home"), ("af", "away")) for c in FORM])
+    return m.where("status = 2 AND result IS NOT NULL").where(_has_odds()).join(f, "match_id", "left")
+
+
 def predict_winner(win: Column, draw: Column, lose: Column, home_rate: Column, away_rate: Column) -> Column:
     """struct<pick, confidence>."""
     whole = nonzero(win).isNotNull() & nonzero(draw).isNotNull() & nonzero(lose).isNotNull()
@@ -76,10 +93,30 @@ def predict_score(winner: Column, home_for: Column, away_for: Column) -> Column:
     return F.struct(home.alias("home"), away.alias("away"))
 
 
-def predict_upcoming(m: DataFrame) -> DataFrame:
-    """One prediction for each upcoming match: result, Asian side, over or under, score."""
+def predict_upcoming(m: DataFrame, form: DataFrame | None = None) -> DataFrame:
+    """One prediction for each upcoming match: result, Asian side, over or under, score. ``form``: of a kept table, instead of the finished matches in ``m``."""
+    return _predicted(with_form(m, form=form))
+
+
+def predict_before(m: DataFrame) -> DataFrame:
+    """The same for finished matches, from what was known before each kick-off."""
+    return _predicted(with_form_before(m))
+
+
+def backtest(m: DataFrame) -> DataFrame:
+    """How the predictor would have done: for each market and confidence the picks, the right ones and their share; a null confidence is the whole market."""
+    p = predict_before(m)
+    kept = p.withColumns({c: F.lit(None).cast("string") for c in ("manual_win_prediction", "manual_asian_prediction", "manual_asian_handicap")} | {"is_reviewed": F.lit(False), "ou_total": F.col("ou_total").cast("string")})
+    held = review_predictions(m, kept.drop("league")).select("match_id", *[f"{k}_correct" for k in ("win", "asian", "ou", "score")])
+    one = lambda k, conf: F.struct(F.lit(k).alias("market"), conf.cast("double").alias("confidence"), F.col(f"{k}_correct").alias("right"))
+    rows = p.join(held, "match_id").select(F.explode(F.array(*[one(k, F.col(f"{k}_confidence")) for k in ("win", "asian", "ou")], one("score", F.col("win_confidence")))).alias("r")).select("r.*")
+    g = rows.groupingSets([[F.col("market"), F.col("confidence")], [F.col("market")]], F.col("market"), F.col("confidence")).agg(F.count("*").alias("n"), count_of(F.col("right")).alias("hits"))
+    return g.select("market", "confidence", "n", "hits", pct(F.col("hits"), F.col("n")).alias("hit_pct"))
+
+
+def _predicted(p: DataFrame) -> DataFrame:
     c = F.col
-    p = with_form(m).withColumns({
+    p = p.withColumns({
         "w": predict_winner(c("win"), c("draw"), c("lose"), c("home_wins_rate"), c("away_wins_rate")),
         "s": predict_asian(c("hw"), c("aw")), "g": predict_over_under(c("over"), c("under"), c("home_over_rate"), c("away_over_rate")),
     })

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.teams_sql import FORM
+from ..operators.teams_sql import FORM, OULINE, SIDES_HOME
 from ..oracle import line, present, sign, sql
 from ..testbed import FEATURES
 
@@ -38,6 +38,15 @@ _UPCOMING = f"""WITH {_UP}, v AS (SELECT *, {case((f"NOT {_ALL}", "'draw'"), *[(
     CASE WHEN hff IS NULL OR aff IS NULL THEN CASE wp WHEN 'home' THEN 2 WHEN 'away' THEN 0 ELSE 1 END WHEN wp = 'home' THEN CASE WHEN rh <= ra THEN ra + 1 ELSE rh END WHEN wp = 'draw' THEN greatest(1, least(rh, ra)) ELSE rh END AS predicted_home_score,
     CASE WHEN hff IS NULL OR aff IS NULL THEN CASE wp WHEN 'home' THEN 0 WHEN 'away' THEN 2 ELSE 1 END WHEN wp = 'away' THEN CASE WHEN ra <= rh THEN rh + 1 ELSE ra END WHEN wp = 'draw' THEN greatest(1, least(rh, ra)) ELSE ra END AS predicted_away_score FROM v"""
 
+_SUMMED = {"wins": "outcome = 'win'", "over": f"goals > {OULINE}", "under": f"goals < {OULINE}"}
+_BEFORE = f"""{SIDES_HOME}, kf AS (SELECT *, concat_ws(' ', coalesce(owner_date, ''), right(coalesce(match_time, ''), 5)) AS kick FROM s),
+  kw AS (SELECT match_id, team, at_home, kick, count(*) OVER w AS matches, {", ".join(f"coalesce(sum(CASE WHEN {t} THEN 1 ELSE 0 END) OVER w, 0) AS {k}" for k, t in _SUMMED.items())}, coalesce(sum(CASE WHEN outcome IS NOT NULL THEN gf END) OVER w, 0) AS gf, coalesce(sum(CASE WHEN outcome IS NOT NULL THEN ga END) OVER w, 0) AS ga
+    FROM kf WINDOW w AS (PARTITION BY team ORDER BY kick, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+  ks AS (SELECT match_id, team, at_home, {", ".join(f"first_value({c}) OVER t AS {c}" for c in ("matches", "wins", "over", "under", "gf", "ga"))} FROM kw WINDOW t AS (PARTITION BY team, kick ORDER BY match_id)),
+  kr AS (SELECT match_id, at_home, wins * 1.0::DOUBLE / matches AS wr, over * 1.0::DOUBLE / matches AS o_r, gf * 1.0::DOUBLE / matches AS f, ga * 1.0::DOUBLE / matches AS g FROM ks WHERE matches > 0),
+  u AS (SELECT m.*, x.wr AS hr, y.wr AS ar, x.o_r AS ho, y.o_r AS ao, x.f AS hff, x.g AS hfa, y.f AS aff, y.g AS afa
+    FROM m LEFT JOIN kr x ON x.match_id = m.match_id AND x.at_home LEFT JOIN kr y ON y.match_id = m.match_id AND NOT y.at_home WHERE status = 2 AND m.result IS NOT NULL AND {present('euro_current_win', 'euro_initial_win')} IS NOT NULL)"""
+
 
 def _best(prefix: str) -> str:
     """Ties home, draw, away."""
@@ -136,6 +145,10 @@ SQL = {
       SELECT lg AS league, count(*) AS n, {', '.join(f"100.0::DOUBLE * count(*) FILTER ({k}_correct) / count(*) AS {k}_pct" for k in ('win', 'asian', 'ou', 'score'))}, round(avg(accuracy), 6) AS mean_accuracy FROM dated GROUP BY ROLLUP (lg))""", "predictions"),
     "apply_reviews": sql(f"WITH {_REVIEWS} SELECT p.match_id, coalesce(rv.match_id IS NOT NULL OR p.is_reviewed, FALSE) AS is_reviewed, rv.correct_count, rv.accuracy, rv.actual_winner, rv.actual_home_score, rv.win_correct, CASE WHEN rv.match_id IS NOT NULL THEN TIMESTAMP '2024-05-01' END AS review_date FROM predictions p LEFT JOIN rv ON rv.match_id = p.match_id", "predictions"),
     "predict_and_review": sql(f"{_UPCOMING.replace('SELECT match_id, league, match_time, home_team, away_team, wp AS win_prediction', ', up AS (SELECT match_id, wp AS win_prediction', 1)} ), {_REVIEWS} SELECT coalesce(p.match_id, up.match_id) AS match_id, CASE WHEN up.match_id IS NOT NULL THEN up.win_prediction ELSE p.win_prediction END AS win_prediction, up.match_id IS NULL AND coalesce(rv.match_id IS NOT NULL OR p.is_reviewed, FALSE) AS is_reviewed, rv.accuracy AS accuracy, p.manual_win_prediction, p.manual_asian_prediction, p.manual_asian_handicap FROM predictions p FULL JOIN up ON up.match_id = p.match_id LEFT JOIN rv ON rv.match_id = p.match_id", "predictions"),
+    "predict_before": sql(_UPCOMING.replace(_UP, _BEFORE)),
+    "backtest": sql(f"""{_UPCOMING.replace(_UP, _BEFORE).replace('SELECT match_id, league, match_time, home_team, away_team, wp AS win_prediction', ', pb AS (SELECT match_id, wp AS win_prediction', 1)} ), predictions AS (SELECT *, NULL::VARCHAR AS manual_win_prediction, NULL::VARCHAR AS manual_asian_prediction, NULL::VARCHAR AS manual_asian_handicap, FALSE AS is_reviewed FROM pb), {_REVIEWS},
+      bt AS (SELECT unnest([{", ".join(f"{{'market': '{k}', 'confidence': {c}_confidence, 'hit': {k}_correct}}" for k, c in (("win", "win"), ("asian", "asian"), ("ou", "ou"), ("score", "win")))}]) AS r FROM pb JOIN rv USING (match_id))
+      SELECT market, confidence, n, hits, 100.0::DOUBLE * hits / n AS hit_pct FROM (SELECT r.market AS market, r.confidence AS confidence, count(*) AS n, count(*) FILTER (r.hit) AS hits FROM bt GROUP BY GROUPING SETS ((r.market, r.confidence), (r.market)))"""),
     "predictions_list": sql("SELECT match_id, win_prediction, is_reviewed, predict_date FROM predictions WHERE NOT is_reviewed ORDER BY predict_date DESC NULLS LAST, match_id LIMIT 50", "predictions"),
     "daily_predictions_of_day": sql(f"WITH {_DAILY} SELECT d.* FROM d JOIN m USING (match_id) WHERE owner_date = '1996-03-05'"),
     "upsert_predictions": sql("SELECT match_id, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN 'draw' ELSE win_prediction END AS win_prediction, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN FALSE ELSE is_reviewed END AS is_reviewed, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN TIMESTAMP '2024-05-01' ELSE predict_date END AS predict_date, manual_win_prediction, manual_asian_handicap FROM predictions", "predictions"),

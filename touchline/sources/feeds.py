@@ -37,6 +37,42 @@ def parse_odds_feed_xml(raw: DataFrame, column: str = "value") -> DataFrame:
     return m.select(F.col("m._matchnum").alias("matchnum"), *[now[v].alias(f"current_{k}") for k, v in names.items()], *[first[v].alias(f"initial_{k}") for k, v in names.items()], F.concat_ws("/", *[F.coalesce(now[v], F.lit("")) for v in names.values()]).alias("currodds"), now["_updatetime"].alias("update_time"), F.size("m.row").alias("ticks"))
 
 
+def odds_ticks(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Every row of every <m matchnum> of XML odds documents: its place (0 is current, the last one initial), of how many, its odds and time.
+
+    The same on a stream of landed documents; ``raw``'s other columns go along.
+    """
+    shape = "m array<struct<_matchnum: string, row: array<struct<_win: string, _draw: string, _lost: string, _updatetime: string>>>>"
+    rest = [c for c in raw.columns if c != column]
+    m = raw.select(*rest, F.explode(F.from_xml(column, shape)["m"]).alias("m"))
+    t = m.select(*rest, F.col("m._matchnum").alias("matchnum"), F.size("m.row").alias("ticks"), F.posexplode("m.row").alias("pos", "r"))
+    return t.select(*rest, "matchnum", "pos", "ticks", F.col("r._win").alias("win"), F.col("r._draw").alias("draw"), F.col("r._lost").alias("lose"), F.col("r._updatetime").alias("update_time"))
+
+
+def number_day(text: Column, since: Column) -> Column:
+    """The day that a match number speaks of: the first one of its weekday on or after ``since``; null for other numbers."""
+    number = match_number(text)
+    return F.when(number.isNotNull(), F.date_add(since, F.pmod(F.substring(number, 1, 1).cast("int") - 1 - F.weekday(since), F.lit(7))))
+
+
+def join_feeds_by_day(matches: DataFrame, handicap: DataFrame, euro: DataFrame, day_begins: int = 11) -> DataFrame:
+    """Matches with the newest snapshot of both odds feeds for their number and day; unmatched rows stay, and each match once.
+
+    Numbers come again every week. A match's day is the first one of its number's weekday from owner_date on; a snapshot, taken
+    at ``seen_at``, speaks of the first such day from its own business day on, which begins at ``day_begins`` o'clock. So both
+    sides have an exact key, and of the snapshots of a key the newest is taken before the join.
+    """
+    m = matches.withColumns({"matchnum": match_number(F.col("match_number")), "__day": number_day(F.col("match_number"), F.col("owner_date").try_cast("date"))})
+    for feed, p in ((handicap, "hi"), (euro, "euro")):
+        day = F.to_date(F.col("seen_at") - F.make_interval(hours=F.lit(day_begins)))
+        weekday = F.substring("matchnum", 1, 1).try_cast("int")
+        columns = [c for c in feed.columns if c != "matchnum"]
+        f = feed.withColumn("__day", F.date_add(day, F.pmod(weekday - 1 - F.weekday(day), F.lit(7))))
+        f = f.groupBy("matchnum", "__day").agg(F.max_by(F.struct(*columns), F.struct("seen_at", F.to_json(F.struct(*columns)))).alias("r"))
+        m = m.join(f.select("matchnum", "__day", *[F.col(f"r.{c}").alias(f"{p}_{c}") for c in columns]), ["matchnum", "__day"], "left")
+    return m.drop("__day")
+
+
 def join_feeds(matches: DataFrame, handicap: DataFrame, euro: DataFrame) -> DataFrame:
     """Matches with both odds feeds by translated match number; unmatched rows stay."""
     m = matches.withColumn("matchnum", match_number(F.col("match_number")))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import first_present
+from ..functions import first_present, leg_result
 from ..normalise import typed
-from ..plans.bets import settle_bets
+from ..plans.bets import settle_bets, tickets
 from ..plans.predict import predict_upcoming, review_predictions
 from ..sources.merge import flatten_odds, upsert_matches, upsert_odds
 from ..store import exists, written
+from . import form_table
+from .versions import bucket_of, current, put, retire
+
+__all__ = ["current", "retire"]
 
 
 def ticks(events: DataFrame) -> DataFrame:
@@ -47,6 +51,22 @@ def odds_trend_by_hour(t: DataFrame, late: str | None = None) -> DataFrame:
     return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "market", "ticks", "initial", "current")
 
 
+def odds_trend_by_match(t: DataFrame, quiet: str = "6 hours", late: str | None = None) -> DataFrame:
+    """The trend of each run of ticks of a match and market, which ends when none has come for ``quiet``: one row for each run.
+
+    On a stream (``late`` is its watermark, append mode) a run's state is three values; it is dropped, and its row comes out,
+    once the watermark has passed its end. A tick later than that changes nothing, as the watermark drops it.
+    """
+    t = t if late is None else t.withWatermark("ts", late)
+    g = _trend(t, F.session_window("ts", quiet).alias("w"), "match_id", "market")
+    return g.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("opened"), "match_id", "market", "ticks", "initial", "current", (F.col("current") - F.col("initial")).alias("change"))
+
+
+def feed_ticks(rows: DataFrame, market: str = "euro", value: str = "win") -> DataFrame:
+    """The rows of ``sources.feeds.odds_ticks`` as ticks: within a document the last row is the oldest."""
+    return rows.select(F.col("matchnum").alias("match_id"), F.lit(market).alias("market"), F.try_to_timestamp("update_time").alias("ts"), (-F.col("pos")).cast("long").alias("tick_id"), F.col(value).try_cast("double").alias("value"))
+
+
 def live_alerts(m: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Live matches with draw odds of 2.85 to 3.5, current or else initial, or a level handicap line; a stateless filter, the same on a stream.
 
@@ -72,26 +92,20 @@ def stream_alerts(spark: SparkSession, source: str, schema: str, table: str, che
     return alerts.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-BUCKETS = 64
-
-
-def _bucket(key: str = "match_id") -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def ingest_snapshots(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str):
+def ingest_snapshots(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, keep: int | None = None):
     """Starts a run over landed snapshot files that merges each batch into the Parquet table below ``table``.
 
     An update row has match columns, ``seq`` and ``present``; it may also carry the nested odds columns of ``flatten_odds``.
     A file that lands twice changes nothing, as updates go by ``seq``. The table is cut into buckets by match; a batch writes
     the buckets of its matches only, each as a new version, and then one row that says which version of which bucket counts,
-    so a failed or repeated batch leaves the table as it was. Returns the query; with ``availableNow`` it ends when the landed
+    so a failed or repeated batch leaves the table as it was. ``keep``: versions that no reader of the last ``keep`` batches can
+    reach are removed after each. Returns the query; with ``availableNow`` it ends when the landed
     files are done.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        batch = written(batch.dropDuplicates(["match_id", "seq"]).withColumn("bucket", _bucket()), "batch")
+        batch = written(batch.dropDuplicates(["match_id", "seq"]).withColumn("bucket", bucket_of()), "batch")
         touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
         plain = [c for c in batch.columns if c not in ("seq", "present", "bucket", *ODDS_COLUMNS)]
         known = current(session, table, before=epoch, buckets=touched)
@@ -105,8 +119,9 @@ def ingest_snapshots(spark: SparkSession, source: str, schema: str, table: str,
             new = upsert_odds(new, batch)
         if new.isEmpty():
             return
-        new.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/version={epoch}")
-        session.createDataFrame([(epoch, touched)], "epoch long, buckets array<int>").coalesce(1).write.mode("append").parquet(f"{table}/done")
+        put(session, table, new, epoch, touched)
+        if keep is not None:
+            retire(session, table, keep)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -118,22 +133,47 @@ ODDS_COLUMNS = ("euro_odds", "asian_handicap", "over_under", "handicap_index", "
 def predict_and_review_run(spark: SparkSession, source: str, schema: str, predictions: DataFrame, history: DataFrame, table: str, checkpoint: str):
     """Starts a run over landed match snapshots: each batch reviews the predictions of its finished matches against them and predicts its open ones.
 
-    ``history`` are the raw matches that forms are taken from. Rows go below ``table``, a folder a batch, which a repeated batch replaces.
+    ``history`` are the raw matches that forms begin with; they are read once, for the first run. From then on a table of the
+    newest matches of each team below ``table`` goes along: a batch merges its finished matches and reads the form of its own
+    teams, so its work does not grow with the history. Rows go below ``table``, a folder a batch, which a repeated batch replaces.
     """
+    forms = f"{table}/form"
+    if not exists(spark, f"{forms}/done"):
+        form_table.update(spark, forms, written(typed(history), "history"), -1)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        batch = written(batch, "batch")
-        rest = history.join(batch.select("match_id").distinct(), "match_id", "left_anti").select(*batch.columns)
-        m = written(typed(rest.unionByName(batch)), "typed")
-        mine = predictions.join(batch.select("match_id").distinct(), "match_id", "left_semi")
+        session = batch.sparkSession
+        m = written(typed(batch), "batch")
+        form_table.update(session, forms, m, epoch)
+        retire(session, forms)
+        teams = written(m.where("status = 0").select(F.explode(F.array("home_team", "away_team")).alias("team")).distinct(), "teams")
+        mine = predictions.join(m.select("match_id").distinct(), "match_id", "left_semi")
         at = F.lit(epoch).cast("long")
         review_predictions(m, mine).withColumn("batch_id", at).write.mode("overwrite").parquet(f"{table}/reviews/batch={epoch}")
-        predict_upcoming(m).join(batch.select("match_id").distinct(), "match_id", "left_semi").withColumn("batch_id", at).write.mode("overwrite").parquet(f"{table}/predictions/batch={epoch}")
+        predict_upcoming(m, form_table.form(session, forms, teams, upto=epoch)).withColumn("batch_id", at).write.mode("overwrite").parquet(f"{table}/predictions/batch={epoch}")
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def settle_in_time(legs: DataFrame, results: DataFrame, span: str = "3 days", after: str = "4 hours", late: str | None = None) -> DataFrame:
+    """Bets settled by joining their legs with the results of their matches: the batch form and, with ``late``, a join of two streams.
+
+    A leg row says when the last match of its bet kicks off (``closes_at``), a result row (match_id, h, a, hi_handicap_value,
+    ended_at) comes once for each finished match. A result counts for a bet if its match ended within ``span`` before that
+    kick-off and ``after`` it. Legs wait in the state until then; a leg whose result has not come by that time is pending, and
+    so is its bet. A bet comes out once, when the watermark (``late``, append mode) has passed its time, and its state goes; no
+    update that came before is read again. All legs of a bet have the same ``closes_at``.
+    """
+    if late is not None:
+        legs, results = legs.withWatermark("closes_at", late), results.withWatermark("ended_at", late)
+    r = results.select(F.col("match_id").alias("result_of"), "h", "a", "hi_handicap_value", "ended_at")
+    in_time = F.col("ended_at").between(F.col("closes_at") - F.expr(f"INTERVAL {span}"), F.col("closes_at") + F.expr(f"INTERVAL {after}"))
+    j = legs.join(r, (F.col("mid") == F.col("result_of")) & in_time, "left_outer")
+    state = F.when(F.col("result_of").isNotNull(), leg_result(F.col("h"), F.col("a"), F.col("opt"), F.col("leg_handicap"), F.col("hi_handicap_value")))
+    return tickets(j.withColumn("leg_state", F.coalesce(state, F.lit("pending"))), F.window("closes_at", "1 minute").alias("w"))
+
+
 def settle_on_result(spark: SparkSession, source: str, schema: str, legs: DataFrame, matches: DataFrame, table: str, checkpoint: str):
     """Starts a run over landed match updates, all columns of ``matches`` in each, that settles the bets they concern.
 
@@ -145,11 +185,11 @@ def settle_on_result(spark: SparkSession, source: str, schema: str, legs: DataFr
 
     def settle(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        batch.select(*matches.columns, F.lit(epoch).cast("long").alias("epoch"), _bucket().alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/updates/batch={epoch}")
+        batch.select(*matches.columns, F.lit(epoch).cast("long").alias("epoch"), bucket_of().alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/updates/batch={epoch}")
         own = session.read.parquet(f"{table}/updates/batch={epoch}").select(F.col("match_id").alias("mid")).distinct()
         hit = legs.join(own, "mid", "left_semi").select("bet_id").distinct()
         mine = written(legs.join(hit, "bet_id", "left_semi"), "legs")
-        named = mine.select(F.col("mid").alias("match_id")).distinct().withColumn("bucket", _bucket())
+        named = mine.select(F.col("mid").alias("match_id")).distinct().withColumn("bucket", bucket_of())
         buckets = [r["bucket"] for r in named.select("bucket").distinct().collect()]  # at most BUCKETS
         seen = session.read.parquet(f"{table}/updates").where((F.col("batch") <= epoch) & F.col("bucket").isin(buckets)).join(named.select("match_id"), "match_id", "left_semi")
         newest = seen.groupBy("match_id").agg(F.max_by(F.struct(*matches.columns), F.struct("epoch", F.to_json(F.struct(*matches.columns)))).alias("r")).select("r.*")
@@ -165,21 +205,3 @@ def settled(spark: SparkSession, table: str) -> DataFrame:
     rows = spark.read.parquet(f"{table}/settled").drop("batch")
     columns = [c for c in rows.columns if c != "epoch"]
     return rows.groupBy("bet_id").agg(F.max_by(F.struct(*columns), "epoch").alias("r")).select("r.*")
-
-
-def current(spark: SparkSession, table: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-    """The table as its newest versions of the buckets make it, or None; ``before``: of earlier batches, so that a repeated batch never reads what it writes."""
-    if not exists(spark, f"{table}/done"):
-        return None
-    done = spark.read.schema("epoch long, buckets array<int>").parquet(f"{table}/done")
-    done = done if before is None else done.where(F.col("epoch") < before)
-    newest = done.select("epoch", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max("epoch").alias("epoch"))
-    chosen: dict[int, list[int]] = {}
-    for r in newest.collect():  # at most BUCKETS rows
-        if buckets is None or r["bucket"] in buckets:
-            chosen.setdefault(r["epoch"], []).append(r["bucket"])
-    out = None
-    for epoch, own in sorted(chosen.items()):
-        part = spark.read.parquet(f"{table}/version={epoch}").where(F.col("bucket").isin(own)).drop("bucket")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
