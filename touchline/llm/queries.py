@@ -54,8 +54,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal-data spans of all documents."""
-    docs = table(spark, sf_dir, "documents")
-    d = pii.detect(docs, pii.fit(docs))
+    d = pii.detect_all(table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in pii.BASE]
     spans = pii.listed(pii.by_kind(F.concat("base", "extra")))
     return d.select("doc_id", *counts, F.sha2(pii.listed(pii.by_kind(F.col("base"))), 256).alias("base_sha256"), spans.alias("spans"))
