@@ -40,15 +40,19 @@ def test_components(spark):
 
 
 # 1
+def unit(v):
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def brute_links(rows, threshold):
     good = [(i, l, np.array(v, dtype=float)) for i, l, v in rows if i is not None and l is not None and v and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v)]
-    links = {(a, b) for a, (i, l, v) in enumerate(good) for b, (j, k, w) in enumerate(good) if a < b and l == k and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= threshold}
+    links = {(a, b) for a, (i, l, v) in enumerate(good) for b, (j, k, w) in enumerate(good) if a < b and l == k and len(v) == len(w) and unit(v) @ unit(w) / np.sqrt((unit(v) @ unit(v)) * (unit(w) @ unit(w))) >= threshold}
     root = union_roots(len(good), *np.array(sorted(links)).T) if links else np.arange(len(good))
     least = {r: min(good[a][0] for a in range(len(good)) if root[a] == r) for r in set(root)}
     n = Counter(x for pair in links for x in pair)
     out = [(g[0], n[a], least[root[a]], g[0] == least[root[a]]) for a, g in enumerate(good)]
-    ids = [g[0] for g in good]
-    return sorted(map(str, out + [(i, 0, i, True) for i, *_ in rows if i not in ids]))
+    bad = [r for r in rows if not any(r[0] == i and r[1] == l and r[2] == list(v) for i, l, v in good)]
+    return sorted(map(str, out + [(i, 0, i, True) for i, *_ in bad]))
 
 
 def test_embeddings(spark):
@@ -58,6 +62,8 @@ def test_embeddings(spark):
     rows = [(i, int(i % 3), [float(x) for x in v]) for i, v in enumerate(vecs)]
     odd = [(200, 1, None), (201, 1, []), (202, 1, [0.0] * 8), (203, 1, [None] + [1.0] * 7), (204, 1, [float("nan")] * 8), (205, None, rows[0][2]), (None, 1, rows[1][2]), (206, 1, [1.0, 2.0]), (207, 1, [2.0, 4.0]), (208, 1, [float("inf")] * 8)]
     rows += odd + [(300 + i, 1, rows[1][2]) for i in range(5)]
+    rows += [(400 + i, 1, [x * f for x in rows[1][2]]) for i, f in enumerate((1e-200, 1e-300, 1e200, 1e300, 5e-324, -1e200))] + [(410, 1, [1e-200] * 8), (411, 1, [1e-200] * 8), (412, 1, [1e300] * 8)]
+    rows += [(1, 1, rows[2][2]), (1, 1, [9.0, -9.0] * 4), (2, 1, [9.0, -9.01] * 4), (3, 1, [8.9, -9.0] * 4), (3, 2, rows[5][2])]  # ids with several vectors
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<double>, rep string")
     got = embed_dedup.near_vectors(df, 0.98, tile=16)
     assert sorted(str(tuple(r)) for r in got.collect()) == brute_links(rows, 0.98)

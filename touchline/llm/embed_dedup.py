@@ -32,8 +32,15 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The rows by powers of two, which leaves their cosines exactly as they are, so that no square is lost below or above."""
+    _, e = np.frexp(np.abs(x).max(axis=1))
+    return np.ldexp(x, -e[:, None])
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, block: int = 512):
     """Index pairs (i, j) with cosine(a[i], b[j]) >= threshold, i < j if both are the same tile; in blocks of rows."""
+    a, b = scaled(a), scaled(b)
     ua, ub = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
     (qa, sa, ea), (qb, sb, eb) = quantise(ua), quantise(ub)
     exact = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # integer sums are exact in either
@@ -65,7 +72,7 @@ def _pair(threshold: float):
                     name, held = left, load_tile(left)
                 out = _linked(held, load_tile(right) if right else None, threshold)
                 if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["rep", "links", "root"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["cls", "links", "root"])
 
     return run
 
@@ -106,7 +113,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024)
 
     Vectors that are null, empty or zero or hold a null or a non-finite component, and rows with a null label or a null
     vec_id, link with nothing: no links, their own component, kept. Vectors of different lengths never link. Repeated rows
-    link with one another as equal vectors. Other columns are ignored; an empty table gives an empty result.
+    link with one another as equal vectors; rows of one vec_id with different vectors or labels are judged each by its own.
+    Components may be as small or large as doubles are. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     label, kind = vectors.schema["label"].dataType.simpleString(), vectors.schema["embedding"].dataType.simpleString()
@@ -114,18 +122,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024)
     tagged = raw.mapInArrow(_tag, f"vec_id long, label {label}, vec {kind}, digest binary")
     v = written(tagged.select("vec_id", "label", "digest"), "vectors")
     classes = tagged.where("digest IS NOT NULL").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec"))
-    classes = written(classes, "classes").withColumn("dim", F.size("vec"))
+    # from here on a class goes by a number of its own; the least vec_id of a component is found last
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes").withColumn("dim", F.size("vec"))
     folder = scratch(spark, "tiles")
     tiles = written(_tiles(classes, label, tile, folder), "tile-list")
     pairs = _tile_pairs(tiles, float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 64)
     dealt = pairs.repartition(parts, "left", F.pmod(F.xxhash64("right"), F.lit(16))).sortWithinPartitions("left")
-    found = written(dealt.mapInArrow(_pair(threshold), "rep long, links long, root long"), "links")
+    found = written(dealt.mapInArrow(_pair(threshold), "cls long, links long, root long"), "links")
     remove(spark, folder)
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select("rep", "root"), "vectors")
-    of = classes.join(linked, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    of = of.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    linked = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    roots = components(found.select("cls", "root"), "vectors")
+    of = classes.join(linked, "cls", "left").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    of = written(of.select("label", "digest", "rep", "root", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "class-links")
+    of = of.join(of.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("label", "digest", "n_links", "component_id")
     good = v.where("digest IS NOT NULL").join(of, ["label", "digest"]).select("vec_id", "n_links", "component_id")
     out = good.unionByName(v.where("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))
@@ -158,6 +168,7 @@ def _sums(batches):
         offsets, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64)
         for i, name in enumerate(labels):
             x = values[offsets[i] : offsets[i + 1]]
+            x = scaled(x[None, :])[0]
             x = x / np.linalg.norm(x)
             n, s, q = held.setdefault((name, len(x)), [0, np.zeros(len(x)), np.zeros(len(x))])
             held[name, len(x)] = [n + 1, s + x, q + x * x]
@@ -175,16 +186,19 @@ def _tiles(classes: DataFrame, label: str, tile: int, folder: str) -> DataFrame:
     spread = sums.groupBy("label", "dim", "k").agg(F.sum("n").alias("n"), (F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)).alias("var"))
     plan = spread.groupBy("label", "dim").agg(F.max("n").alias("n"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("var", "k")))), 1, AXES).alias("ks"))
     plan = small_side(written(plan.select("label", "dim", "n", F.col("ks.k").alias("ks")), "tile-axes"))
-    norm = F.expr("sqrt(aggregate(vec, 0D, (s, x) -> s + double(x) * double(x)))")
-    placed = classes.join(plan, ["label", "dim"]).withColumn("norm", norm).withColumn("at", F.transform("ks", lambda k: F.get("vec", k).cast("double") / F.col("norm"))).drop("norm", "ks")
+    most = F.expr("aggregate(vec, 0D, (s, x) -> greatest(s, abs(double(x))))")
+    norm = F.expr("sqrt(aggregate(vec, 0D, (s, x) -> s + (double(x) / most) * (double(x) / most)))")
+    placed = classes.join(plan, ["label", "dim"]).withColumn("most", most).withColumn("norm", norm)
+    placed = placed.withColumn("at", F.transform("ks", lambda k: F.get("vec", k).cast("double") / F.col("most") / F.col("norm"))).drop("norm", "most", "ks")
     cuts = placed.groupBy("label", "dim").agg(F.percentile_approx(F.get("at", F.lit(0)), [i / 64 for i in range(1, 64)], 2000).alias("cuts"), F.ceil(F.max("n") / tile).cast("long").alias("tiles"))
     cuts = small_side(written(cuts, "tile-cuts"))
-    # the 64 bands of about equal numbers in runs of one tile each, or several tiles to a band
+    # the 64 bands of about equal numbers in runs of one tile each; a band of many, as of equal coordinates, is several tiles
     band = F.expr("int(size(filter(cuts, c -> c < at[0])) * least(tiles, 64L) div 64)")
-    part = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("tiles") / 64)).cast("long"))
-    c = placed.drop("n").join(cuts, ["label", "dim"]).withColumns({"band": band, "part": part})
+    c = placed.drop("n").join(cuts, ["label", "dim"]).withColumn("band", band)
+    parts = small_side(written(c.groupBy("label", "dim", "band").agg(F.ceil(F.count("*") / tile).cast("long").alias("parts")), "tile-parts"))
+    c = c.join(parts, ["label", "dim", "band"]).withColumn("part", F.pmod(F.xxhash64("cls"), "parts"))
     ends = [F.array(*[f(F.get("at", F.lit(i))) for i in range(AXES)]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
-    packed = c.groupBy("label", "dim", "band", "part").agg(F.collect_list(F.struct("rep", "size", "vec")).alias("rows"), *ends)
+    packed = c.groupBy("label", "dim", "band", "part").agg(F.collect_list(F.struct("cls", "size", "vec")).alias("rows"), *ends)
 
     def save(batches):
         for batch in batches:
@@ -192,7 +206,7 @@ def _tiles(classes: DataFrame, label: str, tile: int, folder: str) -> DataFrame:
             for i in range(batch.num_rows):
                 rows = batch.column(4)[i].values
                 paths.append(own_name(folder, ".tile"))
-                ids, sizes = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "size"))
+                ids, sizes = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("cls", "size"))
                 save_tile(paths[-1], ids, sizes, rows.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *batch.columns[5:7], pa.array(paths)], ["label", "dim", "band", "part", "low", "high", "path"])
 
