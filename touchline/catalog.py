@@ -19,19 +19,19 @@ from .plans import bets, parlay, predict
 from .plans.bets_sql import SQL as BETS_SQL
 from .plans.predict_sql import SQL as PREDICT_SQL
 from .sources import feeds, files, merge
-from .store import exists, scratch
+from .store import exists, scratch, stamp
 from .streaming import form_table, jobs
 
 
-_VIEWS: dict[tuple[str, str, str], str] = {}
+_VIEWS: dict[tuple, str] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, or the typed view of the matches (``typed``): written once a session in the shared folder, then read.
 
-    Analyses so read typed columns, and their filters reach the Parquet scan.
+    Analyses so read typed columns, and their filters reach the Parquet scan. A view is written again when its source files change.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, *[stamp(spark, f"{sf_dir}/{t}.parquet") for t in testbed.SOURCES])
     path = _VIEWS.get(key)
     if path is None or not exists(spark, f"{path}/_SUCCESS"):
         path = scratch(spark, f"view-{name}")
@@ -237,6 +237,35 @@ def _joined_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.join_feeds_by_day(m, hi, euro).select("match_id", "match_number", "owner_date", "hi_win", "hi_seen_at", "euro_win")
 
 
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches as CSV files of three kinds, with other columns in another order, one of them with a byte order mark, read together."""
+    m, root = view(spark, sf_dir, "matches"), scratch(spark, "mixed-files")
+    third = lambda i: m.where(F.col("match_id").cast("long") % 3 == i)
+    third(0).select("match_id", "league", "home_score").write.csv(f"{root}/a", header=True, emptyValue="")
+    third(1).select("league", "away_score", "match_id").write.csv(f"{root}/b", header=True, emptyValue="")
+    last = files.write_dataset(third(2).select("home_score", "match_id", "league"), f"{root}/c", form="csv")
+    return files.read_matches_csv(spark, [f"{root}/a", f"{root}/b", last])
+
+
+def _list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches as archived list pages, some hundred rows of a day on each, as bytes."""
+    m = view(spark, sf_dir, "matches")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    state = F.when(F.col("status") == 2, "完").when(F.col("status") == 1, "34'").otherwise("未")
+    cells = [F.col("match_number"), F.col("league"), F.col("round"), F.col("match_time"), state, F.concat(F.lit('<span class="gray">'), "home_rank", F.lit("</span><a href='#'>"), "home_team", F.lit("</a>"))]
+    cells += [F.concat(*[x for c in ("home_score", "asian_initial_handicap", "away_score") for x in (F.lit("<a>"), text(F.col(c)), F.lit("</a>"))]), F.concat(F.lit("<b><a>"), "away_team", F.lit("&nbsp;</a></b>")), *[F.lit("x")] * 6]
+    row = F.concat(F.lit('<tr class="a b" fid="'), "match_id", F.lit('">'), *[x for c in cells for x in (F.lit("<td>"), text(c), F.lit("</td>"))], F.lit("</tr>"))
+    days = m.groupBy("owner_date").agg(F.ceil(F.count("*") / 300).cast("int").alias("parts"))
+    dealt = m.join(days, "owner_date").withColumn("part", F.pmod(F.xxhash64("match_id"), F.col("parts")))
+    page = F.concat(F.lit("<html><head><meta charset='utf-8'><script>var t='<tr><td>';</script></head><!-- <tr> --><table id=t>"), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table></html>"))
+    pages = dealt.groupBy("owner_date", "part").agg(page.cast("binary").alias("html"))
+    return pages.select(F.xxhash64("owner_date", "part").alias("page_id"), "html")
+
+
+def _page_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.list_page_matches(feeds.table_rows(_list_pages(spark, sf_dir))).drop("id", "row")
+
+
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -297,6 +326,8 @@ OTHERS = {
     "join_feeds": _joined_feeds,
     "first_of_each": _firsts,
     "form_table": _on_matches(form_table.built),
+    "read_mixed_files": _mixed_files,
+    "page_matches": _page_matches,
     "feed_ticks": _feed_ticks,
     "feed_trend": lambda spark, sf_dir: jobs.odds_trend(jobs.feed_ticks(feeds.odds_ticks(_tick_documents(spark, sf_dir)))),
     "odds_trend_by_match": lambda spark, sf_dir: jobs.odds_trend_by_match(_ticks(spark, sf_dir), quiet="3 days"),

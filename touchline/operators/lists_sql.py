@@ -58,6 +58,8 @@ SQL = {
     "parse_match_feed": sql("SELECT match_id, match_number, match_number AS round_id, league, match_time, status, home_team, away_team, CASE WHEN status <> 0 AND nullif(home_score, '') IS NOT NULL AND nullif(away_score, '') IS NOT NULL THEN home_score || '-' || away_score ELSE '-' END AS score, owner_date FROM m"),
     "upsert_matches": sql("SELECT match_id, home_team, away_team, CASE WHEN CAST(match_id AS BIGINT) % 3 = 0 THEN '9' ELSE home_score END AS home_score, CASE WHEN CAST(match_id AS BIGINT) % 6 = 0 THEN '' ELSE away_score END AS away_score FROM m"),
     "odds_trend": "SELECT user_id AS match_id, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM events GROUP BY 1, 2",
+    "read_mixed_files": sql("SELECT match_id, nullif(league, '') AS league, CASE WHEN match_id::BIGINT % 3 <> 1 THEN nullif(home_score, '') END AS home_score, CASE WHEN match_id::BIGINT % 3 = 1 THEN nullif(away_score, '') END AS away_score FROM matches"),
+    "page_matches": sql("SELECT match_id, match_number, coalesce(league, '') AS league, round, match_time, CASE status WHEN 2 THEN '完' WHEN 1 THEN '34' || chr(39) ELSE '未' END AS status_text, CASE WHEN status IN (1, 2) THEN status ELSE 0 END::INTEGER AS status, home_team, away_team, regexp_extract(home_rank, '[0-9]+') AS home_rank, '' AS away_rank, coalesce(home_score, '') AS home_score, coalesce(asian_initial_handicap, '') AS handicap, coalesce(away_score, '') AS away_score FROM matches"),
     "feed_ticks": "WITH e AS (SELECT *, event_id % ceil(count(*) OVER (PARTITION BY user_id) / 500)::BIGINT AS part FROM events) SELECT user_id::VARCHAR AS matchnum, (row_number() OVER (PARTITION BY user_id, part ORDER BY ts DESC, event_id DESC) - 1)::INTEGER AS pos, count(*) OVER (PARTITION BY user_id, part)::INTEGER AS ticks, value AS win, event_type AS kind, event_id AS tick_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS update_time FROM e",
     "feed_trend": "SELECT user_id::VARCHAR AS match_id, 'euro' AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM events GROUP BY 1",
     "odds_trend_by_match": "WITH g AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 3 DAYS, TRUE) AS fresh FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), r AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM g) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS opened, user_id AS match_id, event_type AS market, count(*) AS ticks, arg_min(value, (ts, event_id)) AS initial, arg_max(value, (ts, event_id)) AS current, arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)) AS change FROM r GROUP BY user_id, event_type, run",

@@ -7,21 +7,21 @@ from __future__ import annotations
 
 from .testbed import duckdb_view
 
-#: Handicap labels in quarters of a goal, by dialect.
-_QUARTERS = {
-    "平手": 0, "平/半": 1, "平手/半球": 1, "半球": 2, "半/一": 3, "半球/一球": 3, "一球": 4, "一/球半": 5, "一球/球半": 5, "球半": 6, "球半/两": 7, "球半/两球": 7, "两球": 8, "两/两球半": 9, "两球半": 10,
-    "两球半/三": 11, "两球半/三球": 11, "三球": 12, "三/三球半": 13, "三球半": 14,
+#: Handicap labels in goals.
+_GOALS = {
+    "平手": 0.0, "平/半": 0.25, "平手/半球": 0.25, "半球": 0.5, "半/一": 0.75, "半球/一球": 0.75, "一球": 1.0, "一/球半": 1.25, "一球/球半": 1.25, "球半": 1.5, "球半/两": 1.75, "球半/两球": 1.75, "两球": 2.0, "两/两球半": 2.25,
+    "两球半": 2.5, "两球半/三": 2.75, "两球半/三球": 2.75, "三球": 3.0, "三/三球半": 3.25, "三球半": 3.5,
 }
 
 
-def _only(*names: str, most: int = 99) -> dict[str, float]:
-    return {k: _QUARTERS[k] / 4 for k in names if _QUARTERS[k] <= most}
+def _only(*names: str, most: float = 99.0) -> dict[str, float]:
+    return {k: _GOALS[k] for k in names if _GOALS[k] <= most}
 
 
 _PLAIN = ("平手", "平/半", "平手/半球", "半球", "半/一", "半球/一球", "一球", "一/球半", "一球/球半", "球半", "球半/两", "球半/两球", "两球", "两/两球半", "两球半")
 #: dialect: labels, and what becomes of other texts
 _READ = {
-    "label": (_only(*_PLAIN), "digits"), "pattern": (_only(*_PLAIN, "两球半/三", "三球"), "digits"), "level": (_only(*_PLAIN), "digits"), "strict": (_only(*_PLAIN, most=8), "number"),
+    "label": (_only(*_PLAIN), "digits"), "pattern": (_only(*_PLAIN, "两球半/三", "三球"), "digits"), "level": (_only(*_PLAIN), "digits"), "strict": (_only(*_PLAIN, most=2.0), "number"),
     "hint": (_only("平手", "平/半", "半球", "半/一", "一球", "一/球半", "球半", "球半/两", "球半/两球", "两球", "两/两球半", "两球半", "两球半/三", "两球半/三球", "三球", "三/三球半", "三球半"), "signed"),
     "digits0": ({}, "digits_or_0"), "digits": ({}, "digits"),
 }

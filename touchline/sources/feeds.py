@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,77 +76,69 @@ def join_feeds(matches: DataFrame, handicap: DataFrame, euro: DataFrame) -> Data
     return m.join(tag(handicap, "hi"), "matchnum", "left").join(tag(euro, "euro"), "matchnum", "left")
 
 
-class _Cells(HTMLParser):
-    """The rows of all tables of a page: the row's class and fid, and of each cell its text, links, grey spans and class."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows, self.cell, self.table = [], None, ""
-
-    def handle_starttag(self, tag, attrs):
-        attrs = dict(attrs)
-        if tag == "table":
-            self.table = attrs.get("id") or ""
-        elif tag == "tr":
-            self.rows.append({"table": self.table, "kind": attrs.get("class") or "", "fid": attrs.get("fid") or "", "cells": [], "classes": [], "links": [], "grey": []})
-            self.cell = None
-        elif tag in ("td", "th") and self.rows:
-            self.cell = []
-            row = self.rows[-1]
-            row["classes"].append(attrs.get("class") or "")
-            for k in ("cells", "links", "grey"):
-                row[k].append("" if k == "cells" else [])
-            self.within = ""
-        elif self.cell is not None and tag in ("a", "span"):
-            self.within = "links" if tag == "a" else "grey" if "gray" in (attrs.get("class") or "").split() else ""
-            if self.within:
-                self.rows[-1][self.within][-1].append("")
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None and self.rows:
-            self.rows[-1]["cells"][-1] = " ".join("".join(self.cell).split())
-            self.cell = None
-        elif tag in ("a", "span"):
-            self.within = ""
-
-    def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
-            if self.within:
-                self.rows[-1][self.within][-1][-1] += data.strip()
-
-
-def decode_page(raw: bytes) -> str:
-    """By the charset that the page names in its head, Chinese national ones widened to GB18030, else UTF-8; bad bytes are replaced."""
-    named = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", raw[:2048])
-    name = named[1].decode("ascii").lower() if named else "utf-8"
-    try:
-        return raw.decode("gb18030" if name in ("gb2312", "gbk", "gb-2312") else name, "replace")
-    except LookupError:
-        return raw.decode("utf-8", "replace")
-
-
-_ROWS = "id long, row int, table string, kind string, fid string, cells array<string>, classes array<string>, links array<array<string>>, grey array<array<string>>"
+def decoded(raw: Column) -> Column:
+    """Page bytes as text, by the charset that the page names in its head, else UTF-8; bad bytes are replaced.
+
+    Spark's ``decode`` knows no national charsets; the bytes go through Java's decoder as percent escapes.
+    """
+    head = F.lower(F.reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), _escaped(F.substring(raw, 1, 2048)), F.lit("ISO-8859-1")))
+    named = F.regexp_extract(head, r"charset=[\"']?([a-z0-9_-]+)", 1)
+    charset = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair]), named), F.lit("UTF-8"))
+    return F.when(raw.isNotNull(), F.reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), _escaped(raw), charset))
+
+
+def _escaped(raw: Column) -> Column:
+    return F.regexp_replace(F.hex(raw), "(..)", "%$1")
+
+
+#: Names of charsets in pages and Java's; the older Chinese ones are read as the one that holds them.
+CHARSETS = {"gb2312": "GB18030", "gbk": "GB18030", "gb-2312": "GB18030", "gb18030": "GB18030", "big5": "Big5", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "windows-1252": "windows-1252", "shift_jis": "Shift_JIS", "euc-kr": "EUC-KR"}
+#: The entities that stand in cells.
+ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&uarr;": "\u2191", "&darr;": "\u2193", "&amp;": "&"}
+
+
+def _plain(html: Column) -> Column:
+    """The text of a piece of HTML: no tags, entities resolved, odds arrows taken off, white space as single blanks."""
+    text = F.regexp_replace(html, r"(?s)<[^>]*>", "")
+    for entity, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    text = F.translate(text, "\u2191\u2193", "")
+    return F.regexp_replace(F.regexp_replace(text, r"[\s\u00a0]+", " "), "^ | $", "")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute of the tag that a piece begins with, or ''."""
+    opening = F.regexp_extract(tag, r"(?s)^<[^>]*", 0)
+    return F.regexp_replace(F.regexp_extract(opening, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), r"""^["']|["']$""", "")
 
 
 def table_rows(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:
     """(id, row, table, kind, fid, cells, classes, links, grey) of every table row of archived pages, texts or bytes.
 
-    Arrows of odds cells are stripped. A null page has no rows. The one Python job of the library.
+    Column expressions only: a page is split before its table, row and cell tags, scripts and comments are left out, and arrows
+    of odds cells are stripped. ``table`` is the id of the table, ``kind`` the class of the row; ``links`` and ``grey`` hold the
+    texts of a cell's links and grey spans. A null page has no rows.
     """
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for key, page in zip(batch["id"], batch["html"], strict=True):
-                parser = _Cells()
-                parser.feed(decode_page(bytes(page)) if isinstance(page, (bytes, bytearray)) else page or "")
-                for i, r in enumerate(parser.rows):
-                    r["cells"] = [c.translate({0x2191: None, 0x2193: None}).strip() for c in r["cells"]]
-                    out.append((key, i, *[r[k] for k in ("table", "kind", "fid", "cells", "classes", "links", "grey")]))
-            yield pd.DataFrame(out, columns=["id", "row", "table", "kind", "fid", "cells", "classes", "links", "grey"])
-
-    return pages.select(F.col(id_column).cast("long").alias("id"), F.col(html).alias("html")).mapInPandas(run, _ROWS)
+    page = decoded(F.col(html)) if dict(pages.dtypes)[html] == "binary" else F.col(html)
+    page = F.regexp_replace(page, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
+    begins = lambda x, tags: x.rlike(rf"(?i)^<({tags})\b")
+    inner = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?s)^<[^>]*>", ""), r"(?is)</(td|th|tr|table)\b.*$", "")
+    texts = lambda x, pattern: F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), _plain)
+    grey = r"""(?is)<span\b[^>]*class\s*=\s*["'](?:[^"']*\s)?gray(?:\s[^"']*)?["'][^>]*>(.*?)</span>"""
+
+    def cells(row):
+        found = F.filter(F.split(row, r"(?i)(?=<t[dh]\b)", -1), lambda x: begins(x, "td|th"))
+        return F.transform(found, lambda c: F.struct(_plain(inner(c)).alias("text"), _attribute(c, "class").alias("kind"), texts(inner(c), r"(?is)<a\b[^>]*>(.*?)</a>").alias("links"), texts(inner(c), grey).alias("grey")))
+
+    def rows(piece):
+        name = F.when(begins(piece, "table"), _attribute(piece, "id")).otherwise("")
+        found = F.filter(F.split(piece, r"(?i)(?=<tr\b)", -1), lambda x: begins(x, "tr"))
+        return F.transform(found, lambda r: F.struct(name.alias("table"), _attribute(r, "class").alias("kind"), _attribute(r, "fid").alias("fid"), cells(r).alias("c")))
+
+    found = F.flatten(F.transform(F.split(page, r"(?i)(?=<table\b)", -1), rows))
+    r = pages.select(F.col(id_column).cast("long").alias("id"), F.posexplode(found).alias("row", "r"))
+    each = {"cells": "text", "classes": "kind", "links": "links", "grey": "grey"}
+    return r.select("id", "row", "r.table", "r.kind", "r.fid", *[F.col(f"r.c.{v}").alias(k) for k, v in each.items()])
 
 
 def table_cells(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,8 +12,32 @@ TEXTS = ["match_id", "match_number", "round_id", "league", "round", "match_time"
 
 
 def read_matches_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """CSV files with a header and perhaps a byte order mark, all columns as text; unreadable files are skipped."""
-    return spark.read.option("ignoreCorruptFiles", True).csv(paths, header=True, encoding="UTF-8")
+    """CSV files with a header and perhaps a byte order mark, all columns as text; unreadable and empty files are skipped.
+
+    Files may have different columns in any order. The first line of each file is read first, files of the same header are
+    read together, each group by its own names, and united by name; a column that a file lacks is null in its rows. That takes
+    one more pass over the text, which is neither parsed nor shuffled; the list of files and headers comes to the driver, as
+    planning a read brings it anyway.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    lines = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    firsts = lines.where("start = 0").withColumn("i", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "i").alias("header"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(firsts.collect()):
+        groups.setdefault(_names(r["header"]), []).append(r["file"])
+    parts = []
+    for names, own in groups.items():
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        parts.append(spark.read.option("ignoreCorruptFiles", True).schema(schema).csv(own, header=True, encoding="UTF-8", enforceSchema=True))
+    return read_many(parts) if parts else spark.createDataFrame([], ", ".join(f"{c} string" for c in TEXTS))
+
+
+def _names(header: str) -> tuple[str, ...]:
+    """The names of a header line; a name that comes again gets its place."""
+    names: list[str] = []
+    for i, n in enumerate(next(csv.reader([header.lstrip("\ufeff")]), [])):
+        names.append(n if n and n not in names else f"{n}_{i}")
+    return tuple(names)
 
 
 def read_matches_json(spark: SparkSession, paths: str | list[str], schema: str | None = None) -> DataFrame:

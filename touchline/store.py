@@ -43,6 +43,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder."""
+    fs, p = _files(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)]
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells a file, or a folder of files, from an earlier state: names, sizes and times."""
+    fs, p = _files(spark, path)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(p)))
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes folders of ``scratch``; nothing that is still to be read may depend on them."""
     for path in paths:

@@ -9,6 +9,7 @@ from ..functions import first_present, leg_result
 from ..normalise import typed
 from ..plans.bets import settle_bets, tickets
 from ..plans.predict import predict_upcoming, review_predictions
+from ..sources.feeds import list_page_matches, table_rows
 from ..sources.merge import flatten_odds, upsert_matches, upsert_odds
 from ..store import exists, written
 from . import form_table
@@ -103,30 +104,48 @@ def ingest_snapshots(spark: SparkSession, source: str, schema: str, table: str,
     files are done.
     """
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        batch = written(batch.dropDuplicates(["match_id", "seq"]).withColumn("bucket", bucket_of()), "batch")
-        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
-        plain = [c for c in batch.columns if c not in ("seq", "present", "bucket", *ODDS_COLUMNS)]
-        known = current(session, table, before=epoch, buckets=touched)
-        empty = batch.select(*plain).limit(0)
-        if set(ODDS_COLUMNS) <= set(batch.columns):
-            flat = flatten_odds(batch)
-            empty = empty.withColumns({c: F.lit(None).cast(t) for c, t in flat.dtypes if c not in (*plain, "seq", "present")})
-        old = known if known is not None else empty
-        new = upsert_matches(old, batch.select(*[F.col(c) if c in plain else F.lit(None).cast(t).alias(c) for c, t in old.dtypes], "seq", "present"))
-        if set(ODDS_COLUMNS) <= set(batch.columns):
-            new = upsert_odds(new, batch)
-        if new.isEmpty():
-            return
-        put(session, table, new, epoch, touched)
-        if keep is not None:
-            retire(session, table, keep)
-
     stream = spark.readStream.schema(schema).json(source)
+    merge = lambda batch, epoch: _merge(batch, epoch, table, keep)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_pages(spark: SparkSession, source: str, table: str, checkpoint: str, keep: int | None = 3):
+    """Starts a run over landed list pages, files of HTML bytes, that merges their matches into the table as ``ingest_snapshots`` does.
+
+    A page's columns count from the time that its file was written; names and times that a page leaves empty change nothing.
+    """
+    def merge(pages: DataFrame, epoch: int) -> None:
+        p = pages.select(F.xxhash64("path").alias("page_id"), F.col("content").alias("html"), F.unix_micros(F.col("modificationTime").cast("timestamp")).alias("seq"))
+        m = list_page_matches(table_rows(p)).join(p.select(F.col("page_id").alias("id"), "seq"), "id")
+        columns = [c for c in m.columns if c not in ("id", "row", "seq")]
+        said = F.array_compact(F.array(*[F.when(F.col(c).cast("string") != "", F.lit(c)) for c in columns]))
+        _merge(m.withColumn("present", said).select(*columns, "seq", "present"), epoch, table, keep)
+
+    stream = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(source)
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _merge(batch: DataFrame, epoch: int, table: str, keep: int | None) -> None:
+    session = batch.sparkSession
+    batch = written(batch.dropDuplicates(["match_id", "seq"]).withColumn("bucket", bucket_of()), "batch")
+    touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
+    plain = [c for c in batch.columns if c not in ("seq", "present", "bucket", *ODDS_COLUMNS)]
+    known = current(session, table, before=epoch, buckets=touched)
+    empty = batch.select(*plain).limit(0)
+    if set(ODDS_COLUMNS) <= set(batch.columns):
+        flat = flatten_odds(batch)
+        empty = empty.withColumns({c: F.lit(None).cast(t) for c, t in flat.dtypes if c not in (*plain, "seq", "present")})
+    old = known if known is not None else empty
+    new = upsert_matches(old, batch.select(*[F.col(c) if c in plain else F.lit(None).cast(t).alias(c) for c, t in old.dtypes], "seq", "present"))
+    if set(ODDS_COLUMNS) <= set(batch.columns):
+        new = upsert_odds(new, batch)
+    if new.isEmpty():
+        return
+    put(session, table, new, epoch, touched)
+    if keep is not None:
+        retire(session, table, keep)
+
+
 ODDS_COLUMNS = ("euro_odds", "asian_handicap", "over_under", "handicap_index", "euro_odds_update_time", "odds_update_time")
 
 

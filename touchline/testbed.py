@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables that the derived ones are made of.
+SOURCES = ("orders", "lineitem", "customer", "nation")
 #: The handicap texts dealt out.
 LINES = ["平手", "平/半", "平手/半球", "半球", "半/一", "一球", "受平/半", "受半球", "受一球", "球半", "两球", "0", "-1", "+1", "1.75", "未知", "", "受平手/半球", "两球半/三", "三球"]
 TOTALS = ["2", "2.25", "2.5", "2.75", "3", "3.5", "1.75", "", "3.25"]
@@ -148,7 +150,7 @@ def duckdb_view(name: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table ``name``: matches, predictions, legs or picks."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "customer", "nation")}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES}
     orders = tables["orders"].selectExpr("o_orderkey AS k", "o_orderstatus", "o_orderdate", "o_custkey")
     if name == "matches":
         # nation has a fixed number of rows; the customer side is left to the optimizer
