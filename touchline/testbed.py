@@ -151,7 +151,10 @@ def duckdb_view(name: str) -> str:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table ``name``: matches, predictions, legs or picks."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES}
-    orders = tables["orders"].selectExpr("o_orderkey AS k", "o_orderstatus", "o_orderdate", "o_custkey")
+    # dealt out while the rows are narrow: a file of one row group would leave the wide texts to one task; a given number of
+    # partitions is not merged by their bytes, which are few here
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders = tables["orders"].selectExpr("o_orderkey AS k", "o_orderstatus", "o_orderdate", "o_custkey").repartition(tasks, "k")
     if name == "matches":
         # nation has a fixed number of rows; the customer side is left to the optimizer
         nation = tables["nation"].select("n_nationkey", "n_name").hint("broadcast")
