@@ -127,16 +127,17 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0, doc
     documents, attention: capacities beside ``most`` tokens; left out, they never bind. Null text counts as empty and holds
     the end token alone; rows with a null or repeated doc_id are packed like any other; an empty table gives no rows.
     """
-    cells = written(pieces(docs, tokenizer, most, end_id), "pieces")
+    cells = written(pieces(docs, tokenizer, most, end_id).withColumn("deal", F.monotonically_increasing_id()), "pieces")
     # at most ``most`` rows
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.count("*").alias("n")).collect()}
     capacity = (most, documents or most, attention or most * most)
     table = slots(best_fit(counts, capacity, weights, rule))
+    # by a number of the written row: pieces of one length may all have the same id, or none
     salts = max(16, sum(counts.values()) // 1_000_000)
-    salted = cells.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = cells.withColumn("salt", F.pmod(F.xxhash64("deal"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "deal"))
     ranked = salted.withColumn("own", own).join(base, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own") - 1).alias("rank"))
 
