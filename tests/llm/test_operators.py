@@ -91,6 +91,17 @@ def test_error_bound_is_rigorous(seed):
 
 
 # 2
+def test_packing_of_rows_that_are_all_alike(spark):
+    """Pieces of one length and no id share nothing but their number, and every row still gets a place of its own."""
+    rows = [(None, "")] * 3000 + [(None, None)] * 500 + [(5, "same words")] * 400
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), TOKENIZER).toPandas()
+    assert len(got) == len(rows) and got["doc_id"].isna().sum() == 3500
+    assert not got.duplicated(["sequence_id", "offset"]).any()
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        assert seq["offset"].tolist() == np.cumsum([0, *seq["length"]])[:-1].tolist() and seq["length"].sum() <= 2048
+    assert got["sequence_id"].nunique() == -(-int(got["length"].sum()) // 2048)
+
+
 def test_packing(spark, sf_dir, odd_docs, no_docs):
     docs = docs_of(spark, sf_dir).select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id") + 10**6))
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -673,6 +684,15 @@ def test_nearest_pairs_of_each_root(monkeypatch):
     assert len(jaccard._nearest(root, x[:0], y[:0], x[:0])) == 0
 
 
+def test_sets_that_share_a_key_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, 7, 100), (2, 7, 100), (3, 7, 200), (4, 8, 100), (None, 8, 100)], "doc_id long, key long, mark long")
+    got = {r["doc_id"]: r["key"] for r in jaccard._told_apart(rows).collect()}
+    assert got[1] == got[2] != got[3] and got[1] != 7 and got[4] == got[None] == 8
+    assert jaccard._told_apart(rows.where("doc_id = 4")).columns == ["doc_id", "key"] and jaccard._told_apart(rows.limit(0)).count() == 0
+    key, mark = jaccard._key(np.array([1, 2, 3], dtype=np.uint64))
+    assert -(2**63) <= key < 2**63 and -(2**63) <= mark < 2**63 and key != mark
+
+
 def test_near_stage_by_jaccard(spark, sf_dir):
     rows = docs_of(spark, sf_dir).orderBy("doc_id").collect()
     root = union_roots(len(rows), *np.array(brute_similar([r["text"] for r in rows])).T)
