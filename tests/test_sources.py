@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from touchline import catalog, testbed
+from touchline import catalog, normalise, testbed
 from touchline.normalise import refresh_view, refreshed, typed
 from touchline.sources import feeds, files
 from touchline.streaming import jobs
@@ -78,3 +78,16 @@ def test_landed_pages_become_matches(spark, tmp_path):
     got = {r["match_id"]: r for r in jobs.current(spark, str(tmp_path / "t")).collect()}
     assert {k: (r["home_team"], r["home_score"] or "", r["status"]) for k, r in got.items()} == {"1": ("H1", "5", 2), "2": ("H2", "", 0)}
     assert len(list((tmp_path / "t").glob("version=*"))) <= 3
+
+
+def test_the_typed_view_needs_no_table_of_texts_and_no_whole_stage_code(spark, sf_dir, monkeypatch):
+    modes = []
+    monkeypatch.setattr(catalog, "_VIEWS", {})
+    typed = normalise.typed
+    monkeypatch.setattr(normalise, "typed", lambda rows: modes.append(spark.conf.get("spark.sql.codegen.wholeStage")) or typed(rows))
+    view = catalog.matches(spark, sf_dir)
+    assert [k[2] for k in catalog._VIEWS] == ["typed"] and modes == ["false"] and spark.conf.get("spark.sql.codegen.wholeStage") == "true"
+    want = typed(testbed.read(spark, sf_dir, "matches")).select(*view.columns)
+    assert view.exceptAll(want).isEmpty() and want.exceptAll(view).isEmpty()
+    days = view.groupBy(F.input_file_name()).agg(F.min("owner_date").alias("low"), F.max("owner_date").alias("high")).orderBy("low").collect()
+    assert all(a["high"] <= b["low"] for a, b in zip(days, days[1:]))
