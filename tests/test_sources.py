@@ -91,3 +91,15 @@ def test_the_typed_view_needs_no_table_of_texts_and_no_whole_stage_code(spark, s
     assert view.exceptAll(want).isEmpty() and want.exceptAll(view).isEmpty()
     days = view.groupBy(F.input_file_name()).agg(F.min("owner_date").alias("low"), F.max("owner_date").alias("high")).orderBy("low").collect()
     assert all(a["high"] <= b["low"] for a, b in zip(days, days[1:]))
+
+
+def test_work_of_a_page_grows_with_its_rows(spark):
+    row = "<tr fid='1'>" + "<td>a</td>" * 3 + "</tr>"
+    took = []
+    for pages, each in ((60, 100), (1, 6000)):  # the same rows on many pages and on one
+        df = spark.range(pages).selectExpr("id AS page_id", f"concat('<table id=t>', repeat(\"{row}\", {each}), '</table>') AS html").repartition(1)
+        feeds.table_rows(df).write.format("noop").mode("overwrite").save()
+        t = time.perf_counter()
+        feeds.table_rows(df).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - t)
+    assert took[1] < 4 * took[0] + 1, took

@@ -79,12 +79,14 @@ def join_feeds(matches: DataFrame, handicap: DataFrame, euro: DataFrame) -> Data
 def decoded(raw: Column) -> Column:
     """Page bytes as text, by the charset that the page names in its head, else UTF-8; bad bytes are replaced.
 
-    Spark's ``decode`` knows no national charsets; the bytes go through Java's decoder as percent escapes.
+    Spark's ``decode`` knows no national charsets; the bytes go through Java's decoder as percent escapes, but for valid UTF-8.
     """
     head = F.lower(F.reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), _escaped(F.substring(raw, 1, 2048)), F.lit("ISO-8859-1")))
     named = F.regexp_extract(head, r"charset=[\"']?([a-z0-9_-]+)", 1)
     charset = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair]), named), F.lit("UTF-8"))
-    return F.when(raw.isNotNull(), F.reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), _escaped(raw), charset))
+    whole = F.reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), _escaped(raw), charset)
+    text = raw.cast("string")
+    return F.when(raw.isNotNull(), F.when((charset == "UTF-8") & F.is_valid_utf8(text), text).otherwise(whole))
 
 
 def _escaped(raw: Column) -> Column:
@@ -128,14 +130,18 @@ def table_rows(pages: DataFrame, id_column: str = "page_id", html: str = "html")
 
     def cells(row):
         found = F.filter(F.split(row, r"(?i)(?=<t[dh]\b)", -1), lambda x: begins(x, "td|th"))
-        return F.transform(found, lambda c: F.struct(_plain(inner(c)).alias("text"), _attribute(c, "class").alias("kind"), texts(inner(c), r"(?is)<a\b[^>]*>(.*?)</a>").alias("links"), texts(inner(c), grey).alias("grey")))
+        found = F.transform(found, lambda c: F.struct(c.alias("all"), inner(c).alias("in")))
+        return F.transform(found, lambda c: F.struct(_plain(c["in"]).alias("text"), _attribute(c["all"], "class").alias("kind"), texts(c["in"], r"(?is)<a\b[^>]*>(.*?)</a>").alias("links"), texts(c["in"], grey).alias("grey")))
 
-    def rows(piece):
+    def table(piece):
+        # the name is taken once: within the rows' own expression each row would read the whole piece for it
         name = F.when(begins(piece, "table"), _attribute(piece, "id")).otherwise("")
-        found = F.filter(F.split(piece, r"(?i)(?=<tr\b)", -1), lambda x: begins(x, "tr"))
-        return F.transform(found, lambda r: F.struct(name.alias("table"), _attribute(r, "class").alias("kind"), _attribute(r, "fid").alias("fid"), cells(r).alias("c")))
+        return F.struct(name.alias("name"), F.filter(F.split(piece, r"(?i)(?=<tr\b)", -1), lambda x: begins(x, "tr")).alias("rows"))
 
-    found = F.flatten(F.transform(F.split(page, r"(?i)(?=<table\b)", -1), rows))
+    def rows(t):
+        return F.transform(t["rows"], lambda r: F.struct(t["name"].alias("table"), _attribute(r, "class").alias("kind"), _attribute(r, "fid").alias("fid"), cells(r).alias("c")))
+
+    found = F.flatten(F.transform(F.transform(F.split(page, r"(?i)(?=<table\b)", -1), table), rows))
     r = pages.select(F.col(id_column).cast("long").alias("id"), F.posexplode(found).alias("row", "r"))
     each = {"cells": "text", "classes": "kind", "links": "links", "grey": "grey"}
     return r.select("id", "row", "r.table", "r.kind", "r.fid", *[F.col(f"r.c.{v}").alias(k) for k, v in each.items()])
