@@ -45,3 +45,22 @@ def test_same_rows(name, spark, duck, sf_dir):
 def test_entry(spark):
     assert entry.entry(spark).columns[0] == "grp"
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["settle_bets", "bet_groups", "bets_of", "settle_in_time", "normalise_picks", "upsert_odds", "page_matches", "backtest", "pattern_recommendations", "predict_and_review", "append_and_update_bets", "bets_dashboard"])
+def test_queries_of_few_columns_write_no_view(name, spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(catalog, "_VIEWS", {})
+    catalog.queries()[name](spark, sf_dir)
+    assert not catalog._VIEWS
+
+
+def test_only_bets_that_are_shown_are_settled(spark, sf_dir):
+    from touchline.plans import bets
+
+    legs, m = catalog.view(spark, sf_dir, "legs"), catalog.matches(spark, sf_dir)
+    chosen = bets.newest_legs(legs, 2)
+    assert 0 < chosen.count() < legs.count() / 2
+    got, want = (rows(bets.bet_groups(bets.settle_bets(x, m), 2).toPandas()) for x in (chosen, legs))
+    pd.testing.assert_frame_equal(got, want)
+    mine = bets.settle_bets(bets.legs_of(legs, "d7"), m).where("device_id = 'd7'")
+    pd.testing.assert_frame_equal(rows(mine.toPandas()), rows(bets.settle_bets(legs, m).where("device_id = 'd7'").toPandas()))
