@@ -27,8 +27,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word Jaccard similarity 0.8 or more) the one with the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs, width=5, similarity=0.8)
+    """Of each component of near copies the one with the smallest doc_id stays.
+
+    SimHash fingerprints of five-word shingles within 4 bits, found with BK-trees, and what they can't see; all links have a
+    five-word Jaccard similarity of 0.8 or more.
+    """
+    return simhash.drop_near_copies(docs, width=5, similarity=0.8, radius=4)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

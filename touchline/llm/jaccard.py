@@ -2,7 +2,8 @@
 
 Under any fixed order of all shingles two such sets share one of their first ``n - ceil(bar * n) + 1`` shingles, so gathering
 the sets by these prefixes loses no pair. The order puts shingles that are frequent in a sample last, which keeps the
-prefixes rare; the sample decides on the cost only, never on the result. Equal sets are one node.
+prefixes rare; the sample decides on the cost only, never on the result. It is a share of the corpus and not a number of
+documents, so that shingles of the same count are told as frequent at every size. Equal sets are one node.
 
 The sets that share a prefix shingle are a group. Small groups give all their pairs that sizes and places allow. In a large
 group every set is first paired with one of the group only, so that a large cluster of copies costs a star; then
@@ -27,8 +28,9 @@ from .common import small_batches, small_side, written
 from .graph import components
 
 SEED = 42
-SAMPLE = 5000  # documents whose shingles are counted for the order
+SAMPLE = (5000, 0.1)  # documents whose shingles are counted for the order: a number, or a share where that is more
 OFTEN = 5
+MOST_OFTEN = 1_000_000  # frequent shingles that are kept
 TEXTS = 1000  # whole texts in an Arrow batch
 GROUP = 32  # sets of a group that are paired one with another at once
 TILE = 2000  # sets of a group that one task pairs
@@ -59,6 +61,14 @@ def _key(shingles: np.ndarray) -> tuple[int, int]:
     return (both & (1 << 64) - 1) - (1 << 63), (both >> 64) - (1 << 63)
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set as a signed long: a bit is 1 if it is set in over half of the shingles."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(shingles), 65536):
+        counts += np.unpackbits(shingles[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(shingles)).tobytes(), "big", signed=True)
+
+
 def prefix(shingles: np.ndarray, similarity: float, often: np.ndarray) -> np.ndarray:
     """The first shingles of the set; the frequent ones (``often``, sorted) come last."""
     n = len(shingles)
@@ -114,25 +124,26 @@ def _text(docs: DataFrame) -> Column:
 
 
 def _often(docs: DataFrame, width: int) -> np.ndarray:
-    """Shingles frequent in a sample, sorted, at most 100,000."""
+    """Shingles frequent in a sample, sorted, at most ``MOST_OFTEN``."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(x.as_py(), width) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["t"])
 
-    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    least, part = SAMPLE
+    share = min(1.0, max(least / max(docs.count(), 1), part))
     counted = docs.sample(share, SEED).select(_text(docs).alias("text")).mapInArrow(run, "t long").groupBy("t").count()
-    top = counted.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "t").limit(100_000).toPandas()
+    top = counted.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "t").limit(MOST_OFTEN).select("t").toPandas()
     return np.sort(top["t"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
 def _rows(docs: DataFrame, width: int, similarity: float, often: np.ndarray) -> DataFrame:
-    """(doc_id, sha, key, mark, n, prefix, sketch) of each row; key and mark stand for the set of ``n`` shingles."""
+    """(doc_id, sha, key, mark, n, prefix, sketch, fp) of each row; key and mark stand for the set of ``n`` shingles, fp is its fingerprint."""
 
     def run(batches):
         for batch in batches:
-            shas, keys, marks, sizes, firsts, sketches = [], [], [], [], [], []
+            shas, keys, marks, sizes, firsts, sketches, fps = [], [], [], [], [], [], []
             for text in batch.column(1):
                 data = text.as_py()
                 own = shingle_set(data, width)
@@ -143,9 +154,10 @@ def _rows(docs: DataFrame, width: int, similarity: float, often: np.ndarray) ->
                 sizes.append(len(own))
                 firsts.append(prefix(own, similarity, often).view(np.int64))
                 sketches.append(sketch(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(keys, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "sha", "key", "mark", "n", "prefix", "sketch"])
+                fps.append(set_fingerprint(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(keys, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(fps, pa.int64())], ["doc_id", "sha", "key", "mark", "n", "prefix", "sketch", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(docs).alias("text")).mapInArrow(run, "doc_id long, sha string, key long, mark long, n long, prefix array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(docs).alias("text")).mapInArrow(run, "doc_id long, sha string, key long, mark long, n long, prefix array<long>, sketch binary, fp long")
 
 
 def _told_apart(rows: DataFrame) -> DataFrame:
@@ -382,14 +394,18 @@ def _tiled(members: DataFrame) -> DataFrame:
     return m.select("t", "key", "n", "at", "root", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b) links between set keys with the components of all similar pairs; not every pair is listed."""
+def similar_links(docs: DataFrame, rows: DataFrame, width: int, similarity: float, proposed: DataFrame | None = None) -> DataFrame:
+    """(a, b) links between set keys with the components of all similar pairs; not every pair is listed.
+
+    ``proposed`` are pairs (a, b) that another method has found; those that are similar enough link before large groups are searched.
+    """
     met = written(_met(rows, similarity), "met")
     member = lambda kind: met.where(F.col("kind") == kind).select(F.col("b").alias("t"), F.col("a").alias("key"), "n", "at")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars = member(LEAD).repartition(tasks, "t").mapInArrow(_star(similarity), "a long, b long")
     first = met.where(F.col("kind") == PAIR).select("a", "b")
-    links = _verified(docs, rows, first.unionByName(stars), width, similarity, "first")
+    asked = first.unionByName(stars) if proposed is None else first.unionByName(stars).unionByName(proposed)
+    links = _verified(docs, rows, asked, width, similarity, "first")
     known = rows.select("key", "sketch").dropDuplicates(["key"])
     judged = first.distinct()  # what has been judged need not be judged again
     for step in range(ROUNDS + 1):
@@ -408,16 +424,17 @@ def similar_links(docs: DataFrame, rows: DataFrame, width: int, similarity: floa
     return links
 
 
-def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, propose=None) -> DataFrame:
     """One row per document: doc_id, sha (of its text), component_id (smallest doc_id reachable, itself included).
 
     Null, empty and blank texts have the empty set and are alike. A component of null ids only has a null component_id. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. ``propose`` makes pairs of keys of the sets' (key, fp).
     """
     often = _often(docs, width)
     with small_batches(docs.sparkSession, TEXTS):
         rows = _told_apart(written(_rows(docs, width, similarity, often), "shingles"))
-    roots = components(similar_links(docs, rows, width, similarity), "near")
+    proposed = propose(rows.select("key", "fp").distinct()) if propose else None
+    roots = components(similar_links(docs, rows, width, similarity, proposed), "near")
     own = rows.select("doc_id", "sha", "key")
     rooted = written(own.join(roots, own["key"] == roots["node"], "left").select("doc_id", "sha", F.coalesce("root", "key").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

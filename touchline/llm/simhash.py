@@ -183,14 +183,26 @@ def near_groups(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     return all_fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_pairs(sets: DataFrame, radius: int = 4) -> DataFrame:
+    """(a, b) pairs of the keys of ``sets`` (key, fp) that the BK-trees link: one set of each fingerprint, and every other one with it."""
+    fps = small_side(written(sets.groupBy("fp").agg(F.min("key").alias("first")), "fingerprints"))
+    linked = written(fingerprint_links(fps.select("fp"), radius), "fingerprint-links")
+    end = lambda c: fps.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c))
+    between = linked.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(end("a"), "fp_a").join(end("b"), "fp_b")
+    within = sets.join(fps, "fp").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    return between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component of similar texts, with their columns as they are.
 
-    Links are those of ``jaccard``: all pairs whose sets of ``width``-word shingles have that Jaccard similarity or more.
+    The BK-trees propose pairs by the SimHash of the sets of ``width``-word shingles, which count where the sets have that Jaccard
+    similarity or more. As similar sets may differ in more than ``radius`` bits, the search of ``jaccard`` adds what the trees
+    can't see, so all such pairs link.
     Rows that share a doc_id and a text share the decision; a component of null ids only stays. Null, empty and blank texts are
     alike; an empty table gives an empty result.
     """
-    gone = similar_groups(docs, width, similarity).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("id"), "sha").distinct()
+    gone = similar_groups(docs, width, similarity, lambda sets: fingerprint_pairs(sets, radius)).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("id"), "sha").distinct()
     gone = small_side(written(gone, "gone"))
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc"), text_sha(docs).alias("own"))
     return keyed.join(gone, F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha")), "left_anti").select("row.*")
